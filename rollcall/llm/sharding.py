@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import cut
+
 MULTIPLIER = 2862933555777941757  # fixed value of the algorithm
 _M32 = 0xFFFFFFFF
 
@@ -78,7 +80,7 @@ def with_shard(df: DataFrame, key: str = "doc_id", n_shards: int = 40, column: s
     return df.withColumn(column, jump_hash(F.col(key), n_shards)["shard"])
 
 
-def shard_manifest(docs: DataFrame, n_shards: int = 40, blocks: int = 256) -> DataFrame:
+def shard_manifest(docs: DataFrame, n_shards: int = 40, blocks: int = 64) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law ``key``: doc_id (null: 0) and the shard count decide. Slots number a
@@ -98,9 +100,11 @@ def shard_manifest(docs: DataFrame, n_shards: int = 40, blocks: int = 256) -> Da
     )
     counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     block = F.pmod(F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(blocks)) + F.col("text_crc32"), F.lit(blocks))
-    placed = counted.withColumn("jump", jump_hash(F.col("doc_id"), n_shards)).select(
+    jumped = counted.withColumn("jump", jump_hash(F.col("doc_id"), n_shards)).select(
         "doc_id", "size", "text_crc32", "n", F.col("jump.shard").alias("shard"), F.col("jump.grown").alias("grown_shard"), block.alias("block")
     )
+    # written once, a few numbers a row: the texts are not read again for the blocks' totals
+    placed = cut(jumped, "shards")
     # n_shards * blocks rows at most: the block's first slot within its shard
     totals = placed.groupBy("shard", "block").agg(F.sum("n").alias("total"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,7 +31,7 @@ walk AS (
 placed AS (
   SELECT r, max(b) FILTER (b < 40) AS shard, max(b) AS grown FROM walk GROUP BY r)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY (coalesce(doc_id, 0) % 256 + text_crc32) % 256,
+       row_number() OVER (PARTITION BY shard ORDER BY (coalesce(doc_id, 0) % 64 + text_crc32) % 64,
          doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown::INT AS grown_shard
 FROM rows_ JOIN placed USING (r)
 """
