@@ -7,6 +7,12 @@ from rollcall.llm import sql
 
 QUERIES = {
     "op1_sharding": q.op1_sharding,
+    "op5_packing": q.op5_packing,
+    "op6_pii": q.op6_pii,
+    "op7_language_id": q.op7_language_id,
+    "op8_url_filter": q.op8_url_filter,
+    "op9_quality": q.op9_quality,
+    "op10_decontamination": q.op10_decontamination,
 }
 ORACLE = {
     "op1_sharding": sql.OP1,
