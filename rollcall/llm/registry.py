@@ -7,6 +7,7 @@ from rollcall.llm import sql
 
 QUERIES = {
     "op1_sharding": q.op1_sharding,
+    "op2_html_text": q.op2_html_text,
     "op5_packing": q.op5_packing,
     "op6_pii": q.op6_pii,
     "op7_language_id": q.op7_language_id,
