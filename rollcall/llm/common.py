@@ -36,3 +36,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """About ``rows`` rows of ``df`` at most, chosen by a hash of ``key``; all of a smaller table.
+
+    The table's count sets the share that is taken, so no task sorts or gathers
+    more than it keeps. Rows alike in ``key`` go together, which the limit bounds.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    share = max(1, int(rows / total * (1 << 30)))
+    return df.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < share).limit(2 * rows)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import bounded_sample
+
 #: Elements of the markup language by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup tt u var wbr".split())
@@ -351,9 +353,9 @@ def fit(sources: list[str], rounds: int = 12) -> TreeModel:
 
 
 def train(pages: DataFrame, sample_pages: int = 200) -> TreeModel:
-    """Fit on the labelled templates and at most ``sample_pages`` pages that mark an article up, chosen by a hash of the page."""
-    marked = pages.select("html").filter(F.col("html").contains("<article") & (F.length("html") < 20000))
-    chosen = marked.orderBy(F.xxhash64("html")).limit(sample_pages).collect()
+    """Fit on the labelled templates and those that mark an article up among about ``sample_pages`` pages, chosen by a hash of the page."""
+    marked = F.col("html").contains("<article") & (F.length("html") < 20000)
+    chosen = bounded_sample(pages.select("html"), sample_pages, "html").filter(marked).collect()
     return fit(labelled_templates() + sorted(r["html"] for r in chosen))
 
 

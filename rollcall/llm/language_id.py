@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import bounded_sample
+
 UNKNOWN = "und"
 
 
@@ -106,8 +108,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], buckets: int, dims: int
     return LanguageModel(labels, table.astype(np.float32), bias, temperature, threshold)
 
 
-def train(docs: DataFrame, eligible: Column, sample_rows: int = 4000, buckets: int = 1 << 16) -> LanguageModel:
-    """Fit on at most ``sample_rows`` rows of ``docs`` with a language and ``eligible``, chosen by a hash of the row.
+def train(docs: DataFrame, eligible: Column, sample_rows: int = 6000, buckets: int = 1 << 16) -> LanguageModel:
+    """Fit on the rows with a language and ``eligible`` among about ``sample_rows`` rows of ``docs``, chosen by a hash of the row.
 
     Only subword counts of that sample reach the driver.
     """
@@ -121,7 +123,7 @@ def train(docs: DataFrame, eligible: Column, sample_rows: int = 4000, buckets: i
             yield pd.DataFrame(out, columns=["ids", "n", "lang"])
 
     usable = eligible & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
-    chosen = docs.filter(usable).select("text", "lang").orderBy(F.xxhash64("text", "lang"), "lang").limit(sample_rows)
+    chosen = bounded_sample(docs, sample_rows, "doc_id", "text").filter(usable).select("text", "lang")
     found = chosen.mapInPandas(counted, "ids binary, n binary, lang string").collect()
     rows = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in found)
     return fit([(np.frombuffer(i, np.int32), np.frombuffer(n, np.int32).astype(float), x) for i, n, x in rows], buckets)
@@ -146,7 +148,7 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 != 1
 
 
-def identify(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = 6000) -> DataFrame:
     """``docs`` with a struct column ``language`` (lang_pred, score, rejected).
 
     Null text or one without a letter: ``und``, score 0, rejected. No labelled
@@ -157,7 +159,7 @@ def identify(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
     return docs.withColumn("language", predictor(model, docs.sparkSession)(F.col("text")))
 
 
-def keep_identified(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def keep_identified(docs: DataFrame, sample_rows: int = 6000) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with the same columns."""
     model = train(docs, learnable(), sample_rows)
     return docs.filter(~predictor(model, docs.sparkSession)(F.col("text"))["rejected"])

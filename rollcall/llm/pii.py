@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import bounded_sample
+
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("secret", "number")
 
@@ -191,8 +193,8 @@ class BoostedTrees:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(docs: DataFrame, sample_rows: int = 8000) -> BoostedTrees:
-    """Trees from the candidates of at most ``sample_rows`` texts, those with candidates first to show one, chosen by a hash of the text.
+def train(docs: DataFrame, sample_rows: int = 30000) -> BoostedTrees:
+    """Trees from the candidates of about ``sample_rows`` texts, chosen by a hash of the text.
 
     Tasks compute the features; the driver receives at most 40 candidates of each sampled text, as numbers.
     """
@@ -207,7 +209,7 @@ def train(docs: DataFrame, sample_rows: int = 8000) -> BoostedTrees:
             yield pd.DataFrame(out, columns=["x", "y"])
 
     likely = F.col("text").rlike(r"[0-9]{6}|(?i)(token|secret|password|key)")
-    sample = docs.filter(likely).select("text").orderBy(F.xxhash64("text")).limit(sample_rows)
+    sample = bounded_sample(docs.select("text"), sample_rows, "text").filter(likely)
     found = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInPandas(made, "x array<double>, y int").collect())
     model = BoostedTrees()
     if len({y for _, y in found}) < 2:
@@ -261,7 +263,7 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def find(docs: DataFrame, sample_rows: int = 8000) -> DataFrame:
+def find(docs: DataFrame, sample_rows: int = 30000) -> DataFrame:
     """``docs`` with a struct column ``pii``: counts by base kind, base_sha256 and all spans.
 
     Null text counts as empty: no spans, the hash of an empty string. Repeated
@@ -281,7 +283,7 @@ def find(docs: DataFrame, sample_rows: int = 8000) -> DataFrame:
     return docs.withColumn("pii", run(F.col("text")))
 
 
-def redact(docs: DataFrame, sample_rows: int = 8000) -> DataFrame:
+def redact(docs: DataFrame, sample_rows: int = 30000) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind, as ``<EMAIL>``; other columns stay."""
     model = _holder(train(docs, sample_rows), docs.sparkSession)
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import bounded_sample
+
 _SHOUTED = re.compile(r"[A-Z]{2,}!!")
 
 
@@ -93,7 +95,7 @@ RULES = (
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> tuple[Rule, ...]:
-    """``rules`` by estimated rejection per second, from at most ``sample_rows`` rows chosen by a hash of the text.
+    """``rules`` by estimated rejection per second, from about ``sample_rows`` rows chosen by a hash of the text.
 
     Tasks measure the sample; only a few numbers a rule reach the driver.
     """
@@ -108,7 +110,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
                     out.append((k, time.perf_counter() - began, int(hit)))
         yield pd.DataFrame(out, columns=["rule", "s", "hit"])
 
-    sample = docs.select("text").orderBy(F.xxhash64("text")).limit(sample_rows)
+    sample = bounded_sample(docs.select("text"), sample_rows, "text")
     seen = {
         r["rule"]: (r["s"], r["hit"])
         for r in sample.mapInPandas(timed, "rule int, s double, hit int").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hit").alias("hit")).collect()
