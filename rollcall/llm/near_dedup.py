@@ -89,25 +89,25 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> list[int]:
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """A row per document, written once: row (unique), doc_id, n, digest, bands, marks (8 bits a slot), items."""
+    """A row per document, written once: row (unique), doc_id, text_md5, n, digest, bands, marks (8 bits a slot), items."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             out = []
-            for d, t in zip(b["doc_id"], b["text"]):
+            for d, t, h in zip(b["doc_id"], b["text"], b["text_md5"]):
                 s = shingles(t, size)
                 if len(s):
                     sig = super_minhash(s)
                     raw = s.tobytes()
-                    out.append((row, d, len(s), hashlib.md5(raw).digest(), band_keys(sig), sig.astype(np.uint8).tobytes(), raw))
+                    out.append((row, d, h, len(s), hashlib.md5(raw).digest(), band_keys(sig), sig.astype(np.uint8).tobytes(), raw))
                 else:
-                    out.append((row, d, 0, None, None, None, None))
+                    out.append((row, d, h, 0, None, None, None, None))
                 row += 1
-            yield pd.DataFrame(out, columns=["row", "doc_id", "n", "digest", "bands", "marks", "items"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["row", "doc_id", "text_md5", "n", "digest", "bands", "marks", "items"]).astype({"doc_id": "Int64"})
 
-    schema = "row long, doc_id long, n long, digest binary, bands array<long>, marks binary, items binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    schema = "row long, doc_id long, text_md5 string, n long, digest binary, bands array<long>, marks binary, items binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", F.md5("text").alias("text_md5")).mapInPandas(run, schema)
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def _mixed_bucket_pairs(members: DataFrame, labels: DataFrame, marks: DataFrame,
 
 
 def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, kept.
+    """One row per document row: doc_id, n_shingles, component_id, kept, text_md5.
 
     Two documents are linked if the Jaccard similarity of their sets of
     ``size``-word shingles is at least ``percent`` / 100. component_id is the
@@ -282,8 +282,27 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = labels.join(classes, "node")
     ids = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_class = named.join(ids, "comp").select("digest", "component_id")
-    found = full.select("doc_id", "n", "digest").join(by_class, "digest").drop("digest")
-    alone = stored.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    found = full.select("doc_id", "n", "digest", "text_md5").join(by_class, "digest").drop("digest")
+    alone = stored.filter("n = 0").select("doc_id", "n", "text_md5", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_md5"
     )
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each component, with its columns: the one with the smallest doc_id.
+
+    A row that repeats in doc_id and text stays once. Documents without words all stay.
+    """
+    mark = "text_md5__"
+    kept = group(docs, size, percent).filter("kept").groupBy("doc_id", "text_md5").agg(F.count("*").alias("times"))
+    kept = cut(kept.withColumnsRenamed({"doc_id": "doc_id__", "text_md5": mark}), "kept")
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("doc_id__")) & F.md5("text").eqNullSafe(F.col(mark))
+        return docs.join(ids, same, "left_semi")
+
+    once, more = rows_of(kept.filter("times = 1")), kept.filter("times > 1")
+    if more.isEmpty():
+        return once
+    return once.unionByName(rows_of(more).withColumn(mark, F.md5("text")).dropDuplicates(["doc_id", mark]).drop(mark))

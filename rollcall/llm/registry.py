@@ -8,6 +8,8 @@ from rollcall.llm import sql
 QUERIES = {
     "op1_sharding": q.op1_sharding,
     "op2_html_text": q.op2_html_text,
+    "op3_language_model": q.op3_language_model,
+    "op4_near_dedup": q.op4_near_dedup,
     "op5_packing": q.op5_packing,
     "op6_pii": q.op6_pii,
     "op7_language_id": q.op7_language_id,
