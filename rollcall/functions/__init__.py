@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Scalar functions: Column in, Column out."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Relational operators: DataFrames in, DataFrames out."""

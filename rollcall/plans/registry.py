@@ -1,10 +1,8 @@
-"""Queries and their DuckDB twins, by name."""
+"""Queries and their DuckDB twins, by name; importing the plan modules fills the catalogue."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from rollcall.plans import division_plans, identity_plans, ingest_plans, report_plans, scalar_plans, segment_plans, service_plans, text_plans  # noqa: F401
+from rollcall.plans.catalog import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Scans of landed files and sinks for tables and reports."""

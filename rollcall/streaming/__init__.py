@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""The incremental operators as Structured Streaming."""
