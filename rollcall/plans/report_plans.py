@@ -1 +1,125 @@
-"""Filled below."""
+"""Reports over votes, service and statements: member record, benchmarks, payload, search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rollcall.operators import reports, topics
+from rollcall.operators import votes as v
+from rollcall.plans.catalog import query
+from rollcall.plans.division_plans import LINES
+from rollcall.plans.text_plans import LEXICON, SALIENCE
+from rollcall.plans.views import members, statements, votes
+
+GAP, MISSED, GRACE = 100, 20, 60
+
+#: Who spoke, as members who vote: m7 speaks for F:7 and O:7.
+RECORD = f"""{LINES}, {SALIENCE},
+day_n AS (SELECT legislature, member_key, date, count(*) AS n FROM cast_ GROUP BY 1, 2, 3),
+div_dates AS (SELECT legislature, date, count(*) AS n FROM division_meta GROUP BY 1, 2),
+asked AS (SELECT legislature, date, sum(n) AS n FROM (SELECT legislature, date, n FROM div_dates UNION ALL SELECT DISTINCT legislature, date, 0 FROM day_n) GROUP BY 1, 2),
+run_ AS (SELECT legislature, date, sum(n) OVER w - n AS before_, sum(n) OVER w AS through FROM asked WINDOW w AS (PARTITION BY legislature ORDER BY date)),
+stepped AS (SELECT legislature, member_key, date, date_diff('day', lag(date::DATE) OVER w, date::DATE) AS gap, before_ - lag(through) OVER w AS missed FROM day_n JOIN run_ USING (legislature, date)
+  WINDOW w AS (PARTITION BY legislature, member_key ORDER BY date)),
+spelled AS (SELECT *, sum(CASE WHEN gap > {GAP} AND missed >= {MISSED} THEN 1 ELSE 0 END) OVER (PARTITION BY legislature, member_key ORDER BY date) AS spell FROM stepped),
+spells AS (SELECT legislature, member_key, spell, min(date) AS start, max(date) AS stop FROM spelled GROUP BY 1, 2, 3),
+cur AS (SELECT legislature, member_key, arg_max(start, spell) AS start, arg_max(stop, spell) AS stop, count(*) AS spells FROM spells GROUP BY 1, 2),
+months AS (SELECT legislature, substr(start, 1, 7) AS month, count(*) AS n, min(start) AS term_start FROM cur JOIN members USING (legislature, member_key) WHERE status = 'current' GROUP BY 1, 2),
+terms AS (SELECT legislature, term_start FROM months QUALIFY row_number() OVER (PARTITION BY legislature ORDER BY n DESC, month) = 1),
+ends AS (SELECT legislature, max(date) AS last_division FROM division_meta GROUP BY 1),
+placed AS (SELECT m.legislature, m.member_key, coalesce(spells, 0) AS spells, CASE WHEN status = 'current' AND term_start IS NOT NULL AND (start IS NULL OR start < term_start
+    OR abs(date_diff('day', start::DATE, term_start::DATE)) <= {GRACE}) THEN term_start ELSE start END AS start, CASE WHEN status = 'current' THEN last_division ELSE stop END AS stop
+  FROM members m LEFT JOIN cur USING (legislature, member_key) LEFT JOIN terms USING (legislature) LEFT JOIN ends USING (legislature)),
+turn AS (SELECT p.legislature, p.member_key, p.spells, p.start, (SELECT coalesce(sum(n), 0) FROM day_n t WHERE t.legislature = p.legislature AND t.member_key = p.member_key AND t.date BETWEEN p.start AND p.stop)::BIGINT AS term_votes,
+  (SELECT coalesce(sum(n), 0) FROM div_dates h WHERE h.legislature = p.legislature AND h.date BETWEEN p.start AND p.stop)::BIGINT AS held FROM placed p WHERE p.start IS NOT NULL),
+turned AS (SELECT legislature, member_key, spells, start, term_votes, greatest(held, term_votes) AS eligible FROM turn),
+ranked AS (SELECT member, topic, share_pct, row_number() OVER (PARTITION BY member ORDER BY statements DESC, topic) AS r FROM salience),
+tops AS (SELECT member, max(topic) FILTER (r = 1) AS t1, max(topic) FILTER (r = 2) AS t2, max(topic) FILTER (r = 3) AS t3, max(share_pct) FILTER (r = 1) AS s1 FROM ranked GROUP BY 1),
+record AS (SELECT m.legislature, m.member_key, m.name AS member, m.party, m.constituency, m.status, coalesce(votes_cast, 0) AS votes_cast, coalesce(u.spells, 0) AS spells_served, coalesce(u.start, '') AS current_spell_from,
+  coalesce(term_votes, 0) AS term_votes, coalesce(eligible, 0) AS divisions_eligible, CASE WHEN eligible <> 0 THEN round(100.0::DOUBLE * term_votes / eligible, 1) END AS turnout_pct, coalesce(no_vote_recorded, 0) AS no_vote_recorded,
+  CASE WHEN party_line_divisions <> 0 THEN round(100.0::DOUBLE * with_party / party_line_divisions, 1) END AS party_agreement_pct, coalesce(party_line_divisions, 0) AS party_line_divisions,
+  CASE WHEN chamber_decided_divisions <> 0 THEN round(100.0::DOUBLE * with_chamber / chamber_decided_divisions, 1) END AS chamber_agreement_pct, coalesce(chamber_decided_divisions, 0) AS chamber_decided_divisions,
+  coalesce(v.rebellions, 0) AS rebellions, CASE WHEN party_line_divisions <> 0 THEN round(100.0::DOUBLE * v.rebellions / party_line_divisions, 1) END AS rebellion_rate_pct,
+  coalesce(n_questions, 0) AS n_questions, coalesce(n_speeches, 0) AS n_speeches, coalesce(t1, '') AS top_topic_1, coalesce(t2, '') AS top_topic_2, coalesce(t3, '') AS top_topic_3, s1 AS top_topic_1_share_pct
+  FROM members m LEFT JOIN member_votes v USING (legislature, member_key) LEFT JOIN turned u USING (legislature, member_key)
+  LEFT JOIN spoken s ON s.member = 'm' || split_part(m.member_key, ':', 2) LEFT JOIN tops t ON t.member = 'm' || split_part(m.member_key, ':', 2)),
+bench AS (SELECT legislature, count(*) AS members, round(median(turnout_pct), 1) AS median_turnout_pct, round(median(party_agreement_pct), 1) AS median_party_agreement_pct,
+  round(median(chamber_agreement_pct), 1) AS median_chamber_agreement_pct, round(median(rebellion_rate_pct), 1) AS median_rebellion_rate_pct, round(median(rebellions), 1) AS median_rebellions,
+  count_if(rebellions > 0) AS ever_rebelled FROM record GROUP BY 1),
+slips AS (SELECT *, row_number() OVER (PARTITION BY legislature, member_key ORDER BY date DESC, seq DESC) AS shown FROM (
+  SELECT *, count(*) OVER (PARTITION BY legislature, member_key) AS all_ FROM rebellions QUALIFY row_number() OVER (PARTITION BY legislature, member_key ORDER BY date, seq) <= 40))"""
+
+
+def _spoken_keys(df):
+    """``m7`` to the member keys F:7 and O:7."""
+    return df.withColumn("house", F.explode(F.array(F.lit("F"), F.lit("O")))).withColumn("member", F.concat("house", F.lit(":"), F.substring("member", 2, 20))).drop("house")
+
+
+def _salience(spark, d):
+    return _spoken_keys(topics.salience(statements(spark, d), LEXICON))
+
+
+def _record(spark, d):
+    s = statements(spark, d)
+    spoken = s.groupBy("member").agg(F.count_if(F.col("dtype") == "question").alias("n_questions"), F.count_if(F.col("dtype") == "speech").alias("n_speeches"))
+    spoken = _spoken_keys(spoken).withColumnRenamed("member", "member_key")
+    return reports.member_record(members(spark, d), votes(spark, d), spoken, _salience(spark, d), None, GAP, MISSED, GRACE).drop("ideal_dim1", "ideal_dim2")
+
+
+@query("SELECT * FROM record", ctes=RECORD)
+def member_record(spark, d):
+    return _record(spark, d)
+
+
+@query("SELECT * FROM bench", ctes=RECORD)
+def benchmarks(spark, d):
+    return reports.benchmarks(_record(spark, d))
+
+
+@query("SELECT member, coalesce(t1, '') AS top_topic_1, coalesce(t2, '') AS top_topic_2, coalesce(t3, '') AS top_topic_3, s1 AS top_topic_1_share_pct FROM tops", ctes=RECORD)
+def top_topics(spark, d):
+    return reports.top_topics(topics.salience(statements(spark, d), LEXICON))
+
+
+@query("SELECT member, topic, row_number() OVER w AS place, greatest(2.0, round(100.0::DOUBLE * statements / max(statements) OVER (PARTITION BY member), 1)) AS width FROM salience WINDOW w AS (PARTITION BY member ORDER BY statements DESC, topic) QUALIFY place <= 5", ctes=RECORD)
+def topic_bars(spark, d):
+    return reports.topic_bars(topics.salience(statements(spark, d), LEXICON))
+
+
+@query("SELECT legislature, member_key, shown, date, substr(title, 1, 180) AS division, their_vote, party_voted, shown <= 3 AS preview, greatest(all_ - 3, 0) AS more FROM slips", ctes=RECORD)
+def receipts(spark, d):
+    return reports.receipts(v.rebellions(votes(spark, d)))
+
+
+def _payload(spark, d):
+    return reports.app_payload(_record(spark, d), _salience(spark, d), v.rebellions(votes(spark, d)))
+
+
+@query("""SELECT r.legislature, r.member_key, r.member, r.votes_cast, r.rebellions, coalesce((SELECT string_agg(topic || '=' || statements, ';' ORDER BY statements DESC, topic) FROM salience s
+    WHERE s.member = 'm' || split_part(r.member_key, ':', 2)), '') AS topics,
+  coalesce((SELECT string_agg(date || ' ' || substr(title, 1, 180) || ' ' || their_vote || ' ' || party_voted, ';' ORDER BY shown) FROM slips p WHERE p.legislature = r.legislature AND p.member_key = r.member_key), '') AS receipts
+  FROM record r WHERE constituency <> '' AND status = 'current'""", ctes=RECORD)
+def app_payload(spark, d):
+    """The nested payload, its arrays written out as text so that both engines show them alike."""
+    p = _payload(spark, d)
+    shown = F.transform("topics", lambda t: F.concat(t["topic"], F.lit("="), t["n"].cast("string")))
+    slips = F.transform("receipts", lambda r: F.concat_ws(" ", r["date"], r["division"], r["their_vote"], r["party_voted"]))
+    return p.select("legislature", "member_key", "member", "votes_cast", "rebellions", F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("topics"), F.coalesce(F.array_join(slips, ";"), F.lit("")).alias("receipts"))
+
+
+@query("""SELECT DISTINCT r.legislature, s.topic FROM record r JOIN salience s ON s.member = 'm' || split_part(r.member_key, ':', 2) WHERE constituency <> '' AND status = 'current'""", ctes=RECORD)
+def payload_topics(spark, d):
+    return reports.payload_topics(_payload(spark, d))
+
+
+@query("""SELECT legislature, area, min(p) AS priority FROM (SELECT legislature, constituency AS area, CASE WHEN contains(lower(constituency), '_1') THEN 0 WHEN contains(lower(name), '_1') THEN 1 END AS p FROM members) WHERE p IS NOT NULL
+  GROUP BY 1, 2 ORDER BY 3, 2, 1 LIMIT 40""")
+def area_search(spark, d):
+    return reports.area_search(members(spark, d).withColumnRenamed("name", "member"), "_1")
+
+
+@query("""SELECT r.legislature, constituency AS area, row_number() OVER (PARTITION BY r.legislature, constituency ORDER BY votes_cast DESC, member, member_key) AS place, member, votes_cast,
+  greatest(0.0, least(100.0, turnout_pct)) AS turnout_pct, greatest(0.0, least(100.0, median_turnout_pct)) AS median_pct FROM record r JOIN bench USING (legislature) WHERE constituency <> ''""", ctes=RECORD)
+def area_members(spark, d):
+    record = _record(spark, d)
+    return reports.area_members(record, reports.benchmarks(record))

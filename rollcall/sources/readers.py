@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.schema import LEDGER, strings
 
-WRAPPERS = ("items", "results", "Results", "value", "data")
+WRAPPERS = ("items", "results", "value", "data")
 
 
 def master_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -21,23 +21,23 @@ def master_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path).fillna("")
 
 
-def json_items(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
-    """Items of landed JSON batches: the array under the first wrapper that is there, each item perhaps in ``{value: ...}``."""
-    lists = [T.StructField(w, T.ArrayType(T.StructType([T.StructField("value", item), *item.fields]))) for w in WRAPPERS]
-    landed = spark.read.schema(T.StructType(lists)).option("multiLine", True).json(path)
-    return unwrapped(landed, item)
+def _lists(item: T.StructType, wrappers: tuple[str, ...]) -> T.StructType:
+    """An array of items under each wrapper; each item stands alone or in ``{value: ...}``."""
+    each = T.StructType([T.StructField("value", item), *[f for f in item.fields if f.name != "value"]])
+    return T.StructType([T.StructField(w, T.ArrayType(each)) for w in wrappers])
 
 
-def unwrapped(landed: DataFrame, item: T.StructType) -> DataFrame:
-    each = landed.select(F.explode(F.coalesce(*WRAPPERS)).alias("e"))
+def json_items(spark: SparkSession, path: str, item: T.StructType, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
+    """Items of landed JSON batches: the array under the first wrapper that is there, each item perhaps in ``{value: ...}``."""
+    landed = spark.read.schema(_lists(item, wrappers)).option("multiLine", True).json(path)
+    each = landed.select(F.explode(F.coalesce(*wrappers)).alias("e"))
     return each.select(*[F.coalesce(F.col("e.value")[f.name], F.col("e")[f.name]).alias(f.name) for f in item.fields])
 
 
-def json_text_items(rows: DataFrame, text: str, item: T.StructType, keep: list[str]) -> DataFrame:
+def json_text_items(rows: DataFrame, text: str, item: T.StructType, keep: list[str], wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
     """As ``json_items`` for JSON that stands in a column."""
-    lists = [T.StructField(w, T.ArrayType(T.StructType([T.StructField("value", item), *item.fields]))) for w in WRAPPERS]
-    landed = rows.select(*keep, F.from_json(text, T.StructType(lists)).alias("j"))
-    each = landed.select(*keep, F.explode(F.coalesce(*[F.col("j")[w] for w in WRAPPERS])).alias("e"))
+    landed = rows.select(*keep, F.from_json(text, _lists(item, wrappers)).alias("j"))
+    each = landed.select(*keep, F.explode(F.coalesce(*[F.col("j")[w] for w in wrappers])).alias("e"))
     return each.select(*keep, *[F.coalesce(F.col("e.value")[f.name], F.col("e")[f.name]).alias(f.name) for f in item.fields])
 
 
@@ -48,9 +48,3 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType)
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
-
-def first(*names: str) -> Column:
-    """First non-blank of several candidate fields."""
-    from rollcall.functions.text import first_filled
-
-    return first_filled(*[F.col(n) for n in names])
