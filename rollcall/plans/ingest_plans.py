@@ -122,7 +122,7 @@ def ordered_distinct(spark, d):
     return ingest.ordered_distinct(pulls(spark, d), ["legislature", "key"], "seq")
 
 
-@query("""SELECT legislature, seq, date, row_number() OVER (PARTITION BY legislature ORDER BY ts DESC, seq) AS place, count(*) OVER (PARTITION BY legislature) > 50 AS truncated FROM pulls
+@query("""SELECT legislature, seq, date, row_number() OVER (PARTITION BY legislature ORDER BY ts DESC, seq)::INT AS place, count(*) OVER (PARTITION BY legislature) > 50 AS truncated FROM pulls
   QUALIFY place <= 50""")
 def capped_listing(spark, d):
     rows = pulls(spark, d).select("legislature", "seq", "date", "ts")
@@ -171,7 +171,7 @@ SUMMARY = """fetched AS (SELECT legislature, data_type, count(*) FILTER (NOT (le
 
 @query("""SELECT legislature, data_type, fetched, new, fetched - new AS skipped, CASE WHEN fetched = 0 AND data_type = 'members' THEN 'expected limitation'
   WHEN fetched = 0 AND data_type IN ('plenary_business', 'votes_on_division') THEN 'normal' WHEN fetched = 0 THEN 'needs attention' ELSE 'ok' END AS verdict FROM fetched
-  UNION ALL SELECT 'total', '', sum(fetched), sum(new), sum(fetched - new), '' FROM fetched""", ctes=SUMMARY)
+  UNION ALL SELECT 'total', '', sum(fetched)::BIGINT, sum(new)::BIGINT, sum(fetched - new)::BIGINT, '' FROM fetched""", ctes=SUMMARY)
 def run_summary(spark, d):
     p = pulls(spark, d)
     kept = ~((F.col("legislature") == "error") & F.col("data_type").isin("questions", "votes_on_division", "members"))

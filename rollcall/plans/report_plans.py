@@ -81,12 +81,12 @@ def top_topics(spark, d):
     return reports.top_topics(topics.salience(statements(spark, d), LEXICON))
 
 
-@query("SELECT member, topic, row_number() OVER w AS place, greatest(2.0, round(100.0::DOUBLE * statements / max(statements) OVER (PARTITION BY member), 1)) AS width FROM salience WINDOW w AS (PARTITION BY member ORDER BY statements DESC, topic) QUALIFY place <= 5", ctes=RECORD)
+@query("SELECT member, topic, (row_number() OVER w)::INT AS place, greatest(2.0, round(100.0::DOUBLE * statements / max(statements) OVER (PARTITION BY member), 1)) AS width FROM salience WINDOW w AS (PARTITION BY member ORDER BY statements DESC, topic) QUALIFY place <= 5", ctes=RECORD)
 def topic_bars(spark, d):
     return reports.topic_bars(topics.salience(statements(spark, d), LEXICON))
 
 
-@query("SELECT legislature, member_key, shown, date, substr(title, 1, 180) AS division, their_vote, party_voted, shown <= 3 AS preview, greatest(all_ - 3, 0) AS more FROM slips", ctes=RECORD)
+@query("SELECT legislature, member_key, shown::INT AS shown, date, substr(title, 1, 180) AS division, their_vote, party_voted, shown <= 3 AS preview, greatest(all_ - 3, 0) AS more FROM slips", ctes=RECORD)
 def receipts(spark, d):
     return reports.receipts(v.rebellions(votes(spark, d)))
 
@@ -118,7 +118,7 @@ def area_search(spark, d):
     return reports.area_search(members(spark, d).withColumnRenamed("name", "member"), "_1")
 
 
-@query("""SELECT r.legislature, constituency AS area, row_number() OVER (PARTITION BY r.legislature, constituency ORDER BY votes_cast DESC, member, member_key) AS place, member, votes_cast,
+@query("""SELECT r.legislature, constituency AS area, row_number() OVER (PARTITION BY r.legislature, constituency ORDER BY votes_cast DESC, member, member_key)::INT AS place, member, votes_cast,
   greatest(0.0, least(100.0, turnout_pct)) AS turnout_pct, greatest(0.0, least(100.0, median_turnout_pct)) AS median_pct FROM record r JOIN bench USING (legislature) WHERE constituency <> ''""", ctes=RECORD)
 def area_members(spark, d):
     record = _record(spark, d)

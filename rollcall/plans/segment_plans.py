@@ -19,7 +19,7 @@ def _lines(spark, d):
     return segments.doc_lines(table(spark, d, "documents"), "doc_id")
 
 
-@query("SELECT doc_id, line_no, line FROM lines", ctes=LINES)
+@query("SELECT doc_id, line_no::INT AS line_no, line FROM lines", ctes=LINES)
 def doc_lines(spark, d):
     return _lines(spark, d)
 
@@ -42,7 +42,7 @@ def speech_segments(spark, d):
     return segments.speech_segments(_lines(spark, d), "doc_id", speaker)
 
 
-@query("""SELECT doc_id, entry, max(owner) AS owner, max(category) AS category, string_agg(line, ' ' ORDER BY line_no) AS text FROM (
+@query("""SELECT doc_id, entry::BIGINT AS entry, max(owner) AS owner, max(category) AS category, string_agg(line, ' ' ORDER BY line_no) AS text FROM (
   SELECT *, last_value(own IGNORE NULLS) OVER w AS owner, last_value(cat IGNORE NULLS) OVER w AS category, sum(opens::INT) OVER w AS entry FROM (
   SELECT *, (own IS NOT NULL AND own IS DISTINCT FROM previous) OR cat IS NOT NULL AS opens FROM (
   SELECT *, CASE WHEN own IS NULL AND length(line) % 3 = 0 THEN substr(line, 1, 4) END AS cat,

@@ -94,12 +94,12 @@ def lexicon_index(spark, d):
     return index.join(seen, "term", "left").select("term", F.array_join("kw", ",").alias("kw"), "tone", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
-@query("SELECT k AS statement_id, pos, n, term FROM s_hits", ctes=HITS)
+@query("SELECT k AS statement_id, pos::INT AS pos, n, term FROM s_hits", ctes=HITS)
 def lexicon_hits(spark, d):
     return topics.lexicon_hits(statements(spark, d).select("statement_id", "text"), LEXICON).select("statement_id", "pos", "n", "term")
 
 
-@query("SELECT k AS statement_id, pos, neg FROM s_hits", ctes=HITS)
+@query("SELECT k AS statement_id, pos::INT AS pos, neg FROM s_hits", ctes=HITS)
 def negation_flip(spark, d):
     hits = topics.lexicon_hits(statements(spark, d).select("statement_id", "text"), LEXICON)
     return topics.negated(hits, CUES).select("statement_id", "pos", "neg")
