@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Every item's word n-grams are counted over all documents. An item's seeds are its
-rarest n-grams: those at or below the median of its own counts, so an item copied
-into many documents keeps its seeds. Passages that hold a seed are aligned with the
+rarest n-grams: of those that occur, the ones at or below their median count, so an
+item copied into many documents, or only in part, keeps its seeds. Passages that hold a seed are aligned with the
 item; the alignment's score, as a share of the item's full score, finds edited and
 paraphrased copies too.
 """
@@ -62,13 +62,14 @@ class Items:
         return found
 
     def keep_rare(self, counts: dict[tuple, int]) -> None:
-        """Drop each item's n-grams above its own median document count."""
+        """Drop each item's n-grams above the median count of those that occur in a document."""
         levels = defaultdict(list)
         for g, places in self.grams.items():
-            for k in {k for k, _ in places}:
-                levels[k].append(counts.get(g, 0))
+            if g in counts:
+                for k in {k for k, _ in places}:
+                    levels[k].append(counts[g])
         level = {k: float(np.median(v)) for k, v in levels.items()}
-        kept = {g: [(k, j) for k, j in places if counts.get(g, 0) <= level[k]] for g, places in self.grams.items()}
+        kept = {g: [(k, j) for k, j in places if g in counts and counts[g] <= level[k]] for g, places in self.grams.items()}
         self.grams = defaultdict(list, {g: v for g, v in kept.items() if v})
         self.sizes = sorted({len(g) for g in self.grams})
 
