@@ -34,8 +34,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def whole_text(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let no Arrow batch hold more than ``rows`` whole texts, so that a Python worker's memory stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
 
 
 def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:

@@ -4,12 +4,13 @@
    Documents with one digest form a class; all later work is on classes.
 2. Bands of the signature put classes into buckets. In each bucket every class is
    paired with the bucket's smallest (a star, not all pairs). Pairs whose signatures
-   agree too little to reach the threshold are dropped; the others are verified on
-   their full sets, each class's likeliest partner first, so that later waves only
-   look at pairs that still lie in different components.
-3. Buckets that still hold several components are searched once more, signature
-   against signature, for the links a star can miss. Such a bucket is cut into blocks,
-   so that no task holds more than two blocks of it.
+   agree too little to reach the threshold are dropped; each class's likeliest center
+   is verified on the full sets, and later waves only look at pairs that still lie in
+   different components.
+3. Buckets that still hold several components are searched, signature against
+   signature, for the links a star can miss: each class's likeliest partner in every
+   other component first, then all that are left. Such a bucket is cut into blocks, so
+   that no task holds more than two blocks of it.
 
 Links are joined by spreading the smallest label, with pointer jumping.
 """
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import cut
+from rollcall.llm.common import bounded_batches, cut
 
-LENGTH, ROWS = 128, 4  # signature length and rows a band: a pair at 0.8 misses all 32 bands once in 2e7
-SLACK = 0.14  # four standard deviations of the estimate at 0.8
+LENGTH, BANDS, ROWS = 256, 32, 6  # signature length, bands and rows a band: a pair at 0.8 misses all bands once in 17,000, at 0.85 once in 3e8
+SLACK = 0.085  # four standard deviations of the estimate at 0.8
 BLOCK = 2048
 _FILTER_BITS = 1 << 25
 _U = np.uint64
@@ -85,7 +86,7 @@ def super_minhash(items: np.ndarray, length: int = LENGTH, chunk: int = 4096) ->
 
 
 def band_keys(signature: np.ndarray, rows: int = ROWS) -> list[int]:
-    return [xxhash.xxh64_intdigest(b.tobytes(), seed=k) - (1 << 63) for k, b in enumerate(signature.reshape(-1, rows))]
+    return [xxhash.xxh64_intdigest(b.tobytes(), seed=k) - (1 << 63) for k, b in enumerate(signature[: BANDS * rows].reshape(BANDS, rows))]
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
@@ -190,45 +191,87 @@ def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series((a == b).mean(axis=1) if len(left) else np.zeros(0))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose ends lie in different components."""
-    u = labels.withColumnsRenamed({"node": "a", "comp": "u"})
-    v = labels.withColumnsRenamed({"node": "b", "comp": "v"})
-    return pairs.join(u, "a").join(v, "b").filter("u <> v").drop("u", "v")
-
-
-def _mixed_bucket_pairs(members: DataFrame, labels: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """Pairs across components within a bucket whose signatures may reach the threshold, by blocks of the bucket."""
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp, n) of the buckets that still hold several components; n is the bucket's size."""
     labelled = members.join(labels, "node").select("key", "node", "comp")
     parts = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return cut(labelled.join(parts.select("key", "n"), "key"), "open")
+
+
+def _close(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """(a, b, near) of the pairs whose signatures may reach the threshold."""
+    left, right = marks.withColumnsRenamed({"node": "a", "marks": "left"}), marks.withColumnsRenamed({"node": "b", "marks": "right"})
+    both = pairs.join(left, "a").join(right, "b")
+    return cut(both.select("a", "b", _agreement("left", "right").alias("near")).filter(F.col("near") >= least), "close")
+
+
+def _short_items(stored: DataFrame, open_: DataFrame) -> DataFrame:
+    """(node, short): 16 bits of each shingle hash, of the classes in open buckets."""
+
+    @F.pandas_udf(T.BinaryType())
+    def cut_down(items: pd.Series) -> pd.Series:
+        return pd.Series([(np.frombuffer(x, _U) >> _U(48)).astype("<u2").tobytes() for x in items], dtype=object)
+
+    wanted = open_.select("node").distinct()
+    return cut(_wanted_items(stored, wanted).select("node", cut_down("items").alias("short")), "short")
+
+
+def _coded(short: bytes) -> np.ndarray:
+    """Sorted 16-bit values with a running number for repeats, so that equal codes count a multiset's intersection."""
+    v = np.frombuffer(short, "<u2").astype(np.int64)
+    return v << 24 | (np.arange(len(v)) - np.searchsorted(v, v))
+
+
+def _most_alike(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
+
+
+def _bucket_pairs(open_: DataFrame, sketches: DataFrame, shorts: DataFrame, least: float, percent: int, best_only: bool) -> DataFrame:
+    """Pairs across components within a bucket that may reach the threshold, by blocks of the bucket.
+
+    Signatures sift the pairs; the multisets of 16-bit values then bound the
+    similarity from above, which drops no link. A pair that shares several buckets
+    is given by the first of them alone. With ``best_only`` each class gives its
+    likeliest partner in each other component.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = labelled.join(parts.select("key", blocks.alias("blocks")), "key").join(marks, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # block i meets every block j >= i: cell (i, j); a bucket of one block has one cell
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = held.withColumn("own", own).withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "own", "node", "comp", "marks")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = open_.join(sketches, "node").join(shorts, "node").withColumns({"own": own, "cell": F.explode(cells)})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list = []
         current = None
 
         def found() -> pd.DataFrame:
-            if len({r[2] for r in rows}) < 2:
-                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            node, comp, side = (np.array([r[k] for r in rows]) for k in (1, 2, 0))
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-            i, j = current[1], current[2]
-            firsts = np.flatnonzero(side == i)
+            side, node, comp = (np.array([r[k] for r in rows]) for k in range(3))
             out_a, out_b = [], []
-            for x in firsts:
-                others = np.flatnonzero((comp != comp[x]) & ((side == j) if i != j else (np.arange(len(rows)) > x)))
-                near = others[(sig[others] == sig[x]).mean(axis=1) >= least]
-                out_a.append(np.minimum(node[x], node[near]))
-                out_b.append(np.maximum(node[x], node[near]))
+            if len(np.unique(comp)) > 1:
+                sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+                bands = np.stack([r[4] for r in rows])
+                codes = [_coded(r[5]) for r in rows]
+                key, i, j = current
+                for x in np.flatnonzero(side == i):
+                    others = np.flatnonzero((comp != comp[x]) & ((side == j) if i != j else (np.arange(len(rows)) > x)))
+                    alike = (sig[others] == sig[x]).mean(axis=1)
+                    near = others[alike >= least]
+                    shared = bands[near] == bands[x]
+                    near = near[bands[x][shared.argmax(axis=1)] == key]
+                    bound = np.array([_most_alike(codes[x], codes[y]) for y in near])
+                    near, bound = near[bound >= percent / 100], bound[bound >= percent / 100]
+                    if best_only and len(near) > 1:
+                        ranked = near[np.argsort(-bound, kind="stable")]
+                        near = ranked[np.unique(comp[ranked], return_index=True)[1]]
+                    out_a.append(np.minimum(node[x], node[near]))
+                    out_b.append(np.maximum(node[x], node[near]))
             return pd.DataFrame({"a": np.concatenate(out_a) if out_a else [], "b": np.concatenate(out_b) if out_b else []}, dtype="int64")
 
         for b in batches:
-            for r in zip(b["key"], b["i"], b["j"], b["own"], b["node"], b["comp"], b["marks"]):
+            for r in zip(*(b[c] for c in ("key", "i", "j", "own", "node", "comp", "marks", "bands", "short"))):
                 if r[:3] != current:
                     if rows:
                         yield found()
@@ -237,8 +280,8 @@ def _mixed_bucket_pairs(members: DataFrame, labels: DataFrame, marks: DataFrame,
         if rows:
             yield found()
 
-    spread = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.mapInPandas(search, "a long, b long").distinct()
+    spread = dealt.select("key", "cell.i", "cell.j", "own", "node", "comp", "marks", "bands", "short").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return spread.mapInPandas(search, "a long, b long")
 
 
 def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -252,6 +295,7 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Repeated rows agree in everything. Empty tables give no rows; other columns are
     not read.
     """
+    bounded_batches(docs.sparkSession)
     stored = cut(_signed(docs, size), "signed")
     least = percent / 100 - SLACK
     full = stored.filter("n > 0")
@@ -264,20 +308,20 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     stars = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).filter("n > 1")
     members = cut(banded.join(stars.select("key", "center"), "key"), "members")
     pairs = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    close = pairs.join(marks.withColumnsRenamed({"node": "a", "marks": "left"}), "a").join(marks.withColumnsRenamed({"node": "b", "marks": "right"}), "b")
-    close = cut(close.select("a", "b", _agreement("left", "right").alias("near")).filter(F.col("near") >= least), "close")
+    close = _close(pairs, marks, least)
 
     def wave(candidates: DataFrame, now: DataFrame) -> DataFrame:
         candidates = cut(candidates.select("a", "b"), "pairs")
-        wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if candidates.isEmpty():
             return now
+        wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         items = cut(_wanted_items(stored, wanted), "items")
         return components(now, cut(_verified(candidates, items, percent), "links"))
 
     labels = wave(close.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a")), labels)
-    labels = wave(_across(close, labels), labels)
-    labels = wave(_mixed_bucket_pairs(members, labels, marks, least), labels)
+    for best_only in (True, False):
+        open_ = _open_buckets(members, labels)
+        labels = wave(_bucket_pairs(open_, narrow, _short_items(stored, open_), least, percent, best_only), labels)
 
     named = labels.join(classes, "node")
     ids = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
