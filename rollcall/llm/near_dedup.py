@@ -7,10 +7,11 @@
    agree too little to reach the threshold are dropped; each class's likeliest center
    is verified on the full sets, and later waves only look at pairs that still lie in
    different components.
-3. Buckets that still hold several components are searched, signature against
-   signature, for the links a star can miss: each class's likeliest partner in every
-   other component first, then all that are left. Such a bucket is cut into blocks, so
-   that no task holds more than two blocks of it.
+3. Buckets that still hold several components are searched for the links a star can
+   miss: signature against signature, then, where those are close, by an upper bound
+   from shortened sets. Each class gives its likeliest partner in every other component;
+   all pairs that are left follow if one of these was no link. Such a bucket is cut
+   into blocks, so that no task holds more than two blocks of it.
 
 Links are joined by spreading the smallest label, with pointer jumping.
 """
@@ -205,83 +206,114 @@ def _close(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
     return cut(both.select("a", "b", _agreement("left", "right").alias("near")).filter(F.col("near") >= least), "close")
 
 
-def _short_items(stored: DataFrame, open_: DataFrame) -> DataFrame:
-    """(node, short): 16 bits of each shingle hash, of the classes in open buckets."""
+def _short_items(stored: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, short): 24 bits of each shingle hash of the wanted nodes."""
 
     @F.pandas_udf(T.BinaryType())
     def cut_down(items: pd.Series) -> pd.Series:
-        return pd.Series([(np.frombuffer(x, _U) >> _U(48)).astype("<u2").tobytes() for x in items], dtype=object)
+        tops = ((np.frombuffer(x, _U) >> _U(40)).astype("<u4") for x in items)
+        return pd.Series([t.view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for t in tops], dtype=object)
 
-    wanted = open_.select("node").distinct()
-    return cut(_wanted_items(stored, wanted).select("node", cut_down("items").alias("short")), "short")
+    return cut(_wanted_items(stored, nodes).select("node", cut_down("items").alias("short")), "short")
 
 
 def _coded(short: bytes) -> np.ndarray:
-    """Sorted 16-bit values with a running number for repeats, so that equal codes count a multiset's intersection."""
-    v = np.frombuffer(short, "<u2").astype(np.int64)
-    return v << 24 | (np.arange(len(v)) - np.searchsorted(v, v))
+    """Sorted 24-bit values with a running number for repeats, so that equal codes count a multiset's intersection."""
+    v = np.pad(np.frombuffer(short, np.uint8).reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel().astype(np.int64)
+    return v << 32 | (np.arange(len(v)) - np.searchsorted(v, v))
 
 
 def _most_alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two code sets: never below that of the full sets."""
     both = np.concatenate([a, b])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
     return shared / (len(both) - shared)
 
 
-def _bucket_pairs(open_: DataFrame, sketches: DataFrame, shorts: DataFrame, least: float, percent: int, best_only: bool) -> DataFrame:
-    """Pairs across components within a bucket that may reach the threshold, by blocks of the bucket.
-
-    Signatures sift the pairs; the multisets of 16-bit values then bound the
-    similarity from above, which drops no link. A pair that shares several buckets
-    is given by the first of them alone. With ``best_only`` each class gives its
-    likeliest partner in each other component.
-    """
+def _dealt(open_: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of open buckets in cells: block i of a bucket meets every block j >= i; a bucket of one block has one cell."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # block i meets every block j >= i: cell (i, j); a bucket of one block has one cell
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = open_.join(sketches, "node").join(shorts, "node").withColumns({"own": own, "cell": F.explode(cells)})
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list = []
-        current = None
-
-        def found() -> pd.DataFrame:
-            side, node, comp = (np.array([r[k] for r in rows]) for k in range(3))
-            out_a, out_b = [], []
-            if len(np.unique(comp)) > 1:
-                sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-                bands = np.stack([r[4] for r in rows])
-                codes = [_coded(r[5]) for r in rows]
-                key, i, j = current
-                for x in np.flatnonzero(side == i):
-                    others = np.flatnonzero((comp != comp[x]) & ((side == j) if i != j else (np.arange(len(rows)) > x)))
-                    alike = (sig[others] == sig[x]).mean(axis=1)
-                    near = others[alike >= least]
-                    shared = bands[near] == bands[x]
-                    near = near[bands[x][shared.argmax(axis=1)] == key]
-                    bound = np.array([_most_alike(codes[x], codes[y]) for y in near])
-                    near, bound = near[bound >= percent / 100], bound[bound >= percent / 100]
-                    if best_only and len(near) > 1:
-                        ranked = near[np.argsort(-bound, kind="stable")]
-                        near = ranked[np.unique(comp[ranked], return_index=True)[1]]
-                    out_a.append(np.minimum(node[x], node[near]))
-                    out_b.append(np.maximum(node[x], node[near]))
-            return pd.DataFrame({"a": np.concatenate(out_a) if out_a else [], "b": np.concatenate(out_b) if out_b else []}, dtype="int64")
+    spread = open_.withColumns({"own": own, "cell": F.explode(cells)}).select("key", "cell.i", "cell.j", "own", "node", "comp", *columns)
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _by_cell(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, i, j) and the rows of each cell; its rows stand together."""
+    rows: list = []
+    current = None
+    for b in batches:
+        for r in zip(*(b[c] for c in ("key", "i", "j", "own", "node", "comp", *columns))):
+            if r[:3] != current:
+                if rows:
+                    yield current, rows
+                current, rows = r[:3], []
+            rows.append(r[3:])
+    if rows:
+        yield current, rows
+
+
+def _across(cell: tuple, rows: list[tuple], least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a cell, with the rows of other components whose signatures may reach the threshold."""
+    side, comp = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    if len(np.unique(comp)) < 2:
+        return
+    marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    _, i, j = cell
+    for x in np.flatnonzero(side == i):
+        others = np.flatnonzero((comp != comp[x]) & ((side == j) if i != j else (np.arange(len(rows)) > x)))
+        near = others[(marks[others] == marks[x]).mean(axis=1) >= least]
+        if len(near):
+            yield x, near
+
+
+def _worth_comparing(open_: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The members of open buckets that have a partner across components by their signatures."""
 
-        for b in batches:
-            for r in zip(*(b[c] for c in ("key", "i", "j", "own", "node", "comp", "marks", "bands", "short"))):
-                if r[:3] != current:
-                    if rows:
-                        yield found()
-                    current, rows = r[:3], []
-                rows.append(r[3:])
-        if rows:
-            yield found()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell, rows in _by_cell(batches, ["marks"]):
+            wanted: set[int] = set()
+            for x, near in _across(cell, rows, least):
+                wanted.update([int(x), *near.tolist()])
+            if wanted:
+                yield pd.DataFrame({"key": cell[0], "node": [rows[k][1] for k in sorted(wanted)]})
+
+    held = _dealt(open_.join(marks, "node"), ["marks"]).mapInPandas(run, "key long, node long").distinct()
+    return cut(open_.join(held, ["key", "node"]), "worth")
+
+
+def _bucket_pairs(worth: DataFrame, marks: DataFrame, shorts: DataFrame, least: float, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) across components within a bucket that may reach the threshold.
 
-    spread = dealt.select("key", "cell.i", "cell.j", "own", "node", "comp", "marks", "bands", "short").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.mapInPandas(search, "a long, b long")
+    The multisets of 24-bit values bound the similarity from above, which drops no
+    link. With ``best_only`` each class gives its likeliest partner in each other
+    component.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell, rows in _by_cell(batches, ["marks", "short"]):
+            codes: dict[int, np.ndarray] = {}
+
+            def code(k: int, codes=codes, rows=rows) -> np.ndarray:
+                if k not in codes:
+                    codes[k] = _coded(rows[k][4])
+                return codes[k]
+
+            found = []
+            for x, near in _across(cell, rows, least):
+                bounds = [(-_most_alike(code(x), code(y)), int(y)) for y in near]
+                seen: set[int] = set()
+                for bound, y in sorted(bounds):
+                    if 100 * -bound >= percent and not (best_only and rows[y][2] in seen):
+                        seen.add(rows[y][2])
+                        found.append((min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    held = worth.join(marks, "node").join(shorts, "node")
+    return _dealt(held, ["marks", "short"]).mapInPandas(run, "a long, b long").distinct()
 
 
 def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -310,18 +342,24 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     pairs = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     close = _close(pairs, marks, least)
 
-    def wave(candidates: DataFrame, now: DataFrame) -> DataFrame:
+    def wave(candidates: DataFrame, now: DataFrame) -> tuple[DataFrame, bool]:
+        """(labels after the links among ``candidates``, whether all candidates were links)."""
         candidates = cut(candidates.select("a", "b"), "pairs")
-        if candidates.isEmpty():
-            return now
         wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        n = candidates.count()
+        if not n:
+            return now, True
         items = cut(_wanted_items(stored, wanted), "items")
-        return components(now, cut(_verified(candidates, items, percent), "links"))
-
-    labels = wave(close.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a")), labels)
-    for best_only in (True, False):
-        open_ = _open_buckets(members, labels)
-        labels = wave(_bucket_pairs(open_, narrow, _short_items(stored, open_), least, percent, best_only), labels)
+        links = cut(_verified(candidates, items, percent), "links")
+        return components(now, links), links.count() == n
+
+    labels, _ = wave(close.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a")), labels)
+    worth = _worth_comparing(_open_buckets(members, labels), marks, least)
+    shorts = _short_items(stored, worth.select("node").distinct())
+    labels, whole = wave(_bucket_pairs(worth, marks, shorts, least, percent, True), labels)
+    if not whole:  # a likeliest partner was no link: another pair of its components may be one
+        left = worth.drop("comp").join(labels, "node")
+        labels, _ = wave(_bucket_pairs(left, marks, shorts, least, percent, False), labels)
 
     named = labels.join(classes, "node")
     ids = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
