@@ -65,7 +65,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], buckets: int, dims: int = 8, epochs: int = 6, rate: float = 0.5, least_threshold: float = 0.4) -> LanguageModel:
-    """``rows``: (buckets, counts, label) of each labelled text."""
+    """``rows``: (buckets, their shares, label) of each labelled text."""
     labels = sorted({r[2] for r in rows})
     if not labels:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0)
@@ -79,8 +79,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], buckets: int, dims: int
     step = 0
     for _ in range(epochs):
         for r in rng.permutation(kept):
-            ids, counts, label = rows[r]
-            share = counts / counts.sum()
+            ids, share, label = rows[r]
             hidden = share @ embedding[ids]
             p = _softmax(hidden @ output + bias)
             p[at[label]] -= 1
@@ -94,7 +93,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], buckets: int, dims: int
     table = embedding @ output
     temperature, threshold = 1.0, least_threshold
     if len(back):
-        z = np.array([(rows[r][1] / rows[r][1].sum()) @ table[rows[r][0]] + bias for r in back])
+        z = np.array([rows[r][1] @ table[rows[r][0]] + bias for r in back])
         y = np.array([at[rows[r][2]] for r in back])
         grid = np.geomspace(0.05, 5, 40)
         loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
@@ -108,10 +107,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], buckets: int, dims: int
     return LanguageModel(labels, table.astype(np.float32), bias, temperature, threshold)
 
 
-def train(docs: DataFrame, eligible: Column, sample_rows: int = 6000, buckets: int = 1 << 16) -> LanguageModel:
+def train(docs: DataFrame, eligible: Column, sample_rows: int = 2000, buckets: int = 1 << 16) -> LanguageModel:
     """Fit on the rows with a language and ``eligible`` among about ``sample_rows`` rows of ``docs``, chosen by a hash of the row.
 
-    Only subword counts of that sample reach the driver.
+    Only subword shares of that sample reach the driver.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,14 +118,14 @@ def train(docs: DataFrame, eligible: Column, sample_rows: int = 6000, buckets: i
             out = []
             for text, lang in zip(b["text"], b["lang"]):
                 ids, n = np.unique(subwords(text, buckets), return_counts=True)
-                out.append((ids.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), lang))
-            yield pd.DataFrame(out, columns=["ids", "n", "lang"])
+                out.append((ids.astype(np.int32).tobytes(), (n / n.sum()).astype(np.float32).tobytes(), lang))
+            yield pd.DataFrame(out, columns=["ids", "share", "lang"])
 
     usable = eligible & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
     chosen = bounded_sample(docs, sample_rows, "doc_id", "text").filter(usable).select("text", "lang")
-    found = chosen.mapInPandas(counted, "ids binary, n binary, lang string").collect()
-    rows = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in found)
-    return fit([(np.frombuffer(i, np.int32), np.frombuffer(n, np.int32).astype(float), x) for i, n, x in rows], buckets)
+    found = chosen.mapInPandas(counted, "ids binary, share binary, lang string")
+    rows = [(np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.float32), r[2]) for r in found.toLocalIterator()]
+    return fit(sorted(rows, key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes())), buckets)
 
 
 def predictor(model: LanguageModel, spark):
@@ -148,7 +147,7 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 != 1
 
 
-def identify(docs: DataFrame, sample_rows: int = 6000) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
     """``docs`` with a struct column ``language`` (lang_pred, score, rejected).
 
     Null text or one without a letter: ``und``, score 0, rejected. No labelled
@@ -159,7 +158,7 @@ def identify(docs: DataFrame, sample_rows: int = 6000) -> DataFrame:
     return docs.withColumn("language", predictor(model, docs.sparkSession)(F.col("text")))
 
 
-def keep_identified(docs: DataFrame, sample_rows: int = 6000) -> DataFrame:
+def keep_identified(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with the same columns."""
     model = train(docs, learnable(), sample_rows)
     return docs.filter(~predictor(model, docs.sparkSession)(F.col("text"))["rejected"])
