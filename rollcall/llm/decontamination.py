@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every item's word n-grams are counted over all documents. An item's seeds are its
-rarest n-grams: of those that occur, the ones at or below their median count, so an
-item copied into many documents, or only in part, keeps its seeds. Passages that hold a seed are aligned with the
-item; the alignment's score, as a share of the item's full score, finds edited and
-paraphrased copies too.
+All word n-grams of an item are seeds, however often they occur, so no copy loses its
+seeds to other copies of the item. Passages that hold a seed and share enough words with
+the item to reach the least score are aligned with it; the alignment's score, as a share
+of the item's full score, finds edited and paraphrased copies too.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,18 +60,6 @@ class Items:
             found.update(self.grams.keys() & set(zip(*(w[j:] for j in range(size)))))
         return found
 
-    def keep_rare(self, counts: dict[tuple, int]) -> None:
-        """Drop each item's n-grams above the median count of those that occur in a document."""
-        levels = defaultdict(list)
-        for g, places in self.grams.items():
-            if g in counts:
-                for k in {k for k, _ in places}:
-                    levels[k].append(counts[g])
-        level = {k: float(np.median(v)) for k, v in levels.items()}
-        kept = {g: [(k, j) for k, j in places if g in counts and counts[g] <= level[k]] for g, places in self.grams.items()}
-        self.grams = defaultdict(list, {g: v for g, v in kept.items() if v})
-        self.sizes = sorted({len(g) for g in self.grams})
-
     def matches(self, w: list[bytes], least: float) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, end word) of the best passage for each item with a score of ``least`` or more."""
         hit = self.hits(w)
@@ -89,14 +76,19 @@ class Items:
             item_id, item = self.items[k]
             ids: dict[bytes, int] = {}
             coded = [ids.setdefault(x, len(ids)) for x in item]
+            own = np.bincount(coded)
             best, slack, done = (0.0, 0, 0), max(4, len(item) // 2), -1
             for a in sorted(at):
                 if a <= done:
                     continue
                 lo = max(0, a - slack)
-                hi = min(len(w), a + slack + len(item) + slack)
+                hi = min(len(w), a + slack + len(item) + 2 * slack)  # as far as the last start that is passed over would reach
                 done = a + slack  # starts this near lie in the same passage
-                score, end = alignment(coded, [ids.get(x, -1) for x in w[lo:hi]])
+                passage = [ids.get(x, -1) for x in w[lo:hi]]
+                shared = np.minimum(np.bincount([x for x in passage if x >= 0], minlength=len(own)), own).sum()
+                if shared / len(item) < least or shared / len(item) <= best[0]:
+                    continue  # no alignment matches more words than both have
+                score, end = alignment(coded, passage)
                 share = score / (MATCH * len(item))
                 if share > best[0]:
                     best = (share, max(lo, lo + end - len(item)), lo + end)
@@ -126,25 +118,10 @@ def _holder(spark: SparkSession, value):
     return get
 
 
-def rare_seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, block_items: int = 5000) -> Iterator:
-    """For each block of the benchmark, a function that gives its items with their rare seeds, in any task."""
-    spark = docs.sparkSession
+def seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, block_items: int = 5000) -> Iterator:
+    """For each block of the benchmark, a function that gives its items with their seeds, in any task."""
     for rows in _blocks(benchmark, block_items):
-        items = Items(rows, n)
-        order = list(items.grams)
-        get = _holder(spark, (items, {g: i for i, g in enumerate(order)}))
-
-        def counted(batches: Iterator[pd.DataFrame], get=get) -> Iterator[pd.DataFrame]:
-            found, at = get()
-            seen: Counter = Counter()
-            for b in batches:
-                for t in b["text"]:
-                    seen.update(at[g] for g in found.hits(words(t)))
-            yield pd.DataFrame({"gram": list(seen), "n": list(seen.values())}, dtype="int64")
-
-        totals = docs.select("text").mapInPandas(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        items.keep_rare({order[r["gram"]]: r["n"] for r in totals.collect()})  # a row for each n-gram of the block
-        yield _holder(spark, items)
+        yield _holder(docs.sparkSession, Items(rows, n))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_items: int = 5000) -> DataFrame:
@@ -157,7 +134,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.
     """
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for get in rare_seeds(docs, benchmark, n, block_items):
+    for get in seeds(docs, benchmark, n, block_items):
 
         def run(batches: Iterator[pd.DataFrame], get=get) -> Iterator[pd.DataFrame]:
             items = get()
@@ -180,6 +157,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, leas
         return run
 
     kept = docs
-    for get in rare_seeds(docs, benchmark, n, block_items):
+    for get in seeds(docs, benchmark, n, block_items):
         kept = kept.filter(clean(get)(F.col("text")))
     return kept

@@ -535,6 +535,26 @@ def test_copies_of_items_are_found(spark, docs):
     assert len({r["doc_id"] for r in edited if r["doc_id"] == r["item_id"]}) >= 0.95 * len(items)
 
 
+def test_edited_copies_beside_complete_ones_against_brute_force(spark):
+    """Each item has one complete copy and one that keeps fewer than half of its 3-grams."""
+    rng = np.random.default_rng(3)
+    edits = [lambda j: j % 4 == 3, lambda j: j % 5 == 4, *([lambda j, share=share: rng.random() < share for share in (0.2, 0.25, 0.3)] * 3)]
+    items, texts = [], []
+    for size, edit in itertools.product((20, 40, 60), edits):
+        w = [f"w{len(items)}x{j}" for j in range(size)]
+        items.append((len(items), w))
+        texts += [w, [f"new{j}" if edit(j) else x for j, x in enumerate(w)]]
+    rows = [(d, " ".join(["before"] * 30 + w + ["after"] * 30)) for d, w in enumerate(texts)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    wanted = set()
+    for (d, t), (k, w) in itertools.product(rows, items):
+        ids = {x: i for i, x in enumerate(w)}
+        if decontamination.alignment(list(range(len(w))), [ids.get(x, -1) for x in t.split()])[0] >= 0.5 * decontamination.MATCH * len(w):
+            wanted.add((d, k))
+    assert got == wanted and len(wanted) > 1.5 * len(items)
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, docs):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     one = {tuple(r) for r in decontamination.matches(docs, bench).collect()}
