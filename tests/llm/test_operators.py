@@ -242,6 +242,23 @@ def test_a_chain_of_copies_is_one_component(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_pairs_whose_signatures_agree_least_are_linked(spark):
+    """Pairs at exactly 0.8 whose signatures agree in 0.711 and 0.715 of the slots."""
+    rows = []
+    for seed in (364, 3014):
+        both = [f"{seed}w{j}" for j in range(4004)]
+        rows += [(seed, " ".join(both + [f"{seed}a{j}" for j in range(500)])), (seed + 1, " ".join(both + [f"{seed}b{j}" for j in range(500)]))]
+    got = near_dedup.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(364, 364), (365, 364), (3014, 3014), (3015, 3014)]
+
+
+def test_rates_at_which_pairs_at_the_threshold_are_missed():
+    assert near_dedup.BANDS * near_dedup.ROWS <= near_dedup.LENGTH
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 1 / 6e8
+    n, p = near_dedup.LENGTH, 0.8 + 0.2 / 256  # slots are compared by 8 bits
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k / n < 0.8 - near_dedup.SLACK) < 1 / 2e7
+
+
 def test_super_minhash_estimates_with_less_variance():
     rng = np.random.default_rng(1)
     estimates = []
