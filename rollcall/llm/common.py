@@ -41,6 +41,21 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def stratified_sample(df: DataFrame, rows: int, stratum: str, *key: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, in proportion to the strata but with 20 of each at least; all of a smaller table or stratum.
+
+    Rows are chosen by a hash of ``key``; in a larger table, rows alike in it and the stratum count once.
+    """
+    counts = {r[stratum]: r["count"] for r in df.groupBy(stratum).count().collect()}
+    total = sum(counts.values())
+    if total <= rows:
+        return df
+    least = max(20, rows // (4 * len(counts)))
+    shares = {s: int(min(1.0, max(rows / total, least / n)) * (1 << 30)) for s, n in counts.items()}
+    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col(stratum)]
+    return df.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < share).dropDuplicates([stratum, *key])
+
+
 def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """About ``rows`` rows of ``df`` at most, chosen by a hash of ``key``; all of a smaller table.
 

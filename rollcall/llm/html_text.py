@@ -353,9 +353,9 @@ def fit(sources: list[str], rounds: int = 12) -> TreeModel:
 
 
 def train(pages: DataFrame, sample_pages: int = 200) -> TreeModel:
-    """Fit on the labelled templates and those that mark an article up among about ``sample_pages`` pages, chosen by a hash of the page."""
+    """Fit on the labelled templates and about ``sample_pages`` of the pages that mark an article up, chosen by a hash of the page."""
     marked = F.col("html").contains("<article") & (F.length("html") < 20000)
-    chosen = bounded_sample(pages.select("html"), sample_pages, "html").filter(marked).collect()
+    chosen = bounded_sample(pages.select("html").filter(marked), sample_pages, "html").collect()
     return fit(labelled_templates() + sorted(r["html"] for r in chosen))
 
 

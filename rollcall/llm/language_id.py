@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import bounded_sample
+from rollcall.llm.common import stratified_sample
 
 UNKNOWN = "und"
 
@@ -108,7 +108,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], buckets: int, dims: int
 
 
 def train(docs: DataFrame, eligible: Column, sample_rows: int = 2000, buckets: int = 1 << 16) -> LanguageModel:
-    """Fit on the rows with a language and ``eligible`` among about ``sample_rows`` rows of ``docs``, chosen by a hash of the row.
+    """Fit on about ``sample_rows`` of the rows of ``docs`` with a language and ``eligible``, every language among them, chosen by a hash of the row.
 
     Only subword shares of that sample reach the driver.
     """
@@ -122,7 +122,7 @@ def train(docs: DataFrame, eligible: Column, sample_rows: int = 2000, buckets: i
             yield pd.DataFrame(out, columns=["ids", "share", "lang"])
 
     usable = eligible & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
-    chosen = bounded_sample(docs, sample_rows, "doc_id", "text").filter(usable).select("text", "lang")
+    chosen = stratified_sample(docs.filter(usable).select("doc_id", "text", "lang"), sample_rows, "lang", "doc_id", "text")
     found = chosen.mapInPandas(counted, "ids binary, share binary, lang string")
     rows = [(np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.float32), r[2]) for r in found.toLocalIterator()]
     return fit(sorted(rows, key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes())), buckets)

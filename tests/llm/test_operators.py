@@ -413,6 +413,25 @@ def test_language_of_held_out_documents(spark, docs):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
 
 
+def test_sparse_labels_and_rare_languages_are_learned(spark):
+    said = {"en": "the house divided and the motion was carried", "fr": "la chambre a adopté cette motion hier soir", "de": "der antrag wurde gestern abend angenommen"}
+    lang = lambda i: None if i % 50 else "de" if i >= 5500 else ("en", "fr")[i // 50 % 2]
+    rows = [(i, f"{said[lang(i) or 'en']} {i}", lang(i)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True), sample_rows=60)
+    assert model.labels == ["de", "en", "fr"]
+    assert all(model.predict(t)[0] == k for k, t in said.items())
+
+
+def test_pages_are_sampled_among_those_that_mark_an_article_up(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_text, "fit", lambda rows: seen.extend(rows))
+    marked = [f"<html><body><article><p>page {i}</p></article></body></html>" for i in range(20)]
+    rows = [(h,) for h in marked + [f"<html><body><p>other {i}</p></body></html>" for i in range(2000)]]
+    html_text.train(spark.createDataFrame(rows, "html string"), 40)
+    assert set(marked) <= set(seen)
+
+
 def test_language_of_awkward_rows(awkward, empty, docs):
     both = docs.unionByName(awkward.select(docs.columns))
     rows = [(r["doc_id"], r["text"], r["language"]) for r in language_id.identify(both).collect()]
