@@ -115,14 +115,28 @@ def agreement_kernel(spark, d):
     return scaling.agreement_kernel(cells).select("a", "b", (F.round("dot", 4) + 0.0).alias("dot"))
 
 
+def _scaled(spark, d):
+    """(legislature, its points, variance shares) of each legislature, over its current members alone."""
+    seats = members(spark, d).filter("status = 'current'")
+    cast = votes(spark, d).join(seats, ["legislature", "member_key"], "left_semi")
+    for name in sorted(r[0] for r in cast.select("legislature").distinct().collect()):
+        own = F.col("legislature") == name
+        yield name, *scaling.ideal_points(cast.filter(own), seats.filter(own))
+
+
 @query()
 def ideal_points(spark, d):
-    points, _ = scaling.ideal_points(_house(spark, d), members(spark, d))
-    return points.select("member_key", F.round("dim1", 4).alias("ideal_dim1"), F.round("dim2", 4).alias("ideal_dim2"))
+    out = spark.createDataFrame([], "legislature string, member_key string, ideal_dim1 double, ideal_dim2 double")
+    for name, points, _ in _scaled(spark, d):
+        out = out.unionByName(points.select(F.lit(name).alias("legislature"), "member_key", F.round("dim1", 4).alias("ideal_dim1"), F.round("dim2", 4).alias("ideal_dim2")))
+    return out
 
 
 @query()
 def scaling_report(spark, d):
-    points, shares = scaling.ideal_points(_house(spark, d), members(spark, d))
-    first, second = [*shares, None, None][:2]
-    return points.agg(F.count("*").alias("members_placed")).select("members_placed", F.lit(first).cast("double").alias("dim1_share"), F.lit(second).cast("double").alias("dim2_share"))
+    out = spark.createDataFrame([], "legislature string, members_placed long, dim1_share double, dim2_share double")
+    for name, points, shares in _scaled(spark, d):
+        first, second = [*shares, None, None][:2]
+        placed = points.agg(F.count("*").alias("members_placed"))
+        out = out.unionByName(placed.select(F.lit(name).alias("legislature"), "members_placed", F.lit(first).cast("double").alias("dim1_share"), F.lit(second).cast("double").alias("dim2_share")))
+    return out

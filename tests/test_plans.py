@@ -18,6 +18,19 @@ def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() >= 0
 
 
+def test_ideal_points_of_every_legislature_and_current_members_alone(spark, monkeypatch):
+    from rollcall.plans import division_plans as plans
+
+    rows = [(h, f"{h}:{m}", f"d{k}", "aye" if (m + (k if m % 3 else 2 * k)) % 5 < 2 + m % 2 else "no", f"{k:03}") for h in "FO" for m in range(26) for k in range(60)]
+    cast = spark.createDataFrame(rows, "legislature string, member_key string, division string, direction string, seq string")
+    seats = [(h, f"{h}:{m}", "red" if m % 2 else "blue", "historical" if m < 2 else "current") for h in "FO" for m in range(26)]
+    monkeypatch.setattr(plans, "votes", lambda *_: cast)
+    monkeypatch.setattr(plans, "members", lambda *_: spark.createDataFrame(seats, "legislature string, member_key string, party string, status string"))
+    wanted = {k for _, k, _, status in seats if status == "current"}
+    assert {r["member_key"] for r in registry.QUERIES["ideal_points"](spark, SMALL).collect()} == wanted
+    assert [(r["legislature"], r["members_placed"]) for r in registry.QUERIES["scaling_report"](spark, SMALL).orderBy("legislature").collect()] == [("F", 24), ("O", 24)]
+
+
 def test_entry_is_importable_and_covers_the_plans():
     import __spark_entry__ as e
 
