@@ -79,8 +79,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return [(k, a, b) for k, a, b, ok in _matches(text or "") if ok]
 
 
-_ASSIGNED = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b["']?\s{0,3}[:=]\s{0,3}["']?([^\s"']{6,200})""")
-_RANDOM = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,200}(?![A-Za-z0-9_])")
+_ASSIGNED = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b["']?\s{0,3}[:=]\s{0,3}["']?([^\s"']{6,}+)""")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ .()/-]{0,2}[0-9]){6,24}(?![0-9A-Za-z])")
 _NAMES = re.compile(r"(?i)(?:token|secret|passw\w*|key)\b[\"']?\s*[:=]\s*[\"']?$")
 

@@ -396,6 +396,13 @@ def test_trees_learn_and_redaction_removes(spark):
     assert pii.redacted("mail a@b.cd now", pii.BoostedTrees()) == "mail <EMAIL> now"
 
 
+@pytest.mark.parametrize("length", [200, 201, 400, 5000])
+def test_long_secrets_are_proposed_to_their_end(length):
+    value = ("a1B2c3D4e5" * length)[:length]
+    assert ("secret", 7, 7 + length) in pii.candidates(f"token: {value} tail")
+    assert ("secret", 5, 5 + length) in pii.candidates(f"text {value} tail")
+
+
 def test_pii_of_awkward_rows(awkward, empty):
     rows = {r["doc_id"]: r["pii"] for r in pii.find(awkward).collect()}
     assert rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and rows[1]["spans"] == ""
