@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import bounded_sample
+from rollcall.llm.common import hashed_sample
 
 #: Elements of the markup language by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -355,7 +355,7 @@ def fit(sources: list[str], rounds: int = 12) -> TreeModel:
 def train(pages: DataFrame, sample_pages: int = 200) -> TreeModel:
     """Fit on the labelled templates and about ``sample_pages`` of the pages that mark an article up, chosen by a hash of the page."""
     marked = F.col("html").contains("<article") & (F.length("html") < 20000)
-    chosen = bounded_sample(pages.select("html").filter(marked), sample_pages, "html").collect()
+    chosen = hashed_sample(pages.select("html").filter(marked), sample_pages, "html").collect()
     return fit(labelled_templates() + sorted(r["html"] for r in chosen))
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import bounded_sample
+from rollcall.llm.common import hashed_sample
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("secret", "number")
@@ -209,7 +209,7 @@ def train(docs: DataFrame, sample_rows: int = 30000) -> BoostedTrees:
             yield pd.DataFrame(out, columns=["x", "y"])
 
     likely = F.col("text").rlike(r"[0-9]{6}|(?i)(token|secret|password|key)")
-    sample = bounded_sample(docs.select("text"), sample_rows, "text").filter(likely)
+    sample = hashed_sample(docs.select("text"), sample_rows, "text").filter(likely)
     found = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInPandas(made, "x array<double>, y int").collect())
     model = BoostedTrees()
     if len({y for _, y in found}) < 2:

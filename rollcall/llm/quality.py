@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import bounded_sample
+from rollcall.llm.common import hashed_sample
 
 _SHOUTED = re.compile(r"[A-Z]{2,}!!")
 
@@ -110,7 +110,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
                     out.append((k, time.perf_counter() - began, int(hit)))
         yield pd.DataFrame(out, columns=["rule", "s", "hit"])
 
-    sample = bounded_sample(docs.select("text"), sample_rows, "text")
+    sample = hashed_sample(docs.select("text"), sample_rows, "text")
     seen = {
         r["rule"]: (r["s"], r["hit"])
         for r in sample.mapInPandas(timed, "rule int, s double, hit int").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hit").alias("hit")).collect()

@@ -21,7 +21,7 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.group(table(spark, sf_dir, "documents"), size=2, percent=80).drop("text_md5")
+    return near_dedup.group(table(spark, sf_dir, "documents"), size=2, percent=80).drop("mark")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

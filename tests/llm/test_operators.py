@@ -234,9 +234,58 @@ def test_near_copies_against_all_pairs(docs, size):
         assert (got[i]["component_id"], got[i]["n_shingles"], got[i]["kept"]) == (c, n, c == i)
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_copies_of_a_larger_table_against_all_pairs(spark, size):
+    """Every pair that shares a shingle at sf0.01 is counted from an index of shingles."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    sets = {i: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w := words(lower(t))) >= size else ({tuple(w)} if w else set()) for i, t in rows}
+    holders, up = collections.defaultdict(list), {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in sets.items():
+        shared = collections.Counter(j for x in s for j in holders[x])
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+        for x in s:
+            holders[x].append(i)
+    got = near_dedup.group(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), size).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: top(i) for i in sets}
+
+
+def test_small_cells_change_nothing(spark, monkeypatch):
+    """Groups whose copies lie on both sides of the threshold, dealt into many cells."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(60):
+            share = rng.choice([0.02, 0.05, 0.07, 0.1])
+            rows.append((len(rows), " ".join(f"n{g}x{k}y{i}" if rng.random() < share else w for i, w in enumerate(base))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted, _ = components(rows, 2)
+    for classes, shingles in ((512, 1 << 19), (7, 1 << 19), (7, 400)):
+        monkeypatch.setattr(near_dedup, "CELL_CLASSES", classes)
+        monkeypatch.setattr(near_dedup, "CELL_SHINGLES", shingles)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.group(docs, 2).collect()}
+        assert [got[i] for i, _ in rows] == wanted
+    assert 4 < len(set(wanted)) < len(rows)
+
+
+def test_scratch_tables_go_once_their_readers_are_done(spark, docs, tmp_path, monkeypatch):
+    from rollcall.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    near_dedup.group(docs, 2).count()
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["grouped"]
+
+
 def test_a_chain_of_copies_is_one_component(spark):
     base = [f"w{i}" for i in range(200)]
-    rows = [(k, " ".join(f"x{k}{i}" if i in range(3 * k) else w for i, w in enumerate(base))) for k in range(30)]
     rows = [(k, " ".join([*(f"n{i}" for i in range(6 * k)), *base[6 * k :]])) for k in range(30)]
     got = near_dedup.group(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
     assert {r["component_id"] for r in got} == {0}
@@ -278,6 +327,11 @@ def test_near_copies_of_awkward_rows(awkward, empty):
     kept = near_dedup.keep_one(awkward, 2)
     assert kept.columns == awkward.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 6, 7, 8]
+    assert near_dedup.keep_one(empty).count() == 0
+    named = awkward.withColumns({"mark": F.lit("m"), "found": F.lit("f"), "doc_id__": F.lit(1), "text_md5__": F.lit("t"), "node": F.lit(1)})
+    again = near_dedup.keep_one(named, 2)
+    assert again.columns == named.columns and again.count() == 9
+    assert {(r["mark"], r["found"], r["text_md5__"]) for r in again.collect()} == {("m", "f", "t")}
 
 
 # ---- packing ---------------------------------------------------------------------
