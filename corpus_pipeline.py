@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
 of ``documents``; the last returns the pieces of packed sequences with their ids.
+
+Awkward input has a defined result in every stage, and none fails on it. A null or empty
+text, or one without letters, has no language and goes in the first stage. Rows that repeat
+in doc_id and text stay once after the second, and of equal texts the smallest doc_id's. A
+null doc_id passes every stage and comes last among copies. An empty table stays empty; an
+empty benchmark rejects nothing. Further columns pass through the first four stages.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import decontamination, language_id, near_dedup, packing, pii
-from rollcall.llm.common import cut, table
+from rollcall.llm.common import Scratch, cut, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +60,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-2]:
+            docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-2]
         docs = cut(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
