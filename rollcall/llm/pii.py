@@ -2,29 +2,34 @@
 
 Base kinds (email, ip, card, phone) are fixed patterns with fixed checks. High-recall
 generators propose further, overlapping candidates; boosted trees score each by its
-form and context, and a calibrated threshold selects what is added. Added kinds are
-``secret`` and ``number``. Base spans always stay, and an added span never overlaps one.
-
-The trees learn from candidates of a bounded sample of documents, labelled by strict
-checks: a passed base check, or a long random value assigned to a name such as
-``token``, is personal; a candidate that fails its check is not.
+form and the words before it, and a threshold for each kind, calibrated on texts the
+trees have not seen, selects what is added. Added kinds are ``secret`` and ``number``.
+Base spans always stay. Added spans do not overlap each other; one may reach beyond a
+base span, so that no part of a secret is left over.
+
+The tables carry no labels. The trees learn from generated texts, in which it is known
+what was planted: secrets and personal numbers in many forms, with and without a name
+before them, among values that only look alike. No rule restates the labels.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import pickle
+import random
 import re
+import string
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import hashed_sample
+from rollcall.llm.common import broadcast_value, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("secret", "number")
@@ -79,216 +84,328 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return [(k, a, b) for k, a, b, ok in _matches(text or "") if ok]
 
 
-_ASSIGNED = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b["']?\s{0,3}[:=]\s{0,3}["']?([^\s"']{6,}+)""")
-_RANDOM = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ .()/-]{0,2}[0-9]){6,24}(?![0-9A-Za-z])")
-_NAMES = re.compile(r"(?i)(?:token|secret|passw\w*|key)\b[\"']?\s*[:=]\s*[\"']?$")
+_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|auth|bearer|credentials?|key)\b["']?(?:\s{0,3}[:=]{1,2}\s{0,3}|\s)["']?([^\s"']{6,}+)""")
+_RUN = re.compile(r"[A-Za-z0-9_+/=-]{12,}+")
+_CHAIN = re.compile(r"[0-9](?:[ .()/-]{0,2}+[0-9])++")
+_GROUP = re.compile(r"[ .()/-]*[0-9]*$")
+_WORDS = re.compile(r"[A-Za-z]+")
+#: What a word before a value says about it.
+_CONTEXT = {
+    w: k
+    for k, ws in {
+        "secret": "token secret password passwd pwd auth bearer key apikey credential credentials authorization login",
+        "number": "call tel telephone phone mobile cell fax ssn security passport account acct iban licence contact ring",
+        "public": "isbn page pages version commit sha md5 checksum build revision vol volume issue section chapter total about population price order figure table id ref year line file image row",
+    }.items()
+    for w in ws.split()
+}
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """High-recall proposals, overlapping; each (generator, start, end)."""
-    found = [("secret", m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text)]
-    found += [("secret", m.start(), m.end()) for m in _RANDOM.finditer(text)]
-    found += [("number", m.start(), m.end()) for m in _NUMBER.finditer(text)]
-    return sorted(set(found))
+    """High-recall proposals, which may overlap; each (kind, start, end). Values are whole, whatever their length."""
+    found = {("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)}
+    for m in _RUN.finditer(text):
+        value = m[0]
+        if any(c.isdigit() for c in value) or sum(map(str.isupper, value)) >= 8:
+            found.add(("secret", *m.span()))
+    for m in _CHAIN.finditer(text):
+        a, b = m.span()
+        if a and text[a - 1].isalnum() or b < len(text) and text[b].isalnum():
+            if not (a and text[a - 1].isalnum()):
+                b = a + _GROUP.search(m[0].rstrip("0123456789")).start()  # without the group that runs into a word
+            else:
+                continue
+        if sum(map(str.isdigit, text[a:b])) >= 7:
+            found.add(("number", a, b))
+    return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+
+
+_RUNS = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+")
+_VOWELS = "aeiouAEIOU"
+_HEX = frozenset(string.hexdigits)
+N_FEATURES = 19
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
+    """Form of the value and what stands before it."""
     value = text[start:end]
     counts = Counter(value)
     n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    digits = [c for c in value if c.isdigit()]
-    before = text[max(0, start - 20) : start]
+    runs = _RUNS.findall(value)
+    digit_runs = [len(x) for x in runs if x[0] in string.digits]
+    digits, upper, lower = sum(digit_runs), sum(len(x) for x in runs if "A" <= x[0] <= "Z"), sum(len(x) for x in runs if "a" <= x[0] <= "z")
+    before = text[max(0, start - 32) : start]
+    near = [_CONTEXT.get(w.lower()) for w in _WORDS.findall(before)[-3:]]
     return [
         float(kind == "secret"),
         float(n),
-        entropy,
-        len(digits) / n,
-        sum(c.isalpha() for c in value) / n,
-        float(len(digits)),
-        float(13 <= len(digits) <= 19 and luhn("".join(digits))) if kind == "number" and value.isascii() else 0.0,
-        float(bool(_NAMES.search(before))),
-        float(bool(before) and before[-1] == "+"),
-        float(sum(not c.isalnum() for c in value)),
-        float(all(c in "0123456789abcdefABCDEF" for c in value)),
-        float(value[:1].isupper()),
+        math.log2(n) - sum(c * math.log2(c) for c in counts.values() if c > 1) / n,  # entropy
+        digits / n,
+        upper / n,
+        lower / n,
+        (n - digits - upper - lower) / n,
+        float(digits),
+        (len(runs) - 1) / n,
+        sum(counts.get(v, 0) for v in _VOWELS) / n,
+        float(len(digit_runs)),
+        float(max(digit_runs, default=0)),
+        float(min(digit_runs, default=0)),
+        float(near.count("secret")),
+        float(near.count("number")),
+        float(near.count("public")),
+        float(before.rstrip(" \"'")[-1:] in ("=", ":")),
+        float(_HEX.issuperset(counts)),
+        float(value.count(".") + value.count("/")),
     ]
 
 
-def label(text: str, kind: str, start: int, end: int, base: list[tuple[str, int, int]]) -> int:
-    """The strict check that stands for a label: 1 if personal."""
-    if any(a <= start and end <= b or start <= a and b <= end for _, a, b in base):
-        return 1
-    if kind == "secret":
-        value = text[start:end]
-        named = bool(_NAMES.search(text[max(0, start - 20) : start]))
-        return int(named and len(value) >= 16 and any(c.isdigit() for c in value) and len(set(value)) >= 8)
-    return 0
+def labelled_texts(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Texts with the spans that were planted as personal, from a generator with a seed."""
+    r = random.Random(seed)
+    hex_, base32, base62 = "0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits
+
+    def word(lo: int = 2, hi: int = 12) -> str:
+        return "".join(r.choice(("aeiou", "bcdfghlmnprstvw")[k % 2 ^ (r.random() < 0.2)]) for k in range(r.randint(lo, hi)))
+
+    def prose(lo: int, hi: int) -> str:
+        return " ".join(word().capitalize() if r.random() < 0.1 else word() for _ in range(r.randint(lo, hi)))
+
+    def made(alphabet: str, lo: int, hi: int) -> str:
+        return "".join(r.choice(alphabet) for _ in range(r.randint(lo, hi) * (8 if r.random() < 0.05 else 1)))
+
+    def shaped(shape: str) -> str:
+        return "".join(r.choice("0123456789") if c == "9" else c for c in shape)
+
+    def value() -> str:
+        return r.choice([
+            lambda: made(hex_, 16, 64), lambda: made(base62, 12, 64), lambda: made(base32, 16, 32), lambda: made(base62 + "-_", 16, 48),
+            lambda: made(base62 + "!#$%&*+/?@", 10, 24),
+        ])()
+
+    def named_secret() -> tuple[str, str]:
+        name = r.choice("token secret password passwd api_key apikey api-key key access_key auth_token Authorization pwd".split())
+        quote = r.choice(["", "", '"', "'"])
+        return f"{name}{r.choice(['=', ' = ', ': ', ':', ' := '])}{quote}", value()
+
+    def bare_secret() -> tuple[str, str]:
+        return "", r.choice(["AKIA", "ASIA", "ghp_", "sk_live_", "xoxb-", "AIza", "", ""]) + r.choice([lambda: made(base32, 16, 16), lambda: made(base62, 20, 48)])()
+
+    def personal_number() -> tuple[str, str]:
+        name = r.choice(["call", "tel", "tel.", "phone", "phone:", "mobile", "fax", "SSN", "ssn:", "passport", "account", "acct", "contact"])
+        return f"{name} ", shaped(r.choice(["(999) 999-9999", "999-999-9999", "999.999.9999", "999-99-9999", "099 9999 9999", "99999 999999", "9999999999", "99 99 99 99 99", "9999 9999 9999"]))
+
+    def plain_assigned() -> tuple[str, str]:
+        said = r.choice([word(6, 12), f"{word(3, 8)}_{word(3, 8)}", f"{word(3, 6)}/{word(4, 8)}.html", f"{word(4, 9)}-{word(2, 6)}", word(6, 9).capitalize() + "."])
+        return f"{r.choice('token secret password key auth'.split())}{r.choice([' = ', ': ', '=', ' '])}", said
+
+    def plain_name() -> tuple[str, str]:
+        w = [word(3, 9) for _ in range(r.randint(2, 4))]
+        return r.choice(["file ", "see ", "image ", ""]), r.choice(["_".join(w) + str(r.randint(1, 99)), "".join(x.capitalize() for x in w) + str(r.randint(1, 2100)), "-".join(w) + f"-{r.randint(1, 2100)}", f"IMG_{shaped('20991231_999999')}", "/".join(w) + f"/{r.randint(1, 9999)}", word(12, 22).upper(), "=" * r.randint(12, 40) + "1"])
+
+    def public_hash() -> tuple[str, str]:
+        return f"{r.choice(['commit', 'sha', 'md5', 'checksum', 'build', 'revision', 'id'])}{r.choice([' ', ': '])}", made(hex_, 12, 40)
+
+    def plain_number() -> tuple[str, str]:
+        name = r.choice(["", "", "", "isbn ", "page ", "version ", "about ", "total ", "population ", "price ", "order ", "vol. ", "year ", "in "])
+        return name, shaped(r.choice(["2099-19-19", "19/09/2099 19:99", "1999-1999-2099", "9.99999999", "9 999 999", "99.999.999", "999-9-99-999999-9", "9.9.9.99.9.9.9", "9999999", "99999999", "99 99 99 99", "1999 2099 2099", "9999.99 9999.99", "99/99 99/99", "20991231", "20991231999999", "0.999999999"]))
+
+    makers = [(named_secret, 1), (bare_secret, 1), (personal_number, 1), (plain_assigned, 0), (plain_name, 0), (public_hash, 0), (plain_number, 0), (plain_number, 0)]
+    for k in range(n):
+        maker, y = makers[k % len(makers)]
+        name, said = maker()
+        lead = prose(2, 12) + r.choice([" ", " ", "\n", ". ", ", "]) + name
+        yield lead + said + r.choice(['" ', " ", "\n", ". ", ", "]) + prose(1, 8), [(len(lead), len(lead) + len(said))] if y else []
+
+
+def labelled_candidates(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of the candidates in generated texts: 1 if planted. One that holds a part of a planted span alone is left out."""
+    xs, ys = [], []
+    for text, truth in labelled_texts(n, seed):
+        for k, a, b in candidates(text):
+            over = max((min(b, e) - max(a, s) for s, e in truth), default=0)
+            whole = any(min(b, e) - max(a, s) >= 0.8 * (max(b, e) - min(a, s)) for s, e in truth)
+            if whole or over <= 0:
+                xs.append(features(text, k, a, b))
+                ys.append(float(whole))
+    return np.array(xs).reshape(-1, N_FEATURES), np.array(ys)
 
 
 class BoostedTrees:
-    """Gradient boosting of depth-2 trees on the logistic loss, with thresholds at quantiles."""
+    """Gradient boosting of depth-2 trees on the logistic loss, with cuts at quantiles.
+
+    A tree is a row of ``splits`` (feature and cut of the root, of its left and of its right child) and four leaves.
+    """
 
-    def __init__(self, rounds: int = 40, rate: float = 0.3):
-        self.rounds, self.rate, self.trees, self.start, self.threshold = rounds, rate, [], -5.0, 0.5
+    def __init__(self, rounds: int = 120, rate: float = 0.3):
+        self.rounds, self.rate, self.start = rounds, rate, -5.0
+        self.splits: list[tuple[int, float, int, float, int, float]] = []
+        self.leaves: list[list[float]] = []
+        self.thresholds = dict.fromkeys(MORE_KINDS, 0.5)
 
     @staticmethod
     def _split(x: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[float, int, float]:
-        best = (0.0, -1, 0.0)
+        """(gain, feature, cut) of the best split; gain 0 sends all rows left."""
+        best = (0.0, 0, math.inf)
         whole = grad.sum() ** 2 / (hess.sum() + 1)
         for f in range(x.shape[1]):
-            for cut in np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 33))):
-                left = x[:, f] <= cut
-                if left.all():
-                    continue
-                gain = grad[left].sum() ** 2 / (hess[left].sum() + 1) + grad[~left].sum() ** 2 / (hess[~left].sum() + 1) - whole
-                if gain > best[0] + 1e-9:
-                    best = (gain, f, float(cut))
+            cuts = np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 25)))
+            place = np.searchsorted(cuts, x[:, f])
+            g, h = np.cumsum(np.bincount(place, grad, len(cuts) + 1))[:-1], np.cumsum(np.bincount(place, hess, len(cuts) + 1))[:-1]
+            gain = g**2 / (h + 1) + (grad.sum() - g) ** 2 / (hess.sum() - h + 1) - whole
+            k = int(gain.argmax())
+            if gain[k] > best[0] + 1e-9:
+                best = (float(gain[k]), f, float(cuts[k]))
         return best
 
-    def _leaf(self, grad, hess) -> float:
-        return float(self.rate * grad.sum() / (hess.sum() + 1))
-
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.start = math.log(rate / (1 - rate))
-        order = np.random.default_rng(5).permutation(len(y))
-        back, kept = order[: len(y) // 5], order[len(y) // 5 :]
-        z = np.full(len(kept), self.start)
+        z = np.full(len(y), self.start)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-z))
-            grad, hess = y[kept] - p, p * (1 - p)
-            _, f, cut = self._split(x[kept], grad, hess)
-            if f < 0:
-                break
-            tree = {"f": f, "cut": cut}
-            for side, rows in (("l", x[kept][:, f] <= cut), ("r", x[kept][:, f] > cut)):
-                xs, gs, hs = x[kept][rows], grad[rows], hess[rows]
-                _, f2, cut2 = self._split(xs, gs, hs) if len(xs) > 10 else (0, -1, 0.0)
-                if f2 < 0:
-                    tree[side] = self._leaf(gs, hs)
-                else:
-                    low = xs[:, f2] <= cut2
-                    tree[side] = {"f": f2, "cut": cut2, "l": self._leaf(gs[low], hs[low]), "r": self._leaf(gs[~low], hs[~low])}
-            self.trees.append(tree)
-            z += np.array([self._walk(tree, row) for row in x[kept]])
-        # the lowest threshold whose selections on held-back rows are at least 99 % right, 0.5 at least
-        p = np.array([self.score(row) for row in x[back]]) if len(back) else np.zeros(0)
-        for level in np.linspace(0.5, 0.95, 10):
-            self.threshold = float(level)
-            chosen = p >= level
-            if not chosen.any() or y[back][chosen].mean() >= 0.99:
+            grad, hess = y - p, p * (1 - p)
+            gain, f, cut = self._split(x, grad, hess)
+            if not gain:
                 break
+            right = x[:, f] > cut
+            split = [f, cut]
+            for side in (~right, right):
+                _, f2, cut2 = self._split(x[side], grad[side], hess[side])
+                split += [f2, cut2]
+            leaf = self._leaf(np.array([split]), x)[0]
+            g, h = np.bincount(leaf, grad, 4), np.bincount(leaf, hess, 4)
+            self.splits.append(tuple(split))
+            self.leaves.append((self.rate * g / (h + 1)).tolist())
+            z += np.array(self.leaves[-1])[leaf]
         return self
 
     @staticmethod
-    def _walk(tree, row) -> float:
-        while isinstance(tree, dict):
-            tree = tree["l"] if row[tree["f"]] <= tree["cut"] else tree["r"]
-        return tree
-
-    def score(self, row) -> float:
-        z = self.start + sum(self._walk(t, row) for t in self.trees)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-
-def train(docs: DataFrame, sample_rows: int = 30000) -> BoostedTrees:
-    """Trees from the candidates of about ``sample_rows`` texts, chosen by a hash of the text.
-
-    Tasks compute the features; the driver receives at most 40 candidates of each sampled text, as numbers.
-    """
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                base = base_spans(t)
-                for k, a, e in candidates(t)[:40]:
-                    out.append((features(t, k, a, e), label(t, k, a, e, base)))
-            yield pd.DataFrame(out, columns=["x", "y"])
-
-    likely = F.col("text").rlike(r"[0-9]{6}|(?i)(token|secret|password|key)")
-    sample = hashed_sample(docs.select("text"), sample_rows, "text").filter(likely)
-    found = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInPandas(made, "x array<double>, y int").collect())
-    model = BoostedTrees()
-    if len({y for _, y in found}) < 2:
-        return model
-    return model.fit(np.array([x for x, _ in found]), np.array([y for _, y in found], float))
-
-
-def spans(text: str | None, model: BoostedTrees) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, added spans); an added span overlaps no other, better scores first."""
-    text = text or ""
-    base = base_spans(text)
-    scored = []
-    for k, a, b in candidates(text):
-        if not any(a < e and s < b for _, s, e in base):
-            p = model.score(features(text, k, a, b))
-            if p >= model.threshold:
-                scored.append((-p, a, -b, k))
-    added: list[tuple[str, int, int]] = []
-    for _, a, b, k in sorted(scored):
-        if not any(a < e and s < -b for _, s, e in added):
-            added.append((k, a, -b))
-    return base, sorted(added, key=lambda x: (MORE_KINDS.index(x[0]), x[1]))
+    def _leaf(splits: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """(trees, rows): the leaf of each row in each tree."""
+        at = np.arange(len(x))
+        out = np.empty((len(splits), len(x)), np.int64)
+        for k, (f, cut, fl, cl, fr, cr) in enumerate(splits):
+            right = x[:, int(f)] > cut
+            out[k] = 2 * right + (x[at, np.where(right, int(fr), int(fl))] > np.where(right, cr, cl))
+        return out
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        z = np.full(len(x), self.start)
+        if self.splits:
+            for leaf, values in zip(self._leaf(np.array(self.splits), x), self.leaves):
+                z += np.array(values)[leaf]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float = 0.99) -> BoostedTrees:
+        """For each kind the lowest threshold, 0.5 at least, above which candidates not seen in training are right at ``precision``."""
+        p = self.scores(x)
+        for kind, own in (("secret", x[:, 0] == 1), ("number", x[:, 0] == 0)):
+            levels = [t for t in np.linspace(0.5, 0.98, 25) if not (chosen := own & (p >= t)).any() or y[chosen].mean() >= precision]
+            self.thresholds[kind] = float(levels[0]) if levels else 0.98
+        return self
 
 
-def redacted(text: str | None, model: BoostedTrees) -> str | None:
-    """``text`` with every span replaced by its kind in angle brackets; overlapping spans are merged under the first's kind."""
-    if text is None:
-        return None
-    base, added = spans(text, model)
+@cache
+def trained(texts: int = 4000) -> BoostedTrees:
+    """Trees fitted on generated texts and calibrated on a third as many others."""
+    return BoostedTrees().fit(*labelled_candidates(texts, 1)).calibrate(*labelled_candidates(texts // 3, 2))
+
+
+Found = list[tuple[str, int, int]]
+
+
+def _selected(base: Found, scored: list[tuple[float, str, int, int]]) -> Found:
+    """The best of overlapping candidates, without those inside base spans that touch; by kind, then start."""
+    merged: list[list[int]] = []
+    for _, a, b in sorted(base, key=lambda x: x[1]):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    from_, to = [m[0] for m in merged], [m[1] for m in merged]
+    starts: list[int] = []
+    ends: list[int] = []
+    added: Found = []
+    for _, k, a, b in sorted(scored, key=lambda x: (-x[0], x[2], -x[3], x[1])):
+        i = bisect_right(from_, a) - 1
+        if i >= 0 and b <= to[i]:
+            continue
+        j = bisect_left(starts, a)
+        if (j and ends[j - 1] > a) or (j < len(starts) and starts[j] < b):
+            continue
+        starts.insert(j, a)
+        ends.insert(j, b)
+        added.append((k, a, b))
+    return sorted(added, key=lambda x: (MORE_KINDS.index(x[0]), x[1]))
+
+
+def spans_of(texts: list[str | None], model: BoostedTrees) -> list[tuple[Found, Found]]:
+    """(base spans, added spans) of each text; all candidates are scored together."""
+    proposed = [(i, *c) for i, t in enumerate(texts) if t for c in candidates(t)]
+    x = np.array([features(texts[i], k, a, b) for i, k, a, b in proposed]).reshape(-1, N_FEATURES)
+    chosen: dict[int, list[tuple[float, str, int, int]]] = {}
+    for (i, k, a, b), p in zip(proposed, model.scores(x).tolist()):
+        if p >= model.thresholds[k]:
+            chosen.setdefault(i, []).append((p, k, a, b))
+    out = []
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        out.append((base, _selected(base, chosen[i]) if i in chosen else []))
+    return out
+
+
+def spans(text: str | None, model: BoostedTrees) -> tuple[Found, Found]:
+    return spans_of([text], model)[0]
+
+
+def _replaced(text: str | None, found: Found) -> str | None:
+    if text is None or not found:
+        return text
     out, end = [], 0
-    for k, a, b in sorted(base + added, key=lambda x: (x[1], -x[2])):
+    for k, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
         if a >= end:
             out += [text[end:a], f"<{k.upper()}>"]
         end = max(end, b)
     return "".join(out) + text[end:]
 
 
-def _holder(model: BoostedTrees, spark):
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    held: list[BoostedTrees] = []
-
-    def get() -> BoostedTrees:
-        if not held:
-            held.append(pickle.loads(shared.value))
-        return held[0]
-
-    return get
+def redacted(text: str | None, model: BoostedTrees) -> str | None:
+    """``text`` with every span replaced by its kind in angle brackets; overlapping spans are merged under the first's kind."""
+    base, added = spans(text, model)
+    return _replaced(text, base + added)
 
 
-def _joined(found: list[tuple[str, int, int]]) -> str:
+def _joined(found: Found) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def find(docs: DataFrame, sample_rows: int = 30000) -> DataFrame:
-    """``docs`` with a struct column ``pii``: counts by base kind, base_sha256 and all spans.
+def find(docs: DataFrame, into: str = "pii") -> DataFrame:
+    """``docs`` with a struct column ``into``: counts by base kind, base_sha256 and all spans.
 
-    Null text counts as empty: no spans, the hash of an empty string. Repeated
-    rows are treated alike; other columns, clashing names included, pass through.
+    Null text counts as empty: no spans, the hash of an empty string. Repeated rows are
+    treated alike; an empty table gives no rows. Other columns pass through; where one is
+    called ``into``, the new column's name gets an underscore.
     """
-    model = _holder(train(docs, sample_rows), docs.sparkSession)
+    model = broadcast_value(docs.sparkSession, trained())
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for t in texts:
-            base, added = spans(t, model())
+        for base, added in spans_of(list(texts), model()):
             n = Counter(k for k, _, _ in base)
             out.append((*(n[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added)))
         return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.withColumn("pii", run(F.col("text")))
+    return docs.withColumn(fresh(docs, into), run(F.col("text")))
 
 
-def redact(docs: DataFrame, sample_rows: int = 30000) -> DataFrame:
-    """``docs`` with each span in ``text`` replaced by its kind, as ``<EMAIL>``; other columns stay."""
-    model = _holder(train(docs, sample_rows), docs.sparkSession)
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with each span in ``text`` replaced by its kind, as ``<EMAIL>``; null texts and other columns stay, an empty table stays empty."""
+    model = broadcast_value(docs.sparkSession, trained())
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, model()) for t in texts], dtype=object)
+        held = list(texts)
+        return pd.Series([_replaced(t, base + added) for t, (base, added) in zip(held, spans_of(held, model()))], dtype=object)
 
     return docs.withColumn("text", run(F.col("text")))
