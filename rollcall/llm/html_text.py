@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import html
 import math
-import pickle
 import random
 import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import hashed_sample
+from rollcall.llm.common import broadcast_value, fresh, hashed_sample
 
 #: Elements of the markup language by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,7 +33,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i
 DROPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select option button textarea input map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BEFORE_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: What words in class, id and role say about an element.
+#: What words in class, id and role say about an element.
 BOILERPLATE_WORDS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc",
     "head": "header masthead topbar banner logo",
@@ -47,7 +48,8 @@ BOILERPLATE_WORDS = {
 CONTENT_WORDS = "article content main post entry story text prose maincontent"
 _CATEGORY = {w: f"word:{c}" for c, ws in BOILERPLATE_WORDS.items() for w in ws.split()} | {w: "word:content" for w in CONTENT_WORDS.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTRS = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTR = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -78,10 +80,62 @@ def _name_words(attrs: str) -> list[str]:
     return out
 
 
-def parse(source: str) -> Page:
-    """The page's tree without inline elements that have no name, and its text as blocks of (node, text) runs."""
+def _markup(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) in one forward scan: ``text``, ``open``, ``close`` and, after a raw element's start tag, no content of it.
+
+    A quote that nothing closes ends with its tag; it is looked for once. Without a later ``>`` the rest is text.
+    """
+    at, end, last = 0, len(source), source.rfind(">")
+    open_quote = -1  # tags that start before it and hold a quote end at their first >
+    while at < end:
+        a = source.find("<", at)
+        if a < 0 or a > last:
+            yield "text", source[at:], ""
+            return
+        if source.startswith("<!--", a):
+            yield "text", source[at:a], ""
+            b = source.find("-->", a + 4)
+            at = end if b < 0 else b + 3
+            continue
+        closing = source.startswith("/", a + 1)
+        name = _NAME.match(source, a + 1 + closing)
+        if not name:
+            if source.startswith(("!", "?"), a + 1):
+                yield "text", source[at:a], ""
+                at = source.find(">", a) + 1
+            else:
+                yield "text", source[at : a + 1], ""
+                at = a + 1
+            continue
+        yield "text", source[at:a], ""
+        first = source.find(">", name.end())
+        attrs = None if a < open_quote and re.search("[\"']", source[name.end() : first]) else _ATTRS.match(source, name.end())
+        if attrs is None and a >= open_quote:
+            open_quote = max(source.rfind('"'), source.rfind("'"))
+        at = attrs.end() if attrs else first + 1
+        tag = name[0].lower()
+        yield "close" if closing else "open", tag, source[name.end() : at - 1]
+        if not closing and tag in RAW and not source.endswith("/", 0, at - 1):
+            found = re.compile(rf"(?i)</{tag}\s*>").search(source, at)
+            at = found.end() if found else end
+            yield "close", tag, ""
+
+
+#: Elements that a start tag closes where one is open above all of the others.
+_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+_BARRIER = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("button", "table"), "dd": ("button", "table")}
+
+
+def parse(source: str, label_of: Callable[[str], int | None] | None = None) -> Page:
+    """The page's tree without inline elements that have no name, and its text as blocks of (node, text) runs.
+
+    Time is linear in the page: where each tag is open is kept by tag. ``label_of`` reads the
+    labels of generated pages from an element's attributes; pages of a table have none.
+    """
     page = Page([Node("#root", -1, [])])
     nodes, stack = page.nodes, [("#root", 0, False)]  # (tag, node, dropped)
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
+    blocks_open: list[int] = []  # where elements that are not inline are open
     run: list[tuple[int, str]] = []
     links = 0
 
@@ -109,64 +163,52 @@ def parse(source: str) -> Page:
         nonlocal links
         while len(stack) > k:
             tag = stack.pop()[0]
+            places[tag].pop()
             links -= tag == "a"
             if tag not in INLINE:
+                blocks_open.pop()
                 flush()
 
-    at, end = 0, len(source)
-    while at < end:
-        m = _TOKEN.search(source, at)
-        if not m:
-            text(source[at:])
-            break
-        text(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    for kind, tag, attrs in _markup(source):
+        if kind == "text":
+            text(tag)
             continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+        if kind == "close":
+            if places[tag]:
+                close(places[tag][-1])
             continue
-        attrs = m[3] or m[6] or ""
-        if tag == "br" or tag in VOID:
+        if tag in VOID:
             if not stack[-1][2]:
                 if tag in ("br", "wbr", "img"):
                     run.append((stack[-1][1], " " if tag == "br" else ""))
-                else:
-                    flush() if tag == "hr" else None
+                elif tag == "hr":
+                    flush()
             continue
-        if tag in BEFORE_P or tag in ("li", "dt", "dd", "tr", "td", "th"):
-            own = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
-            stop = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ("button", "table"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in own:
-                    close(k)
-                    break
-                if stack[k][0] in stop or (own == ("p",) and stack[k][0] not in INLINE):
-                    break
+        if tag in _OWN:
+            if (k := last(_OWN[tag])) > last(_BARRIER[tag]):
+                close(k)
+        elif tag in BEFORE_P and blocks_open and stack[blocks_open[-1]][0] == "p":
+            close(blocks_open[-1])
         if tag not in INLINE:
             flush()
         words = _name_words(attrs) if attrs else []
         _, node, dropped = stack[-1]
         if tag not in INLINE or words:
             nodes[node].children += 1
-            nodes.append(Node(tag, node, words))
-            if "data-y" in attrs:
-                nodes[-1].label = int('data-y="1"' in attrs)
+            nodes.append(Node(tag, node, words, label=label_of(attrs) if label_of else None))
             node = len(nodes) - 1
         if tag == "a":
             links += 1
             nodes[node].n_links += 1
+        places[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks_open.append(len(stack))
         stack.append((tag, node, dropped or tag in DROPPED))
         if attrs.endswith("/"):
             close(len(stack) - 1)
-        elif tag in RAW:
-            found = re.compile(rf"(?i)</{tag}\s*>").search(source, at)
-            close(len(stack) - 1)
-            at = found.end() if found else end
     close(1)
     flush()
     return page
@@ -302,6 +344,10 @@ def labelled_templates(n: int = 240) -> list[str]:
     return pages
 
 
+def _label_of(attrs: str) -> int | None:
+    return int('data-y="1"' in attrs) if "data-y" in attrs else None
+
+
 def _spread_labels(page: Page) -> bool:
     """Give each node its label: its own, else its parent's; a container of content is content. False if the page has none."""
     nodes = page.nodes
@@ -322,58 +368,82 @@ def _spread_labels(page: Page) -> bool:
     return True
 
 
-def fit(sources: list[str], rounds: int = 12) -> TreeModel:
+Case = tuple[tuple[str, ...], int, int]  # features of a node, its label, its parent's (-1: none)
+
+
+def cases(pages: Iterable[Page]) -> Counter[Case]:
+    """How often each case of features, label and parent's label occurs in labelled pages."""
+    out: Counter[Case] = Counter()
+    for page in pages:
+        if _spread_labels(page):
+            for n, f in zip(page.nodes, features(page)):
+                if n.tag not in DROPPED:
+                    out[tuple(f), n.label, page.nodes[n.parent].label if n.parent >= 0 else -1] += 1
+    return out
+
+
+def fit(counted: Counter[Case], rounds: int = 12) -> TreeModel:
     """Unary weights by logistic regression, edge potentials from smoothed counts of label pairs."""
-    rows, labels, pairs = [], [], np.ones((2, 2))
-    for s in sources:
-        page = parse(s)
-        if not _spread_labels(page):
-            continue
-        for n, f in zip(page.nodes, features(page)):
-            if n.tag not in DROPPED:
-                rows.append(f)
-                labels.append(n.label)
-                if n.parent >= 0:
-                    pairs[page.nodes[n.parent].label, n.label] += 1
-    names = sorted({f for r in rows for f in r})
+    kinds = sorted(counted)
+    pairs = np.ones((2, 2))
+    for (_, y, above), n in counted.items():
+        if above >= 0:
+            pairs[above, y] += n
+    names = sorted({f for fs, _, _ in kinds for f in fs})
     at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        x[i, [at[f] for f in r]] = 1
-    y = np.array(labels, float)
+    x = np.zeros((len(kinds), len(names)))
+    for i, (fs, _, _) in enumerate(kinds):
+        x[i, [at[f] for f in fs]] = 1
+    y, times = np.array([k[1] for k in kinds], float), np.array([counted[k] for k in kinds], float)
     w = np.zeros(len(names))
     for _ in range(rounds):  # Newton's method with a ridge
-        p = 1 / (1 + np.exp(-(x @ w)))
-        slope = x.T @ (y - p) - w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(names))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (times * (y - p)) - w
+        curve = (x * (times * p * (1 - p))[:, None]).T @ x + np.eye(len(names))
         w += np.linalg.solve(curve, slope)
     joint = pairs / pairs.sum()
     edges = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
     return TreeModel({f: float(v) for f, v in zip(names, w)}, edges.tolist())
 
 
+def template_cases(templates: list[str]) -> Counter[Case]:
+    return cases(parse(t, _label_of) for t in templates)
+
+
+def sampled(pages: DataFrame, sample_pages: int) -> DataFrame:
+    """About ``sample_pages`` of the pages that mark an article up, long ones too, chosen by a hash of the page; equal pages once."""
+    marked = pages.select("html").filter(F.col("html").contains("<article"))
+    return hashed_sample(marked, sample_pages, "html").dropDuplicates(["html"])
+
+
 def train(pages: DataFrame, sample_pages: int = 200) -> TreeModel:
-    """Fit on the labelled templates and about ``sample_pages`` of the pages that mark an article up, chosen by a hash of the page."""
-    marked = F.col("html").contains("<article") & (F.length("html") < 20000)
-    chosen = hashed_sample(pages.select("html").filter(marked), sample_pages, "html").collect()
-    return fit(labelled_templates() + sorted(r["html"] for r in chosen))
+    """Fit on the labelled templates and on ``sampled`` pages; tasks count the cases of these, and the driver gets the counts."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = cases(map(parse, b["html"]))
+            yield pd.DataFrame([(list(f), y, above, n) for (f, y, above), n in own.items()], columns=["f", "y", "above", "n"])
+
+    rows = sampled(pages, sample_pages).mapInPandas(counted, "f array<string>, y int, above int, n long").groupBy("f", "y", "above").agg(F.sum("n").alias("n"))
+    seen = template_cases(labelled_templates())
+    for r in rows.collect():  # cases of sampled pages: a bounded number of distinct ones
+        seen[tuple(r["f"]), r["y"], r["above"]] += r["n"]
+    return fit(seen)
 
 
-def extract(pages: DataFrame, sample_pages: int = 200) -> DataFrame:
-    """``pages`` with a struct column ``extracted`` (text, n_chars).
+def extract(pages: DataFrame, sample_pages: int = 200, into: str = "extracted") -> DataFrame:
+    """``pages`` with a struct column ``into`` (text, n_chars).
 
-    Null or empty html gives an empty text. Blocks keep page order, one a line;
-    white space within a block becomes one space. Repeated rows are treated
-    alike; other columns, clashing names included, pass through.
+    Null or empty html gives an empty text. Blocks keep page order, one a line; white
+    space within a block becomes one space. Repeated rows are treated alike; an empty
+    table gives no rows. Other columns pass through; where one is called ``into``, the
+    new column's name gets an underscore.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(pickle.dumps(train(pages, sample_pages)))
-    held: list[TreeModel] = []
+    model = broadcast_value(pages.sparkSession, train(pages, sample_pages))
 
     @F.pandas_udf("text string, n_chars long")
     def run(sources: pd.Series) -> pd.DataFrame:
-        if not held:
-            held.append(pickle.loads(shared.value))
-        texts = [held[0].text(s) for s in sources]
+        texts = [model().text(s) for s in sources]
         return pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.withColumn("extracted", run(F.col("html")))
+    return pages.withColumn(fresh(pages, into), run(F.col("html")))

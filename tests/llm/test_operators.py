@@ -122,10 +122,11 @@ def test_messages_give_exact_marginals():
 
 
 def test_held_out_templates():
-    model = html_text.fit(html_text.labelled_templates(240))
+    model = html_text.fit(html_text.template_cases(html_text.labelled_templates(240)))
     right = total = 0
     for source in html_text.labelled_templates(300)[240:]:
-        truth, seen = html_text.parse(source), html_text.parse(source)
+        truth, seen = html_text.parse(source, html_text._label_of), html_text.parse(source)
+        assert all(n.label is None for n in seen.nodes)
         html_text._spread_labels(truth)
         odds = model.marginals(seen)
         for run in truth.blocks:
@@ -139,7 +140,10 @@ def test_held_out_templates():
 def test_awkward_pages(spark):
     sources = [None, "", "plain text", "<p>unclosed <b>tags & co<br><p>next", "<article><p>a&nbsp;&lt;b&gt;&#233;</p></article><script>if (a<b) {</script>", "<!-- open", "<p title='x>y'>q", "<" * 50]
     pages = spark.createDataFrame([(i, "u", s, "clash") for i, s in enumerate(sources)], "page_id int, url string, html string, extracted string")
-    found = {r["page_id"]: r["extracted"] for r in html_text.extract(pages).collect()}
+    pages = pages.unionByName(pages)
+    rows = html_text.extract(pages).collect()
+    assert len(rows) == 2 * len(sources) and all(r["extracted"] == "clash" for r in rows)
+    found = {r["page_id"]: r["extracted_"] for r in rows}
     assert found[0]["text"] == found[1]["text"] == "" and found[0]["n_chars"] == 0
     assert found[4]["text"] == "a <b>é"
     assert html_text.extract(pages.limit(0)).count() == 0
@@ -534,13 +538,45 @@ def test_sparse_labels_and_rare_languages_are_learned(spark):
     assert all(model.predict(t)[0] == k for k, t in said.items())
 
 
-def test_pages_are_sampled_among_those_that_mark_an_article_up(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(html_text, "fit", lambda rows: seen.extend(rows))
+def test_pages_are_sampled_among_those_that_mark_an_article_up(spark):
     marked = [f"<html><body><article><p>page {i}</p></article></body></html>" for i in range(20)]
-    rows = [(h,) for h in marked + [f"<html><body><p>other {i}</p></body></html>" for i in range(2000)]]
-    html_text.train(spark.createDataFrame(rows, "html string"), 40)
-    assert set(marked) <= set(seen)
+    long = "<article>" + "<p>long page</p>" * 3000 + "</article>"
+    rows = [(h,) for h in [*marked, long, long] + [f"<html><body><p>other {i}</p></body></html>" for i in range(2000)]]
+    got = [r["html"] for r in html_text.sampled(spark.createDataFrame(rows, "html string"), 40).collect()]
+    assert sorted(got) == sorted([*marked, long])
+
+
+def test_labels_of_generated_pages_mean_nothing_in_a_table(spark):
+    page = '<article><p data-y="0">Kept prose, all of it.</p></article><nav data-y="1"><ul><li><a href="#">x</a></li></ul></nav>'
+    plain = page.replace(' data-y="0"', "").replace(' data-y="1"', "")
+    out = [r["extracted"]["text"] for r in html_text.extract(spark.createDataFrame([(page,), (plain,)], "html string")).collect()]
+    assert out[0] == out[1] == "Kept prose, all of it."
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a ", '<a b="', "<a b='\">", "<div>", "<div></b>", "<b>", "<li>", "<div><li></li>", "<p><b>", "<!-", "<!--", "<!", "</", "<script>", "<td><b>", '<p "\'>', "&amp", "<a href=x/>", "x<"],
+)
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    took = []
+    for n in (200_000, 800_000):
+        source = "<article><p>text.</p>" + piece * (n // len(piece))
+        began = time.process_time()
+        html_text.parse(source)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 and took[1] < 9 * max(took[0], 0.05)
+
+
+def test_nested_pages_take_linear_time():
+    import time
+
+    model = html_text.fit(html_text.template_cases(html_text.labelled_templates(60)))
+    for source in ("<div>" * 80_000 + "</b>" * 80_000 + "x", "<li><ul>" + "<div>" * 60_000 + "<li></li>" * 60_000, "<ul><li>" * 60_000 + "</table>" * 60_000, '<i class="a">' * 50_000 + "<p>" * 50_000):
+        began = time.process_time()
+        model.text(source)
+        assert time.process_time() - began < 15
 
 
 def test_language_of_awkward_rows(awkward, empty, docs):
