@@ -1,14 +1,18 @@
 """URL filtering: a list of rules, then association rules mined from its decisions.
 
-A URL that the list decides is a labelled one. Spark's FP-growth mines combinations
-of URL tokens that go with the label ``block``; rules below the support and
-confidence levels, and rules that a more general one covers, are pruned. The rest
-decide the URLs that the list leaves open, found by an inverted index on each
-rule's rarest token.
+A URL that the list decides is a labelled one; the others are its background. Spark's
+FP-growth mines combinations of URL tokens among the blocked ones, and one pass counts
+each combination among all URLs. A rule needs a number of blocked URLs (support), has to
+hold among labelled URLs (confidence), and must not be common among the open ones
+(coverage: the share of all URLs with these tokens that the list blocks), so what is
+merely usual on the web is no rule. Rules that a more general one covers are pruned, and
+tokens that restate the list are left out. Open URLs are decided by an inverted index on
+each rule's rarest token.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections import defaultdict
 
@@ -17,6 +21,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import broadcast_value, fresh
+
 Rule = tuple[str, str, str]  # host, path, verdict
 
 #: Fixed values of the contract.
@@ -27,7 +33,6 @@ RULES: tuple[Rule, ...] = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-BLOCK = "label=block"
 
 
 def host_of(url: Column) -> Column:
@@ -62,24 +67,68 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, top, parts, names))
 
 
-def mine(labelled: DataFrame, least_support: float = 0.01, least_confidence: float = 0.9, longest: int = 3) -> list[tuple[frozenset[str], float]]:
-    """Pruned rules ``tokens -> block`` with their confidence, from columns ``tokens`` and ``verdict``.
+def restating(rules: tuple[Rule, ...]) -> list[str]:
+    """The tokens that the list's own rules are made of."""
+    hosts = {x for h, _, _ in rules for x in h.split(".") if x}
+    parts = {x for _, p, _ in rules for x in p.replace(".", "/").split("/") if x}
+    return sorted({f"host:{x}" for x in hosts} | {f"top:{x}" for x in hosts} | {f"path:{x}" for x in parts})
+
+
+def _stand_ins(blocked: DataFrame) -> DataFrame:
+    """(token, same): tokens that occur in the very same rows have one stand-in, so that long fixed parts of URLs don't multiply itemsets."""
+    each = blocked.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").alias("row"))
+    alike = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("row").cast("decimal(20,0)")).alias("rows"), F.bit_xor("row").alias("mixed"))
+    first = alike.groupBy("n", "rows", "mixed").agg(F.min("token").alias("same"))
+    return alike.join(first, ["n", "rows", "mixed"]).select("token", "same")
+
+
+def _holding(itemsets: list[frozenset[str]], spark) -> Column:
+    """A pandas UDF: token array -> places in ``itemsets`` of those it holds; each is indexed under its first token."""
+    index: dict[str, list[int]] = defaultdict(list)
+    for i, items in enumerate(itemsets):
+        index[min(items)].append(i)
+    get = broadcast_value(spark, (itemsets, dict(index)))
 
-    Their number is bounded by the itemsets of ``longest`` tokens that reach the support.
+    @F.pandas_udf("array<int>")
+    def held(tokens: pd.Series) -> pd.Series:
+        sets, at = get()
+        return pd.Series([[i for t in own for i in at.get(t, ()) if sets[i] <= own] for own in map(set, tokens)], dtype=object)
+
+    return held
+
+
+def mine(
+    urls: DataFrame, least_support: float = 0.001, least_confidence: float = 0.9, longest: int | None = None, least_coverage: float = 0.5, least_count: int = 1
+) -> list[tuple[frozenset[str], float]]:
+    """Pruned rules ``tokens -> block`` with their confidence, from columns ``tokens`` and ``verdict`` (block, allow, or null for open).
+
+    A rule has at least ``least_count`` blocked URLs, and at least ``least_support`` of the
+    labelled ones, which bounds the number of itemsets; ``longest`` bounds its tokens.
     """
-    baskets = labelled.select(
-        F.when(F.col("verdict") == "block", F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")
-    ).filter(F.size("items") > 0)
-    if baskets.isEmpty():
+    n, n_blocked = urls.agg(F.count("verdict"), F.count_if(F.col("verdict") == "block")).first()
+    least = max(least_count, math.ceil(least_support * n - 1e-9), 1)
+    if n_blocked < least:
+        return []
+    blocked = urls.filter(F.col("verdict") == "block").select("tokens", F.monotonically_increasing_id().alias("row"))
+    stand_ins = _stand_ins(blocked).filter("token = same").select("token")
+    kept = blocked.select("row", F.explode("tokens").alias("token")).join(stand_ins, "token").groupBy("row").agg(F.collect_set("token").alias("items"))
+    # itemsets and no rules are asked for; the support is a share of the baskets
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, kept.count())), minConfidence=1.0).fit(kept).freqItemsets
+    if longest:
+        found = found.filter(F.size("items") <= longest)
+    itemsets = [frozenset(r["items"]) for r in found.select("items").collect()]
+    if not itemsets:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
-    found = model.associationRules.filter((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= longest))
-    rules = sorted(((frozenset(r["antecedent"]), r["confidence"]) for r in found.select("antecedent", "confidence").collect()), key=lambda r: (len(r[0]), sorted(r[0])))
-    kept: list[tuple[frozenset[str], float]] = []
-    for items, confidence in rules:
-        if not any(general < items and c >= confidence for general, c in kept):
-            kept.append((items, confidence))
-    return kept
+    hits = urls.select(F.explode(_holding(itemsets, urls.sparkSession)("tokens")).alias("i"), "verdict")
+    counts = hits.groupBy("i").agg(F.count_if(F.col("verdict") == "block").alias("b"), F.count("verdict").alias("labelled"), F.count("*").alias("every")).collect()
+    rules = [(itemsets[r["i"]], r["b"] / r["labelled"]) for r in counts if r["b"] >= max(least, least_confidence * r["labelled"], least_coverage * r["every"])]
+    pruned: list[tuple[frozenset[str], float]] = []
+    general: dict[frozenset[str], float] = {}
+    for items, confidence in sorted(rules, key=lambda r: (len(r[0]), sorted(r[0]))):
+        if not any(g < items and c >= confidence for g, c in general.items()):
+            general[items] = confidence
+            pruned.append((items, confidence))
+    return pruned
 
 
 def matcher(rules: list[tuple[frozenset[str], float]], frequency: dict[str, int]):
@@ -100,23 +149,21 @@ def matcher(rules: list[tuple[frozenset[str], float]], frequency: dict[str, int]
     return blocked
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_support: float = 0.01, least_confidence: float = 0.9) -> DataFrame:
-    """``pages`` with a struct column ``filtered`` (host, path, rule, verdict).
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_support: float = 0.001, least_confidence: float = 0.9, least_coverage: float = 0.5, least_count: int = 20, into: str = "filtered") -> DataFrame:
+    """``pages`` with a struct column ``into`` (host, path, rule, verdict).
 
-    Null or malformed URLs have an empty host and path, fit no rule and are
-    allowed. With no labelled URLs nothing is mined. Repeated rows are judged
-    alike; other columns, clashing names included, pass through.
+    Null or malformed URLs have an empty host and path, fit no rule and are allowed.
+    With no blocked URLs nothing is mined. Repeated rows are judged alike, and count as
+    often as they occur; an empty table gives no rows. Other columns pass through; where
+    one is called ``into``, the new column's name gets an underscore.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    shaped = pages.select("url").select(host.alias("host"), path.alias("path"), tokens_of(F.col("url"), host, path).alias("tokens"))
-    labelled = shaped.select("tokens", listed(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict")).filter(F.col("verdict").isNotNull())
-    mined = mine(labelled, least_support, least_confidence)
+    own = F.array_except(tokens_of(F.col("url"), host, path), F.array(*map(F.lit, restating(rules))))
+    shaped = pages.select(own.alias("tokens"), listed(host, path, rules)["verdict"].alias("verdict"))
+    mined = mine(shaped, least_support, least_confidence, None, least_coverage, least_count)
     used = sorted({t for items, _ in mined for t in items})
-    counts = labelled.select(F.explode("tokens").alias("t")).filter(F.col("t").isin(used)).groupBy("t").count().collect() if used else []
-    blocked = matcher(mined, {r["t"]: r["count"] for r in counts})
+    counts = shaped.select(F.explode("tokens").alias("t")).filter(F.col("t").isin(used)).groupBy("t").count().collect() if used else []
     by_list = listed(host, path, rules)
-    mined_verdict = F.when(blocked(tokens_of(F.col("url"), host, path)), F.lit("block")).otherwise(F.lit("allow"))
-    return pages.withColumn(
-        "filtered",
-        F.struct(host.alias("host"), path.alias("path"), by_list["rule"].alias("rule"), F.coalesce(by_list["verdict"], mined_verdict).alias("verdict")),
-    )
+    by_rules = F.when(matcher(mined, {r["t"]: r["count"] for r in counts})(own), F.lit("block")) if mined else F.lit(None).cast("string")
+    verdict = F.coalesce(by_list["verdict"], by_rules, F.lit("allow"))
+    return pages.withColumn(fresh(pages, into), F.struct(host.alias("host"), path.alias("path"), by_list["rule"].alias("rule"), verdict.alias("verdict")))

@@ -602,8 +602,10 @@ def plain_url(u):
 
 def test_url_rules(spark):
     urls = ["http://A.Example.COM/en/1?x", "https://www.example.com/en/", "http://x.net/fr/", "http://x.net/fr", "ftp://com/", "http://notnet/es/", "mailto:a", None, "http://h?p=/en/", "http://É.net/es/#://z", "://"]
-    rows = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id int, url string, filtered string")
-    found = {r["page_id"]: r["filtered"] for r in url_filter.judge(rows).collect()}
+    rows = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] * 2, "page_id int, url string, filtered string")
+    judged = url_filter.judge(rows).collect()
+    assert len(judged) == 2 * len(urls) and all(r["filtered"] == "clash" for r in judged)
+    found = {r["page_id"]: r["filtered_"] for r in judged}
     for i, u in enumerate(urls):
         assert (found[i]["host"], found[i]["path"]) == plain_url(u)
         fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (found[i]["host"] == h or found[i]["host"].endswith("." + h)) and found[i]["path"].startswith(p)]
@@ -630,6 +632,61 @@ def test_mined_rules_against_all_combinations(spark):
     assert mined.keys() == pruned.keys() and all(abs(mined[s] - c) < 1e-9 for s, c in pruned.items())
 
 
+def plain_mined(rows, least, confidence, coverage):
+    """Every combination of tokens, counted among all rows."""
+    every = {}
+    for k in range(1, 6):
+        for items in {frozenset(c) for t, v in rows if v == "block" for c in itertools.combinations(t, k)}:
+            hold = [v for t, v in rows if items <= set(t)]
+            b, labelled = hold.count("block"), sum(v is not None for v in hold)
+            if b >= max(least, confidence * labelled, coverage * len(hold)):
+                every[items] = b / labelled
+    return every
+
+
+def test_a_planted_pattern_among_neutral_hosts_end_to_end(spark):
+    """Pages of ``casino`` with ``bonus`` are bad wherever the list looks; neutral hosts and words are as usual among open URLs."""
+    rng = np.random.default_rng(14)
+    urls, bad = [], []
+    for i in range(3000):
+        planted = rng.random() < 0.06
+        top, lang = ("net", rng.choice(["es", "fr"])) if planted and rng.random() < 0.7 else (rng.choice(["net", "org"] if planted else ["com", "net", "org"]), rng.choice(["en", "es", "fr", "de"]))
+        words = ["casino", "bonus"] if planted else [str(x) for x in rng.choice(["casino", "news", "blog", "shop", "a", "b"], 2, replace=False)]
+        urls.append((i, f"http://h{rng.integers(8)}.site.{top}/{lang}/{'/'.join(words)}/{i}?utm=1"))
+        bad.append(planted)
+    pages = spark.createDataFrame(urls, "page_id int, url string")
+    got = {r["page_id"]: r["filtered"] for r in url_filter.judge(pages).collect()}
+
+    def tokens(u):
+        host, path = plain_url(u)
+        own = {f"host:{x}" for x in host.split(".")} | {f"top:{host.rsplit('.', 1)[-1]}"} | {f"path:{x}" for x in path.split("/") if x and not x.isdigit()} | {"query:utm"}
+        return sorted(own - set(url_filter.restating(url_filter.RULES)))
+
+    by_list = [got[i]["verdict"] if got[i]["rule"] else None for i, _ in urls]
+    mined = plain_mined([(tokens(u), v) for (_, u), v in zip(urls, by_list)], 20, 0.9, 0.5)
+    assert mined
+    wrong = right = 0
+    for (i, u), v, planted in zip(urls, by_list, bad):
+        wanted = v or ("block" if any(m <= set(tokens(u)) for m in mined) else "allow")
+        assert got[i]["verdict"] == wanted
+        if v is None:
+            wrong += not planted and wanted == "block"
+            right += planted and wanted == "block"
+    assert wrong == 0 and right == sum(planted and v is None for v, planted in zip(by_list, bad)) > 5
+
+
+def test_usual_open_urls_are_allowed(spark):
+    rows = queries.op8_url_filter(spark, "/root/testdata/sf0.1").filter("rule is null").groupBy("verdict").count().collect()
+    n = {r["verdict"]: r["count"] for r in rows}
+    assert n.get("block", 0) <= 0.02 * sum(n.values())
+
+
+def test_parts_of_urls_that_always_go_together_cost_nothing(spark):
+    rows = [([f"t{k}" for k in range(40)] + [f"x{i % 3}"], "block") for i in range(60)] + [(["y"], "allow")] * 20
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.9)
+    assert {s for s, _ in mined} == {frozenset(["t0"]), frozenset(["x0"]), frozenset(["x1"]), frozenset(["x2"])}
+
+
 def test_inverted_index_equals_a_scan(spark):
     rules = [(frozenset("ab"), 1.0), (frozenset("c"), 0.9), (frozenset("de"), 0.9)]
     rows = [(list(t),) for t in ("ab", "a", "cd", "d", "edx", "", "abc")]
