@@ -8,15 +8,16 @@ of the item's full score, finds edited and paraphrased copies too.
 
 from __future__ import annotations
 
-import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import broadcast_value
+
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -106,22 +107,10 @@ def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int,
         yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x))
 
 
-def _holder(spark: SparkSession, value):
-    shared = spark.sparkContext.broadcast(pickle.dumps(value))
-    held: list = []
-
-    def get():
-        if not held:
-            held.append(pickle.loads(shared.value))
-        return held[0]
-
-    return get
-
-
 def seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, block_items: int = 5000) -> Iterator:
     """For each block of the benchmark, a function that gives its items with their seeds, in any task."""
     for rows in _blocks(benchmark, block_items):
-        yield _holder(docs.sparkSession, Items(rows, n))
+        yield broadcast_value(docs.sparkSession, Items(rows, n))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_items: int = 5000) -> DataFrame:
@@ -147,7 +136,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_items: int = 5000) -> DataFrame:
-    """The rows of ``docs`` that hold no copy of any item; columns as they are."""
+    """The rows of ``docs`` that hold no copy of any item; columns as they are.
+
+    Null and empty texts stay, repeated rows are treated alike; an empty table stays empty, and an
+    empty benchmark rejects nothing.
+    """
 
     def clean(get):
         @F.pandas_udf("boolean")

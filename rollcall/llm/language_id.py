@@ -11,7 +11,6 @@ which gives the same scores.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import stratified_sample
+from rollcall.llm.common import broadcast_value, fresh, stratified_sample
 
 UNKNOWN = "und"
 
@@ -130,14 +129,11 @@ def train(docs: DataFrame, eligible: Column, sample_rows: int = 2000, buckets: i
 
 def predictor(model: LanguageModel, spark):
     """A pandas UDF: text -> struct(lang_pred, score, rejected). The model's size is fixed by its bucket count."""
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    held: list[LanguageModel] = []
+    get = broadcast_value(spark, model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if not held:
-            held.append(pickle.loads(shared.value))
-        return pd.DataFrame([held[0].predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        return pd.DataFrame([get().predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     return predict
 
@@ -147,19 +143,20 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 != 1
 
 
-def identify(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
-    """``docs`` with a struct column ``language`` (lang_pred, score, rejected).
+def identify(docs: DataFrame, sample_rows: int = 2000, into: str = "language") -> DataFrame:
+    """``docs`` with a struct column ``into`` (lang_pred, score, rejected).
 
     Null text or one without a letter: ``und``, score 0, rejected. No labelled
-    rows at all: every text is ``und``. Repeated rows are predicted alike; other
-    columns, clashing names included, pass through.
+    rows at all: every text is ``und``. Repeated rows are predicted alike; an empty
+    table gives no rows. Other columns pass through; where one is called ``into``, the
+    new column's name gets an underscore.
     """
     model = train(docs, learnable(), sample_rows)
-    return docs.withColumn("language", predictor(model, docs.sparkSession)(F.col("text")))
+    return docs.withColumn(fresh(docs, into), predictor(model, docs.sparkSession)(F.col("text")))
 
 
 def keep_identified(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
-    """The rows of ``docs`` whose language is not rejected, with the same columns."""
+    """The rows of ``docs`` whose language is not rejected, with the same columns; texts without a letter go, an empty table stays empty."""
     model = train(docs, learnable(), sample_rows)
     return docs.filter(~predictor(model, docs.sparkSession)(F.col("text"))["rejected"])
 

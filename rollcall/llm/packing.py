@@ -24,6 +24,7 @@ from rollcall.llm.common import cut
 END_ID = 1
 SPECIAL = {"<|endoftext|>": 50256}
 DIMS, BITS = 3, 10
+RANGE_IDS = 1 << 23  # ids of a range, about: a task reads 16 MB, however large the table
 
 
 def vocabulary_path() -> str:
@@ -86,7 +87,7 @@ def _projection() -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, pat: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 16-bit), key, and a row number that is fixed once the result is written."""
+    """doc_id, n (ids), ids (little-endian unsigned 16-bit), key, and a row number that is fixed once the result is written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, plane = encoder(path, pat), _projection()
@@ -96,11 +97,11 @@ def tokenized(docs: DataFrame, path: str, pat: str) -> DataFrame:
             means = np.array([plane[i].mean(0) for i in ids]).reshape(len(ids), DIMS)
             points = ((0.5 + 0.5 * np.tanh(4 * means)) * ((1 << BITS) - 1)).astype(np.int64)
             yield pd.DataFrame(
-                {"doc_id": b["doc_id"].astype("Int64"), "ids": [i.astype("<u2").tobytes() for i in ids], "key": hilbert_key(points), "row": range(row, row + len(ids))}
+                {"doc_id": b["doc_id"].astype("Int64"), "n": [len(i) for i in ids], "ids": [i.astype("<u2").tobytes() for i in ids], "key": hilbert_key(points), "row": range(row, row + len(ids))}
             )
             row += len(ids)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary, key long, row long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, ids binary, key long, row long")
 
 
 def _rooms(left: int, size: int) -> int:
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, pat: str |
     """
     spark = docs.sparkSession
     stored = cut(tokenized(docs, path or vocabulary_path(), pat or pattern()), "tokens")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(stored.agg(F.sum("n")).first()[0] or 0) // RANGE_IDS))
     ranged = stored.repartitionByRange(n, "key", "row").sortWithinPartitions("key", "row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

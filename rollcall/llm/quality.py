@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import hashed_sample
+from rollcall.llm.common import fresh, hashed_sample
 
 _SHOUTED = re.compile(r"[A-Z]{2,}!!")
 
@@ -118,11 +118,13 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-seen[k][1] / max(seen[k][0], 1e-9) if k in seen else 0, k)))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """``docs`` with a struct column ``quality`` (kept, rejected_by, n_rules_run): the cascade alone.
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, into: str = "quality") -> DataFrame:
+    """``docs`` with a struct column ``into`` (kept, rejected_by, n_rules_run): the cascade alone.
 
     Null text counts as empty (and has too few words); ties between rules go by
-    their place in ``rules``; all other columns pass through.
+    their place in ``rules``. Repeated rows are judged alike; an empty table gives no
+    rows. Other columns pass through; where one is called ``into``, the new column's
+    name gets an underscore.
     """
     cascade = ordered(docs, rules, sample_rows)
 
@@ -139,13 +141,14 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2
             out.append((by is None, by, n))
         return pd.DataFrame(out, columns=["kept", "rejected_by", "n_rules_run"])
 
-    return docs.withColumn("quality", run(F.col("text")))
+    return docs.withColumn(fresh(docs, into), run(F.col("text")))
 
 
-def measure_and_judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """``docs`` with a struct column ``quality``: the base measures, base_failed and the cascade's verdict.
+def measure_and_judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, into: str = "quality") -> DataFrame:
+    """``docs`` with a struct column ``into``: the base measures, base_failed and the cascade's verdict.
 
-    One pass: measures that a rule has asked for are not computed again.
+    One pass: measures that a rule has asked for are not computed again. Awkward rows
+    and names are treated as in ``judge``.
     """
     cascade = ordered(docs, rules, sample_rows)
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -160,4 +163,4 @@ def measure_and_judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_r
             out.append((m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, kept and not failed))
         return pd.DataFrame(out, columns=columns)
 
-    return docs.withColumn("quality", run(F.col("text")))
+    return docs.withColumn(fresh(docs, into), run(F.col("text")))

@@ -375,6 +375,33 @@ def test_special_strings_encode_as_the_tokenizers_file_does():
         assert enc.encode(s, allowed_special="all", disallowed_special=()) == t.encode(s, add_special_tokens=False).ids
 
 
+def test_ids_equal_those_of_the_tokenizers_file(spark):
+    """All texts of sf0.1, and random strings over many scripts, digits, marks and spaces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(packing.vocabulary_path(), packing.pattern())
+    rng = np.random.default_rng(21)
+    blocks = [(32, 127), (9, 14), (160, 592), (0x370, 0x530), (0x5D0, 0x700), (0x900, 0xE00), (0x2000, 0x2070), (0x2150, 0x2190), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0x1F300, 0x1FAFF), (0xFE00, 0xFE10)]
+
+    def mixed():
+        picked = [blocks[k] for k in rng.choice(len(blocks), rng.integers(1, 4))] + [(32, 33)]
+        return "".join(chr(int(rng.integers(*picked[rng.integers(len(picked))]))) for _ in range(rng.integers(1, 60)))
+
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").distinct().collect()] + [mixed() for _ in range(3000)]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        for text, one in zip(part, t.encode_batch(part, add_special_tokens=False)):
+            assert enc.encode(text, allowed_special="all", disallowed_special=()) == one.ids
+
+
+def test_the_number_of_ranges_follows_the_ids(docs, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_IDS", 5000)
+    total = packing.pack(docs, partitions=1).agg(F.sum("length")).first()[0]
+    assert packing.pack(docs).rdd.getNumPartitions() == -(-total // 5000)
+
+
 def test_hilbert_keys_are_a_walk_along_neighbours():
     grid = np.array(list(itertools.product(range(8), repeat=3)))
     key = packing.hilbert_key(grid, 3)
@@ -528,6 +555,31 @@ def test_language_of_held_out_documents(spark, docs):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
 
 
+def test_predictions_against_a_plain_recount(spark, docs):
+    """Subwords hashed one by one, their rows of the folded table averaged in plain Python."""
+    model = language_id.train(docs, language_id.learnable())
+    n = len(model.table)
+
+    def plain(text):
+        a = f" {text.lower()} ".encode("utf-8", "replace")
+        a += bytes(4) if len(a) < 4 else b""
+        three = [(a[i] * 0x9E3779B1 & 0xFFFFFFFF) ^ (a[i + 1] * 0x85EBCA77 & 0xFFFFFFFF) ^ (a[i + 2] * 0xC2B2AE3D & 0xFFFFFFFF) for i in range(len(a) - 2)]
+        four = [(three[i] * 0x27D4EB2F & 0xFFFFFFFF) ^ (a[i + 3] * 0x165667B1 & 0xFFFFFFFF) for i in range(len(three) - 1)]
+        buckets = [(h ^ h >> 15) % n for h in three + four]
+        z = [sum(float(model.table[b][k]) for b in buckets) / len(buckets) + float(model.bias[k]) for k in range(len(model.labels))]
+        e = [math.exp((x - max(z)) / model.temperature) for x in z]
+        return model.labels[z.index(max(z))], max(e) / sum(e)
+
+    found = {r["doc_id"]: r for r in queries.op7_language_id(spark, SMALL).collect()}
+    for r in docs.filter("doc_id % 5 = 0").collect():
+        got = found[r["doc_id"]]
+        if not language_id.has_letter(r["text"]):
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+        else:
+            label, p = plain(r["text"])
+            assert got["lang_pred"] == label and abs(got["score"] - p) < 1e-5
+
+
 def test_sparse_labels_and_rare_languages_are_learned(spark):
     said = {"en": "the house divided and the motion was carried", "fr": "la chambre a adopté cette motion hier soir", "de": "der antrag wurde gestern abend angenommen"}
     lang = lambda i: None if i % 50 else "de" if i >= 5500 else ("en", "fr")[i // 50 % 2]
@@ -581,11 +633,13 @@ def test_nested_pages_take_linear_time():
 
 def test_language_of_awkward_rows(awkward, empty, docs):
     both = docs.unionByName(awkward.select(docs.columns))
+    assert language_id.identify(awkward).columns == [*awkward.columns, "language_"]
     rows = [(r["doc_id"], r["text"], r["language"]) for r in language_id.identify(both).collect()]
     assert all(x["lang_pred"] == "und" and x["score"] == 0 and x["rejected"] for _, t, x in rows if not language_id.has_letter(t))
     assert language_id.identify(empty).count() == 0
     lost = language_id.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()
-    assert {r["language"]["lang_pred"] for r in lost} == {"und"}
+    assert {r["language_"]["lang_pred"] for r in lost} == {"und"}
+    assert language_id.keep_identified(empty).count() == 0
     assert language_id.keep_identified(both).columns == docs.columns
 
 
@@ -738,7 +792,8 @@ def test_cheap_and_strict_rules_come_first(docs):
 
 def test_quality_of_awkward_rows(awkward, empty):
     rows = quality.measure_and_judge(awkward).collect()
-    assert len(rows) == len(AWKWARD) and not any(r["quality"]["kept"] for r in rows if not r["text"])
+    assert len(rows) == len(AWKWARD) and not any(r["quality_"]["kept"] for r in rows if not r["text"])
+    assert {r["quality"] for r in rows} == {"clash"} and quality.judge(empty).count() == 0
     assert quality.measure_and_judge(empty).count() == 0
 
 
@@ -795,6 +850,24 @@ def test_edited_copies_beside_complete_ones_against_brute_force(spark):
     assert got == wanted and len(wanted) > 1.5 * len(items)
 
 
+def test_every_document_against_every_item(spark, docs):
+    """All that full alignment finds is found, and nothing else, scores included."""
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    items = {r["item_id"]: decontamination.words(r["text"]) for r in bench.collect()}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.matches(docs, bench).collect()}
+    wanted = {}
+    for d in docs.collect():
+        w = decontamination.words(d["text"])
+        for i, item in items.items():
+            ids: dict = {}
+            own = [ids.setdefault(x, len(ids)) for x in item]
+            score = decontamination.alignment(own, [ids.get(x, -1) for x in w])[0] / (decontamination.MATCH * len(item))
+            if score >= 0.5:
+                wanted[d["doc_id"], i] = score
+    assert got.keys() == wanted.keys() and wanted
+    assert all(got[k] <= wanted[k] + 1e-9 for k in got) and sum(got[k] >= wanted[k] - 1e-9 for k in got) >= 0.99 * len(got)
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, docs):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     one = {tuple(r) for r in decontamination.matches(docs, bench).collect()}
@@ -807,7 +880,10 @@ def test_benchmark_copies_of_awkward_rows(spark, awkward, empty):
     assert sorted(r["doc_id"] for r in got if r["item_id"] == 1) == [4, 5, 5]
     assert decontamination.matches(empty, bench).count() == 0
     assert decontamination.matches(awkward, bench.limit(0)).count() == 0
-    assert decontamination.without_contaminated(awkward, bench).columns == awkward.columns
+    clean = decontamination.without_contaminated(awkward, bench)
+    assert clean.columns == awkward.columns and clean.count() == len(AWKWARD) - 4
+    assert decontamination.without_contaminated(awkward, bench.limit(0)).count() == len(AWKWARD)
+    assert decontamination.without_contaminated(empty, bench).count() == 0
 
 
 # ---- pipeline ------------------------------------------------------------------------------------
