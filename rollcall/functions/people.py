@@ -20,6 +20,7 @@ NON_PARTY = (
     "speaker", "the speaker", "deputy speaker", "presiding officer",
     "deputy presiding officer", "unaffiliated", "other", "",
 )
+#: Titles before a name.
 HONORIFICS = "mr|mrs|ms|miss|dr|sir|dame|rt|hon|the"
 
 

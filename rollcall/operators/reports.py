@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +30,17 @@ def top_topics(salience: DataFrame, n: int = 3) -> DataFrame:
     return ranked.select("member", *named, F.try_element_at("t", F.lit(1))["share_pct"].alias("top_topic_1_share_pct"))
 
 
-def member_record(members: DataFrame, cast: DataFrame, spoken: DataFrame, salience: DataFrame, points: DataFrame | None = None, gap_days: int = 365, min_missed: int = 40, grace_days: int = 60) -> DataFrame:
+def member_record(members: DataFrame, cast: DataFrame, spoken: DataFrame, salience: DataFrame, points: DataFrame | None = None, gap_days: int = 365, min_missed: int = 40, grace_days: int = 60, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """One row per member, seeded from the roster so that those who never act appear too.
 
     ``members``: legislature, member_key, name, party, constituency, status.
     ``spoken``: member_key, n_questions, n_speeches. ``salience``: member, topic, ...
+    ``keep`` may write what several branches read, so that votes are read for the lines, the days and
+    the divisions alone.
     """
     counters = v.member_votes(cast)
-    divisions = v.division_meta(cast).select("legislature", "date")
-    turn = service.turnout(v.votes_per_day(cast), divisions, members, gap_days, min_missed, grace_days)
+    divisions = keep(v.division_meta(cast).select("legislature", "date"), "divisions")
+    turn = service.turnout(keep(v.votes_per_day(cast), "days"), divisions, members, gap_days, min_missed, grace_days, keep)
     joined = members.join(counters, ["legislature", "member_key"], "left").join(turn, ["legislature", "member_key"], "left").join(spoken, "member_key", "left")
     joined = joined.join(top_topics(salience).withColumnRenamed("member", "member_key"), "member_key", "left")
     if points is not None:
@@ -71,7 +75,9 @@ def receipts(rebellions: DataFrame, cap: int = MAX_RECEIPTS, keep: str = "oldest
     """Up to ``cap`` rebellions a member as receipts, newest first in ``shown`` order, with the first three marked and the overflow counted."""
     order = ["date", "seq"] if keep == "oldest" else [F.desc("date"), F.desc("seq")]
     own = Window.partitionBy("legislature", "member_key")
-    ranked = rebellions.withColumns({"place": F.row_number().over(own.orderBy(*order)), "all": F.count("*").over(own)}).filter(F.col("place") <= cap)
+    sizes = rebellions.groupBy("legislature", "member_key").agg(F.count("*").alias("all"))  # apart, so that the limit on places stays pushed down
+    first = rebellions.withColumn("place", F.row_number().over(own.orderBy(*order))).filter(F.col("place") <= cap)
+    ranked = first.join(sizes, ["legislature", "member_key"])
     shown = F.row_number().over(own.orderBy(F.desc("date"), F.desc("seq")))
     out = ranked.withColumn("shown", shown)
     return out.select(

@@ -7,6 +7,8 @@ join is needed: a count between two dates is the difference of two lookups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +71,15 @@ def term_start(spells: DataFrame, members: DataFrame) -> DataFrame:
     return months.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("legislature", "term_start")
 
 
-def turnout(vote_days: DataFrame, divisions: DataFrame, members: DataFrame, gap_days: int = GAP_DAYS, min_missed: int = MIN_MISSED, grace_days: int = GRACE_DAYS) -> DataFrame:
+def turnout(vote_days: DataFrame, divisions: DataFrame, members: DataFrame, gap_days: int = GAP_DAYS, min_missed: int = MIN_MISSED, grace_days: int = GRACE_DAYS, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """Per member: spells, start of the current window, votes and eligible divisions in it, turnout in percent.
 
     Sitting members are measured from the start of the term if they sat then or
     arrived within ``grace_days`` of it, and up to the last division; others up to
     their own last vote. A sitting member without votes gets none of the term's.
+    ``keep`` may write what several branches read: spells are worked out once.
     """
-    spells = service_spells(vote_days, divisions, gap_days, min_missed)
+    spells = keep(service_spells(vote_days, divisions, gap_days, min_missed), "spells")
     terms = term_start(spells, members)
     last = divisions.filter("date <> ''").groupBy("legislature").agg(F.max("date").alias("last_division"))
     everyone = members.select("legislature", "member_key", "status").join(current_spell(spells), ["legislature", "member_key"], "left")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollcall.functions import people
 from rollcall.operators import scaling
 from rollcall.operators import votes as v
 from rollcall.plans.catalog import query
 from rollcall.plans.views import members, votes
 
-NON_PARTY_SQL = """('independent', 'independent labour', 'independent conservative', 'non-affiliated', 'nonaffiliated', 'no party affiliation',
-  'none', 'crossbench', 'crossbencher', 'bishops', 'lord speaker', 'speaker', 'the speaker', 'deputy speaker', 'presiding officer',
-  'deputy presiding officer', 'unaffiliated', 'other', '')"""
+NON_PARTY_SQL = str(people.NON_PARTY)
 
 LINES = f"""
 party_tally AS (SELECT legislature, division, party, count_if(direction = 'aye') AS ayes, count_if(direction = 'no') AS noes FROM cast_ GROUP BY 1, 2, 3),
@@ -35,11 +34,11 @@ member_votes AS (SELECT coalesce(c.legislature, a.legislature) AS legislature, c
   FROM counted c FULL JOIN absent a ON c.legislature = a.legislature AND c.member_key = a.member_key)"""
 
 MATRIX = """
-matrix AS (SELECT member_key, division, arg_max(CASE WHEN direction = 'aye' THEN 1 ELSE -1 END, seq) AS v FROM cast_ WHERE legislature = 'F' GROUP BY 1, 2),
-keep_d AS (SELECT division FROM matrix GROUP BY 1 HAVING count(*) >= 20 AND least(count_if(v > 0), count_if(v < 0)) >= 3),
-keep_m AS (SELECT member_key FROM matrix GROUP BY 1 HAVING count(*) >= 25),
-cells AS (SELECT * FROM matrix WHERE division IN (FROM keep_d) AND member_key IN (FROM keep_m)),
-centred AS (SELECT member_key, division, v - avg(v) OVER (PARTITION BY division) AS v FROM cells)"""
+matrix AS (SELECT legislature, member_key, division, arg_max(CASE WHEN direction = 'aye' THEN 1 ELSE -1 END, seq) AS v FROM cast_ GROUP BY 1, 2, 3),
+keep_d AS (SELECT legislature, division FROM matrix GROUP BY 1, 2 HAVING count(*) >= 20 AND least(count_if(v > 0), count_if(v < 0)) >= 3),
+keep_m AS (SELECT legislature, member_key FROM matrix GROUP BY 1, 2 HAVING count(*) >= 25),
+cells AS (SELECT * FROM matrix SEMI JOIN keep_d USING (legislature, division) SEMI JOIN keep_m USING (legislature, member_key)),
+centred AS (SELECT legislature, member_key, division, v - avg(v) OVER (PARTITION BY legislature, division) AS v FROM cells)"""
 
 
 @query("SELECT * FROM party_tally", ctes=LINES)
@@ -88,31 +87,31 @@ def votes_per_day(spark, d):
     return v.votes_per_day(votes(spark, d))
 
 
-def _house(spark, d):
-    return votes(spark, d).filter("legislature = 'F'")
+@query("SELECT legislature, member_key, division, v::INT AS v FROM matrix", ctes=MATRIX)
+def vote_matrix(spark, d):
+    return scaling.vote_matrix(votes(spark, d), "legislature")
 
 
-@query("SELECT member_key, division, v::INT AS v FROM matrix", ctes=MATRIX)
-def vote_matrix(spark, d):
-    return scaling.vote_matrix(_house(spark, d))
+def _cells(spark, d):
+    return scaling.scaling_filter(scaling.vote_matrix(votes(spark, d), "legislature"), "legislature")
 
 
-@query("SELECT member_key, division, v::INT AS v FROM cells", ctes=MATRIX)
+@query("SELECT legislature, member_key, division, v::INT AS v FROM cells", ctes=MATRIX)
 def scaling_filter(spark, d):
-    return scaling.scaling_filter(scaling.vote_matrix(_house(spark, d)))
+    return _cells(spark, d)
 
 
-@query("SELECT member_key, division, round(v, 6) AS v FROM centred", ctes=MATRIX)
+@query("SELECT legislature, member_key, division, round(v, 6) AS v FROM centred", ctes=MATRIX)
 def centred_votes(spark, d):
-    cells = scaling.scaling_filter(scaling.vote_matrix(_house(spark, d)))
-    return scaling.centred_votes(cells).select("member_key", "division", F.round("v", 6).alias("v"))
+    return scaling.centred_votes(_cells(spark, d), "legislature").withColumn("v", F.round("v", 6))
 
 
-@query("""SELECT x.member_key AS a, y.member_key AS b, round(sum(x.v * y.v), 4) + 0.0 AS dot FROM centred x JOIN centred y USING (division)
-  WHERE x.member_key <= y.member_key GROUP BY 1, 2""", ctes=MATRIX)
+@query("""SELECT x.legislature, x.member_key AS a, y.member_key AS b, round(sum(x.v * y.v), 4) + 0.0 AS dot FROM centred x JOIN centred y USING (legislature, division)
+  WHERE x.member_key <= y.member_key GROUP BY 1, 2, 3""", ctes=MATRIX)
 def agreement_kernel(spark, d):
-    cells = scaling.centred_votes(scaling.scaling_filter(scaling.vote_matrix(_house(spark, d))))
-    return scaling.agreement_kernel(cells).select("a", "b", (F.round("dot", 4) + 0.0).alias("dot"))
+    """The Gram matrix that ideal points decompose, as a self-join: the check of it on a legislature's few thousand seats."""
+    kernel = scaling.agreement_kernel(scaling.centred_votes(_cells(spark, d), "legislature"), "legislature")
+    return kernel.withColumn("dot", F.round("dot", 4) + 0.0)
 
 
 def _scaled(spark, d):

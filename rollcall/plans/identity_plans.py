@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollcall.functions import people
 from rollcall.operators import identity
 from rollcall.plans.catalog import query
 from rollcall.plans.views import roster, statements, table
 
-MARKERS = ("speaker", "presiding officer", "llywydd", "lywydd", "chairman", "chairperson", "the chair", "deputy chair", "lord speaker", "clerk", "temporary chair")
-
 
 def norm_sql(c: str) -> str:
     n = f"lower(trim({c}))"
@@ -19,7 +18,7 @@ def norm_sql(c: str) -> str:
 
 def gradeable_sql(c: str) -> str:
     n = f"lower(trim({c}))"
-    chair = " OR ".join(f"contains({n}, '{m}')" for m in MARKERS)
+    chair = " OR ".join(f"contains({n}, '{m}')" for m in people.CHAIR_MARKERS)
     return f"({n} <> '' AND NOT regexp_matches({n}, '[0-9]') AND NOT ({chair}) AND length(regexp_replace({n}, '[^a-z]', '', 'g')) >= 2)"
 
 

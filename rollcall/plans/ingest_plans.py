@@ -109,11 +109,11 @@ def filter_date_range(spark, d):
 
 
 @query("""SELECT p.legislature, data_type, seq, source_rank FROM (SELECT *, CASE WHEN text = '' THEN 9 ELSE user_rank END AS source_rank FROM (
-  SELECT *, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS user_rank FROM pulls WHERE seq % 40 <> 0)) p
+  SELECT *, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS user_rank FROM pulls)) p
   QUALIFY source_rank = min(source_rank) OVER (PARTITION BY legislature, data_type)""")
 def source_fallback(spark, d):
     rank = F.when(F.col("text") == "", 9).when(F.col("value") < 20, 0).when(F.col("value") < 60, 1).otherwise(2)
-    rows = pulls(spark, d).filter("seq % 40 <> 0").withColumn("source_rank", rank)
+    rows = pulls(spark, d).withColumn("source_rank", rank)
     return ingest.source_fallback(rows, ["legislature", "data_type"]).select("legislature", "data_type", "seq", "source_rank")
 
 
@@ -129,10 +129,14 @@ def capped_listing(spark, d):
     return ingest.capped_listing(rows, ["legislature"], [F.desc("ts"), "seq"], 50).drop("ts")
 
 
-@query("SELECT legislature, data_type, seq, 'oral' AS source FROM pulls WHERE seq % 2 = 0 UNION ALL SELECT legislature, data_type, seq, 'written' FROM pulls WHERE seq % 3 = 0")
+ORAL = ("questions", "plenary_business")
+
+
+@query(f"SELECT legislature, data_type, seq, 'oral' AS source FROM pulls WHERE data_type IN {ORAL} UNION ALL SELECT legislature, data_type, seq, 'written' FROM pulls WHERE data_type NOT IN {ORAL}")
 def plenary_union(spark, d):
     p = pulls(spark, d).select("legislature", "data_type", "seq")
-    return p.filter("seq % 2 = 0").withColumn("source", F.lit("oral")).unionByName(p.filter("seq % 3 = 0").withColumn("source", F.lit("written")))
+    oral = F.col("data_type").isin(*ORAL)
+    return p.filter(oral).withColumn("source", F.lit("oral")).unionByName(p.filter(~oral).withColumn("source", F.lit("written")))
 
 
 def _issues(*parts: str) -> str:

@@ -21,14 +21,14 @@ def csv_scan(spark, d):
     return readers.master_csv(spark, path, columns)
 
 
-@query("""SELECT member_id, date, division, direction, title FROM votes WHERE legislature = 'F'""")
+@query("SELECT member_key AS member_id, date, division, direction, title FROM votes")
 def xml_scan(spark, d):
     """Votes as XML rows, scanned back and normalised."""
     path = folder(spark, "xml")
-    v = votes(spark, d).filter("legislature = 'F'")
+    v = votes(spark, d)
     token = F.when(F.col("direction") == "aye", "For").when(F.col("direction") == "no", "Against").otherwise("DidNotVote")
     v.select(
-        F.col("member_id").alias("Member_Id"), F.col("member_name").alias("Member_name_English"), F.col("date").alias("MeetingDate"), token.alias("Results_Result"),
+        F.col("member_key").alias("Member_Id"), F.col("member_name").alias("Member_name_English"), F.col("date").alias("MeetingDate"), token.alias("Results_Result"),
         F.col("title").alias("Vote_Name_English"), F.col("division").alias("Contribution_ID"),
     ).write.format("xml").option("rowTag", "row").option("rootTag", "rows").save(path)
     schema = strings("Member_Id", "Member_name_English", "MeetingDate", "Results_Result", "Vote_Name_English", "Contribution_ID")

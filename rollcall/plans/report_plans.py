@@ -10,6 +10,7 @@ from rollcall.plans.catalog import query
 from rollcall.plans.division_plans import LINES
 from rollcall.plans.text_plans import LEXICON, SALIENCE
 from rollcall.plans.views import members, statements, votes
+from rollcall.sources.scratch import written
 
 GAP, MISSED, GRACE = 100, 20, 60
 
@@ -59,11 +60,20 @@ def _salience(spark, d):
     return _spoken_keys(topics.salience(statements(spark, d), LEXICON))
 
 
-def _record(spark, d):
+VOTE_COLUMNS = ("legislature", "member_key", "party", "division", "date", "title", "direction", "seq")
+
+
+def _cast(spark, d):
+    """Votes joined to their members and divisions once, in the columns that reports read."""
+    return written(votes(spark, d).select(*VOTE_COLUMNS), "votes")
+
+
+def _record(spark, d, cast=None, salience=None):
     s = statements(spark, d)
     spoken = s.groupBy("member").agg(F.count_if(F.col("dtype") == "question").alias("n_questions"), F.count_if(F.col("dtype") == "speech").alias("n_speeches"))
     spoken = _spoken_keys(spoken).withColumnRenamed("member", "member_key")
-    return reports.member_record(members(spark, d), votes(spark, d), spoken, _salience(spark, d), None, GAP, MISSED, GRACE).drop("ideal_dim1", "ideal_dim2")
+    cast, salience = cast or _cast(spark, d), salience or _salience(spark, d)
+    return reports.member_record(members(spark, d), cast, spoken, salience, None, GAP, MISSED, GRACE, written).drop("ideal_dim1", "ideal_dim2")
 
 
 @query("SELECT * FROM record", ctes=RECORD)
@@ -92,7 +102,8 @@ def receipts(spark, d):
 
 
 def _payload(spark, d):
-    return reports.app_payload(_record(spark, d), _salience(spark, d), v.rebellions(votes(spark, d)))
+    cast, salience = _cast(spark, d), written(_salience(spark, d), "salience")
+    return reports.app_payload(_record(spark, d, cast, salience), salience, v.rebellions(cast))
 
 
 @query("""SELECT r.legislature, r.member_key, r.member, r.votes_cast, r.rebellions, coalesce((SELECT string_agg(topic || '=' || statements, ';' ORDER BY statements DESC, topic) FROM salience s
@@ -121,5 +132,5 @@ def area_search(spark, d):
 @query("""SELECT r.legislature, constituency AS area, row_number() OVER (PARTITION BY r.legislature, constituency ORDER BY votes_cast DESC, member, member_key)::INT AS place, member, votes_cast,
   greatest(0.0, least(100.0, turnout_pct)) AS turnout_pct, greatest(0.0, least(100.0, median_turnout_pct)) AS median_pct FROM record r JOIN bench USING (legislature) WHERE constituency <> ''""", ctes=RECORD)
 def area_members(spark, d):
-    record = _record(spark, d)
+    record = written(_record(spark, d), "record")
     return reports.area_members(record, reports.benchmarks(record))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from rollcall.operators import service
 from rollcall.plans.catalog import query
 from rollcall.plans.views import service_days, service_divisions, service_members
+from rollcall.sources.scratch import written
 
 GAP, MISSED, GRACE = 200, 30, 60
 
@@ -66,4 +67,4 @@ def divisions_eligible(spark, d):
   CASE WHEN greatest(e.eligible, t.term_votes) <> 0 THEN round(100.0::DOUBLE * t.term_votes / greatest(e.eligible, t.term_votes), 1) END AS turnout_pct
   FROM eligible e JOIN term_votes t USING (legislature, member_key)""", ctes=SPELLS)
 def turnout(spark, d):
-    return service.turnout(*_inputs(spark, d), GAP, MISSED, GRACE)
+    return service.turnout(*_inputs(spark, d), GAP, MISSED, GRACE, written)

@@ -1,4 +1,4 @@
-"""A fresh folder that driver and executors share, for files a query lands and reads back."""
+"""Fresh folders that driver and executors share, for files a query lands and tables it reads more than once."""
 
 from __future__ import annotations
 
@@ -7,15 +7,28 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which is set to a temporary folder where it is unset."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a temporary folder, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        made = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        found = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            made = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _local[app] = f"file://{made}"
+        found = _local[app]
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in such a folder, read back: what several branches of a report share is computed once."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -110,7 +110,7 @@ def test_ideal_points_agree_with_numpy(spark):
     cast = spark.createDataFrame(rows, "member_key string, division string, direction string, seq string")
     parties = spark.createDataFrame([(f"m{m:02d}", "Left" if m < 7 else "Right") for m in range(12)], "member_key string, party string")
     points, shares = scaling.ideal_points(cast, parties, 5, 5, 2)
-    cells = scaling.centred_votes(scaling.scaling_filter(scaling.vote_matrix(cast), 5, 5, 2)).toPandas()
+    cells = scaling.centred_votes(scaling.scaling_filter(scaling.vote_matrix(cast), member_votes=5, voters=5, minority=2)).toPandas()
     matrix = cells.pivot(index="member_key", columns="division", values="v").fillna(0.0)
     u, s, _ = np.linalg.svd(matrix.to_numpy(), full_matrices=False)
     got = points.toPandas().set_index("member_key").loc[matrix.index]
@@ -126,3 +126,10 @@ def test_reingesting_adds_nothing(spark):
     once = ingest.new_records(batch, spark.createDataFrame([], "key string"))
     assert {(r["key"], r["v"]) for r in once.collect()} == {("k1", "a"), ("k2", "c")}
     assert ingest.new_records(batch, once).count() == 0
+
+
+def test_more_seats_than_the_driver_can_hold_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(scaling, "MAX_SEATS", 2)
+    cast = spark.createDataFrame([(f"m{m}", f"d{k}", "aye" if (m + k) % 2 else "no", f"{k}") for m in range(6) for k in range(6)], "member_key string, division string, direction string, seq string")
+    with pytest.raises(ValueError, match="seats"):
+        scaling.ideal_points(cast, spark.createDataFrame([("m1", "red")], "member_key string, party string"), 2, 2, 1)

@@ -36,3 +36,20 @@ def test_entry_is_importable_and_covers_the_plans():
 
     assert set(registry.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["member_record", "benchmarks", "app_payload", "area_members"])
+def test_reports_read_the_votes_once(spark, name, monkeypatch):
+    """What branches share is written; the votes' own tables are in no plan but that of the shared table."""
+    from rollcall.plans import report_plans
+
+    plans = []
+    written = report_plans.written
+
+    def noted(df, what):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, what)
+
+    monkeypatch.setattr(report_plans, "written", noted)
+    plans.append(registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("l_suppkey") > 0 for p in plans) == 1
