@@ -209,7 +209,7 @@ def train(counts: DataFrame, texts: DataFrame, share: float = 1e-6, chains: int
 
 
 def score(docs: DataFrame, share: float = 1e-6, chains: int = 2) -> DataFrame:
-    """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learns from the rows that are not held out, scores all. Null text counts as
     empty: the end token alone. Without any training rows every token has base
@@ -285,4 +285,4 @@ def score(docs: DataFrame, share: float = 1e-6, chains: int = 2) -> DataFrame:
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
         (F.col("value") + F.coalesce("more_value", zero)).alias("score"),
-    )
+    ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

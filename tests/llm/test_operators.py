@@ -163,6 +163,7 @@ def test_language_model(spark, docs):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(w in counts for w in ws), n)
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+        assert abs(math.log10(r["perplexity"]) + r["score"] / len(ws)) < 1e-9
     out = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
