@@ -911,3 +911,24 @@ def test_pipeline_against_its_parts(spark, docs):
     leaked = {r["doc_id"] for r in decontamination.matches(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
     assert not leaked & set(wanted)
     assert all(not plain_spans(t) for t in wanted.values())
+
+
+def test_stages_on_awkward_and_empty_tables(spark, docs, awkward, empty):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    kept = docs.unionByName(awkward.select(docs.columns)).withColumn("doc_id", F.col("doc_id") + F.lit(0))
+    both = kept.withColumn("mark", F.lit("m"))
+    n = {}
+    for name in list(stages)[:-1]:
+        both = stages[name](spark, both, SMALL)
+        assert both.columns == [*docs.columns, "mark"]
+        both = spark.createDataFrame(both.collect(), both.schema)
+        n[name] = both.count()
+    assert {r["mark"] for r in both.collect()} == {"m"} and all(language_id.has_letter(r["text"]) for r in both.collect())
+    assert list(n.values()) == sorted(n.values(), reverse=True)
+    same = [r["doc_id"] for r in both.collect() if (r["text"] or "").startswith("same words in the same order")]
+    assert len(same) <= 1
+    none = empty.select(docs.columns)
+    for name in stages:
+        assert stages[name](spark, none, SMALL).count() == 0
