@@ -1,38 +1,50 @@
-"""Hierarchical Pitman-Yor language model over word pairs.
-
-Each context word u has a restaurant for the words that follow it; all restaurants
-share one parent, whose base measure is diffuse, so its new tables are new words.
-Spark counts words and pairs over all training documents. Seating arrangements are
-sampled by Gibbs: every dish of every restaurant is seated anew given the parent's
-predictive probabilities, its tables are the parent's customers, and so on in turn.
-Several chains run as Spark tasks; predictive terms are averaged over their samples.
-
-A restaurant seats the pairs that make up at least ``share`` of all training tokens.
-Customers of rarer pairs are passed to the parent, and their mass stays with it, so
-each context's probabilities still sum to one. At most 1/share words and 1/share
-pairs can reach that level, whatever the corpus: this bounds what is broadcast. The
-counts themselves cover all words, and rarer words are scored by a join.
+"""Hierarchical Pitman-Yor language model: words after two words, after one, and alone.
+
+Every pair of words has a restaurant for the words that follow it; those of all pairs
+with the same last word share the restaurant of that word as parent, and all of these
+share the root, whose base measure is uniform over the training words and one slot for
+all others. A table of a restaurant is a customer of its parent.
+
+Seating is sampled by Gibbs. What is reseated at once is a dish of a restaurant: all
+its customers and tables leave, and a number of tables t is drawn given the others,
+with weight S(c, t) (d v h)^t. S is the generalised Stirling number (the seatings of c
+customers at t tables), h the parent's probability of the dish without the tables that
+left, and v ~ Gamma(strength / d + tables) the auxiliary variable that makes the dishes
+of one restaurant independent, so that a step over all of them is exact for a given
+parent. As in other distributed samplers, the dishes of a level move at the same time,
+so h is that of the sweep before. The root's seating is drawn from what the buckets sent.
+Predictive probabilities are averaged over the samples.
+
+A text's tokens go to the bucket of the word before them. So a bucket holds all that a
+restaurant of that word and of its pairs needs, and a word's count too, as each token
+is the context of one other. A word that would fill a large part of a bucket is dealt
+over several by the word before it: its pairs stay whole, and its own restaurant is
+seated with the root, from sums over the buckets. Nothing of the size of the corpus or
+of its vocabulary reaches the driver or is broadcast.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut
+from rollcall.llm.common import broadcast_value, cut, hashed_sample
 
-END = b""  # the end token; no word is empty
-DISCOUNT, STRENGTH, ROOT_STRENGTH = 0.75, 1.0, 1.0
-_FLUSH = 400_000
+END = b""  # the end token, and the context of the first words; no word is empty
+ROOT, WORD, PAIR = (0.8, 1.0), (0.75, 1.0), (0.8, 1.0)  # (discount, strength) by level
+BUCKET = 2_000_000  # tokens of a bucket
+CHUNK = 1_000_000  # tokens that a task splits at once
+_EXACT = 200  # customers up to which Stirling numbers come from their recurrence
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,168 +59,392 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 1
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all rows of ``texts``; tasks count before the shuffle."""
+# ---- drawing tables ------------------------------------------------------------
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                seen.update(words(t))
-                if len(seen) > _FLUSH:
-                    yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
-                    seen = Counter()
-        yield pd.DataFrame({"word": list(seen), "c": np.array(list(seen.values()), np.int64)})
 
-    return texts.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+@lru_cache(maxsize=8)
+def stirling(d: float, top: int = _EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers of c customers at t tables, c and t up to ``top``."""
+    s = np.full((top + 1, top + 1), -np.inf)
+    s[1, 1] = 0
+    for c in range(1, top):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s[c + 1, t] = np.logaddexp(s[c, t - 1], np.where(t <= c, np.log(np.maximum(c - t * d, 1e-300)) + s[c, t], -np.inf))
+    return s
 
 
-def _holder(spark, value):
-    shared = spark.sparkContext.broadcast(pickle.dumps(value))
-    held: list = []
+@lru_cache(maxsize=8)
+def _saddle(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log of customers a table, log y) along the saddle points x = 1 - y of ((1 - (1 - x)^d) / d)^t."""
+    y = np.concatenate([np.exp(np.linspace(math.log(1e-60), math.log(0.5), 40_000)), 1 - np.exp(np.linspace(math.log(0.5), math.log(1e-9), 4_000))])
+    a = np.log((1 - y) * d * y ** (d - 1) / (1 - y**d))
+    order = np.argsort(a)
+    return a[order], np.log(y[order])
 
-    def get():
-        if not held:
-            held.append(pickle.loads(shared.value))
-        return held[0]
 
-    return get
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function, by Stirling's series above seven."""
+    z = x + 7
+    rising = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(rising)
 
 
-def _ids(found: list[list[bytes]], at: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word ids, context ids, first token of each text) of several texts laid end to end; -1 for words not in ``at``."""
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ids = np.fromiter((i for w in found for i in map(at.get, w, repeat(-1))), np.int64, int(sizes.sum()))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
-    context[first] = at.get(END, -1)
-    return ids, context, first
+def stirling_of_many(c: int, t: np.ndarray, d: float) -> np.ndarray:
+    """The same logarithms for more customers and an array of tables.
 
+    c! / (t! d^t) times the chance that t draws with generating function 1 - (1 - x)^d add
+    up to c. Up to 1.5 c^d tables that chance is the sum of its binomial expansion, whose
+    terms fall fast there; beyond, it comes from the saddle point.
+    """
+    out = np.empty(len(t))
+    few = t <= 1.5 * c**d
+    j = np.arange(1, 81)[:, None]
+    some = t[few]
+    size = _lgamma(some + 1) - np.where(j <= some, _lgamma(np.maximum(some - j, 0) + 1), np.inf) - _lgamma(j + 1.0) + _lgamma(1 + d * j) + _lgamma(c - d * j)
+    top = size.max(axis=0)
+    chance = np.log((np.exp(size - top) * np.sin(math.pi * d * j) * (-1.0) ** (j + 1)).sum(axis=0) / math.pi) + top
+    out[few] = chance - _lgamma(some + 1) - some * math.log(d)
+    at, log_y = _saddle(d)
+    many = t[~few]
+    y = np.exp(np.interp(np.log(c / many), at, log_y))
+    x, f = 1 - y, (1 - y**d) / d
+    ratio = x * y ** (d - 1) / f
+    spread = np.maximum(ratio * (1 + x * (1 - d) / y - ratio), 1e-300)
+    log_c = _lgamma(np.array([c + 1.0]))[0]
+    out[~few] = log_c - _lgamma(many + 1) + many * np.log(f) - c * np.log1p(-y) - 0.5 * np.log(2 * math.pi * many * spread)
+    out[t == c] = 0.0
+    return out
+
+
+@lru_cache(maxsize=3000)
+def _numbers_of_tables(c: int, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of tables for c customers, of how many each stands (those beyond 64 for the run up to the next one), and the logarithms of their weights."""
+    t = np.unique(np.concatenate([np.arange(1, 65), np.geomspace(64, c, 250).astype(np.int64)]))
+    wide = np.diff(t, append=c + 1)
+    return t, wide, stirling_of_many(c, t.astype(float), d) + np.log(wide)
+
+
+def draw_tables(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of many dishes of ``c`` customers, drawn with weight S(c, t) * weight^t; none without customers."""
+    tables = np.minimum(c, 1).astype(np.int64)
+    log_weight = np.log(np.maximum(weight, 1e-300))
+    low = 1
+    for high in (2, 4, 12, 48, _EXACT):
+        some = np.flatnonzero((c > low) & (c <= high))
+        for at in np.array_split(some, 1 + len(some) * high // 2_000_000):
+            if len(at):
+                t = np.arange(1, high + 1)
+                tables[at] = 1 + _pick(stirling(d)[c[at], 1 : high + 1] + log_weight[at, None] * t, rng)
+        low = high
+    for i in np.flatnonzero(c > _EXACT):
+        t, wide, logs = _numbers_of_tables(int(c[i]), d)
+        first = _pick((logs + log_weight[i] * t)[None], rng)[0]
+        tables[i] = t[first] + rng.integers(wide[first])
+    return tables
 
-def pair_counts(texts: DataFrame, frequent: list[bytes], least: float) -> DataFrame:
-    """(pair, c) of the pairs of frequent words with a count of ``least`` or more; pair = context id * number of words + word id."""
-    size = len(frequent)
-    get = _holder(texts.sparkSession, {w: i for i, w in enumerate(frequent)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        waiting = 0
+def _pick(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    return (p < rng.random((len(p), 1)) * p[:, -1:]).sum(axis=1)
 
-        def counted() -> pd.DataFrame:
-            pair, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            return pd.DataFrame({"pair": pair, "c": c.astype(np.int64)})
 
-        for b in batches:
-            for k in range(0, len(b), 500):
-                ids, context, _ = _ids([words(t) for t in b["text"].iloc[k : k + 500]], get())
-                both = (ids >= 0) & (context >= 0)
-                held.append(context[both] * size + ids[both])
-                waiting += len(held[-1])
-                if waiting > 8_000_000:
-                    yield counted()
-                    held, waiting = [], 0
-        yield counted()
+def predictive(c, t, d: float, strength: float, customers, tables, parent) -> np.ndarray:
+    """Probability of a dish with c customers and t tables in a restaurant, given the parent's."""
+    return (np.maximum(c - d * t, 0) + (strength + d * tables) * parent) / (strength + customers)
 
-    return texts.select("text").mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
 
+# ---- from texts to buckets ------------------------------------------------------
 
-def seat(c: np.ndarray, strength: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Number of tables when ``c`` customers of one dish are seated, for many dishes at once.
 
-    A customer opens a table with weight ``strength`` (the restaurant's new-table
-    weight times the parent's probability of the dish) against i - d * t for joining
-    one of t tables of i customers. The first 64 are seated one by one, later ones in
-    runs of a twentieth of those seated, over which the weights barely change.
-    """
-    tables = np.ones(len(c))
-    order = np.argsort(-c, kind="stable")
-    size, s, t = c[order], strength[order], tables[order]
-    i = 1
-    while True:
-        active = int(np.searchsorted(-size, -i, side="left"))  # dishes with more than i customers
-        if not active:
-            break
-        run = 1 if i < 64 else i // 20
-        n = np.minimum(run, size[:active] - i)
-        p = s[:active] / (s[:active] + i - DISCOUNT * t[:active])
-        t[:active] += rng.random(active) < p if run == 1 else rng.binomial(n.astype(np.int64), p)
-        i += run
-    tables[order] = t
-    return tables
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = xxhash.xxh64_intdigest(word)
+        return self[word]
+
+
+def _mix(a: np.ndarray, b) -> np.ndarray:
+    """A hash of two unsigned 64-bit numbers."""
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed value, byte by byte of their numbers."""
+    return zstandard.compress(pickle.dumps([(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in arrays]), 3)
+
+
+def _unpack(body: bytes) -> list[np.ndarray]:
+    found = []
+    for dtype, data in pickle.loads(zstandard.decompress(bytes(body))):
+        size = np.dtype(dtype).itemsize
+        found.append(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype))
+    return found
+
+
+class Layout:
+    """How many buckets there are, and the words that are dealt over several: their sorted hashes and numbers of buckets."""
 
+    def __init__(self, buckets: int, spread: dict[int, int]):
+        self.buckets = buckets
+        self.hot = np.array(sorted(spread), np.uint64)
+        self.parts = np.array([spread[h] for h in sorted(spread)], np.uint64)
 
-def gibbs(pair: np.ndarray, c: np.ndarray, word_c: np.ndarray, rest: tuple[float, float, float], seed: int, burn_in: int = 3, samples: int = 4) -> np.ndarray:
-    """Average number of tables of each pair over the samples of one chain.
+    def number(self, word: np.ndarray) -> np.ndarray:
+        """1 + position among the dealt words; 0 for others."""
+        if not len(self.hot):
+            return np.zeros(len(word), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
+        return np.where(self.hot[at] == word, at + 1, 0)
 
-    ``word_c``: counts of the frequent words; ``rest``: (customers, words, discount)
-    that the parent has apart from them.
+    def bucket(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        k = self.number(word)
+        parts = np.concatenate([np.ones(1, np.uint64), self.parts])[k]
+        return (_mix(word, _mix(before, 1) % parts) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def plan_layout(rows: DataFrame, bucket: int = BUCKET) -> Layout:
+    """Buckets of about ``bucket`` tokens, by the texts' length at six characters a token.
+
+    Words that take over half a bucket are found on a sample of 2,000 rows and 20 a bucket; they
+    decide only where tokens go. There are at most twice as many of them as buckets.
     """
-    size = len(word_c)
-    u, w = pair // size, pair % size
-    passed = word_c - np.bincount(w, c, size)  # customers of w that go straight to the parent
-    other, types, discount = rest
-    rng = np.random.default_rng(seed)
-    t, total = np.ones(len(pair)), np.zeros(len(pair))
-    for sweep in range(burn_in + samples):
-        at_u = np.bincount(u, t, size)
-        customers = passed + np.bincount(w, t, size)
-        parent = np.maximum(customers - discount, 1e-3) / (ROOT_STRENGTH + customers.sum() + other)
-        t = seat(c, (STRENGTH + DISCOUNT * at_u[u]) * parent[w], rng)
-        if sweep >= burn_in:
-            total += t
-    return total / samples
-
-
-class Model:
-    """What scoring needs: the frequent words with their terms, the pairs with theirs, and the parent's constants."""
-
-    def __init__(self, frequent: list[bytes], word_c: np.ndarray, pair: np.ndarray, c: np.ndarray, tables: np.ndarray, n: int, v: int, n1: int, n2: int):
-        size = max(1, len(frequent))
-        u, w = pair // size, pair % size
-        self.frequent, self.n, self.v = frequent, n, v
-        self.word_c = word_c
-        self.discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-        customers = word_c - np.bincount(w, c, size)[: len(word_c)] + np.bincount(w, tables, size)[: len(word_c)]
-        self.total = ROOT_STRENGTH + (n - word_c.sum()) + customers.sum()
-        parent = np.maximum(customers - self.discount, 1e-3) / self.total
-        seated, opened = np.bincount(u, c, size)[: len(word_c)], np.bincount(u, tables, size)[: len(word_c)]
-        back = (STRENGTH + DISCOUNT * opened + word_c - seated) / (STRENGTH + word_c)
-        self.log_word, self.log_back = np.log10(parent), np.log10(back)
-        self.pair = pair
-        own = np.maximum(c - DISCOUNT * tables, 0) / (STRENGTH + word_c[u]) if len(pair) else np.zeros(0)
-        self.log_gain = np.log10(own / (back[u] * parent[w]) + 1) if len(pair) else np.zeros(0)
-        self.log_base = np.log10((word_c + 0.5) / (n + 0.5 * (v + 1)))
-
-    def log_new(self) -> float:
-        """log10 probability that the parent serves a new word."""
-        return math.log10((ROOT_STRENGTH + self.discount * self.v) / self.total) if self.n else 0.0
-
-
-def train(counts: DataFrame, texts: DataFrame, share: float = 1e-6, chains: int = 2) -> Model:
-    """The model of ``texts``, whose word counts are ``counts``."""
-    spark = texts.sparkSession
-    s = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    n, v = int(s["n"] or 0), int(s["v"])
-    least = max(1.0, share * n)
-    found = sorted((bytes(r["word"]), r["c"]) for r in counts.filter(F.col("c") >= least).collect())  # 1/share words at most
-    frequent, word_c = [w for w, _ in found], np.array([c for _, c in found], float)
-    pairs = pair_counts(texts, frequent, least).toPandas().sort_values("pair")  # 1/share pairs at most
-    pair, c = pairs["pair"].to_numpy(np.int64), pairs["c"].to_numpy(np.float64)
-    discount = min(0.95, max(0.05, s["n1"] / (s["n1"] + 2 * s["n2"]))) if s["n1"] else 0.5
-    get = _holder(spark, (pair, c, word_c, (float(n - word_c.sum()), float(v), discount)))
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(chars / 6 / bucket))
+    if buckets == 1:
+        return Layout(1, {})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for seed in b["id"]:
-                yield pd.DataFrame({"at": np.arange(len(get()[0])), "t": gibbs(*get(), seed=int(seed))})
+            w, c = np.unique(np.array([w for t in b["text"] for w in map(_Hashes().__getitem__, words(t))], np.uint64), return_counts=True)
+            yield pd.DataFrame({"w": w.view(np.int64), "c": c})
 
-    averaged = spark.range(chains).repartition(chains, "id").mapInPandas(chain, "at long, t double").groupBy("at").agg(F.avg("t").alias("t"))
-    tables = averaged.toPandas().sort_values("at")["t"].to_numpy(np.float64) if len(pair) else np.zeros(0)
-    return Model(frequent, word_c, pair, c, tables, n, v, int(s["n1"]), int(s["n2"]))
+    counts = hashed_sample(rows.select("text"), 2000 + 20 * buckets, "text").mapInPandas(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    counts = cut(counts, "sampled")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    large = counts.filter(F.col("c") * 2 * buckets > total).collect()
+    return Layout(buckets, {r["w"] % 2**64: math.ceil(2 * buckets * r["c"] / total) for r in large})
 
 
-def score(docs: DataFrame, share: float = 1e-6, chains: int = 2) -> DataFrame:
+def split(rows: DataFrame, layout: Layout) -> DataFrame:
+    """(bucket, body): the tokens of all rows, each with the two before it and its text; alike ones of a text once, with their number."""
+    get = broadcast_value(rows.sparkSession, layout)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, held, waiting = _Hashes(), [], 0
+        base = TaskContext.get().partitionId() << 36
+        for b in batches:
+            for doc_id, text, out in zip(b["doc_id"].astype("Int64"), b["text"], b["held_out"]):
+                found = words(text)
+                held.append((base, doc_id, out, np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
+                base, waiting = base + 1, waiting + len(found)
+                if waiting > CHUNK:
+                    yield _dealt(held, get())
+                    held, waiting = [], 0
+        if held:
+            yield _dealt(held, get())
+
+    return rows.mapInPandas(run, "bucket int, body binary")
+
+
+def _dealt(held: list[tuple], layout: Layout) -> pd.DataFrame:
+    vocabulary, code, times = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(times))  # frequent words get small codes, which compress well
+    word = rank[code]
+    known = np.empty_like(vocabulary)
+    known[rank] = vocabulary
+    sizes = np.array([len(x[3]) for x in held])
+    doc = np.repeat(np.arange(len(held)), sizes)
+    first = np.cumsum(sizes) - sizes
+    end = word[-1]
+    u1 = np.roll(word, 1)
+    u1[first] = end
+    u2 = np.roll(u1, 1)
+    u2[first] = end
+    key = _mix(_mix(_mix(doc.astype(np.uint64), u2.astype(np.uint64)), u1.astype(np.uint64)), word.astype(np.uint64))
+    _, at, m = np.unique(key, return_index=True, return_counts=True)
+    bucket = layout.bucket(known[u1[at]], known[u2[at]])
+    order = np.argsort(bucket * len(held) + doc[at], kind="stable")
+    at, m, bucket = at[order], m[order], bucket[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    row = np.array([x[0] for x in held], np.int64)
+    null = np.array([x[1] is pd.NA for x in held])
+    ids = np.array([0 if x[1] is pd.NA else x[1] for x in held], np.int64)
+    out = np.array([bool(x[2]) for x in held])
+    bodies = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        a = at[lo:hi]
+        used = np.zeros(len(known), bool)
+        for x in (u2, u1, word):
+            used[x[a]] = True
+        place = (np.cumsum(used) - 1).astype(np.uint32)
+        docs, d = np.unique(doc[a], return_inverse=True)
+        bodies.append(_pack(known[used], place[u2[a]], place[u1[a]], place[word[a]], d.astype(np.uint32), m[lo:hi].astype(np.uint32), row[docs], ids[docs], null[docs], out[docs]))
+    return pd.DataFrame({"bucket": bucket[edges[:-1]].astype(np.int32), "body": bodies})
+
+
+# ---- a bucket's restaurants --------------------------------------------------------
+
+
+class Bucket:
+    """The restaurants of a bucket's words and pairs of words, and its texts' tokens."""
+
+    def __init__(self, bodies, layout: Layout):
+        parts = [_unpack(b) for b in bodies]
+        self.words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        starts = np.cumsum([0, *(len(p[0]) for p in parts)])
+        doc_starts = np.cumsum([0, *(len(p[6]) for p in parts)])
+        u2, u1, w = (np.concatenate([code[s + p[i]] for p, s in zip(parts, starts)]) for i in (1, 2, 3))
+        self.doc = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, doc_starts)])
+        self.m = np.concatenate([p[5] for p in parts]).astype(np.float64)
+        self.row, self.ids, self.null, self.out = (np.concatenate([p[i] for p in parts]) for i in (6, 7, 8, 9))
+        del parts, code
+        size = len(self.words)
+        taught = np.where(self.out[self.doc], 0.0, self.m)
+        self.u1, self.count = u1, np.bincount(u1, taught, size).astype(np.int64)
+        self.pairs, pair = np.unique(u1 * size + w, return_inverse=True)
+        dishes, self.dish = np.unique(u2 * len(self.pairs) + pair, return_inverse=True)
+        self.c = np.bincount(self.dish, taught, len(dishes)).astype(np.int64)
+        self.pair = dishes % len(self.pairs)
+        self.pu, self.pw = self.pairs // size, self.pairs % size
+        _, self.house = np.unique(dishes // len(self.pairs) * size + self.pu[self.pair], return_inverse=True)
+        self.customers = np.bincount(self.house, self.c)
+        number = layout.number(self.words)
+        self.number = number  # of each word among those dealt over several buckets
+        self.k = number[self.pu]
+        self.root = np.full(size, 1 / (size + 1))
+        self.given = np.full(len(self.pairs), np.nan)  # probabilities in restaurants that are seated elsewhere
+        self.t, self.c2 = np.minimum(self.c, 1), None
+        self._hand_up()
+        self.t2 = np.minimum(self.c2, 1)
+
+    def take(self, layout: Layout, k: np.ndarray, w: np.ndarray, p: np.ndarray) -> None:
+        """Probabilities from the restaurants above: of words in the root (k = 0) and in those dealt over buckets."""
+        at = np.searchsorted(self.words, w)
+        self.root[at[k == 0]] = p[k == 0]
+        u = np.searchsorted(self.words, layout.hot[k[k > 0] - 1])
+        self.given[np.searchsorted(self.pairs, u * len(self.words) + at[k > 0])] = p[k > 0]
+
+    def _hand_up(self) -> None:
+        self.c2 = np.bincount(self.pair, self.t, len(self.pairs)).astype(np.int64)
+
+    def _above(self, less=0) -> np.ndarray:
+        """Probability of each pair's word after its first, without ``less`` customers of it (by dish, if an array)."""
+        pick = self.pair if np.ndim(less) else slice(None)
+        u = self.pu[pick]
+        c = np.maximum(self.c2[pick] - less, 0)
+        seated, tables = (np.bincount(self.pu, x, len(self.words))[u] for x in (self.c2, self.t2))
+        p = predictive(c, np.minimum(self.t2[pick], c), *WORD, seated, tables, self.root[self.pw[pick]])
+        return np.where(np.isnan(self.given[pick]), p, self.given[pick])
+
+    def sweep(self, rng: np.random.Generator) -> None:
+        d, strength = PAIR
+        v = rng.gamma(strength / d + np.bincount(self.house, self.t, len(self.customers)))
+        self.t = draw_tables(self.c, d * v[self.house] * self._above(self.t), d, rng)
+        self._hand_up()
+        d, strength = WORD
+        v = rng.gamma(strength / d + np.bincount(self.pu, self.t2, len(self.words)))
+        self.t2 = draw_tables(self.c2, d * v[self.pu] * self.root[self.pw], d, rng)
+
+    def probabilities(self) -> np.ndarray:
+        """Of each dish, after its pair of words."""
+        tables = np.bincount(self.house, self.t, len(self.customers))
+        return predictive(self.c, self.t, *PAIR, self.customers[self.house], tables[self.house], self._above()[self.pair])
+
+    def messages(self, number: int, parts: int) -> pd.DataFrame:
+        """What the restaurants above need: customers by (k, word), in ``parts`` by the word's hash; counts of words in the rows without a part."""
+        own = self.k == 0
+        seen = np.unique(self.pw[own])
+        k = np.concatenate([np.zeros(len(seen), np.int64), self.k[~own]])
+        w = self.words[np.concatenate([seen, self.pw[~own]])]
+        c = np.concatenate([np.bincount(self.pw[own], self.t2[own], len(self.words))[seen], self.c2[~own]]).astype(np.int64)
+        part = (_mix(w, 7) % np.uint64(parts)).astype(np.int64)
+        rows = [(int(p), number, 0, 0, 0, _pack(k[part == p].astype(np.uint32), w[part == p], c[part == p])) for p in np.unique(part)]
+        hot = np.flatnonzero((self.number > 0) & (np.bincount(self.pu, minlength=len(self.words)) > 0))
+        rows += [(-1, number, int(self.number[i]), int(self.count[i]), 0, None) for i in hot]
+        plain = self.number == 0
+        rows.append((-1, number, 0, int(self.count[plain].sum()), int((self.count[plain] > 0).sum()), None))
+        return pd.DataFrame(rows, columns=["part", "bucket", "k", "n", "v", "body"])
+
+
+def seat_above(bodies, kinds: int, v: int, customers: np.ndarray | None, tables: np.ndarray | None, seed: int):
+    """Seat what the buckets handed up: (k, words, customers, tables, probability in the root, place of each sent row).
+
+    ``customers`` and ``tables``: of all parts, by k; without them each dish has one table.
+    """
+    sent = [_unpack(b) for b in bodies]
+    k, w, c = (np.concatenate([s[i] for s in sent]) for i in range(3))
+    _, first, inverse = np.unique(_mix(w, k.astype(np.uint64)), return_index=True, return_inverse=True)
+    c = np.bincount(inverse, c, len(first)).astype(np.int64)
+    k, w = k[first].astype(np.int64), w[first]
+    names, at = np.unique(w, return_inverse=True)
+    own = np.bincount(at[k == 0], c[k == 0], len(names)).astype(np.int64)
+    hot = k > 0
+    t = np.minimum(c, 1)
+    root_t = np.minimum(own + np.bincount(at[hot], t[hot], len(names)), 1).astype(np.int64)
+    rng = np.random.default_rng(seed)
+    if customers is not None:
+        for _ in range(3):
+            root_c = own + np.bincount(at[hot], t[hot], len(names)).astype(np.int64)
+            less = root_c[at] - t
+            p = predictive(less, np.minimum(root_t[at], less), *ROOT, customers[0], tables[0], 1 / (v + 1))
+            d, strength = WORD
+            aux = np.array([np.random.default_rng((seed, i)).gamma(strength / d + x) for i, x in enumerate(tables)])
+            t[hot] = draw_tables(c[hot], d * aux[k[hot]] * p[hot], d, rng)
+            root_c = own + np.bincount(at[hot], t[hot], len(names)).astype(np.int64)
+            d, strength = ROOT
+            root_t = draw_tables(root_c, np.full(len(names), d * rng.gamma(strength / d + tables[0]) / (v + 1)), d, rng)
+    root_c = own + np.bincount(at[hot], t[hot], len(names)).astype(np.int64)
+    total = np.zeros((2, kinds))
+    for row, x, y in ((0, c, root_c), (1, t, root_t)):
+        total[row] = np.bincount(k[hot], x[hot], kinds)
+        total[row, 0] = y.sum()
+    return k, w, c, t, root_c[at], root_t[at], total, inverse, [len(s[0]) for s in sent]
+
+
+def _totals(messages: DataFrame, layout: Layout, v: int, found) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, tables) by k over all parts, of the seating that ``found`` of an earlier pass leads to."""
+    kinds = len(layout.hot) + 1
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        total = seat_above(b.sort_values("bucket")["body"], kinds, v, *found, seed=int(b["part"].iloc[0]))[6]
+        some = np.flatnonzero(total[0])
+        return pd.DataFrame({"k": some, "c": total[0][some], "t": total[1][some]})
+
+    rows = messages.groupBy("part").applyInPandas(run, "k long, c double, t double").groupBy("k").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
+    out = np.zeros((2, kinds))
+    for r in rows:
+        out[:, r["k"]] = r["c"], r["t"]
+    return out[0], out[1]
+
+
+def _replies(messages: DataFrame, layout: Layout, v: int) -> DataFrame:
+    """(bucket, body): probabilities in the root and in the dealt words' restaurants, for those who sent customers."""
+    kinds = len(layout.hot) + 1
+    start = _totals(messages, layout, v, (None, None))
+    seated = _totals(messages, layout, v, start)
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("bucket")
+        k, w, c, t, root_c, root_t, _, inverse, sizes = seat_above(b["body"], kinds, v, *start, seed=int(b["part"].iloc[0]))
+        customers, tables = seated
+        root = predictive(root_c, root_t, *ROOT, customers[0], tables[0], 1 / (v + 1))
+        p = np.where(k > 0, predictive(c, t, *WORD, customers[k], tables[k], root), root)
+        cuts = np.cumsum(sizes)[:-1]
+        bodies = [_pack(k[i].astype(np.uint32), w[i], p[i]) for i in np.split(inverse, cuts)]
+        return pd.DataFrame({"bucket": b["bucket"].to_numpy(), "body": bodies})
+
+    return messages.groupBy("part").applyInPandas(run, "bucket int, body binary")
+
+
+# ---- scoring ----------------------------------------------------------------------------
+
+
+def score(docs: DataFrame, bucket: int = BUCKET, burn_in: int = 3, samples: int = 4) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learns from the rows that are not held out, scores all. Null text counts as
@@ -218,71 +454,72 @@ def score(docs: DataFrame, share: float = 1e-6, chains: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    texts = rows.filter(~F.col("held_out")).select("text")
-    counts = cut(word_counts(texts), "words")
-    model = train(counts, texts, share, chains)
-    get = _holder(spark, (model, {w: i for i, w in enumerate(model.frequent)}))
-    size = max(1, len(model.frequent))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, at = get()
-        row = TaskContext.get().partitionId() << 36
-        for b in batches:
-            for k in range(0, len(b), 200):
-                part = b.iloc[k : k + 200]
-                found = [words(t) for t in part["text"]]
-                ids, context, first = _ids(found, at)
-                known, after = ids >= 0, context >= 0
-                base = np.zeros(len(ids))
-                value = np.zeros(len(ids))
-                base[known] = m.log_base[ids[known]]
-                value[known] = m.log_word[ids[known]]
-                value[after] += m.log_back[context[after]]
-                both = np.flatnonzero(known & after)
-                if len(m.pair):
-                    key = context[both] * size + ids[both]
-                    place = np.minimum(np.searchsorted(m.pair, key), len(m.pair) - 1)
-                    hit = m.pair[place] == key
-                    value[both[hit]] += m.log_gain[place[hit]]
-                rare = [Counter(x for x in w if x not in at) for w in found]
-                yield pd.DataFrame(
-                    {
-                        "row": range(row, row + len(part)),
-                        "doc_id": part["doc_id"].astype("Int64"),
-                        "held_out": part["held_out"],
-                        "n_tokens": [len(w) for w in found],
-                        "n_known": np.add.reduceat(known.astype(np.int64), first),
-                        "base": np.add.reduceat(base, first),
-                        "value": np.add.reduceat(value, first),
-                        "rare": [list(r) for r in rare],
-                        "times": [list(r.values()) for r in rare],
-                    }
-                )
-                row += len(part)
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double, rare array<binary>, times array<int>"
-    stored = cut(rows.mapInPandas(run, schema), "scored")
-    each = stored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    base = F.log10((c + 0.5) / F.lit(model.n + 0.5 * (model.v + 1)))
-    value = F.when(c > 0, F.log10((c - model.discount) / F.lit(float(model.total)))).otherwise(F.lit(model.log_new()))
-    sums = (
-        each.join(counts, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("times") * base).alias("more_base"),
-            F.sum(F.col("times") * value).alias("more_value"),
-        )
+    layout = plan_layout(rows, bucket)
+    get = broadcast_value(spark, layout)
+    sent = cut(split(rows, layout).groupBy("bucket").applyInPandas(_learner(get, burn_in), "part int, bucket int, k int, n long, v long, body binary"), "messages")
+    stats = {r["k"]: (r["n"], r["v"]) for r in sent.filter("part < 0").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    n = sum(x for x, _ in stats.values())
+    counts = np.array([0, *(stats.get(k + 1, (0, 0))[0] for k in range(len(layout.hot)))])
+    v = sum(x for _, x in stats.values()) + int((counts > 0).sum())
+    messages = sent.filter("part >= 0").select("part", "bucket", "body")
+    replies = cut(_replies(messages, layout, v), "replies")
+    scored = split(rows, layout).groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(
+        _scorer(get, broadcast_value(spark, counts), burn_in, samples),
+        "row long, doc_id long, held_out boolean, n long, known long, base double, value double",
+    )
+    each = scored.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("held_out").alias("held_out"),
+        F.sum("n").alias("n_tokens"),
+        F.sum("known").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        F.sum("base").alias("base_score"),
+        F.sum("value").alias("score"),
     )
-    joined = stored.drop("rare", "times").join(sums, "row", "left")
-    zero = F.lit(0)
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("value") + F.coalesce("more_value", zero)).alias("score"),
-    ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    base = F.col("base_score") - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))
+    return each.drop("row").withColumn("base_score", base).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def _learner(get: Callable, sweeps: int) -> Callable:
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        layout, number = get(), int(b["bucket"].iloc[0])
+        here = Bucket(b["body"], layout)
+        rng = np.random.default_rng((1, number))
+        for _ in range(sweeps):
+            here.sweep(rng)
+        return here.messages(number, max(1, layout.buckets // 2))
+
+    return run
+
+
+def _scorer(get: Callable, get_counts: Callable, burn_in: int, samples: int) -> Callable:
+    def run(b: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        layout, number = get(), int(b["bucket"].iloc[0])
+        here = Bucket(b["body"], layout)
+        for body in replies["body"]:
+            here.take(layout, *_unpack(body))
+        rng = np.random.default_rng((2, number))
+        p = np.zeros(len(here.c))
+        for s in range(burn_in + samples):
+            here.sweep(rng)
+            if s >= burn_in:
+                p += here.probabilities() / samples
+        count = np.where(here.number > 0, get_counts()[here.number], here.count)[here.u1]
+        docs = len(here.row)
+
+        def sums(x) -> np.ndarray:
+            return np.bincount(here.doc, here.m * x, docs)
+
+        return pd.DataFrame(
+            {
+                "row": here.row,
+                "doc_id": pd.array(here.ids, "Int64").copy() if not here.null.any() else pd.arrays.IntegerArray(here.ids, here.null),
+                "held_out": here.out,
+                "n": sums(1).astype(np.int64),
+                "known": sums(count > 0).astype(np.int64),
+                "base": sums(np.log10(count + 0.5)),
+                "value": sums(np.log10(p[here.dish])),
+            }
+        )
+
+    return run

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rollcall.llm import decontamination, html_text, language_id, language_model, near_dedup, packing, pii, quality, queries, sharding, url_filter
@@ -168,33 +169,135 @@ def test_language_model(spark, docs):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-@pytest.mark.parametrize("share", [1e-9, 1e-3])
-def test_probabilities_sum_to_one(docs, share):
-    texts = docs.filter(~language_model.held_out()).select("text")
-    counts = language_model.word_counts(texts)
-    m = language_model.train(counts, texts, share)
-    at = {w: i for i, w in enumerate(m.frequent)}
-    rare = [r["c"] for r in counts.collect() if bytes(r["word"]) not in at]
-    parent = 10**m.log_word
-    whole = parent.sum() + sum((c - m.discount) / m.total for c in rare) + 10 ** m.log_new()
-    assert abs(whole - 1) < 1e-9
-    for word in (b"the", language_model.END):
-        here = m.pair // len(at) == at[word]
-        own = (10 ** m.log_gain[here] - 1) * 10 ** m.log_back[at[word]] * parent[(m.pair % len(at))[here]]
-        assert abs(own.sum() + 10 ** m.log_back[at[word]] * whole - 1) < 1e-9
-
-
-def test_seating_matches_one_by_one_draws():
-    rng = np.random.default_rng(0)
-    fast = language_model.seat(np.full(4000, 300.0), np.full(4000, 5.0), rng)
-    slow = []
-    for _ in range(1500):
-        t = 1
-        for i in range(1, 300):
-            t += rng.random() < 5.0 / (5.0 + i - language_model.DISCOUNT * t)
-        slow.append(t)
-    assert abs(fast.mean() - np.mean(slow)) < 0.5
-    assert (language_model.seat(np.array([1.0]), np.array([9.0]), rng) == 1).all()
+def bucket_of(spark, docs, sweeps=3):
+    rows = docs.select("doc_id", "text", language_model.held_out().alias("held_out"))
+    layout = language_model.Layout(1, {})
+    here = language_model.Bucket([r["body"] for r in language_model.split(rows, layout).collect()], layout)
+    rng = np.random.default_rng(5)
+    for _ in range(sweeps):
+        here.sweep(rng)
+    return here
+
+
+def test_predictions_by_recount_and_sums(spark, docs):
+    """Counts from the raw texts, the sampled tables, and the formula of the process in plain Python."""
+    here = bucket_of(spark, docs)
+    name = {xxhash.xxh64_intdigest(w): w for r in docs.collect() for w in language_model.words(r["text"])}
+    word = [name[int(h)] for h in here.words]
+    seen = collections.Counter()
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
+            ws = [b"", b"", *language_model.words(r["text"])]
+            seen.update(zip(ws, ws[1:], ws[2:]))
+    pairs = [(word[u], word[w]) for u, w in zip(here.pu, here.pw)]
+    texts = [(r["doc_id"], [b"", b"", *language_model.words(r["text"])]) for r in docs.collect()]
+    every = sorted({x for _, ws in texts for x in zip(ws, ws[1:], ws[2:])})
+    assert len(every) == len(here.c)
+    at = {w: i for i, w in enumerate(word)}
+    pair_at = {p: i for i, p in enumerate(pairs)}
+    keys = {at[x] * len(pairs) + pair_at[(y, z)]: (x, y, z) for x, y, z in every}
+    dish = [keys[k] for k in sorted(keys)]
+    c3 = dict(zip(dish, here.c.tolist()))
+    assert all(seen[x] == c for x, c in c3.items()) and sum(seen.values()) == sum(c3.values())
+    t3 = dict(zip(dish, here.t.tolist()))
+    assert all(min(c, 1) <= t3[x] <= c for x, c in c3.items())
+    c2, t2 = collections.Counter(), dict(zip(pairs, here.t2.tolist()))
+    for (_, y, z), t in t3.items():
+        c2[(y, z)] += t
+    assert all(min(c2[x], 1) <= t <= c2[x] for x, t in t2.items())
+    house, house_t, top, top_t = (collections.Counter() for _ in range(4))
+    for x in dish:
+        house[x[:2]] += c3[x]
+        house_t[x[:2]] += t3[x]
+    for x, t in t2.items():
+        top[x[0]] += c2[x]
+        top_t[x[0]] += t
+    base = 1 / (len(word) + 1)
+
+    def after_one(y, z):
+        d, a = language_model.WORD
+        return (max(c2.get((y, z), 0) - d * t2.get((y, z), 0), 0) + (a + d * top_t[y]) * base) / (a + top[y])
+
+    def after_two(x, y, z):
+        d, a = language_model.PAIR
+        return (max(c3.get((x, y, z), 0) - d * t3.get((x, y, z), 0), 0) + (a + d * house_t[x, y]) * after_one(y, z)) / (a + house[x, y])
+
+    for x, p in zip(dish, here.probabilities()):
+        assert abs(after_two(*x) - p) < 1e-9
+    for x, y, _ in [*dish[::4000], (b"", b"", b"")]:
+        assert abs(sum(after_two(x, y, z) for z in [*word, None]) - 1) < 1e-9
+
+
+def test_root_and_dealt_words_are_distributions():
+    rng = np.random.default_rng(1)
+    names = rng.integers(1, 2**63, 400).astype(np.uint64)
+    k = np.repeat(np.arange(3), 400).astype(np.uint32)
+    bodies = [language_model._pack(k, np.tile(names, 3), (rng.pareto(1, 1200) * 3).astype(np.int64)) for _ in range(3)]
+    v = 500
+    start = language_model.seat_above(bodies, 3, v, None, None, 3)[6]
+    k, w, c, t, root_c, root_t, (customers, tables), inverse, sizes = language_model.seat_above(bodies, 3, v, *start, 3)
+    assert len(w) == 1200 and sizes == [1200] * 3 and (np.bincount(inverse) == 3).all()
+    assert ((t >= np.minimum(c, 1)) & (t <= c)).all() and (tables <= customers).all()
+    root = language_model.predictive(root_c, root_t, *language_model.ROOT, customers[0], tables[0], 1 / (v + 1))
+    rest = language_model.predictive(0, 0, *language_model.ROOT, customers[0], tables[0], 1 / (v + 1)) * (v + 1 - 400)
+    assert abs(root[k == 1].sum() + rest - 1) < 1e-9
+    for i in (1, 2):
+        p = language_model.predictive(c, t, *language_model.WORD, customers[i], tables[i], root)[k == i].sum()
+        assert abs(p + language_model.predictive(0, 0, *language_model.WORD, customers[i], tables[i], rest) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("c", [2, 3, 10, 40, 150, 201, 400])
+@pytest.mark.parametrize("weight", [0.02, 1.0, 30.0])
+def test_tables_are_drawn_by_their_weights(c, weight):
+    """Against all numbers of tables; the Stirling numbers of up to five customers against all partitions."""
+    d, t = 0.75, np.arange(1, c + 1)
+    logs = language_model.stirling(d, max(c, 200))[c, 1 : c + 1] + t * math.log(weight)
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    mean, drawn = (p * t).sum(), language_model.draw_tables(np.full(4000, c), np.full(4000, weight), d, np.random.default_rng(2))
+    sd = ((p * (t - mean) ** 2).sum()) ** 0.5
+    assert abs(drawn.mean() - mean) < 5 * sd / 4000**0.5 + 0.01 * mean and abs(drawn.std() - sd) < 0.1 * sd + 0.02
+
+    def partitions(rest):
+        if not rest:
+            yield []
+            return
+        for more in partitions(rest[1:]):
+            yield [[rest[0]], *more]
+            for i in range(len(more)):
+                yield [*more[:i], [rest[0], *more[i]], *more[i + 1 :]]
+
+    if c <= 3:
+        for n in (3, 4, 5):
+            total = collections.Counter()
+            for blocks in partitions(list(range(n))):
+                total[len(blocks)] += math.prod(math.prod(i - d for i in range(1, len(b))) for b in blocks)
+            for tables, s in total.items():
+                assert abs(language_model.stirling(d)[n, tables] - math.log(s)) < 1e-9
+
+
+def test_buckets_change_no_count_and_hardly_a_score(spark):
+    """One bucket against many, with words dealt over several of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text", language_model.held_out().alias("held_out"))
+    assert len(language_model.plan_layout(rows, 8_000).hot) >= 2
+    one, many = ({r["doc_id"]: r for r in language_model.score(docs, bucket=b).collect()} for b in (2_000_000, 8_000))
+    for i, r in one.items():
+        assert all(r[x] == many[i][x] for x in ("held_out", "n_tokens", "n_known", "train_tokens")) and abs(r["base_score"] - many[i]["base_score"]) < 1e-6 * abs(r["base_score"])
+    for out in (False, True):
+        a, b = (sum(r["score"] for r in x.values() if r["held_out"] == out) for x in (one, many))
+        assert abs(a - b) < 0.01 * abs(a)
+
+
+def test_training_texts_that_occur_twice_score_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    times = collections.Counter(r["text"] for r in docs.filter(~language_model.held_out()).collect())
+    got = {r["doc_id"]: r for r in language_model.score(docs).collect()}
+    each = collections.defaultdict(list)
+    for r in docs.collect():
+        if r["text"] and len(words(r["text"])) > 30 and not got[r["doc_id"]]["held_out"]:
+            each[times[r["text"]] > 1].append(got[r["doc_id"]]["perplexity"])
+    assert len(each[True]) >= 5 and np.median(each[True]) < 0.8 * np.median(each[False])
 
 
 def test_language_model_on_awkward_rows(awkward, empty):
