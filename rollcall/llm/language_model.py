@@ -42,7 +42,8 @@ from rollcall.llm.common import broadcast_value, cut, hashed_sample
 
 END = b""  # the end token, and the context of the first words; no word is empty
 ROOT, WORD, PAIR = (0.8, 1.0), (0.75, 1.0), (0.8, 1.0)  # (discount, strength) by level
-BUCKET = 2_000_000  # tokens of a bucket
+BUCKET = 1_200_000  # tokens of a bucket
+COMMON = 60_000  # words of the sample whose place in a list stands for them in a bucket's rows
 CHUNK = 1_000_000  # tokens that a task splits at once
 _EXACT = 200  # customers up to which Stirling numbers come from their recurrence
 
@@ -186,10 +187,11 @@ def _unpack(body: bytes) -> list[np.ndarray]:
 
 
 class Layout:
-    """How many buckets there are, and the words that are dealt over several: their sorted hashes and numbers of buckets."""
+    """How many buckets there are, the words that are dealt over several (sorted hashes, numbers of buckets), and common words' hashes."""
 
-    def __init__(self, buckets: int, spread: dict[int, int]):
+    def __init__(self, buckets: int, spread: dict[int, int], common=()):
         self.buckets = buckets
+        self.common = np.array(common, np.uint64)
         self.hot = np.array(sorted(spread), np.uint64)
         self.parts = np.array([spread[h] for h in sorted(spread)], np.uint64)
 
@@ -226,11 +228,15 @@ def plan_layout(rows: DataFrame, bucket: int = BUCKET) -> Layout:
     counts = cut(counts, "sampled")
     total = counts.agg(F.sum("c")).first()[0] or 0
     large = counts.filter(F.col("c") * 2 * buckets > total).collect()
-    return Layout(buckets, {r["w"] % 2**64: math.ceil(2 * buckets * r["c"] / total) for r in large})
+    common = [r["w"] % 2**64 for r in counts.filter("c > 1").orderBy(F.desc("c"), "w").limit(COMMON).collect()]
+    return Layout(buckets, {r["w"] % 2**64: math.ceil(2 * buckets * r["c"] / total) for r in large}, common)
 
 
-def split(rows: DataFrame, layout: Layout) -> DataFrame:
-    """(bucket, body): the tokens of all rows, each with the two before it and its text; alike ones of a text once, with their number."""
+def split(rows: DataFrame, layout: Layout, by_text: bool = True) -> DataFrame:
+    """(bucket, body): the tokens of all rows, each with the two before it and its text; alike ones of a text once, with their number.
+
+    Not ``by_text``, alike ones of many texts stand once, with their number in the texts that teach.
+    """
     get = broadcast_value(rows.sparkSession, layout)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,15 +248,15 @@ def split(rows: DataFrame, layout: Layout) -> DataFrame:
                 held.append((base, doc_id, out, np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
                 base, waiting = base + 1, waiting + len(found)
                 if waiting > CHUNK:
-                    yield _dealt(held, get())
+                    yield _dealt(held, get(), by_text)
                     held, waiting = [], 0
         if held:
-            yield _dealt(held, get())
+            yield _dealt(held, get(), by_text)
 
     return rows.mapInPandas(run, "bucket int, body binary")
 
 
-def _dealt(held: list[tuple], layout: Layout) -> pd.DataFrame:
+def _dealt(held: list[tuple], layout: Layout, by_text: bool) -> pd.DataFrame:
     vocabulary, code, times = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
     rank = np.empty(len(times), np.int64)
     rank[np.argsort(-times, kind="stable")] = np.arange(len(times))  # frequent words get small codes, which compress well
@@ -265,25 +271,34 @@ def _dealt(held: list[tuple], layout: Layout) -> pd.DataFrame:
     u1[first] = end
     u2 = np.roll(u1, 1)
     u2[first] = end
-    key = _mix(_mix(_mix(doc.astype(np.uint64), u2.astype(np.uint64)), u1.astype(np.uint64)), word.astype(np.uint64))
-    _, at, m = np.unique(key, return_index=True, return_counts=True)
+    out = np.array([bool(x[2]) for x in held])
+    key = _mix(_mix(_mix(doc.astype(np.uint64) if by_text else np.zeros(1, np.uint64), u2), u1), word)
+    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    m = np.bincount(inverse, None if by_text else ~out[doc], len(at)).astype(np.uint32)
+    order = np.argsort(u1[at] * len(known) + word[at])  # neighbours alike, which compress well
+    order = order[np.argsort(layout.bucket(known[u1[at]], known[u2[at]])[order], kind="stable")]
+    at, m = at[order], m[order]
     bucket = layout.bucket(known[u1[at]], known[u2[at]])
-    order = np.argsort(bucket * len(held) + doc[at], kind="stable")
-    at, m, bucket = at[order], m[order], bucket[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     row = np.array([x[0] for x in held], np.int64)
     null = np.array([x[1] is pd.NA for x in held])
     ids = np.array([0 if x[1] is pd.NA else x[1] for x in held], np.int64)
-    out = np.array([bool(x[2]) for x in held])
+    listed = np.argsort(layout.common)
+    place = np.searchsorted(layout.common, known, sorter=listed)
+    common = place < len(listed)
+    common[common] = layout.common[listed[place[common]]] == known[common]
+    place[common] = listed[place[common]]
     bodies = []
     for lo, hi in zip(edges[:-1], edges[1:]):
         a = at[lo:hi]
         used = np.zeros(len(known), bool)
         for x in (u2, u1, word):
             used[x[a]] = True
-        place = (np.cumsum(used) - 1).astype(np.uint32)
-        docs, d = np.unique(doc[a], return_inverse=True)
-        bodies.append(_pack(known[used], place[u2[a]], place[u1[a]], place[word[a]], d.astype(np.uint32), m[lo:hi].astype(np.uint32), row[docs], ids[docs], null[docs], out[docs]))
+        rare = np.flatnonzero(used & ~common)
+        place[rare] = len(listed) + np.arange(len(rare))
+        codes = [place[x[a]].astype(np.uint32) for x in (u2, u1, word)]
+        docs, d = np.unique(doc[a], return_inverse=True) if by_text else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        bodies.append(_pack(known[rare], *codes, d.astype(np.uint32), m[lo:hi], row[docs], ids[docs], null[docs], out[docs]))
     return pd.DataFrame({"bucket": bucket[edges[:-1]].astype(np.int32), "body": bodies})
 
 
@@ -295,24 +310,32 @@ class Bucket:
 
     def __init__(self, bodies, layout: Layout):
         parts = [_unpack(b) for b in bodies]
-        self.words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        listed = len(layout.common)
+        self.words, code = np.unique(np.concatenate([layout.common, *(p[0] for p in parts)]), return_inverse=True)
         starts = np.cumsum([0, *(len(p[0]) for p in parts)])
         doc_starts = np.cumsum([0, *(len(p[6]) for p in parts)])
-        u2, u1, w = (np.concatenate([code[s + p[i]] for p, s in zip(parts, starts)]) for i in (1, 2, 3))
-        self.doc = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, doc_starts)])
+        for p, s in zip(parts, starts):
+            for i in (1, 2, 3):  # places in the list stay, those beyond it move to the words of this row
+                p[i] = code[np.where(p[i] < listed, p[i], p[i] + s)]
+        u2, u1, w = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        self.doc = np.concatenate([p[4].astype(np.uint32) + np.uint32(s) for p, s in zip(parts, doc_starts)])
         self.m = np.concatenate([p[5] for p in parts]).astype(np.float64)
         self.row, self.ids, self.null, self.out = (np.concatenate([p[i] for p in parts]) for i in (6, 7, 8, 9))
         del parts, code
         size = len(self.words)
-        taught = np.where(self.out[self.doc], 0.0, self.m)
-        self.u1, self.count = u1, np.bincount(u1, taught, size).astype(np.int64)
+        taught = np.where(self.out[self.doc], 0.0, self.m) if len(self.doc) else self.m
+        self.u1, self.count = u1.astype(np.uint32), np.bincount(u1, taught, size).astype(np.int64)
         self.pairs, pair = np.unique(u1 * size + w, return_inverse=True)
+        del w
         dishes, self.dish = np.unique(u2 * len(self.pairs) + pair, return_inverse=True)
+        del u2, pair
         self.c = np.bincount(self.dish, taught, len(dishes)).astype(np.int64)
         self.pair = dishes % len(self.pairs)
         self.pu, self.pw = self.pairs // size, self.pairs % size
         _, self.house = np.unique(dishes // len(self.pairs) * size + self.pu[self.pair], return_inverse=True)
+        del dishes
         self.customers = np.bincount(self.house, self.c)
+        self.many = np.flatnonzero(self.c > 1)  # one customer always has one table
         number = layout.number(self.words)
         self.number = number  # of each word among those dealt over several buckets
         self.k = number[self.pu]
@@ -322,33 +345,46 @@ class Bucket:
         self._hand_up()
         self.t2 = np.minimum(self.c2, 1)
 
-    def take(self, layout: Layout, k: np.ndarray, w: np.ndarray, p: np.ndarray) -> None:
-        """Probabilities from the restaurants above: of words in the root (k = 0) and in those dealt over buckets."""
-        at = np.searchsorted(self.words, w)
-        self.root[at[k == 0]] = p[k == 0]
-        u = np.searchsorted(self.words, layout.hot[k[k > 0] - 1])
-        self.given[np.searchsorted(self.pairs, u * len(self.words) + at[k > 0])] = p[k > 0]
+    def asked(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(k, place, part) of what the restaurants above know: words in the root (k = 0), pairs in the words dealt over buckets."""
+        own = self.k == 0
+        seen = np.unique(self.pw[own])
+        other = np.flatnonzero(~own)
+        k = np.concatenate([np.zeros(len(seen), np.int64), self.k[other]])
+        part = _mix(self.words[np.concatenate([seen, self.pw[other]])], 7) % np.uint64(parts)
+        return k, np.concatenate([seen, other]), part.astype(np.int64)
+
+    def take(self, parts: int, part: int, p: np.ndarray) -> None:
+        """Probabilities from a part of the restaurants above, in the order in which it was asked."""
+        k, place, of = self.asked(parts)
+        k, place = k[of == part], place[of == part]
+        self.root[place[k == 0]] = p[k == 0]
+        self.given[place[k > 0]] = p[k > 0]
 
     def _hand_up(self) -> None:
         self.c2 = np.bincount(self.pair, self.t, len(self.pairs)).astype(np.int64)
 
-    def _above(self, less=0) -> np.ndarray:
-        """Probability of each pair's word after its first, without ``less`` customers of it (by dish, if an array)."""
-        pick = self.pair if np.ndim(less) else slice(None)
-        u = self.pu[pick]
-        c = np.maximum(self.c2[pick] - less, 0)
+    def _above(self, at=slice(None), less=0) -> np.ndarray:
+        """Probability of the second word of the pairs ``at`` after the first, without ``less`` customers of it."""
+        u = self.pu[at]
+        c = np.maximum(self.c2[at] - less, 0)
         seated, tables = (np.bincount(self.pu, x, len(self.words))[u] for x in (self.c2, self.t2))
-        p = predictive(c, np.minimum(self.t2[pick], c), *WORD, seated, tables, self.root[self.pw[pick]])
-        return np.where(np.isnan(self.given[pick]), p, self.given[pick])
+        p = predictive(c, np.minimum(self.t2[at], c), *WORD, seated, tables, self.root[self.pw[at]])
+        given = self.given[at]
+        return np.where(np.isnan(given), p, given)
 
     def sweep(self, rng: np.random.Generator) -> None:
         d, strength = PAIR
+        many = self.many
         v = rng.gamma(strength / d + np.bincount(self.house, self.t, len(self.customers)))
-        self.t = draw_tables(self.c, d * v[self.house] * self._above(self.t), d, rng)
+        weight = d * v[self.house[many]] * self._above(self.pair[many], self.t[many])
+        self.t[many] = draw_tables(self.c[many], weight, d, rng)
         self._hand_up()
         d, strength = WORD
         v = rng.gamma(strength / d + np.bincount(self.pu, self.t2, len(self.words)))
-        self.t2 = draw_tables(self.c2, d * v[self.pu] * self.root[self.pw], d, rng)
+        self.t2 = np.minimum(self.c2, 1)
+        many = np.flatnonzero(self.c2 > 1)
+        self.t2[many] = draw_tables(self.c2[many], d * v[self.pu[many]] * self.root[self.pw[many]], d, rng)
 
     def probabilities(self) -> np.ndarray:
         """Of each dish, after its pair of words."""
@@ -357,13 +393,12 @@ class Bucket:
 
     def messages(self, number: int, parts: int) -> pd.DataFrame:
         """What the restaurants above need: customers by (k, word), in ``parts`` by the word's hash; counts of words in the rows without a part."""
+        k, place, part = self.asked(parts)
+        root = k == 0
+        w = self.words[np.where(root, place, self.pw[np.where(root, 0, place)])]
         own = self.k == 0
-        seen = np.unique(self.pw[own])
-        k = np.concatenate([np.zeros(len(seen), np.int64), self.k[~own]])
-        w = self.words[np.concatenate([seen, self.pw[~own]])]
-        c = np.concatenate([np.bincount(self.pw[own], self.t2[own], len(self.words))[seen], self.c2[~own]]).astype(np.int64)
-        part = (_mix(w, 7) % np.uint64(parts)).astype(np.int64)
-        rows = [(int(p), number, 0, 0, 0, _pack(k[part == p].astype(np.uint32), w[part == p], c[part == p])) for p in np.unique(part)]
+        c = np.where(root, np.bincount(self.pw[own], self.t2[own], len(self.words))[np.where(root, place, 0)], self.c2[np.where(root, 0, place)]).astype(np.int64)
+        rows = [(int(p), number, 0, 0, 0, _pack(k[part == p].astype(np.uint32), w[part == p], c[part == p].astype(np.uint32))) for p in np.unique(part)]
         hot = np.flatnonzero((self.number > 0) & (np.bincount(self.pu, minlength=len(self.words)) > 0))
         rows += [(-1, number, int(self.number[i]), int(self.count[i]), 0, None) for i in hot]
         plain = self.number == 0
@@ -423,7 +458,7 @@ def _totals(messages: DataFrame, layout: Layout, v: int, found) -> tuple[np.ndar
 
 
 def _replies(messages: DataFrame, layout: Layout, v: int) -> DataFrame:
-    """(bucket, body): probabilities in the root and in the dealt words' restaurants, for those who sent customers."""
+    """(bucket, part, body): probabilities in the root and in the dealt words' restaurants, in the order in which customers were sent."""
     kinds = len(layout.hot) + 1
     start = _totals(messages, layout, v, (None, None))
     seated = _totals(messages, layout, v, start)
@@ -435,10 +470,10 @@ def _replies(messages: DataFrame, layout: Layout, v: int) -> DataFrame:
         root = predictive(root_c, root_t, *ROOT, customers[0], tables[0], 1 / (v + 1))
         p = np.where(k > 0, predictive(c, t, *WORD, customers[k], tables[k], root), root)
         cuts = np.cumsum(sizes)[:-1]
-        bodies = [_pack(k[i].astype(np.uint32), w[i], p[i]) for i in np.split(inverse, cuts)]
-        return pd.DataFrame({"bucket": b["bucket"].to_numpy(), "body": bodies})
+        bodies = [_pack(p[i].astype(np.float32)) for i in np.split(inverse, cuts)]
+        return pd.DataFrame({"bucket": b["bucket"].to_numpy(), "part": b["part"].to_numpy(), "body": bodies})
 
-    return messages.groupBy("part").applyInPandas(run, "bucket int, body binary")
+    return messages.groupBy("part").applyInPandas(run, "bucket int, part int, body binary")
 
 
 # ---- scoring ----------------------------------------------------------------------------
@@ -456,7 +491,7 @@ def score(docs: DataFrame, bucket: int = BUCKET, burn_in: int = 3, samples: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     layout = plan_layout(rows, bucket)
     get = broadcast_value(spark, layout)
-    sent = cut(split(rows, layout).groupBy("bucket").applyInPandas(_learner(get, burn_in), "part int, bucket int, k int, n long, v long, body binary"), "messages")
+    sent = cut(split(rows, layout, by_text=False).groupBy("bucket").applyInPandas(_learner(get, burn_in), "part int, bucket int, k int, n long, v long, body binary"), "messages")
     stats = {r["k"]: (r["n"], r["v"]) for r in sent.filter("part < 0").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     n = sum(x for x, _ in stats.values())
     counts = np.array([0, *(stats.get(k + 1, (0, 0))[0] for k in range(len(layout.hot)))])
@@ -480,6 +515,11 @@ def score(docs: DataFrame, bucket: int = BUCKET, burn_in: int = 3, samples: int
     return each.drop("row").withColumn("base_score", base).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
+def _parts(layout: Layout) -> int:
+    """In how many parts the root is seated."""
+    return max(1, layout.buckets // 4)
+
+
 def _learner(get: Callable, sweeps: int) -> Callable:
     def run(b: pd.DataFrame) -> pd.DataFrame:
         layout, number = get(), int(b["bucket"].iloc[0])
@@ -487,7 +527,7 @@ def _learner(get: Callable, sweeps: int) -> Callable:
         rng = np.random.default_rng((1, number))
         for _ in range(sweeps):
             here.sweep(rng)
-        return here.messages(number, max(1, layout.buckets // 2))
+        return here.messages(number, _parts(layout))
 
     return run
 
@@ -496,8 +536,8 @@ def _scorer(get: Callable, get_counts: Callable, burn_in: int, samples: int) ->
     def run(b: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         layout, number = get(), int(b["bucket"].iloc[0])
         here = Bucket(b["body"], layout)
-        for body in replies["body"]:
-            here.take(layout, *_unpack(body))
+        for part, body in zip(replies["part"], replies["body"]):
+            here.take(_parts(layout), int(part), *_unpack(body))
         rng = np.random.default_rng((2, number))
         p = np.zeros(len(here.c))
         for s in range(burn_in + samples):
