@@ -25,6 +25,7 @@ of its vocabulary reaches the driver or is broadcast.
 
 from __future__ import annotations
 
+import gc
 import math
 import pickle
 from collections.abc import Callable, Iterator
@@ -492,12 +493,14 @@ def score(docs: DataFrame, bucket: int = BUCKET, burn_in: int = 3, samples: int
     layout = plan_layout(rows, bucket)
     get = broadcast_value(spark, layout)
     sent = cut(split(rows, layout, by_text=False).groupBy("bucket").applyInPandas(_learner(get, burn_in), "part int, bucket int, k int, n long, v long, body binary"), "messages")
+    _release(rows)
     stats = {r["k"]: (r["n"], r["v"]) for r in sent.filter("part < 0").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     n = sum(x for x, _ in stats.values())
     counts = np.array([0, *(stats.get(k + 1, (0, 0))[0] for k in range(len(layout.hot)))])
     v = sum(x for _, x in stats.values()) + int((counts > 0).sum())
     messages = sent.filter("part >= 0").select("part", "bucket", "body")
     replies = cut(_replies(messages, layout, v), "replies")
+    _release(rows)
     scored = split(rows, layout).groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(
         _scorer(get, broadcast_value(spark, counts), burn_in, samples),
         "row long, doc_id long, held_out boolean, n long, known long, base double, value double",
@@ -515,6 +518,12 @@ def score(docs: DataFrame, bucket: int = BUCKET, burn_in: int = 3, samples: int
     return each.drop("row").withColumn("base_score", base).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
+def _release(df: DataFrame) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, so that those of both passes never lie on disk together."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _parts(layout: Layout) -> int:
     """In how many parts the root is seated."""
     return max(1, layout.buckets // 4)
