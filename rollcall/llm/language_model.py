@@ -25,10 +25,10 @@ of its vocabulary reaches the driver or is broadcast.
 
 from __future__ import annotations
 
-import gc
 import math
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -39,13 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import broadcast_value, cut, hashed_sample
+from rollcall.llm.common import Scratch, broadcast_value, hashed_sample
 
 END = b""  # the end token, and the context of the first words; no word is empty
 ROOT, WORD, PAIR = (0.8, 1.0), (0.75, 1.0), (0.8, 1.0)  # (discount, strength) by level
 BUCKET = 1_200_000  # tokens of a bucket
 COMMON = 60_000  # words of the sample whose place in a list stands for them in a bucket's rows
 CHUNK = 1_000_000  # tokens that a task splits at once
+BASE, VALUE = 27, 22  # binary places of a text's sums in a bucket
 _EXACT = 200  # customers up to which Stirling numbers come from their recurrence
 
 
@@ -176,17 +177,34 @@ def _mix(a: np.ndarray, b) -> np.ndarray:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays in one compressed value, byte by byte of their numbers."""
-    return zstandard.compress(pickle.dumps([(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in arrays]), 3)
+    planes = []
+    for a in arrays:
+        each = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+        planes.append((a.dtype.str, b"".join(np.ascontiguousarray(each[:, i]).tobytes() for i in range(a.itemsize))))
+    return zstandard.compress(pickle.dumps(planes), 3)
 
 
 def _unpack(body: bytes) -> list[np.ndarray]:
     found = []
     for dtype, data in pickle.loads(zstandard.decompress(bytes(body))):
-        size = np.dtype(dtype).itemsize
-        found.append(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype))
+        planes = np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+        each = np.empty(planes.shape[::-1], np.uint8)
+        for i, plane in enumerate(planes):
+            each[:, i] = plane
+        found.append(each.reshape(-1).view(dtype))
     return found
 
 
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which compress better than numbers that hardly fall; a sum over them gives the numbers back."""
+    return np.diff(a.astype(np.uint32), prepend=np.uint32(0))
+
+
+def _fixed(x: np.ndarray, bits: int) -> np.ndarray:
+    """``x`` with ``bits`` binary places, as whole numbers, whose sums do not depend on their order."""
+    return np.rint(np.ldexp(x, bits)).astype(np.int64)
+
+
 class Layout:
     """How many buckets there are, the words that are dealt over several (sorted hashes, numbers of buckets), and common words' hashes."""
 
@@ -226,81 +244,91 @@ def plan_layout(rows: DataFrame, bucket: int = BUCKET) -> Layout:
             yield pd.DataFrame({"w": w.view(np.int64), "c": c})
 
     counts = hashed_sample(rows.select("text"), 2000 + 20 * buckets, "text").mapInPandas(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    counts = cut(counts, "sampled")
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    large = counts.filter(F.col("c") * 2 * buckets > total).collect()
-    common = [r["w"] % 2**64 for r in counts.filter("c > 1").orderBy(F.desc("c"), "w").limit(COMMON).collect()]
+    with Scratch(rows.sparkSession) as scratch:
+        counts = scratch.cut(counts, "sampled")
+        total = counts.agg(F.sum("c")).first()[0] or 0
+        large = counts.filter(F.col("c") * 2 * buckets > total).collect()
+        common = [r["w"] % 2**64 for r in counts.filter("c > 1").orderBy(F.desc("c"), "w").limit(COMMON).collect()]
     return Layout(buckets, {r["w"] % 2**64: math.ceil(2 * buckets * r["c"] / total) for r in large}, common)
 
 
 def split(rows: DataFrame, layout: Layout, by_text: bool = True) -> DataFrame:
-    """(bucket, body): the tokens of all rows, each with the two before it and its text; alike ones of a text once, with their number.
+    """(bucket, chunk, body): the tokens of all rows, each with the two before it and its text; alike ones of a text once, with their number.
 
-    Not ``by_text``, alike ones of many texts stand once, with their number in the texts that teach.
+    A chunk is a run of texts of one task, of about ``CHUNK`` tokens. Not ``by_text``, alike
+    ones of a chunk stand once, with their number in the texts that teach.
     """
     get = broadcast_value(rows.sparkSession, layout)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, waiting = _Hashes(), [], 0
-        base = TaskContext.get().partitionId() << 36
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             for doc_id, text, out in zip(b["doc_id"].astype("Int64"), b["text"], b["held_out"]):
                 found = words(text)
-                held.append((base, doc_id, out, np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
-                base, waiting = base + 1, waiting + len(found)
+                held.append((doc_id, out, np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
+                waiting += len(found)
                 if waiting > CHUNK:
-                    yield _dealt(held, get(), by_text)
-                    held, waiting = [], 0
+                    yield _dealt(held, chunk, get(), by_text)
+                    chunk, held, waiting = chunk + 1, [], 0
         if held:
-            yield _dealt(held, get(), by_text)
+            yield _dealt(held, chunk, get(), by_text)
 
-    return rows.mapInPandas(run, "bucket int, body binary")
+    return rows.mapInPandas(run, "bucket int, chunk long, body binary")
 
 
-def _dealt(held: list[tuple], layout: Layout, by_text: bool) -> pd.DataFrame:
-    vocabulary, code, times = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(times), np.int64)
-    rank[np.argsort(-times, kind="stable")] = np.arange(len(times))  # frequent words get small codes, which compress well
-    word = rank[code]
-    known = np.empty_like(vocabulary)
-    known[rank] = vocabulary
-    sizes = np.array([len(x[3]) for x in held])
+def _dealt(held: list[tuple], chunk: int, layout: Layout, by_text: bool) -> pd.DataFrame:
+    vocabulary, code, times = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")  # frequent words get small codes, which compress well
+    listed = np.argsort(layout.common)
+    place = np.searchsorted(layout.common, vocabulary, sorter=listed)
+    common = place < len(listed)
+    common[common] = layout.common[listed[place[common]]] == vocabulary[common]
+    place[common] = listed[place[common]]
+    order = order[~common[order]]
+    place[order] = len(listed) + np.arange(len(order))  # words that are not listed follow, until each body numbers its own
+    size = len(listed) + len(order)
+    known = np.concatenate([layout.common, vocabulary[order]])
+    word = place[code]
+    del code, place
+    sizes = np.array([len(x[2]) for x in held])
     doc = np.repeat(np.arange(len(held)), sizes)
-    first = np.cumsum(sizes) - sizes
-    end = word[-1]
+    last = np.cumsum(sizes) - 1
+    first = last + 1 - sizes
     u1 = np.roll(word, 1)
-    u1[first] = end
+    u1[first] = word[-1]
     u2 = np.roll(u1, 1)
-    u2[first] = end
-    out = np.array([bool(x[2]) for x in held])
-    key = _mix(_mix(_mix(doc.astype(np.uint64) if by_text else np.zeros(1, np.uint64), u2), u1), word)
-    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-    m = np.bincount(inverse, None if by_text else ~out[doc], len(at)).astype(np.uint32)
-    order = np.argsort(u1[at] * len(known) + word[at])  # neighbours alike, which compress well
-    order = order[np.argsort(layout.bucket(known[u1[at]], known[u2[at]])[order], kind="stable")]
-    at, m = at[order], m[order]
+    u2[first] = word[-1]
+    out = np.array([bool(x[1]) for x in held])
+    key = _mix(_mix(u2.astype(np.uint64) * np.uint64(size) + u1.astype(np.uint64), doc if by_text else 0), word)
+    order = np.argsort(key)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    m = np.add.reduceat((np.ones(len(key), bool) if by_text else ~out[doc])[order].astype(np.uint32), starts)
+    at = order[starts]
     bucket = layout.bucket(known[u1[at]], known[u2[at]])
+    if layout.buckets * size**2 < 2**63:
+        order = np.argsort((bucket * size + u1[at]) * size + word[at])
+    else:
+        order = np.lexsort((word[at], u1[at], bucket))
+    at, m, bucket = at[order], m[order], bucket[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    row = np.array([x[0] for x in held], np.int64)
-    null = np.array([x[1] is pd.NA for x in held])
-    ids = np.array([0 if x[1] is pd.NA else x[1] for x in held], np.int64)
-    listed = np.argsort(layout.common)
-    place = np.searchsorted(layout.common, known, sorter=listed)
-    common = place < len(listed)
-    common[common] = layout.common[listed[place[common]]] == known[common]
-    place[common] = listed[place[common]]
+    null = np.array([x[0] is pd.NA for x in held])
+    ids = np.array([0 if x[0] is pd.NA else x[0] for x in held], np.int64)
+    home = layout.bucket(known[u1[last]], known[u2[last]])  # the bucket of a text's last token, which alone gets its id
     bodies = []
     for lo, hi in zip(edges[:-1], edges[1:]):
         a = at[lo:hi]
-        used = np.zeros(len(known), bool)
-        for x in (u2, u1, word):
-            used[x[a]] = True
-        rare = np.flatnonzero(used & ~common)
-        place[rare] = len(listed) + np.arange(len(rare))
-        codes = [place[x[a]].astype(np.uint32) for x in (u2, u1, word)]
+        used = np.concatenate([u2[a], u1[a], word[a]])
+        far = used >= len(listed)
+        rare, own = np.unique(used[far], return_inverse=True)
+        used[far] = len(listed) + own
+        c2, c1, c0 = np.split(used, 3)
         docs, d = np.unique(doc[a], return_inverse=True) if by_text else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        bodies.append(_pack(known[rare], *codes, d.astype(np.uint32), m[lo:hi], row[docs], ids[docs], null[docs], out[docs]))
-    return pd.DataFrame({"bucket": bucket[edges[:-1]].astype(np.int32), "body": bodies})
+        here = docs[home[docs] == bucket[lo]]
+        bodies.append(
+            _pack(known[rare], c2.astype(np.uint32), _steps(c1), _steps(c0), d.astype(np.uint32), m[lo:hi], _steps(docs), out[docs], _steps(here), ids[here], null[here])
+        )
+    return pd.DataFrame({"bucket": bucket[edges[:-1]].astype(np.int32), "chunk": chunk, "body": bodies})
 
 
 # ---- a bucket's restaurants --------------------------------------------------------
@@ -316,12 +344,15 @@ class Bucket:
         starts = np.cumsum([0, *(len(p[0]) for p in parts)])
         doc_starts = np.cumsum([0, *(len(p[6]) for p in parts)])
         for p, s in zip(parts, starts):
+            for i in (2, 3, 6, 8):
+                p[i] = np.cumsum(p[i], dtype=np.uint32)
             for i in (1, 2, 3):  # places in the list stay, those beyond it move to the words of this row
                 p[i] = code[np.where(p[i] < listed, p[i], p[i] + s)]
         u2, u1, w = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
         self.doc = np.concatenate([p[4].astype(np.uint32) + np.uint32(s) for p, s in zip(parts, doc_starts)])
         self.m = np.concatenate([p[5] for p in parts]).astype(np.float64)
-        self.row, self.ids, self.null, self.out = (np.concatenate([p[i] for p in parts]) for i in (6, 7, 8, 9))
+        self.out = np.concatenate([p[7] for p in parts])
+        self.texts = [(p[6], *p[8:]) for p in parts]  # by row: numbers in the chunk, and those, ids and null ids of texts at home here
         del parts, code
         size = len(self.words)
         taught = np.where(self.out[self.doc], 0.0, self.m) if len(self.doc) else self.m
@@ -337,6 +368,7 @@ class Bucket:
         del dishes
         self.customers = np.bincount(self.house, self.c)
         self.many = np.flatnonzero(self.c > 1)  # one customer always has one table
+        self.busy, self.busy_at = np.unique(self.house[self.many], return_inverse=True)
         number = layout.number(self.words)
         self.number = number  # of each word among those dealt over several buckets
         self.k = number[self.pu]
@@ -377,15 +409,16 @@ class Bucket:
     def sweep(self, rng: np.random.Generator) -> None:
         d, strength = PAIR
         many = self.many
-        v = rng.gamma(strength / d + np.bincount(self.house, self.t, len(self.customers)))
-        weight = d * v[self.house[many]] * self._above(self.pair[many], self.t[many])
+        v = rng.gamma(strength / d + np.bincount(self.house, self.t, len(self.customers))[self.busy])
+        weight = d * v[self.busy_at] * self._above(self.pair[many], self.t[many])
         self.t[many] = draw_tables(self.c[many], weight, d, rng)
         self._hand_up()
         d, strength = WORD
-        v = rng.gamma(strength / d + np.bincount(self.pu, self.t2, len(self.words)))
+        tables = np.bincount(self.pu, self.t2, len(self.words))
         self.t2 = np.minimum(self.c2, 1)
         many = np.flatnonzero(self.c2 > 1)
-        self.t2[many] = draw_tables(self.c2[many], d * v[self.pu[many]] * self.root[self.pw[many]], d, rng)
+        busy, at = np.unique(self.pu[many], return_inverse=True)
+        self.t2[many] = draw_tables(self.c2[many], d * rng.gamma(strength / d + tables[busy])[at] * self.root[self.pw[many]], d, rng)
 
     def probabilities(self) -> np.ndarray:
         """Of each dish, after its pair of words."""
@@ -490,38 +523,36 @@ def score(docs: DataFrame, bucket: int = BUCKET, burn_in: int = 3, samples: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    layout = plan_layout(rows, bucket)
-    get = broadcast_value(spark, layout)
-    sent = cut(split(rows, layout, by_text=False).groupBy("bucket").applyInPandas(_learner(get, burn_in), "part int, bucket int, k int, n long, v long, body binary"), "messages")
-    _release(rows)
-    stats = {r["k"]: (r["n"], r["v"]) for r in sent.filter("part < 0").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    n = sum(x for x, _ in stats.values())
-    counts = np.array([0, *(stats.get(k + 1, (0, 0))[0] for k in range(len(layout.hot)))])
-    v = sum(x for _, x in stats.values()) + int((counts > 0).sum())
-    messages = sent.filter("part >= 0").select("part", "bucket", "body")
-    replies = cut(_replies(messages, layout, v), "replies")
-    _release(rows)
+    with Scratch(spark) as scratch, _freed_shuffles(spark):
+        layout = plan_layout(rows, bucket)
+        get = broadcast_value(spark, layout)
+        learned = split(rows, layout, by_text=False).groupBy("bucket").applyInPandas(_learner(get, burn_in), "part int, bucket int, k int, n long, v long, body binary")
+        sent = scratch.cut(learned, "messages")
+        stats = {r["k"]: (r["n"], r["v"]) for r in sent.filter("part < 0").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+        n = sum(x for x, _ in stats.values())
+        counts = np.array([0, *(stats.get(k + 1, (0, 0))[0] for k in range(len(layout.hot)))])
+        v = sum(x for _, x in stats.values()) + int((counts > 0).sum())
+        replies = scratch.keep(_replies(sent.filter("part >= 0").select("part", "bucket", "body"), layout, v), "replies")
     scored = split(rows, layout).groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(
         _scorer(get, broadcast_value(spark, counts), burn_in, samples),
-        "row long, doc_id long, held_out boolean, n long, known long, base double, value double",
-    )
-    each = scored.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("held_out").alias("held_out"),
-        F.sum("n").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        F.sum("base").alias("base_score"),
-        F.sum("value").alias("score"),
+        "chunk long, body binary",
     )
+    each = scored.groupBy("chunk").applyInPandas(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     base = F.col("base_score") - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))
-    return each.drop("row").withColumn("base_score", base).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", perplexity.alias("perplexity"))
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, so that those of both passes never lie on disk together."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+@contextmanager
+def _freed_shuffles(spark) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query that runs in here when it ends, so that those of the passes never lie on disk together."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _parts(layout: Layout) -> int:
@@ -554,21 +585,35 @@ def _scorer(get: Callable, get_counts: Callable, burn_in: int, samples: int) ->
             if s >= burn_in:
                 p += here.probabilities() / samples
         count = np.where(here.number > 0, get_counts()[here.number], here.count)[here.u1]
-        docs = len(here.row)
 
         def sums(x) -> np.ndarray:
-            return np.bincount(here.doc, here.m * x, docs)
-
-        return pd.DataFrame(
-            {
-                "row": here.row,
-                "doc_id": pd.array(here.ids, "Int64").copy() if not here.null.any() else pd.arrays.IntegerArray(here.ids, here.null),
-                "held_out": here.out,
-                "n": sums(1).astype(np.int64),
-                "known": sums(count > 0).astype(np.int64),
-                "base": sums(np.log10(count + 0.5)),
-                "value": sums(np.log10(p[here.dish])),
-            }
-        )
+            return np.bincount(here.doc, here.m * x, len(here.out))
+
+        found = sums(1).astype(np.uint32), sums(count > 0).astype(np.uint32), _fixed(sums(np.log10(count + 0.5)), BASE), _fixed(sums(np.log10(p[here.dish])), VALUE), here.out
+        cuts = np.cumsum([len(docs) for docs, *_ in here.texts])[:-1]
+        bodies = [_pack(_steps(docs), *each, _steps(home), *ids) for (docs, home, *ids), *each in zip(here.texts, *(np.split(x, cuts) for x in found))]
+        return pd.DataFrame({"chunk": b["chunk"].to_numpy(), "body": bodies})
 
     return run
+
+
+def _add_up(b: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a chunk, from what the buckets say about them."""
+    parts = [_unpack(x) for x in b["body"]]
+    docs, home = (np.concatenate([np.cumsum(p[i], dtype=np.uint32) for p in parts]) for i in (0, 6))
+    n, known, base, value, out, ids, null = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4, 5, 7, 8))
+    total = np.zeros((4, len(home)), np.int64)
+    for row, x in zip(total, (n, known, base, value)):
+        np.add.at(row, docs, x.astype(np.int64))
+    held = np.zeros(len(home), bool)
+    held[docs] = out
+    return pd.DataFrame(
+        {
+            "doc_id": pd.arrays.IntegerArray(ids, null),
+            "held_out": held[home],
+            "n_tokens": total[0, home],
+            "n_known": total[1, home],
+            "base_score": np.ldexp(total[2, home].astype(float), -BASE),
+            "score": np.ldexp(total[3, home].astype(float), -VALUE),
+        }
+    )
