@@ -104,7 +104,9 @@ def stirling_of_many(c: int, t: np.ndarray, d: float) -> np.ndarray:
     few = t <= 1.5 * c**d
     j = np.arange(1, 81)[:, None]
     some = t[few]
-    size = _lgamma(some + 1) - np.where(j <= some, _lgamma(np.maximum(some - j, 0) + 1), np.inf) - _lgamma(j + 1.0) + _lgamma(1 + d * j) + _lgamma(c - d * j)
+    with np.errstate(divide="ignore"):
+        falling = np.cumsum(np.log(np.maximum(some - j + 1, 0)), axis=0)  # t! / (t - j)!, none for j > t
+    size = falling - _lgamma(j + 1.0) + _lgamma(1 + d * j) + _lgamma(c - d * j)
     top = size.max(axis=0)
     chance = np.log((np.exp(size - top) * np.sin(math.pi * d * j) * (-1.0) ** (j + 1)).sum(axis=0) / math.pi) + top
     out[few] = chance - _lgamma(some + 1) - some * math.log(d)
