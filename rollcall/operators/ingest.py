@@ -80,6 +80,25 @@ def date_chunks(ranges: DataFrame, days: int, half_open: bool = False) -> DataFr
     return cut.withColumn("chunk_to", F.least(F.date_add("chunk_from", days), F.col("end")))
 
 
+def quarter_chunks(ranges: DataFrame, first_year: int = 2015) -> DataFrame:
+    """Calendar quarters of a full pull, from ``first_year`` to each row's end, where the last one is cut: (chunk_from, chunk_to)."""
+    start = F.make_date(F.lit(first_year), F.lit(1), F.lit(1))
+    starts = F.when(F.col("end") >= start, F.sequence(start, F.col("end"), F.expr("interval 3 months"))).otherwise(F.array().cast("array<date>"))
+    cut = ranges.withColumn("chunk_from", F.explode(starts))
+    return cut.withColumn("chunk_to", F.least(F.date_sub(F.add_months("chunk_from", 3), 1), F.col("end")))
+
+
+def stops_at_old_page(rows: DataFrame, keys: list[str], page: str, date: str, bound: Column) -> DataFrame:
+    """Rows on or after ``bound`` from the pages of a newest-first listing before the first one that is older as a whole.
+
+    Pages without any date stop nothing. One small row a page decides, so no listing is gathered.
+    """
+    pages = rows.withColumn("_bound", bound).groupBy(*keys, page).agg(F.max(F.nullif(F.col(date), F.lit(""))).alias("newest"), F.max("_bound").alias("_bound"))
+    ends = pages.filter("newest < _bound").groupBy(*keys).agg(F.min(page).alias("_end"))
+    read = rows.join(ends, keys, "left").filter(F.col("_end").isNull() | (F.col(page) < F.col("_end")))
+    return read.filter(F.col(date) >= bound).drop("_end")
+
+
 def weekday_calendar(ranges: DataFrame) -> DataFrame:
     """A row per weekday of each range."""
     days = ranges.withColumn("day", F.explode(F.sequence("start", "end")))

@@ -85,3 +85,9 @@ def shell_page(text: Column, chrome: list[str], id_pattern: str) -> Column:
 def content_gate(text: Column, phrases: list[str]) -> Column:
     """Any of the phrases, in any case."""
     return F.exists(F.array(*[F.lit(p.lower()) for p in phrases]), lambda p: F.contains(F.lower(text), p))
+
+
+def coverage(records: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Records of each source, those with a name, and distinct names."""
+    named = F.nullif(F.trim(name), F.lit(""))
+    return records.groupBy(*keys).agg(F.count("*").alias("records"), F.count(named).alias("named"), F.count_distinct(named).alias("members"))

@@ -137,3 +137,24 @@ def topic_bars(salience: DataFrame, n: int = 5) -> DataFrame:
     ranked = salience.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
     peak = F.max("statements").over(Window.partitionBy("member"))
     return ranked.select("member", "topic", "place", F.greatest(F.lit(2.0), F.round(100.0 * F.col("statements") / peak, 1)).alias("width"))
+
+
+def current_members(rows: DataFrame, blank_passes: bool = False) -> DataFrame:
+    """Members in office; ``blank_passes`` keeps those without a status as well."""
+    blank = F.coalesce(F.col("status"), F.lit("")) == ""
+    return rows.filter((F.col("status") == "current") | blank) if blank_passes else rows.filter("status = 'current'")
+
+
+def payload_areas(payload: DataFrame) -> DataFrame:
+    """Distinct areas of the placed members."""
+    return payload.filter("constituency <> ''").select("legislature", F.col("constituency").alias("area")).distinct()
+
+
+def report_order(name: str) -> list:
+    """The order in which a report is written."""
+    return {
+        "record": lambda: ["legislature", "member", "member_key"],
+        "rebellions": lambda: ["legislature", "member_key", "date", "seq"],
+        "salience": lambda: ["member", F.desc("statements"), "topic"],
+        "payload": lambda: ["legislature", "constituency", "member", "member_key"],
+    }[name]()

@@ -30,6 +30,20 @@ def carry_speaker(turns: DataFrame, key: str, order: str, name: str, heading: Co
     return parted.withColumn("carried", F.coalesce(F.last(own, ignorenulls=True).over(within), F.lit(""))).drop("part")
 
 
+def paragraph_speakers(paragraphs: DataFrame, key: str, order: str, text: str, bold: str, least: int = 20) -> DataFrame:
+    """Paragraphs of ``least`` characters or more with ``speaker``: the bold name, else a short prefix before a colon, else the last one found.
+
+    A prefix ends within the first 80 characters, has 1 to 60 of them and opens with no digit.
+    """
+    head = F.when(F.contains(F.substring(text, 1, 80), F.lit(":")), strip(F.substring_index(text, ":", 1)))
+    prefix = F.when(F.length(head).between(1, 60) & ~F.rlike(head, F.lit(r"^\d")), head)
+    own = strip(F.coalesce(F.nullif(strip(F.col(bold)), F.lit("")), prefix))
+    name = F.nullif(strip(F.regexp_replace(own, ":+$", "")), F.lit(""))
+    long = paragraphs.filter(F.length(text) >= least).withColumn("speaker", name)
+    sofar = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return long.withColumn("speaker", F.coalesce(F.last("speaker", ignorenulls=True).over(sofar), F.lit("")))
+
+
 def speech_segments(lines: DataFrame, key: str, speaker: Column, least: int = 10) -> DataFrame:
     """(key, segment, speaker, text): each speaker line opens a segment that later lines join; what stands before the first is dropped."""
     order = Window.partitionBy(key).orderBy("line_no")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollcall.operators import ingest, quality
 from rollcall.plans.catalog import query
-from rollcall.plans.views import pulls, roster, table
+from rollcall.plans.views import pulls, roster, statements, table
 
 TYPES = 5
 LEDGER = """ledger AS (SELECT legislature, data_type, run_date, min(date) AS from_date, max(date) AS to_date, count(*) AS count, count(*) < 20 AS complete
@@ -182,3 +183,29 @@ def run_summary(spark, d):
     counts = p.groupBy("legislature", "data_type").agg(F.count_if(kept).alias("fetched"), F.count_distinct(F.when(kept, F.col("key"))).alias("new"))
     limits = p.filter("legislature = 'error' and data_type = 'members'").select("legislature", "data_type").distinct()
     return quality.run_summary(counts.withColumn("skipped", F.col("fetched") - F.col("new")), limits)
+
+
+@query("""SELECT id, strftime(s, '%Y-%m-%d') AS chunk_from, strftime(least((s + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE, stop), '%Y-%m-%d') AS chunk_to FROM (
+  SELECT id, stop, unnest(generate_series(TIMESTAMP '1992-01-01', stop::TIMESTAMP, INTERVAL 3 MONTH)) AS s FROM ranges)""", ctes=RANGES)
+def quarter_chunks(spark, d):
+    chunks = ingest.quarter_chunks(_ranges(spark, d), 1992)
+    return chunks.select("id", F.date_format("chunk_from", "yyyy-MM-dd").alias("chunk_from"), F.date_format("chunk_to", "yyyy-MM-dd").alias("chunk_to"))
+
+
+PAGES = """listing AS (SELECT legislature, date, seq, (dense_rank() OVER (PARTITION BY legislature ORDER BY date DESC) - 1) // 2 AS page FROM pulls),
+ends AS (SELECT legislature, min(page) AS stop_ FROM (SELECT legislature, page FROM listing GROUP BY 1, 2 HAVING max(date) < '2024-01-10') GROUP BY 1)"""
+
+
+@query("""SELECT legislature, date, seq, page FROM listing LEFT JOIN ends USING (legislature) WHERE date >= '2024-01-10' AND (stop_ IS NULL OR page < stop_)""", ctes=PAGES)
+def stops_at_old_page(spark, d):
+    """Listings of two days a page, newest first, read back to a bound."""
+    p = pulls(spark, d).select("legislature", "date", "seq")
+    days = p.select("legislature", "date").distinct()
+    page = F.floor((F.dense_rank().over(Window.partitionBy("legislature").orderBy(F.desc("date"))) - 1) / 2)
+    listing = p.join(days.withColumn("page", page), ["legislature", "date"])
+    return ingest.stops_at_old_page(listing, ["legislature"], "page", "date", F.lit("2024-01-10")).select("legislature", "date", "seq", "page")
+
+
+@query("SELECT legislature, dtype AS data_type, count(*) AS records, count(nullif(trim(member_name), '')) AS named, count(DISTINCT nullif(trim(member_name), '')) AS members FROM statements GROUP BY 1, 2")
+def coverage(spark, d):
+    return quality.coverage(statements(spark, d).withColumnRenamed("dtype", "data_type"), ["legislature", "data_type"], "member_name")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollcall.functions import casts
 from rollcall.operators import reports, topics
 from rollcall.operators import votes as v
 from rollcall.plans.catalog import query
 from rollcall.plans.division_plans import LINES
 from rollcall.plans.text_plans import LEXICON, SALIENCE
 from rollcall.plans.views import members, statements, votes
-from rollcall.sources.scratch import written
+from rollcall.sources import readers, sinks
+from rollcall.sources.scratch import folder, written
 
 GAP, MISSED, GRACE = 100, 20, 60
 
@@ -134,3 +136,28 @@ def area_search(spark, d):
 def area_members(spark, d):
     record = written(_record(spark, d), "record")
     return reports.area_members(record, reports.benchmarks(record))
+
+
+@query("SELECT member, topic, statements, share_pct FROM salience", ctes=RECORD)
+def report_scan(spark, d):
+    """The salience report as sorted CSV, read back and cast."""
+    path = folder(spark, "report")
+    sinks.write_csv_report(topics.salience(statements(spark, d), LEXICON).select("member", "topic", "statements", "share_pct"), path, reports.report_order("salience"))
+    back = readers.csv_report(spark, path, ["member", "topic", "statements", "share_pct"])
+    return back.select("member", "topic", casts.whole(F.col("statements")).alias("statements"), casts.rounded(F.col("share_pct")).alias("share_pct"))
+
+
+@query("SELECT DISTINCT legislature, constituency AS area FROM members WHERE status = 'current' AND constituency <> ''")
+def payload_areas(spark, d):
+    return reports.payload_areas(reports.current_members(members(spark, d)))
+
+
+UNSURE = "seats AS (SELECT member_key, CASE WHEN hash_ % 3 = 0 THEN '' ELSE status END AS status FROM (SELECT *, length(member_key) + length(name) AS hash_ FROM members))"
+
+
+@query("SELECT member_key FROM seats WHERE status IN ('current', '')", ctes=UNSURE)
+def current_or_blank(spark, d):
+    """Members in office or without a status, where some statuses are blank."""
+    blank = (F.length("member_key") + F.length("name")) % 3 == 0
+    seats = members(spark, d).select("member_key", F.when(blank, "").otherwise(F.col("status")).alias("status"))
+    return reports.current_members(seats, blank_passes=True).select("member_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.functions import dates, people, text
+from rollcall.functions import casts, dates, people, text
 from rollcall.functions import votes as vf
 from rollcall.operators import quality
 from rollcall.operators import votes as v
@@ -13,7 +13,7 @@ from rollcall.plans.catalog import query
 from rollcall.plans.division_plans import LINES, NON_PARTY_SQL
 from rollcall.plans.identity_plans import gradeable_sql, norm_sql
 from rollcall.plans.views import _WORD, roster, statements, table, votes, word
-from rollcall.sources.readers import json_text_items
+from rollcall.sources.readers import first_list_items, json_text_items
 
 # ---- names -----------------------------------------------------------------
 
@@ -285,3 +285,26 @@ def json_unwrap(spark, d):
     page = F.floor(F.col("event_id") / 50)
     landed = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), page).agg(F.to_json(F.struct(F.collect_list(one).alias("items"))).alias("batch"))
     return json_text_items(landed, "batch", item, ["day"])
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_id::VARCHAR AS event_id, event_type FROM events")
+def first_list_unwrap(spark, d):
+    """A day's events as landed batches, bare or under keys of any name, and read back."""
+    e = table(spark, d, "events")
+    item = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("event_type", T.StringType())])
+    page = F.floor(F.col("event_id") / 50)
+    rows = F.to_json(F.collect_list(F.struct(F.col("event_id").cast("string").alias("event_id"), "event_type")))
+    bare = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), page.alias("page")).agg(rows.alias("rows"))
+    kinds = F.when(F.col("page") % 3 == 0, F.col("rows")).when(F.col("page") % 3 == 1, F.concat(F.lit('{"Found": '), "rows", F.lit(', "n": 1}')))
+    batch = kinds.otherwise(F.concat(F.lit('{"Answer": {"Row": '), "rows", F.lit("}}")))
+    return first_list_items(bare.withColumn("batch", batch), "batch", item, ["day"])
+
+
+@query("""SELECT event_id, try_cast(t AS DOUBLE) AS number, coalesce(trunc(try_cast(t AS DOUBLE))::BIGINT, 0) AS whole, round(try_cast(t AS DOUBLE), 1) AS rounded FROM (
+  SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id / 8.0::DOUBLE)::VARCHAR WHEN 1 THEN ' -' || event_id || ' ' WHEN 2 THEN event_type ELSE '' END AS t FROM events)""")
+def tolerant_casts(spark, d):
+    e = table(spark, d, "events")
+    way = F.col("event_id") % 4
+    text = F.when(way == 0, (F.col("event_id") / 8.0).cast("string")).when(way == 1, F.concat(F.lit(" -"), F.col("event_id").cast("string"), F.lit(" "))).when(way == 2, F.col("event_type")).otherwise("")
+    t = e.select("event_id", text.alias("t"))
+    return t.select("event_id", casts.number(F.col("t")).alias("number"), casts.whole(F.col("t")).alias("whole"), casts.rounded(F.col("t")).alias("rounded"))

@@ -96,3 +96,12 @@ def meeting_listing(spark, d):
     link = F.concat(F.lit("/x?meetingID="), F.col("user_id").cast("string"), F.lit("&xmlDownloadType="), kinds)
     rows = e.select(F.col("event_id").alias("seq"), F.concat(F.date_format("ts", "dd/MM/yyyy HH:mm"), kind).alias("text"), F.array(link).alias("links"))
     return normalise.meeting_listing(rows, "2024-01-01", "2025-01-01").select("id", "date", "has_votes")
+
+
+@query("""SELECT doc_id, line_no::INT AS line_no, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), '') AS speaker FROM (
+  SELECT doc_id, line_no, nullif(trim(regexp_replace(CASE WHEN bold <> '' THEN bold WHEN length(head) BETWEEN 1 AND 60 AND NOT regexp_matches(head, '^[0-9]') THEN head END, ':+$', '')), '') AS own FROM (
+  SELECT doc_id, line_no, line, regexp_extract(line, '^(M[a-z]+) ', 1) AS bold, CASE WHEN contains(substr(line, 1, 80), ':') THEN trim(split_part(line, ':', 1)) END AS head FROM lines) WHERE length(line) >= 20)""", ctes=LINES)
+def paragraph_speakers(spark, d):
+    """Lines as paragraphs, their first word bold where it opens with M."""
+    paragraphs = _lines(spark, d).withColumn("bold", F.regexp_extract("line", "^(M[a-z]+) ", 1))
+    return segments.paragraph_speakers(paragraphs, "doc_id", "line_no", "line", "bold").select("doc_id", "line_no", "speaker")

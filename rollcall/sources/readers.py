@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,26 @@ def json_text_items(rows: DataFrame, text: str, item: T.StructType, keep: list[s
     return each.select(*keep, *[F.coalesce(F.col("e.value")[f.name], F.col("e")[f.name]).alias(f.name) for f in item.fields])
 
 
+def first_list(text: Column, depth: int = 4) -> Column:
+    """JSON text of the list that a response leads with: itself, or what stands under the first key, down to ``depth`` keys; null if that is no list."""
+    found = F.trim(text)
+    for _ in range(depth):
+        inner = F.try_element_at(F.map_values(F.from_json(found, "map<string,string>")), F.lit(1))
+        found = F.when(F.startswith(found, F.lit("{")), F.trim(inner)).otherwise(found)
+    return F.when(F.startswith(found, F.lit("[")), found)
+
+
+def first_list_items(rows: DataFrame, text: str, item: T.StructType, keep: list[str], depth: int = 4) -> DataFrame:
+    """Items of batches whose wrapper has no known name."""
+    each = rows.select(*keep, F.explode(F.from_json(first_list(F.col(text), depth), T.ArrayType(item))).alias("e"))
+    return each.select(*keep, *[F.col("e")[f.name].alias(f.name) for f in item.fields])
+
+
+def csv_report(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV report read back by the place of its columns, as strings, with or without a byte-order mark."""
+    return spark.read.schema(strings(*columns)).option("header", True).option("multiLine", True).option("escape", '"').csv(path).fillna("")
+
+
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 

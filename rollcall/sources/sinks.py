@@ -44,8 +44,16 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").parquet(path)
+def write_report(report: DataFrame, path: str, order: list | None = None) -> None:
+    """A report as Parquet, sorted over all its files where an order is given."""
+    (report.orderBy(*order) if order else report).write.mode("overwrite").parquet(path)
+
+
+def write_csv_report(report: DataFrame, path: str, order: list) -> None:
+    """A report as sorted CSV for spreadsheets: each file opens with a byte-order mark, which its header's first name carries."""
+    first, *rest = report.columns
+    marked = report.orderBy(*order).select(F.col(first).alias("\ufeff" + first), *rest)
+    marked.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_payload(payload: DataFrame, path: str) -> None:

@@ -1,11 +1,13 @@
 """Scans, sinks, normalisers and the streaming twin on small landed fixtures."""
 
+import csv
 import json
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.operators import ingest
+from rollcall.functions import casts
+from rollcall.operators import ingest, segments
 from rollcall.schema import strings
 from rollcall.sources import normalise as n
 from rollcall.sources import readers, sinks
@@ -175,3 +177,33 @@ def test_flags_of_an_old_run_do_not_advance_the_cursor(spark):
     ledger = spark.createDataFrame(rows, "legislature string, data_type string, run_date string, from_date string, to_date string, count int, complete boolean")
     r = one(ingest.resume_from(ledger, 5))
     assert (r["resume_from"], r["last_run"]) == ("2024-01-02", "2024-01-09")
+
+
+def test_first_lists_of_any_wrapper(spark):
+    texts = ['[{"a": "1"}]', '{"x": [{"a": "2"}]}', '{"x": {"y": [{"a": "3"}]}, "z": [{"a": "0"}]}', '{"n": 1, "rows": [{"a": "0"}]}', "[]", "{}", "", None, "not json"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = readers.first_list_items(rows, "t", T.StructType([T.StructField("a", T.StringType())]), ["i"])
+    assert sorted((r["i"], r["a"]) for r in got.collect()) == [(0, "1"), (1, "2"), (2, "3")]
+
+
+def test_csv_report_is_sorted_and_marked(spark, tmp_path):
+    path = str(tmp_path / "report")
+    rows = [("b", 'says "x"', "2"), ("a", "two\nlines", "3"), ("c", "", "1")]
+    sinks.write_csv_report(spark.createDataFrame(rows, "name string, title string, n string"), path, ["name"])
+    files = sorted((tmp_path / "report").glob("part-*.csv"))
+    assert files and all(f.read_bytes().startswith(b"\xef\xbb\xbfname,title,n") for f in files)
+    back = [tuple(r) for r in readers.csv_report(spark, path, ["name", "title", "n"]).collect()]
+    assert sorted(back) == sorted(rows)
+    assert [line[0] for f in files for line in csv.reader(f.read_text("utf-8-sig").splitlines(True)) if line[0] != "name"] == ["a", "b", "c"]
+
+
+def test_casts_never_fail(spark):
+    cases = {"1.5": (1.5, 1), " -2.9 ": (-2.9, -2), "1e3": (1000.0, 1000), "1d": (None, 7), "nan": (None, 7), "1e999": (None, 7), "1e30": (1e30, 7), "": (None, 7), None: (None, 7), "x": (None, 7)}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", casts.number(F.col("t")).alias("n"), casts.whole(F.col("t"), 7).alias("w"))
+    assert {r["t"]: (r["n"], r["w"]) for r in rows.collect()} == cases
+
+
+def test_paragraph_speakers(spark):
+    rows = [(1, "Ann Roe: good morning to all of you", ""), (2, "and then a further paragraph follows", ""), (3, "short: one", "Bo"), (4, "a paragraph of the next speaker here", "Cy Day:"), (5, "12 March: the date of a sitting day", ""), (6, "x" * 90 + ": too far behind", "")]
+    got = segments.paragraph_speakers(spark.createDataFrame([("d", *r) for r in rows], "k string, n int, t string, b string"), "k", "n", "t", "b")
+    assert {r["n"]: r["speaker"] for r in got.collect()} == {1: "Ann Roe", 2: "Ann Roe", 4: "Cy Day", 5: "Cy Day", 6: "Cy Day"}
