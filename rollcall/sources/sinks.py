@@ -22,11 +22,18 @@ def write_run(records: DataFrame, path: str) -> None:
 
 
 def write_flat(records: DataFrame, path: str, metadata: list[str]) -> None:
-    flatten_record(records, metadata).write.mode("overwrite").option("header", True).csv(path)
+    """Records as flat CSV for spreadsheets, quotes doubled, each file with a byte-order mark."""
+    _marked(flatten_record(records, metadata)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with a byte-order mark before the first name, so that each CSV file with a header opens with it."""
+    first, *rest = rows.columns
+    return rows.select(F.col(first).alias("\ufeff" + first), *rest)
 
 
 def append_master(batch: DataFrame, path: str, columns: list[str]) -> int:
-    """Append the rows that the master lacks; key and row go in one atomic write. Returns how many were new."""
+    """Append the rows that the master lacks; key and row go in one write, so that neither is there without the other. Returns how many were new."""
     from rollcall.streaming.ingest import master_table
 
     spark = batch.sparkSession
@@ -50,10 +57,8 @@ def write_report(report: DataFrame, path: str, order: list | None = None) -> Non
 
 
 def write_csv_report(report: DataFrame, path: str, order: list) -> None:
-    """A report as sorted CSV for spreadsheets: each file opens with a byte-order mark, which its header's first name carries."""
-    first, *rest = report.columns
-    marked = report.orderBy(*order).select(F.col(first).alias("\ufeff" + first), *rest)
-    marked.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """A report as CSV for spreadsheets, sorted over all its files, each with a byte-order mark."""
+    _marked(report.orderBy(*order)).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_payload(payload: DataFrame, path: str) -> None:

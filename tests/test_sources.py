@@ -169,6 +169,7 @@ def test_run_files(spark, tmp_path):
     sinks.write_flat(s, str(tmp_path / "csv"), ["house", "none"])
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert one(back.select("member_name", "metadata_house"))["member_name"] == "Jane"
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbf") for f in (tmp_path / "csv").glob("part-*.csv"))
     assert one(spark.read.json(str(tmp_path / "json")))["legislature"] == "F"
 
 
