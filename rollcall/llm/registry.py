@@ -16,7 +16,12 @@ QUERIES = {
     "op8_url_filter": q.op8_url_filter,
     "op9_quality": q.op9_quality,
     "op10_decontamination": q.op10_decontamination,
+    "op11_secret_scan": q.op11_secret_scan,
+    "op12_spelling": q.op12_spelling,
+    "op13_prefix_trie": q.op13_prefix_trie,
 }
 ORACLE = {
     "op1_sharding": sql.OP1,
+    "op12_spelling": sql.OP12,
+    "op13_prefix_trie": sql.OP13,
 }
