@@ -46,6 +46,11 @@ def vote_date(c: Column) -> Column:
     )
 
 
+def snapshot_date(c: Column) -> Column:
+    """Date of an edition that is captioned "as on D Month YYYY"."""
+    return iso(_long_date(F.coalesce(c, F.lit("")), r"as on "))
+
+
 def day_first(c: Column) -> Column:
     """DD/MM/YYYY or DD-MM-YYYY to ISO."""
     return iso(parsed(F.translate(F.coalesce(c, F.lit("")), "-", "/"), "d/M/yyyy"))

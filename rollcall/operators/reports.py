@@ -34,7 +34,8 @@ def member_record(members: DataFrame, cast: DataFrame, spoken: DataFrame, salien
     """One row per member, seeded from the roster so that those who never act appear too.
 
     ``members``: legislature, member_key, name, party, constituency, status.
-    ``spoken``: member_key, n_questions, n_speeches. ``salience``: member, topic, ...
+    ``spoken``: member_key, n_questions, n_speeches. ``salience``: member, topic, ... ``points``: legislature,
+    member_key, dim1, dim2, shown to three places.
     ``keep`` may write what several branches read, so that votes are read for the lines, the days and
     the divisions alone.
     """
@@ -44,7 +45,7 @@ def member_record(members: DataFrame, cast: DataFrame, spoken: DataFrame, salien
     joined = members.join(counters, ["legislature", "member_key"], "left").join(turn, ["legislature", "member_key"], "left").join(spoken, "member_key", "left")
     joined = joined.join(top_topics(salience).withColumnRenamed("member", "member_key"), "member_key", "left")
     if points is not None:
-        joined = joined.join(points.select("member_key", F.round("dim1", 4).alias("ideal_dim1"), F.round("dim2", 4).alias("ideal_dim2")), "member_key", "left")
+        joined = joined.join(points.select("legislature", "member_key", (F.round("dim1", 3) + 0.0).alias("ideal_dim1"), (F.round("dim2", 3) + 0.0).alias("ideal_dim2")), ["legislature", "member_key"], "left")
     else:
         joined = joined.withColumns({"ideal_dim1": F.lit(None).cast("double"), "ideal_dim2": F.lit(None).cast("double")})
     numbers = ["votes_cast", "party_line_divisions", "with_party", "rebellions", "chamber_decided_divisions", "with_chamber", "no_vote_recorded", "spells", "term_votes", "eligible", "n_questions", "n_speeches"]
@@ -98,9 +99,34 @@ def app_payload(record: DataFrame, salience: DataFrame, rebellions: DataFrame, c
     return placed.join(tops, "member_key", "left").join(slips, ["legislature", "member_key"], "left")
 
 
-def payload_json(payload: DataFrame) -> DataFrame:
-    """One JSON document a member."""
-    return payload.select("legislature", "member_key", F.to_json(F.struct(*[c for c in payload.columns if c not in ("legislature", "member_key")])).alias("json"))
+def payload_lines(payload: DataFrame, bench: DataFrame) -> DataFrame:
+    """The export, a JSON document a legislature, as its lines: (legislature, area, member, member_key, json).
+
+    The first line, of a blank area, holds topics and benchmarks; then each member has one, by area and name.
+    ``document`` puts lines together. A legislature is never gathered in one row, however many sit in it.
+    """
+    member = F.struct(
+        F.col("member").alias("name"), "party", F.col("constituency").alias("area"), F.col("legislature").alias("parliament"), F.col("votes_cast").alias("votesCast"), F.col("term_votes").alias("termVotes"),
+        F.col("divisions_eligible").alias("eligible"), F.col("turnout_pct").alias("turnout"), F.col("spells_served").alias("spells"), F.col("current_spell_from").alias("spellFrom"), F.col("party_agreement_pct").alias("partyAgreement"),
+        F.col("party_line_divisions").alias("partyLineDivisions"), F.col("chamber_agreement_pct").alias("chamberAgreement"), "rebellions", F.col("rebellion_rate_pct").alias("rebellionRate"), F.col("ideal_dim1").alias("dim1"),
+        F.col("ideal_dim2").alias("dim2"), F.col("n_questions").alias("questions"), F.col("n_speeches").alias("speeches"), F.coalesce("topics", F.array()).alias("topics"), F.coalesce("receipts", F.array()).alias("receipts"),
+    )
+    whole = {"ignoreNullFields": "false"}
+    lines = payload.select("legislature", F.col("constituency").alias("area"), "member", "member_key", F.to_json(member, whole).alias("json"))
+    named = payload_topics(payload).groupBy("legislature").agg(F.sort_array(F.collect_list("topic")).alias("topics"))  # as many as the lexicon has
+    figures = F.struct(
+        "members", F.col("median_turnout_pct").alias("turnout"), F.col("median_party_agreement_pct").alias("partyAgreement"), F.col("median_chamber_agreement_pct").alias("chamberAgreement"),
+        F.col("median_rebellion_rate_pct").alias("rebellionRate"), F.col("median_rebellions").alias("rebellions"), F.col("ever_rebelled").alias("everRebelled"),
+    )
+    head = F.struct(F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), figures.alias("benchmarks"))
+    blank = F.lit("")
+    heads = bench.join(named, "legislature", "left").select("legislature", blank.alias("area"), blank.alias("member"), blank.alias("member_key"), F.to_json(head, whole).alias("json"))
+    return heads.unionByName(lines)
+
+
+def document(lines: list[str]) -> str:
+    """The JSON text of a legislature's ``lines``, the first one the head."""
+    return lines[0][:-1] + ',"members":[' + ",".join(lines[1:]) + "]}"
 
 
 def payload_topics(payload: DataFrame) -> DataFrame:
@@ -156,5 +182,5 @@ def report_order(name: str) -> list:
         "record": lambda: ["legislature", "member", "member_key"],
         "rebellions": lambda: ["legislature", "member_key", "date", "seq"],
         "salience": lambda: ["member", F.desc("statements"), "topic"],
-        "payload": lambda: ["legislature", "constituency", "member", "member_key"],
+        "payload": lambda: ["legislature", "area", "member", "member_key"],
     }[name]()

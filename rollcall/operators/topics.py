@@ -2,14 +2,18 @@
 
 Two scanners, as the metrics define them. ``topic_mentions`` looks for the longest
 keyword at every position. ``lexicon_hits`` moves from left to right and consumes what
-it matches. Both keep a statement's tokens in one array and stay inside Spark
-expressions; a lexicon is a small parameter whose terms become a map literal.
+it matches. Both walk a trie of the terms' tokens over a text's tokens, so a text costs
+what it is long, however many terms the lexicon has and however many tokens a term. Terms
+are joined to their topics by equal keys, and a lexicon is broadcast up to a checked size.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,9 @@ NEGATIONS = (
     "lacks", "lacking", "against", "oppose", "opposed", "reject",
 )
 WINDOW = 3
+#: Terms of a lexicon that is broadcast in joins; above it Spark chooses.
+BROADCAST_TERMS = 200_000
+_TOKEN = re.compile(r"[a-z0-9']+")
 
 
 @dataclass(frozen=True)
@@ -52,64 +59,73 @@ def lexicon_index(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy(term.alias("term")).agg(topics("kw").alias("kw"), topics("pro").alias("pro"), topics("con").alias("con"), tone.alias("tone")).filter("term <> ''")
 
 
-def _terms(words: list[str]) -> tuple[Column, int]:
-    """(map literal term -> tokens in it, longest)."""
-    sizes = {t: len(t.split()) for t in sorted(set(words))}
-    return F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), max(sizes.values(), default=1)
+def _small(df: DataFrame, lexicon: list[Term]) -> DataFrame:
+    return F.broadcast(df) if len(lexicon) <= BROADCAST_TERMS else df
 
 
-def _longest_at(words: Column, p: Column, terms: Column, longest: int) -> Column:
-    """Tokens in the longest term that starts at position ``p`` (from 0), 0 if none does."""
-    found = F.lit(0)
-    for n in range(1, longest + 1):
-        phrase = F.array_join(F.slice(words, p + 1, F.lit(n)), " ")
-        found = F.when((p + n <= F.size(words)) & F.map_contains_key(terms, phrase), F.lit(n)).otherwise(found)
-    return found
+class TermTrie:
+    """Terms as paths of tokens; a walk from a position gives the longest term that starts there."""
 
+    def __init__(self, terms: Iterable[list[str]]):
+        self.root: dict = {}
+        for tokens_ in terms:
+            node = self.root
+            for t in tokens_:
+                node = node.setdefault(t, {})
+            if tokens_:
+                node[None] = True
 
-def lexicon_hits(statements: DataFrame, lexicon: list[Term], text: str = "text") -> DataFrame:
-    """A row per hit: the statement's columns without the text, ``pos``, ``n`` and ``term``.
+    def longest(self, words: list[str], at: int) -> int:
+        node, best, k = self.root, 0, at
+        while k < len(words) and (node := node.get(words[k])) is not None:
+            k += 1
+            if None in node:
+                best = k - at
+        return best
 
-    Leftmost longest match first; what a match covers is not looked at again.
-    """
-    names = [c for c in statements.columns if c != text]
-    words = [" ".join(t) for t in {tuple(_python_tokens(x.term)) for x in lexicon} if t]
-    terms, longest = _terms(words)
-    starts = sorted({w.split()[0] for w in words})
-    tokenised = statements.select(*names, tokens(F.col(text)).alias("words"))
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda p: F.element_at("words", p + 1).isin(starts))
-    places = F.when(F.size("words") > 0, places).otherwise(F.array().cast("array<int>"))
-    matched = F.filter(F.transform(places, lambda p: F.struct(p.alias("pos"), _longest_at(F.col("words"), p, terms, longest).alias("n"))), lambda m: m["n"] > 0)
-    empty = F.array().cast("array<struct<pos:int,n:int>>")
+    def consumed(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """(position, tokens) of the leftmost longest terms; what one covers is not looked at again."""
+        at = 0
+        while at < len(words):
+            n = self.longest(words, at)
+            if n:
+                yield at, n
+            at += n or 1
+
+    def everywhere(self, words: list[str]) -> set[str]:
+        """The longest terms of all positions."""
+        return {" ".join(words[at : at + n]) for at, w in enumerate(words) if w in self.root and (n := self.longest(words, at))}
 
-    def step(s: Column, m: Column) -> Column:
-        taken = F.struct((m["pos"] + m["n"]).alias("next"), F.concat(s["hits"], F.array(m)).alias("hits"))
-        return F.when(m["pos"] >= s["next"], taken).otherwise(s)
 
-    state = F.aggregate(matched, F.struct(F.lit(0).alias("next"), empty.alias("hits")), step, lambda s: s["hits"])
-    hits = tokenised.select(*names, "words", F.explode(state).alias("h"))
-    phrase = F.array_join(F.slice("words", F.col("h.pos") + 1, F.col("h.n")), " ")
-    return hits.select(*names, "words", F.col("h.pos").alias("pos"), F.col("h.n").alias("n"), phrase.alias("term"))
+def _tokens(text: str | None) -> list[str]:
+    return _TOKEN.findall((text or "").lower())
 
 
-def _python_tokens(term: str) -> list[str]:
-    import re
+def lexicon_hits(statements: DataFrame, lexicon: list[Term], text: str = "text", cues: tuple[str, ...] = NEGATIONS, window: int = WINDOW) -> DataFrame:
+    """A row per hit: the statement's columns without the text, ``pos``, ``n``, ``term`` and ``neg``.
 
-    return re.findall(r"[a-z0-9']+", term.lower())
+    Leftmost longest match first; what a match covers is not looked at again. ``neg``: whether a cue
+    stands in the ``window`` tokens before it. Null text has no hits.
+    """
+    names = [c for c in statements.columns if c != text]
+    shared = statements.sparkSession.sparkContext.broadcast((TermTrie(_tokens(x.term) for x in lexicon), frozenset(cues)))
 
+    @F.pandas_udf("array<struct<pos:int,n:int,term:string,neg:boolean>>")
+    def scan(texts: pd.Series) -> pd.Series:
+        trie, turning = shared.value
+        out = []
+        for t in texts:
+            words = _tokens(t)
+            out.append([(p, n, " ".join(words[p : p + n]), not turning.isdisjoint(words[max(0, p - window) : p])) for p, n in trie.consumed(words)])
+        return pd.Series(out)
 
-def negated(hits: DataFrame, cues: tuple[str, ...] = NEGATIONS, window: int = WINDOW) -> DataFrame:
-    """``hits`` with ``neg``: whether a cue stands in the ``window`` tokens before the match."""
-    before = F.slice("words", F.greatest(F.lit(1), F.col("pos") - window + 1), F.least(F.lit(window), F.col("pos")))
-    cue = F.exists(before, lambda w: w.isin(*cues))
-    return hits.withColumn("neg", (F.col("pos") > 0) & cue)
+    return statements.select(*names, F.explode(scan(F.col(text))).alias("h")).select(*names, "h.pos", "h.n", "h.term", "h.neg")
 
 
 def scored_hits(statements: DataFrame, lexicon: list[Term], cues: tuple[str, ...] = NEGATIONS) -> DataFrame:
-    """Hits with the index entry of their term and ``neg``."""
-    spark = statements.sparkSession
-    index = lexicon_index(lexicon_frame(spark, lexicon))
-    return negated(lexicon_hits(statements, lexicon), cues).drop("words").join(index, "term")
+    """Hits with the index entry of their term."""
+    index = lexicon_index(lexicon_frame(statements.sparkSession, lexicon))
+    return lexicon_hits(statements, lexicon, cues=cues).join(_small(index, lexicon), "term")
 
 
 def topic_hits(statements: DataFrame, lexicon: list[Term], keys: list[str], cues: tuple[str, ...] = NEGATIONS) -> DataFrame:
@@ -136,16 +152,18 @@ def tone(statements: DataFrame, lexicon: list[Term], keys: list[str], cues: tupl
 
 def topic_mentions(statements: DataFrame, lexicon: list[Term], key: str = "statement_id") -> DataFrame:
     """Distinct (key, topic): the longest keyword at each position, none consumed; keywords as they stand, lower-cased."""
-    spark = statements.sparkSession
-    keywords = {t.term.lower().strip() for t in lexicon if t.kind == "kw"}
-    terms, longest = _terms(sorted(keywords))
-    starts = sorted({w.split()[0] for w in keywords})
-    tokenised = statements.select(key, tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda p: F.element_at("words", p + 1).isin(starts))
-    phrase = F.transform(places, lambda p: F.array_join(F.slice("words", p + 1, _longest_at(F.col("words"), p, terms, longest)), " "))
-    found = tokenised.select(key, F.explode(F.array_distinct(F.filter(phrase, lambda x: x != ""))).alias("term"))
-    topics = lexicon_frame(spark, [t for t in lexicon if t.kind == "kw"]).select(F.lower(F.trim("term")).alias("term"), F.regexp_replace("topic", "^Pro-", "").alias("topic"))
-    return found.join(topics.distinct(), "term").select(key, "topic").distinct()
+    # a keyword is met as it stands, so one that is no row of tokens is never found
+    keywords = [t.term.lower().strip().split(" ") for t in lexicon if t.kind == "kw"]
+    shared = statements.sparkSession.sparkContext.broadcast(TermTrie(keywords))
+
+    @F.pandas_udf("array<string>")
+    def scan(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(shared.value.everywhere(_tokens(t))) for t in texts])
+
+    found = statements.select(key, F.explode(scan(F.col("text"))).alias("term"))
+    frame = lexicon_frame(statements.sparkSession, [t for t in lexicon if t.kind == "kw"])
+    topics = frame.select(F.lower(F.trim("term")).alias("term"), F.regexp_replace("topic", "^Pro-", "").alias("topic")).distinct()
+    return found.join(_small(topics, lexicon), "term").select(key, "topic").distinct()
 
 
 def salience(statements: DataFrame, lexicon: list[Term]) -> DataFrame:

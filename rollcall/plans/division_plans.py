@@ -114,28 +114,57 @@ def agreement_kernel(spark, d):
     return kernel.withColumn("dot", F.round("dot", 4) + 0.0)
 
 
-def _scaled(spark, d):
-    """(legislature, its points, variance shares) of each legislature, over its current members alone."""
-    seats = members(spark, d).filter("status = 'current'")
-    cast = votes(spark, d).join(seats, ["legislature", "member_key"], "left_semi")
-    for name in sorted(r[0] for r in cast.select("legislature").distinct().collect()):
-        own = F.col("legislature") == name
-        yield name, *scaling.ideal_points(cast.filter(own), seats.filter(own))
-
-
-@query()
+def _power(gram: str, name: str, steps: int = 34) -> str:
+    """The leading eigenvector of each legislature's matrix ``gram`` (a, b, x): squared until one direction is left."""
+    out = [f"{name}_0 AS MATERIALIZED (SELECT legislature, a, b, x / sum(x) FILTER (a = b) OVER (PARTITION BY legislature) AS x FROM {gram})"]
+    for k in range(steps):
+        out.append(
+            f"{name}_{k}_ AS MATERIALIZED (SELECT p.legislature, p.a, q.b, sum(p.x * q.x) AS x FROM {name}_{k} p JOIN {name}_{k} q ON p.legislature = q.legislature AND p.b = q.a GROUP BY 1, 2, 3),\n"
+            f"{name}_{k + 1} AS MATERIALIZED (SELECT legislature, a, b, x / sum(x) FILTER (a = b) OVER (PARTITION BY legislature) AS x FROM {name}_{k}_)"
+        )
+    last = f"{name}_{steps}"
+    out.append(
+        f"{name}_at AS (SELECT legislature, arg_max(a, x) AS b, max(x) AS x FROM {last} WHERE a = b GROUP BY 1),\n"
+        f"{name} AS MATERIALIZED (SELECT p.legislature, p.a, p.x / sqrt(t.x) AS v FROM {last} p JOIN {name}_at t USING (legislature, b)),\n"
+        f"{name}_square AS MATERIALIZED (SELECT g.legislature, sum(p.v * g.x * q.v) AS s FROM {gram} g JOIN {name} p ON p.legislature = g.legislature AND p.a = g.a "
+        f"JOIN {name} q ON q.legislature = g.legislature AND q.a = g.b GROUP BY 1)"
+    )
+    return ",\n".join(out)
+
+
+#: Ideal points of current members by dense matrices: their Gram matrix, its leading eigenvector, and that of what the first leaves.
+POINTS = f"""
+own AS (SELECT c.* FROM cast_ c SEMI JOIN (SELECT * FROM members WHERE status = 'current') m ON m.legislature = c.legislature AND m.member_key = c.member_key),
+{MATRIX.replace("FROM cast_ GROUP", "FROM own GROUP").strip()},
+gram AS MATERIALIZED (SELECT x.legislature, x.member_key AS a, y.member_key AS b, sum(x.v * y.v) AS x FROM centred x JOIN centred y USING (legislature, division) GROUP BY 1, 2, 3),
+{_power("gram", "one")},
+rest AS MATERIALIZED (SELECT g.legislature, g.a, g.b, g.x - s.s * p.v * q.v AS x FROM gram g JOIN one_square s USING (legislature)
+  JOIN one p ON p.legislature = g.legislature AND p.a = g.a JOIN one q ON q.legislature = g.legislature AND q.a = g.b),
+{_power("rest", "two")},
+pair AS (SELECT o.legislature, o.a AS member_key, o.v AS x, t.v AS y FROM one o JOIN two t USING (legislature, a)),
+scaled AS (SELECT legislature, member_key, x / first_value(x) OVER (PARTITION BY legislature ORDER BY abs(x) DESC, member_key) AS x,
+  y / first_value(y) OVER (PARTITION BY legislature ORDER BY abs(y) DESC, member_key) AS y FROM pair),
+party_sums AS (SELECT legislature, party, count(*) AS n, sum(x) AS total FROM scaled JOIN members USING (legislature, member_key) WHERE party <> '' GROUP BY 1, 2),
+facing AS (SELECT legislature, CASE WHEN total < 0 THEN -1.0 ELSE 1.0 END AS sign FROM party_sums QUALIFY row_number() OVER (PARTITION BY legislature ORDER BY n DESC, party) = 1),
+points AS (SELECT legislature, member_key, x * coalesce(sign, 1.0) AS dim1, y * coalesce(sign, 1.0) AS dim2 FROM scaled LEFT JOIN facing USING (legislature)),
+shares AS (SELECT legislature, one_square.s / total AS dim1_share, two_square.s / total AS dim2_share
+  FROM (SELECT legislature, sum(x) FILTER (a = b) AS total FROM gram GROUP BY 1) JOIN one_square USING (legislature) JOIN two_square USING (legislature))"""
+
+
+def points_of(spark, d, cast=None):
+    """(points, report) of every legislature, over its current members alone."""
+    cast = votes(spark, d) if cast is None else cast
+    return scaling.ideal_points(cast, members(spark, d).filter("status = 'current'"))
+
+
+@query("SELECT legislature, member_key, round(dim1, 3) + 0.0 AS ideal_dim1, round(dim2, 3) + 0.0 AS ideal_dim2 FROM points", ctes=POINTS)
 def ideal_points(spark, d):
-    out = spark.createDataFrame([], "legislature string, member_key string, ideal_dim1 double, ideal_dim2 double")
-    for name, points, _ in _scaled(spark, d):
-        out = out.unionByName(points.select(F.lit(name).alias("legislature"), "member_key", F.round("dim1", 4).alias("ideal_dim1"), F.round("dim2", 4).alias("ideal_dim2")))
-    return out
+    points, _ = points_of(spark, d)
+    return points.select("legislature", "member_key", *[(F.round(f"dim{k}", 3) + 0.0).alias(f"ideal_dim{k}") for k in (1, 2)])
 
 
-@query()
+@query("""SELECT legislature, count(p.member_key) AS members_placed, round(any_value(dim1_share), 6) AS dim1_share, round(any_value(dim2_share), 6) AS dim2_share
+  FROM (SELECT DISTINCT legislature FROM own) LEFT JOIN points p USING (legislature) LEFT JOIN shares USING (legislature) GROUP BY 1""", ctes=POINTS)
 def scaling_report(spark, d):
-    out = spark.createDataFrame([], "legislature string, members_placed long, dim1_share double, dim2_share double")
-    for name, points, shares in _scaled(spark, d):
-        first, second = [*shares, None, None][:2]
-        placed = points.agg(F.count("*").alias("members_placed"))
-        out = out.unionByName(placed.select(F.lit(name).alias("legislature"), "members_placed", F.lit(first).cast("double").alias("dim1_share"), F.lit(second).cast("double").alias("dim2_share")))
-    return out
+    _, report = points_of(spark, d)
+    return report.select("legislature", "members_placed", F.round("dim1_share", 6).alias("dim1_share"), F.round("dim2_share", 6).alias("dim2_share"))

@@ -63,11 +63,12 @@ def enrich_member(spark, d):
     return identity.enrich(statements(spark, d), roster(spark, d)).select("statement_id", "legislature", "member_name", "member_party", "member_constituency")
 
 
-@query("""SELECT legislature, id, name FROM roster WHERE seq % 3 = 0 UNION ALL SELECT legislature, id, 'Lord ' || name FROM roster WHERE seq % 3 <> 0""")
+@query("""SELECT legislature, id, CASE WHEN status = 'current' THEN name ELSE 'Lord ' || name END AS name FROM roster""")
 def union_unseen(spark, d):
+    """Members in office, and from a second list of everybody those that the first lacks."""
     r = roster(spark, d)
     lords = r.withColumn("name", F.concat(F.lit("Lord "), "name"))
-    return identity.union_unseen(r.filter("seq % 3 = 0"), lords).select("legislature", "id", "name")
+    return identity.union_unseen(r.filter("status = 'current'"), lords).select("legislature", "id", "name")
 
 
 MEMBERSHIPS = """memberships AS (SELECT o_custkey AS person_id, o_orderpriority AS party, strftime(o_orderdate, '%Y-%m-%d') AS from_date,

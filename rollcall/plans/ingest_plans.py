@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rollcall.operators import ingest, quality
 from rollcall.plans.catalog import query
 from rollcall.plans.views import pulls, roster, statements, table
+from rollcall.sources import readers, sinks
+from rollcall.sources.scratch import folder
 
 TYPES = 5
 LEDGER = """ledger AS (SELECT legislature, data_type, run_date, min(date) AS from_date, max(date) AS to_date, count(*) AS count, count(*) < 20 AS complete
@@ -18,6 +20,14 @@ def _ledger(spark, d):
     return ingest.run_ledger(pulls(spark, d), limit=20)
 
 
+def _log(spark, d) -> str:
+    """The ledger's log on files: the first half of the month, then the second, one of its appends tried twice."""
+    path, rows = folder(spark, "ledger"), _ledger(spark, d).withColumn("pulled_at", F.to_timestamp("run_date"))
+    for part in ("run_date < '2024-01-16'", "run_date >= '2024-01-16'", "run_date >= '2024-01-16'"):
+        sinks.append_ledger(rows.filter(part), path)
+    return path
+
+
 @query("SELECT legislature, data_type, run_date, key, date, seq FROM pulls QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1")
 def batch_dedup(spark, d):
     return ingest.batch_dedup(pulls(spark, d).select("legislature", "data_type", "run_date", "key", "date", "seq"))
@@ -43,13 +53,25 @@ def run_ledger(spark, d):
 @query("""SELECT legislature, max(CASE WHEN whole THEN cursor_ END) AS resume_from, max(run_date) AS last_run FROM (
   SELECT legislature, run_date, bool_and(complete) AND count(DISTINCT data_type) = 5 AS whole, min(least(to_date, run_date)) AS cursor_ FROM ledger GROUP BY 1, 2) GROUP BY 1""", ctes=LEDGER)
 def resume_from(spark, d):
-    return ingest.resume_from(_ledger(spark, d), TYPES)
+    """From the log as it was appended."""
+    return ingest.resume_from(readers.ledger(spark, _log(spark, d)), TYPES)
 
 
 @query("SELECT legislature, data_type, run_date, from_date, to_date FROM ledger WHERE NOT complete", ctes=LEDGER)
 def pending_types(spark, d):
-    ledger = _ledger(spark, d)
-    return ingest.pending_types(ledger.select("legislature", "data_type", "run_date", "from_date", "to_date"), ledger)
+    """What the log, compacted, does not have as complete."""
+    path = _log(spark, d)
+    sinks.compact_ledger(spark, path, "2024-02")
+    return ingest.pending_types(_ledger(spark, d).select("legislature", "data_type", "run_date", "from_date", "to_date"), readers.ledger(spark, path))
+
+
+@query("""SELECT legislature, data_type, run_date, from_date, to_date, count, complete FROM ledger WHERE run_date <= '2024-01-20'
+  QUALIFY row_number() OVER (PARTITION BY legislature, data_type ORDER BY run_date DESC) = 1""", ctes=LEDGER)
+def ledger_snapshot(spark, d):
+    """The last row of each type as the compacted log stood on a day."""
+    path = _log(spark, d)
+    sinks.compact_ledger(spark, path, "2024-02")
+    return ingest.latest_ledger(readers.ledger(spark, path, "2024-01-20")).drop("pulled_at")
 
 
 RANGES = "ranges AS (SELECT o_custkey AS id, min(o_orderdate)::DATE AS start, max(o_orderdate)::DATE AS stop FROM orders GROUP BY 1)"
@@ -198,12 +220,17 @@ ends AS (SELECT legislature, min(page) AS stop_ FROM (SELECT legislature, page F
 
 @query("""SELECT legislature, date, seq, page FROM listing LEFT JOIN ends USING (legislature) WHERE date >= '2024-01-10' AND (stop_ IS NULL OR page < stop_)""", ctes=PAGES)
 def stops_at_old_page(spark, d):
-    """Listings of two days a page, newest first, read back to a bound."""
+    """Listings of two days a page, newest first, landed by day and read back to a bound."""
+    path, rows = folder(spark, "listing"), listing(spark, d)
+    sinks.land_listing(rows, path, ["legislature"], "page", "date")
+    return readers.listing_since(spark, path, rows.schema, ["legislature"], "page", "date", "2024-01-10")
+
+
+def listing(spark, d):
     p = pulls(spark, d).select("legislature", "date", "seq")
     days = p.select("legislature", "date").distinct()
     page = F.floor((F.dense_rank().over(Window.partitionBy("legislature").orderBy(F.desc("date"))) - 1) / 2)
-    listing = p.join(days.withColumn("page", page), ["legislature", "date"])
-    return ingest.stops_at_old_page(listing, ["legislature"], "page", "date", F.lit("2024-01-10")).select("legislature", "date", "seq", "page")
+    return p.join(days.withColumn("page", page), ["legislature", "date"])
 
 
 @query("SELECT legislature, dtype AS data_type, count(*) AS records, count(nullif(trim(member_name), '')) AS named, count(DISTINCT nullif(trim(member_name), '')) AS members FROM statements GROUP BY 1, 2")

@@ -8,7 +8,7 @@ from rollcall.functions import casts
 from rollcall.operators import reports, topics
 from rollcall.operators import votes as v
 from rollcall.plans.catalog import query
-from rollcall.plans.division_plans import LINES
+from rollcall.plans.division_plans import LINES, POINTS, points_of
 from rollcall.plans.text_plans import LEXICON, SALIENCE
 from rollcall.plans.views import members, statements, votes
 from rollcall.sources import readers, sinks
@@ -70,17 +70,18 @@ def _cast(spark, d):
     return written(votes(spark, d).select(*VOTE_COLUMNS), "votes")
 
 
-def _record(spark, d, cast=None, salience=None):
+def _record(spark, d, cast=None, salience=None, points=None):
     s = statements(spark, d)
     spoken = s.groupBy("member").agg(F.count_if(F.col("dtype") == "question").alias("n_questions"), F.count_if(F.col("dtype") == "speech").alias("n_speeches"))
     spoken = _spoken_keys(spoken).withColumnRenamed("member", "member_key")
     cast, salience = cast or _cast(spark, d), salience or _salience(spark, d)
-    return reports.member_record(members(spark, d), cast, spoken, salience, None, GAP, MISSED, GRACE, written).drop("ideal_dim1", "ideal_dim2")
+    return reports.member_record(members(spark, d), cast, spoken, salience, points, GAP, MISSED, GRACE, written)
 
 
-@query("SELECT * FROM record", ctes=RECORD)
+@query("SELECT r.*, round(dim1, 3) + 0.0 AS ideal_dim1, round(dim2, 3) + 0.0 AS ideal_dim2 FROM record r LEFT JOIN points USING (legislature, member_key)", ctes=f"{RECORD}, {POINTS}")
 def member_record(spark, d):
-    return _record(spark, d)
+    cast = _cast(spark, d)
+    return _record(spark, d, cast, points=points_of(spark, d, cast)[0])
 
 
 @query("SELECT * FROM bench", ctes=RECORD)
@@ -147,6 +148,52 @@ def report_scan(spark, d):
     return back.select("member", "topic", casts.whole(F.col("statements")).alias("statements"), casts.rounded(F.col("share_pct")).alias("share_pct"))
 
 
+WHOLE = ("votes_cast", "spells_served", "term_votes", "divisions_eligible", "no_vote_recorded", "party_line_divisions", "chamber_decided_divisions", "rebellions", "n_questions", "n_speeches", "statements")
+DECIMAL = ("turnout_pct", "party_agreement_pct", "chamber_agreement_pct", "rebellion_rate_pct", "ideal_dim1", "ideal_dim2", "top_topic_1_share_pct", "share_pct")
+
+
+def _through_csv(spark, report, name, order):
+    """A report written as CSV and read back; its numbers are texts until they are cast."""
+    path = folder(spark, name)
+    sinks.write_csv_report(report, path, order)
+    back = readers.csv_report(spark, path, report.columns)
+    cast = {c: casts.whole(F.col(c)) for c in report.columns if c in WHOLE} | {c: casts.number(F.col(c)) for c in report.columns if c in DECIMAL}
+    return back.withColumns(cast)
+
+
+_JSON_MEMBER = """json_object('name', r.member, 'party', party, 'area', constituency, 'parliament', r.legislature, 'votesCast', votes_cast, 'termVotes', term_votes, 'eligible', divisions_eligible, 'turnout', turnout_pct, 'spells', spells_served,
+    'spellFrom', current_spell_from, 'partyAgreement', party_agreement_pct, 'partyLineDivisions', party_line_divisions, 'chamberAgreement', chamber_agreement_pct, 'rebellions', r.rebellions, 'rebellionRate', rebellion_rate_pct,
+    'dim1', round(dim1, 3) + 0.0, 'dim2', round(dim2, 3) + 0.0, 'questions', n_questions, 'speeches', n_speeches,
+    'topics', coalesce((SELECT list({'topic': topic, 'n': statements, 'share': share_pct} ORDER BY statements DESC, topic)[:8] FROM salience s WHERE s.member = 'm' || split_part(r.member_key, ':', 2)), []),
+    'receipts', coalesce((SELECT list({'date': date, 'division': substr(title, 1, 180), 'their_vote': their_vote, 'party_voted': party_voted} ORDER BY shown) FROM slips p WHERE p.legislature = r.legislature AND p.member_key = r.member_key), []))"""
+
+
+@query(f"""SELECT r.legislature, constituency AS area, r.member, r.member_key, {_JSON_MEMBER}::VARCHAR AS json FROM record r LEFT JOIN points p ON p.legislature = r.legislature AND p.member_key = r.member_key WHERE constituency <> '' AND status = 'current'
+  UNION ALL SELECT b.legislature, '', '', '', json_object('topics', coalesce((SELECT list(DISTINCT topic ORDER BY topic) FROM record t JOIN salience s ON s.member = 'm' || split_part(t.member_key, ':', 2)
+      WHERE t.legislature = b.legislature AND constituency <> '' AND status = 'current'), []), 'benchmarks', json_object('members', members, 'turnout', median_turnout_pct, 'partyAgreement', median_party_agreement_pct,
+      'chamberAgreement', median_chamber_agreement_pct, 'rebellionRate', median_rebellion_rate_pct, 'rebellions', median_rebellions, 'everRebelled', ever_rebelled))::VARCHAR FROM placed_bench b""", ctes=f"""{RECORD}, {POINTS},
+placed_bench AS (SELECT legislature, count(*) AS members, round(median(turnout_pct), 1) AS median_turnout_pct, round(median(party_agreement_pct), 1) AS median_party_agreement_pct,
+  round(median(chamber_agreement_pct), 1) AS median_chamber_agreement_pct, round(median(rebellion_rate_pct), 1) AS median_rebellion_rate_pct, round(median(rebellions), 1) AS median_rebellions,
+  count_if(rebellions > 0) AS ever_rebelled FROM record WHERE constituency <> '' AND status = 'current' GROUP BY 1)""")
+def payload_export(spark, d):
+    """The nested export, from the three reports as they are read back from CSV."""
+    cast, order = _cast(spark, d), reports.report_order
+    salience = _through_csv(spark, _salience(spark, d).select("member", "topic", "statements", "share_pct"), "salience", order("salience"))
+    record = _through_csv(spark, _record(spark, d, cast, salience, points_of(spark, d, cast)[0]), "record", order("record"))
+    slips = _through_csv(spark, v.rebellions(cast).select("legislature", "member_key", "date", "title", "their_vote", "party_voted", "seq"), "rebellions", order("rebellions"))
+    payload = reports.app_payload(record, salience, slips)
+    lines = reports.payload_lines(payload, reports.benchmarks(reports.current_members(record).filter("constituency <> ''")))
+    path = folder(spark, "payload")
+    sinks.write_payload(lines, path)
+    return lines
+
+
+@query("SELECT legislature, constituency AS area, 0 AS priority FROM members WHERE constituency <> '' GROUP BY 1, 2 ORDER BY 2, 1 LIMIT 14")
+def area_list(spark, d):
+    """The first areas, where no text is searched for."""
+    return reports.area_search(members(spark, d).withColumnRenamed("name", "member"), " ")
+
+
 @query("SELECT DISTINCT legislature, constituency AS area FROM members WHERE status = 'current' AND constituency <> ''")
 def payload_areas(spark, d):
     return reports.payload_areas(reports.current_members(members(spark, d)))

@@ -30,9 +30,10 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roster(spark: SparkSession, d: str, role: str) -> DataFrame:
-    """Two people in three are on the roster."""
-    return _people(spark, d).filter("c_custkey % 3 <> 0").select(
-        C("c_custkey").cast("string").alias("id"), C("c_name").alias("name"), C("c_mktsegment").alias("party"), C("n_name").alias("constituency"), F.lit(role).alias("role"),
+    """All people; every third one stands there under another id and name, so that records do not find them."""
+    gone = C("c_custkey") % 3 == 0
+    return _people(spark, d).select(
+        F.concat(F.when(gone, "former ").otherwise(""), C("c_custkey").cast("string")).alias("id"), F.concat(F.when(gone, "Former ").otherwise(""), "c_name").alias("name"), C("c_mktsegment").alias("party"), C("n_name").alias("constituency"), F.lit(role).alias("role"),
         F.when(C("c_custkey") % 5 == 0, "historical").otherwise("current").alias("status"),
     )
 
@@ -46,8 +47,9 @@ def _flat(records: DataFrame, *metadata: str) -> DataFrame:
 SQL = """
 people AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey),
 asked AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON o_custkey = c_custkey),
-listed AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS party, n_name AS constituency, CASE WHEN c_custkey % 5 = 0 THEN 'historical' ELSE 'current' END AS status
-  FROM people WHERE c_custkey % 3 <> 0),
+rostered AS (SELECT c_custkey AS person, CASE WHEN c_custkey % 3 = 0 THEN 'former ' ELSE '' END || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Former ' ELSE '' END || c_name AS name,
+  c_mktsegment AS party, n_name AS constituency, CASE WHEN c_custkey % 5 = 0 THEN 'historical' ELSE 'current' END AS status FROM people),
+listed AS (SELECT CASE WHEN person % 3 <> 0 THEN person END AS k, * FROM rostered),
 spoken AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events)"""
 
 
@@ -128,14 +130,14 @@ def welsh_members(spark, d):
 
 @query("""SELECT 'register_of_interests' AS data_type, id AS member_id, name AS member_name, party AS member_party, constituency AS member_constituency, 'MP' AS member_role, day AS date,
   CASE WHEN o_orderkey % 4 = 0 THEN 'about ' || o_orderkey ELSE o_orderpriority || ' ' || o_orderkey END AS text, o_orderpriority AS title, o_orderpriority AS category, o_orderkey::VARCHAR AS interest_id
-  FROM asked JOIN listed ON k = o_custkey WHERE status = 'current' AND o_orderkey % 9 <> 0""", ctes=SQL)
+  FROM asked JOIN listed ON person = o_custkey WHERE status = 'current' AND o_orderkey % 9 <> 0""", ctes=SQL)
 def uk_interests(spark, d):
     key = C("o_orderkey").cast("string")
     entry = F.struct(
         key.alias("id"), F.when(C("o_orderkey") % 4 == 0, "").when(C("o_orderkey") % 9 == 0, " ").otherwise(F.concat("o_orderpriority", F.lit(" "), key)).alias("interest"),
         F.when(C("o_orderkey") % 9 == 0, "").otherwise(F.concat(F.lit("about "), key)).alias("description"), F.concat("day", F.lit("T10:00")).alias("createdWhen"), F.lit("").alias("lastAmendedWhen"), F.lit("false").alias("registeredLate"),
     )
-    who = _roster(spark, d, "MP").select(C("id").alias("person"), "status", F.struct("id", "name", "party", "constituency", "role").alias("who"))
+    who = _roster(spark, d, "MP").select(F.regexp_replace("id", "^former ", "").alias("person"), "status", F.struct("id", "name", "party", "constituency", "role").alias("who"))
     grouped = _asked(spark, d).groupBy(C("o_custkey").cast("string").alias("person"), C("o_orderpriority").alias("name")).agg(F.collect_list(entry).alias("interests")).join(who, "person")
     return _flat(n.uk_interests(grouped, C("who"), C("status")), "category", "interest_id")
 
@@ -332,12 +334,12 @@ def uk_votes(spark, d):
 
 @query("""SELECT 'vote' AS data_type, coalesce(l_suppkey::VARCHAR, '') AS member_id, coalesce('S' || l_suppkey, '') AS member_name, '' AS member_party, '' AS member_constituency, 'MLA' AS member_role, strftime(o_orderdate, '%Y-%m-%d') AS date,
   'Voted ' || CASE WHEN l_orderkey IS NULL THEN 'unknown' WHEN l_returnflag = 'A' THEN 'aye' WHEN l_returnflag = 'N' THEN 'no' ELSE 'odd' END || ' on: ' || o_orderpriority AS text, o_orderpriority AS title,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'e' || o_orderkey ELSE o_orderkey::VARCHAR END AS division_id FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_orderkey % 3 <> 0) ON l_orderkey = o_orderkey""")
+  CASE WHEN o_orderkey % 4 = 0 THEN 'e' || o_orderkey ELSE o_orderkey::VARCHAR END AS division_id FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
 def ni_votes(spark, d):
-    """A third of the orders are divisions without voters."""
+    """Orders without items are divisions without voters."""
     token = F.when(C("l_returnflag") == "A", "AYE").when(C("l_returnflag") == "N", "No").otherwise(" Odd ")
     one = F.struct(C("l_suppkey").alias("PersonID"), F.concat(F.lit("S"), C("l_suppkey").cast("string")).alias("MemberName"), F.lit("").alias("PartyName"), token.alias("VoteType"))
-    voters = table(spark, d, "lineitem").filter("l_orderkey % 3 <> 0").groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.collect_list(one).alias("MemberVoting"))
+    voters = table(spark, d, "lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.collect_list(one).alias("MemberVoting"))
     divisions = table(spark, d, "orders").join(voters, "o_orderkey", "left").select(
         "MemberVoting", F.when(C("o_orderkey") % 4 != 0, C("o_orderkey")).alias("DocumentID"), F.concat(F.lit("e"), C("o_orderkey").cast("string")).alias("EventID"), F.concat(_day("o_orderdate"), F.lit("T1")).alias("DivisionDate"),
         C("o_orderpriority").alias("DivisionSubject"), F.lit("").alias("DivisionResult"),
@@ -381,3 +383,74 @@ def register_text(spark, d):
     head = table(spark, d, "orders").select("o_custkey").distinct().select("o_custkey", F.lit(-1).cast("long").alias("k"), F.posexplode(F.array(F.lit("Name:"), F.concat(F.lit("Jo "), C("o_custkey").cast("string"), F.lit(" MS")))).alias("place", "line"))
     lines = body.unionByName(head).select("o_custkey", (C("k") * 10 + C("place")).alias("line_no"), "line")
     return n.register_text(lines, "o_custkey", "Name", F.lit("2021-01-01"))
+
+
+EDITIONS = """
+snapshots AS (
+  SELECT c_custkey, 'https://register.test/c' || c_custkey || '/register-of-interests.pdf' AS url, 'Fifth Register of interests' AS term, '' AS date FROM customer
+  UNION ALL SELECT c_custkey, 'https://docs.register.test/c' || c_custkey || '/register-1.pdf', 'Sixth Register of interests', '1996-04-08' FROM customer
+  UNION ALL SELECT c_custkey, 'https://register.test/c' || c_custkey || '/register-2.pdf', 'Sixth Register of interests', '1998-05-02' FROM customer),
+edition_records AS (
+  SELECT url, c_custkey::VARCHAR AS member_id, c_name AS member_name, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE date END AS date,
+    'gift from ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' on ' || strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS text, 'Gifts of ' || o_orderkey AS title, term, date AS register_snapshot_date,
+    CASE WHEN o_orderkey % 2 = 1 AND date <> '' THEN 'true' ELSE 'false' END AS date_is_snapshot_fallback
+  FROM snapshots JOIN customer USING (c_custkey) JOIN orders ON o_custkey = c_custkey WHERE date = '' OR strftime(o_orderdate, '%Y-%m-%d') <= date)"""
+
+
+def _links(spark, d):
+    """A site a customer: its main page links to a register, twice to an archive, and away; the archive to two editions."""
+    base = F.concat(F.lit("https://register.test/c"), C("c_custkey").cast("string"))
+
+    def link(page, position, href, text):
+        return F.struct(page.alias("page"), F.lit(position).alias("position"), href.alias("href"), F.lit(text).alias("text"))
+
+    main, archive, own = F.concat(base, F.lit("/")), F.concat(base, F.lit("/register-of-interests-archive")), F.concat(F.lit("/c"), C("c_custkey").cast("string"))
+    found = F.array(
+        link(main, 1, F.concat(own, F.lit("/register-of-interests.pdf")), "Fifth Register of interests"), link(main, 2, F.concat(own, F.lit("/register-of-interests-archive")), "Sixth Register of interests"),
+        link(main, 3, archive, "Register of interests, again"), link(main, 4, F.concat(F.lit("https://share.test/?u=https://register.test/register-of-interests"), own), "Share"), link(main, 5, F.lit("mailto:register.interests@register.test"), "Write"),
+        link(main, 6, F.lit("/about"), "About us"), link(archive, 1, F.concat(F.lit("//docs.register.test"), own, F.lit("/register-1.pdf")), "Register of interests as on 8 April 1996 (PDF 1MB)"),
+        link(archive, 2, F.concat(own, F.lit("/register-2.pdf")), "Compiled register AS ON 2 may 1998"), link(archive, 3, F.lit("/minutes.pdf"), "Minutes as on 3 May 1998"),
+    )
+    each = table(spark, d, "customer").select("c_custkey", main.alias("main"), F.explode(found).alias("l")).select("c_custkey", "main", "l.*")
+    return each
+
+
+def _snapshots(spark, d):
+    return n.register_snapshots(_links(spark, d), "main", "https://register.test")
+
+
+def _editions(spark, d):
+    """Editions of each customer's register, each with the orders up to its date: a name, numbered headings, a line each."""
+    snapshots = _snapshots(spark, d).withColumn("o_custkey", F.regexp_extract("url", r"/c(\d+)/", 1).cast("long"))
+    orders = _asked(spark, d).join(snapshots, "o_custkey").filter((C("date") == "") | (C("day") <= C("date")))
+    key = C("o_orderkey")
+    gift = F.concat(F.lit("gift from "), "o_orderpriority", F.when(key % 2 == 0, F.concat(F.lit(" on "), "day")).otherwise(""))
+    heading = F.concat(F.when(key % 3 == 0, "7) Gifts of ").otherwise("12. Gifts of "), key.cast("string"))
+    body = orders.select("url", key.alias("k"), F.posexplode(F.array(heading, gift)).alias("place", "line"))
+    top = orders.select("url", "c_name").distinct().select("url", F.lit(-1).cast("long").alias("k"), F.posexplode(F.array(F.lit("Contents of 1. Gifts"), F.concat(F.upper("c_name"), F.lit(" MS")))).alias("place", "line"))
+    lines = body.unionByName(top).select("url", (C("k") * 10 + C("place")).alias("line_no"), "line")
+    people = _people(spark, d).select(C("c_custkey").cast("string").alias("id"), C("c_name").alias("name"), C("c_mktsegment").alias("party"), C("n_name").alias("constituency"), F.lit("MS").alias("role"))
+    return n.register_editions(lines, snapshots.select("url", "term", "date"), people)
+
+
+@query("SELECT url, term, date FROM snapshots", ctes=EDITIONS)
+def register_snapshots(spark, d):
+    """Links of register pages to editions with their term and date."""
+    return _snapshots(spark, d)
+
+
+@query("SELECT url, member_id, member_name, date, text, title, term, register_snapshot_date, date_is_snapshot_fallback FROM edition_records", ctes=EDITIONS)
+def register_editions(spark, d):
+    found = _editions(spark, d)
+    meta = [C("metadata")[k].alias(k) for k in ("term", "register_snapshot_date", "date_is_snapshot_fallback")]
+    return found.select("url", C("member.id").alias("member_id"), C("member.name").alias("member_name"), "date", "text", "title", *meta)
+
+
+@query("""SELECT member_id, text, title, register_snapshot_date AS edition FROM edition_records
+  WHERE register_snapshot_date = CASE WHEN member_id::BIGINT % 3 = 0 THEN '1996-04-08' WHEN member_id::BIGINT % 3 = 1 THEN '1998-05-02' ELSE 'none' END""", ctes=EDITIONS)
+def register_as_of(spark, d):
+    """What each member's register said on a day: that day itself, a later one, or one before the first edition."""
+    k = C("c_custkey")
+    days = table(spark, d, "customer").select(k.cast("string").alias("member_id"), F.when(k % 3 == 0, "1998-05-01").when(k % 3 == 1, "1998-05-02").otherwise("1996-04-07").alias("day"))
+    found = n.register_as_of(_editions(spark, d), days)
+    return found.select(C("member.id").alias("member_id"), "text", "title", C("metadata")["register_snapshot_date"].alias("edition"))

@@ -14,15 +14,26 @@ LEXICON = [
     Term("and the", "con", "Pro-Alpha"), Term("was", "con", "Pro-Alpha"), Term("la", "kw", "Beta"), Term("der", "kw", "Beta"),
     Term("that", "kw", "Beta"), Term("de la", "pro", "Beta"), Term("que", "con", "Beta"), Term("in the", "kw", "Beta"),
     Term("with", "tone", "", 1), Term("est", "tone", "", 1), Term("und", "tone", "", -1), Term("in", "tone", "", -1), Term("est", "tone", "", -1),
+    Term("the anea eriner", "kw", "Gamma"), Term("and attion to", "con", "Gamma"), Term("the and attion to", "pro", "Gamma"),
+    Term("Thanedble the, anea eriner", "kw", "Pro-Alpha"), Term("to thanedble the anea", "kw", "Gamma"), Term("the the the the", "tone", "", -1), Term("the the the", "kw", "Gamma"),
 ]
 CUES = ("to", "of", "le", "die", "el")
 MOTIONS = [Term("red", "pro", "Colour"), Term("blue", "con", "Colour"), Term("widget", "kw", "Goods"), Term("ring", "pro", "Goods"), Term("small", "con", "Goods")]
 
 
+#: Tokens of the longest term.
+LONGEST = max(len(t.term.split()) for t in LEXICON)
+
+
 def _values(lexicon: list[Term]) -> str:
     return ", ".join(f"('{t.term}', '{t.kind}', '{t.topic}', {t.polarity})" for t in lexicon)
 
 
+def grams_sql(at: str) -> str:
+    """(k, pos, n, term) of all runs of up to LONGEST tokens in ``at`` (k, w, pos)."""
+    return " UNION ALL ".join(f"SELECT k, pos, {n} AS n, array_to_string(w[pos + 1 : pos + {n}], ' ') AS term FROM {at} WHERE pos + {n} <= len(w)" for n in range(1, LONGEST + 1))
+
+
 def hits_sql(p: str, lexicon: list[Term], source: str, key: str) -> str:
     """CTEs {p}hits (key, pos, n, term, neg) and {p}sides (key, topic, side) of the texts in ``source``."""
     cues = ", ".join(f"'{c}'" for c in CUES)
@@ -31,7 +42,7 @@ def hits_sql(p: str, lexicon: list[Term], source: str, key: str) -> str:
 {p}terms AS (SELECT array_to_string(regexp_extract_all(lower(term), '[a-z0-9'']+'), ' ') AS term, kind, topic, polarity FROM {p}lexicon),
 {p}words AS (SELECT {key} AS k, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS w FROM {source}),
 {p}at AS (SELECT k, w, unnest(range(len(w))) AS pos FROM {p}words),
-{p}found AS (SELECT k, pos, max(n) AS n FROM (SELECT k, pos, 1 AS n, w[pos + 1] AS term FROM {p}at UNION ALL SELECT k, pos, 2, w[pos + 1] || ' ' || w[pos + 2] FROM {p}at WHERE pos + 2 <= len(w))
+{p}found AS (SELECT k, pos, max(n) AS n FROM ({grams_sql(p + "at")})
   WHERE term IN (SELECT term FROM {p}terms) GROUP BY 1, 2),
 {p}greedy AS (SELECT k, list_reduce(list_prepend({{'nxt': 0::BIGINT, 'hits': []::STRUCT(pos BIGINT, n INTEGER)[]}},
     list_transform(l, lambda x: {{'nxt': x.n::BIGINT, 'hits': [{{'pos': x.pos, 'n': x.n::INTEGER}}]::STRUCT(pos BIGINT, n INTEGER)[]}})),
@@ -46,10 +57,10 @@ def hits_sql(p: str, lexicon: list[Term], source: str, key: str) -> str:
 
 
 HITS = hits_sql("s_", LEXICON, "statements", "statement_id")
-_MENTIONS = """
+_MENTIONS = f"""
 kw AS (SELECT lower(trim(term)) AS term, regexp_replace(topic, '^Pro-', '') AS topic FROM s_lexicon WHERE kind = 'kw'),
 mentions AS (SELECT DISTINCT k, topic FROM (SELECT k, pos, arg_max(term, n) AS term FROM (
-  SELECT k, pos, 1 AS n, w[pos + 1] AS term FROM s_at UNION ALL SELECT k, pos, 2, w[pos + 1] || ' ' || w[pos + 2] FROM s_at WHERE pos + 2 <= len(w))
+  {grams_sql("s_at")})
   WHERE term IN (SELECT term FROM kw) GROUP BY 1, 2) JOIN kw USING (term)),
 spoken AS (SELECT member, count(*) AS spoken, count_if(dtype = 'question') AS n_questions, count_if(dtype = 'speech') AS n_speeches FROM statements GROUP BY 1),
 salience AS (SELECT member, topic, count(*) AS statements, round(100.0::DOUBLE * count(*) / any_value(spoken), 1) AS share_pct
@@ -101,8 +112,7 @@ def lexicon_hits(spark, d):
 
 @query("SELECT k AS statement_id, pos::INT AS pos, neg FROM s_hits", ctes=HITS)
 def negation_flip(spark, d):
-    hits = topics.lexicon_hits(statements(spark, d).select("statement_id", "text"), LEXICON)
-    return topics.negated(hits, CUES).select("statement_id", "pos", "neg")
+    return topics.lexicon_hits(statements(spark, d).select("statement_id", "text"), LEXICON, cues=CUES).select("statement_id", "pos", "neg")
 
 
 @query("SELECT k AS statement_id, topic, count_if(side = 'kw') AS mentions, count_if(side = 'pro') AS pro, count_if(side = 'con') AS con FROM s_sides GROUP BY 1, 2", ctes=HITS)

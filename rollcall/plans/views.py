@@ -69,8 +69,9 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
 
 def statements(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("statement_id"), F.col("doc_id").alias("n"), F.lit("speech").alias("dtype"), F.lit(1).alias("kind_order"), "text")
-    talks = table(spark, d, "conversations").filter("role = 'user'")
-    asked = talks.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("statement_id"), F.col("conv_id").alias("n"), F.lit("question").alias("dtype"), F.lit(0).alias("kind_order"), "text")
+    talks = table(spark, d, "conversations")
+    asks = F.coalesce(F.col("role"), F.lit("")) == "user"
+    asked = talks.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("statement_id"), F.col("conv_id").alias("n"), F.when(asks, "question").otherwise("answer").alias("dtype"), F.when(asks, 0).otherwise(2).alias("kind_order"), "text")
     n, k = F.col("n"), F.col("n") % 130
     name = (
         F.when(n % 7 == 0, F.lit("The Presiding Officer"))
@@ -151,7 +152,7 @@ votes AS (
 cast_ AS (SELECT * FROM votes WHERE direction IN ('aye', 'no')),
 stated AS (
   SELECT 'd' || doc_id AS statement_id, doc_id AS n, 'speech' AS dtype, 1 AS kind_order, text FROM documents
-  UNION ALL SELECT 'c' || conv_id || '-' || turn, conv_id, 'question', 0, text FROM conversations WHERE role = 'user'),
+  UNION ALL SELECT 'c' || conv_id || '-' || turn, conv_id, CASE WHEN role = 'user' THEN 'question' ELSE 'answer' END, CASE WHEN role = 'user' THEN 0 ELSE 2 END, text FROM conversations),
 statements AS (
   SELECT statement_id, CASE WHEN n % 2 = 0 THEN 'F' ELSE 'O' END AS legislature, CASE WHEN n % 3 = 0 THEN (n % 130)::VARCHAR ELSE '' END AS member_id,
     CASE WHEN n % 7 = 0 THEN 'The Presiding Officer' WHEN n % 11 = 0 THEN '13:3' WHEN n % 5 = 0 THEN {_WORD.format('n % 130')} || ', Mrs Supplier'

@@ -7,7 +7,7 @@ of ``record``: data_type, member, date, text, title, metadata.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import dates, people, votes
@@ -329,6 +329,76 @@ def register_text(lines: DataFrame, key: str, label: str, snapshot: Column | Non
     return found.withColumns({"owner": people.without_role_suffix(F.col("owner")), "date": first_filled(own, asof), "date_is_snapshot_fallback": (own == "") & (asof != "")})
 
 
+def absolute(base: Column, href: Column) -> Column:
+    """``href`` as an address under the site ``base``."""
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(base, href)).otherwise(F.concat(base, F.lit("/"), href))
+    )
+
+
+def register_snapshots(links: DataFrame, main: str, base: str) -> DataFrame:
+    """Editions (url, term, date) that the links (page, position, href, text) of register pages lead to.
+
+    ``main`` names the column with the page from which each row's site starts. A PDF linked there is an edition
+    without a date; any other page of the site ``base`` linked there is an archive, whose register PDFs are editions of
+    its term, dated by "as on D Month YYYY". An archive linked twice counts once, under its first caption.
+    """
+    site = F.lit(base)
+    own = links.filter(F.col("href") != "").withColumn("url", absolute(site, F.col("href")))
+    both = F.lower(F.concat(F.col("href"), F.lit(" "), F.col("text")))
+    told = own.filter((F.col("page") == F.col(main)) & F.contains(both, F.lit("register")) & F.contains(both, F.lit("interest")))
+    pdf = F.lower("href").endswith(".pdf")
+    direct = told.filter(pdf).select("url", F.col("text").alias("term"), F.lit("").alias("date"))
+    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
+    home = F.lower(F.regexp_extract(site, r"^https?://([^/?#]+)", 1))
+    archives = told.filter(~pdf & ((host == home) | F.endswith(host, F.concat(F.lit("."), home))))
+    first = archives.groupBy(F.col("url").alias("page")).agg(F.min_by("text", "position").alias("term"))
+    listed = own.filter(F.contains("href", F.lit(".pdf")) & F.contains(both, F.lit("register"))).join(first, "page")
+    return direct.unionByName(listed.select("url", "term", dates.snapshot_date(F.col("text")).alias("date")))
+
+
+def register_editions(lines: DataFrame, editions: DataFrame, roster: DataFrame, least: int = 5) -> DataFrame:
+    """Lines (url, line_no, line) of many dated editions (url, term, date) to records, with their ``url``.
+
+    A line that is a roster name, with or without a role behind it, opens a member, a numbered one a category;
+    what stands before the first member goes. An entry's date is the one in its text, else its edition's, which
+    is then flagged; term and edition go along.
+    """
+    info = F.struct("id", "name", "party", "constituency", "role")
+    known = roster.filter("name <> ''").groupBy(F.lower(strip(F.col("name"))).alias("known")).agg(F.max_by(info, "id").alias("found"))
+    bare = F.lower(people.without_role_suffix(F.col("line")))
+    clean = lines.withColumn("line", strip(F.col("line"))).filter("line <> ''").withColumn("bare", bare).withColumn("whole", F.lower("line"))
+    by_line = clean.join(known.select(F.col("known").alias("whole"), F.col("found").alias("one")), "whole", "left")
+    marked = by_line.join(known.select(F.col("known").alias("bare"), F.col("found").alias("two")), "bare", "left").withColumn("who", F.coalesce("one", "two"))
+    pattern = r"^(\d{1,2})[.)]\s+(.{3,120})$"
+    heading = F.when(F.col("who").isNull() & F.col("line").rlike(pattern), strip(F.regexp_extract("line", pattern, 2)))
+    order = Window.partitionBy("url").orderBy("line_no")
+    named = marked.withColumn("heading", heading).withColumn("person", F.sum(F.col("who").isNotNull().cast("int")).over(order))
+    opens = (F.col("who").isNotNull() | F.col("heading").isNotNull()).cast("int")
+    within = Window.partitionBy("url", "person").orderBy("line_no")
+    filled = named.withColumns({"entry": F.sum(opens).over(order), "member": F.last("who", ignorenulls=True).over(within), "category": F.last("heading", ignorenulls=True).over(within)})
+    body = filled.filter("person > 0 AND who IS NULL AND heading IS NULL")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
+    entries = body.groupBy("url", "entry").agg(F.first("member").alias("member"), F.first(F.coalesce("category", F.lit(""))).alias("category"), joined.alias("text"))
+    each = entries.filter(F.length("text") >= least).join(editions.withColumnRenamed("date", "edition"), "url").withColumn("own", dates.extract_date(F.col("text")))
+    fallback = (F.col("own") == "") & (F.col("edition") != "")
+    meta = {"source_format": F.lit("pdf"), "term": F.col("term"), "register_snapshot_date": F.col("edition"), "date_is_snapshot_fallback": fallback, "url": F.col("url")}
+    found = record(each, "register_of_interests", F.col("member"), first_filled(F.col("own"), F.col("edition")), F.col("text"), F.col("category"), meta, "Welsh Parliament")
+    return found.withColumn("url", F.col("metadata")["url"])
+
+
+def register_as_of(records: DataFrame, days: DataFrame) -> DataFrame:
+    """For each of ``days`` (member_id, day) the records of the member's latest dated edition on or before that day, with the ``day``."""
+    edition = F.col("metadata")["register_snapshot_date"]
+    dated = records.filter(edition != "").select(F.col("member.id").alias("member_id"), edition.alias("day"), edition.alias("edition")).distinct()
+    asked = days.select("member_id", "day", F.lit(None).cast("string").alias("edition"))
+    order = Window.partitionBy("member_id").orderBy("day", F.col("edition").isNull())  # an edition of the day itself counts
+    line = dated.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    latest = line.withColumn("edition", F.last("edition", ignorenulls=True).over(order)).filter("asks AND edition IS NOT NULL").select("member_id", "day", "edition")
+    return records.withColumns({"member_id": F.col("member.id"), "edition": edition}).join(latest, ["member_id", "edition"]).drop("member_id", "edition")
+
+
 def meeting_listing(rows: DataFrame, start: str, to: str) -> DataFrame:
     """Plenary rows of a listing: id, date, has_votes; once an id (its last row), within the dates, newest first."""
     link = F.element_at("links", 1)

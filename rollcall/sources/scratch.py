@@ -27,8 +27,36 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as Parquet in such a folder, read back: what several branches of a report share is computed once."""
-    path = folder(df.sparkSession, name)
+    path = path or folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies; none is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables cut from their lineage, deleted when the context is left; ``keep`` is for what a result still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(folder(self.spark, name))
+        return written(df, name, self.paths[-1])
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name)

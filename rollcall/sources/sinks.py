@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rollcall.operators.ingest import new_records, schema_align
+from rollcall.schema import LEDGER
+from rollcall.sources import readers
+from rollcall.sources.scratch import Scratch
 
 
 def flatten_record(records: DataFrame, metadata: list[str]) -> DataFrame:
@@ -32,28 +37,41 @@ def _marked(rows: DataFrame) -> DataFrame:
     return rows.select(F.col(first).alias("\ufeff" + first), *rest)
 
 
-def append_master(batch: DataFrame, path: str, columns: list[str]) -> int:
-    """Append the rows that the master lacks; key and row go in one write, so that neither is there without the other. Returns how many were new."""
-    from rollcall.streaming.ingest import master_table
+def append_master(batch: DataFrame, path: str, columns: list[str], name: str | None = None) -> int:
+    """Append the rows that the master lacks as one batch (see ``streaming.ingest``); how many were new. ``name`` makes a retry harmless."""
+    from rollcall.streaming.ingest import append_new
 
-    spark = batch.sparkSession
-    fresh = new_records(batch, master_table(spark, path, columns))
-    aligned = schema_align(fresh, [*columns, "key"])
-    aligned.persist()
-    n = aligned.count()
-    if n:
-        aligned.write.mode("append").parquet(path)
-    aligned.unpersist()
-    return n
+    return append_new(batch, path, columns, name or f"r{uuid.uuid4().hex}")
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    """Append ledger rows to the log, in folders by legislature and month of the run; nothing that is there is touched."""
+    logged = schema_filled(rows, LEDGER).withColumn("month", F.substring("run_date", 1, 7))
+    logged.repartition("legislature", "month").write.mode("append").partitionBy("legislature", "month").parquet(path)
+
+
+def schema_filled(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """``rows`` under ``schema``; columns that are missing are null."""
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def compact_ledger(spark: SparkSession, path: str, until: str) -> None:
+    """Months of the log before ``until`` (yyyy-MM) as one file a legislature and month, repeated rows once.
+
+    The new files are written apart first, then take the place of those folders alone: a month that
+    is still appended to is neither read nor replaced.
+    """
+    with Scratch(spark) as scratch:
+        old = scratch.cut(readers.ledger_log(spark, path).filter(F.col("month") < until).dropDuplicates(), "ledger")
+        settled = old.repartition("legislature", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        settled.partitionBy("legislature", "month").parquet(path)
 
 
-def write_report(report: DataFrame, path: str, order: list | None = None) -> None:
-    """A report as Parquet, sorted over all its files where an order is given."""
-    (report.orderBy(*order) if order else report).write.mode("overwrite").parquet(path)
+def land_listing(rows: DataFrame, path: str, keys: list[str], page: str, date: str) -> None:
+    """Land a listing in folders by day, and beside it one row a page with its newest date."""
+    rows.withColumn("day", F.col(date)).write.mode("append").partitionBy("day").parquet(f"{path}/rows")
+    newest = F.max(F.nullif(F.col(date), F.lit(""))).alias("newest")
+    rows.groupBy(*keys, page).agg(newest).write.mode("append").parquet(f"{path}/pages")
 
 
 def write_csv_report(report: DataFrame, path: str, order: list) -> None:
@@ -61,5 +79,7 @@ def write_csv_report(report: DataFrame, path: str, order: list) -> None:
     _marked(report.orderBy(*order)).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_payload(payload: DataFrame, path: str) -> None:
-    payload.write.mode("overwrite").json(path)
+def write_payload(lines: DataFrame, path: str) -> None:
+    """The lines of ``reports.payload_lines`` as text by legislature, in order over a legislature's files: its document, a line each."""
+    ordered = lines.repartitionByRange("legislature", "area", "member", "member_key").sortWithinPartitions("legislature", "area", "member", "member_key")
+    ordered.select("legislature", "json").write.mode("overwrite").partitionBy("legislature").text(path)

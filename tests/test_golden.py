@@ -97,7 +97,8 @@ def test_date_chunks(spark):
     assert ingest.date_chunks(ranges, 14, half_open=True).count() == 2
 
 
-def test_ideal_points_agree_with_numpy(spark):
+@pytest.mark.parametrize("block, blocks", [(24, 4), (4, 3)])
+def test_ideal_points_agree_with_numpy(spark, block, blocks):
     import numpy as np
 
     r = np.random.default_rng(3)
@@ -107,9 +108,9 @@ def test_ideal_points_agree_with_numpy(spark):
         for m in range(12):
             if r.random() < 0.9:
                 rows.append((f"m{m:02d}", f"d{d}", "aye" if (side[m] if r.random() < 0.8 else -side[m]) > 0 else "no", f"{d:03d}{m:02d}"))
-    cast = spark.createDataFrame(rows, "member_key string, division string, direction string, seq string")
-    parties = spark.createDataFrame([(f"m{m:02d}", "Left" if m < 7 else "Right") for m in range(12)], "member_key string, party string")
-    points, shares = scaling.ideal_points(cast, parties, 5, 5, 2)
+    cast = spark.createDataFrame(rows, "member_key string, division string, direction string, seq string").withColumn("legislature", F.lit("F"))
+    parties = spark.createDataFrame([("F", f"m{m:02d}", "Left" if m < 7 else "Right") for m in range(12)], "legislature string, member_key string, party string")
+    points, report = scaling.ideal_points(cast, parties, 5, 5, 2, block=block, blocks=blocks, cycles=60)
     cells = scaling.centred_votes(scaling.scaling_filter(scaling.vote_matrix(cast), member_votes=5, voters=5, minority=2)).toPandas()
     matrix = cells.pivot(index="member_key", columns="division", values="v").fillna(0.0)
     u, s, _ = np.linalg.svd(matrix.to_numpy(), full_matrices=False)
@@ -117,7 +118,8 @@ def test_ideal_points_agree_with_numpy(spark):
     for k, c in enumerate(("dim1", "dim2")):
         want = u[:, k] * s[k] / np.abs(u[:, k] * s[k]).max()
         assert min(np.abs(got[c] - want).max(), np.abs(got[c] + want).max()) < 1e-6
-    assert np.allclose(shares, (s**2 / (s**2).sum())[:2])
+    row = report.first()
+    assert row["members_placed"] == 12 and np.allclose([row["dim1_share"], row["dim2_share"]], (s**2 / (s**2).sum())[:2])
     assert points.join(parties, "member_key").filter("party = 'Left'").agg(F.sum("dim1")).first()[0] >= 0
 
 
@@ -128,8 +130,55 @@ def test_reingesting_adds_nothing(spark):
     assert ingest.new_records(batch, once).count() == 0
 
 
-def test_more_seats_than_the_driver_can_hold_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(scaling, "MAX_SEATS", 2)
-    cast = spark.createDataFrame([(f"m{m}", f"d{k}", "aye" if (m + k) % 2 else "no", f"{k}") for m in range(6) for k in range(6)], "member_key string, division string, direction string, seq string")
-    with pytest.raises(ValueError, match="seats"):
-        scaling.ideal_points(cast, spark.createDataFrame([("m1", "red")], "member_key string, party string"), 2, 2, 1)
+def test_the_driver_sees_products_of_blocks_alone(spark, monkeypatch):
+    """What is collected has the size of the blocks, not that of the house; houses of few members get no points."""
+    sizes, products = [], scaling._products
+
+    def noted(*x):
+        found = products(*x)
+        sizes.append({k: (q.shape, w.shape) for k, (q, w) in found.items()})
+        return found
+
+    monkeypatch.setattr(scaling, "_products", noted)
+    rows = [(h, f"m{m}", f"d{k}", "aye" if (m * k + m // 3 + k) % 5 < 2 else "no", f"{k}") for h, n in (("A", 300), ("B", 150), ("C", 2)) for m in range(n) for k in range(24)]
+    cast = spark.createDataFrame(rows, "legislature string, member_key string, division string, direction string, seq string")
+    seats = cast.select("legislature", "member_key", F.lit("red").alias("party")).distinct()
+    points, report = scaling.ideal_points(cast, seats, 2, 2, 1, block=4, blocks=3, tolerance=1e-3)
+    assert {(r["legislature"], r["members_placed"], r["dim1_share"] is None) for r in report.collect()} == {("A", 300, False), ("B", 150, False), ("C", 0, True)}
+    assert points.count() == 450 and all(set(s) == {"A", "B"} for s in sizes)
+    assert max(q[0] for s in sizes for q, _ in s.values()) <= 12 and all(w == (4, 4) for s in sizes for _, w in s.values())
+    none, empty = scaling.ideal_points(cast.limit(0), seats)
+    assert none.count() == 0 and empty.count() == 0
+
+
+def test_terms_by_trie_at_ten_thousand_terms(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    terms = sorted({" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 5))) for _ in range(14_000)})[:10_000]
+    lexicon = [Term(t, "kw", f"T{k % 50}") for k, t in enumerate(terms)]
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(300)) for _ in range(30)]
+    known = set(terms)
+
+    def longest(words, i):
+        return next((n for n in range(4, 0, -1) if i + n <= len(words) and " ".join(words[i : i + n]) in known), 0)
+
+    hits, topics_of = set(), set()
+    for k, t in enumerate(texts):
+        words, i = t.split(), 0
+        for j in range(len(words)):
+            if n := longest(words, j):
+                topics_of.add((k, f"T{terms.index(' '.join(words[j : j + n])) % 50}"))
+        while i < len(words):
+            n = longest(words, i)
+            if n:
+                hits.add((k, i, n))
+            i += n or 1
+    said = spark.createDataFrame(list(enumerate(texts)), "statement_id int, text string")
+    assert {(r["statement_id"], r["pos"], r["n"]) for r in topics.lexicon_hits(said, lexicon).collect()} == hits
+    assert {(r["statement_id"], r["topic"]) for r in topics.topic_mentions(said, lexicon).collect()} == topics_of
+    trie, words = topics.TermTrie(t.split() for t in terms), ("w1 w2 w3 " * 400_000).split()
+    began = time.time()
+    assert sum(1 for _ in trie.consumed(words)) > 0
+    assert time.time() - began < 10
