@@ -3,11 +3,12 @@
 import csv
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.functions import casts
-from rollcall.operators import ingest, segments
+from rollcall.operators import ingest, reports, segments
 from rollcall.schema import strings
 from rollcall.sources import normalise as n
 from rollcall.sources import readers, sinks
@@ -148,19 +149,150 @@ def test_sinks_and_stream_keep_keys_once(spark, tmp_path):
     rows.unionByName(spark.createDataFrame([("c", "4", 4)], rows.schema)).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
     streaming.dedup_into_master(stream, master, aligned, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["key"] for r in spark.read.parquet(master).collect()) == ["a", "b", "c"]
-    assert columns  # the master holds its columns and the key
-    assert spark.read.parquet(master).columns == ["text", "key"]
-
-
-def test_windowed_counts_stream(spark, tmp_path):
-    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.write.parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e"))
-    counts = streaming.counts_per_window(stream, "ts", "1 day", "2 days", "event_type")
-    query = counts.writeStream.format("memory").queryName("per_day").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.table("per_day").agg(F.sum("n")).first()[0] == e.count()
+    held = streaming.master_table(spark, master, aligned)
+    assert sorted((r["key"], r["text"]) for r in held.collect()) == [("a", "1"), ("b", "3"), ("c", "4")]
+    assert held.columns == ["text", "key"]
+
+
+def test_a_batch_cut_short_is_written_again(spark, tmp_path, monkeypatch):
+    """Killed after its rows, or after its keys: no reader sees the batch, and the rerun gives what one run gives."""
+    schema = "key string, text string, seq int"
+    source, master, checkpoint = (str(tmp_path / x) for x in ("landed", "master", "cp"))
+    land = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+    run = lambda: streaming.dedup_into_master(spark.readStream.schema(schema).parquet(source), master, ["text"], checkpoint).awaitTermination()
+    seen = lambda: sorted((r["key"], r["text"]) for r in streaming.master_table(spark, master, ["text"]).collect())
+    land([("a", "1", 1), ("b", "2", 2)])
+    run()
+    land([("b", "again", 3), ("c", "3", 4), ("c", "later", 5)])
+    commit = streaming._commit
+
+    def cut(*_):
+        raise OSError("executor and driver lost")
+
+    monkeypatch.setattr(streaming, "_commit", cut)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert seen() == [("a", "1"), ("b", "2")] and len(list((tmp_path / "master" / "rows").glob("batch=*"))) == 2
+    monkeypatch.setattr(streaming, "_commit", commit)
+    run()
+    run()
+    assert seen() == [("a", "1"), ("b", "2"), ("c", "3")]
+    # the same batch tried again after it was committed, and a retry by name
+    assert streaming.append_new(spark.createDataFrame([("d", "4", 1)], schema), master, ["text"], "again") == 1
+    assert streaming.append_new(spark.createDataFrame([("e", "5", 1)], schema), master, ["text"], "again") == 0
+
+
+def test_a_batch_reads_its_own_parts_of_the_key_index(spark, tmp_path):
+    master = str(tmp_path / "master")
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("text"), F.col("id").alias("seq"))
+    streaming.append_new(rows, master, ["text"], "one")
+    keys = streaming.seen_keys(spark, master, [3, 5])
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan and "PartitionFilters: [" in plan and "IN (3,5)" in plan.replace("IN [3,5]", "IN (3,5)")
+    parts = {r[0] for r in keys.select(streaming.key_part(F.col("key"))).distinct().collect()}
+    assert parts == {3, 5} and keys.count() == rows.filter(streaming.key_part(F.col("key")).isin(3, 5)).count()
+
+
+def test_closed_windows_free_their_state_and_late_rows_are_kept(spark, tmp_path):
+    """Three landings, the second with rows of a closed day: they stand aside, days come out as they close, state stays small."""
+    schema = "key string, ts timestamp"
+    landed, split, out = (str(tmp_path / x) for x in ("landed", "split", "out"))
+    batches = [["2024-01-01 10:00", "2024-01-02 09:00", "2024-01-04 12:00"], ["2024-01-01 11:00", "2024-01-04 13:00", "2024-01-06 01:00", None], ["2024-01-05 08:00", "2024-01-09 00:00"]]
+    for k, times in enumerate(batches):
+        rows = spark.createDataFrame([(f"{k}-{t}", t) for t in times], "key string, ts string").withColumn("ts", F.to_timestamp("ts"))
+        rows.write.mode("append").parquet(landed)
+        streaming.split_late(spark.readStream.schema(schema).parquet(landed), split, str(tmp_path / "cp"), "ts", 86_400, 86_400).awaitTermination()
+        counts = streaming.counts_per_window(streaming.timely_stream(spark, split, schema), "ts", "1 day", "1 day")
+        query = streaming.closed_windows(counts.select("window.start", "n"), out, str(tmp_path / "cp2"))
+        query.awaitTermination()
+    late = {r["key"] for r in streaming.split_rows(spark, split, schema, True).collect()}
+    timely = {r["key"] for r in streaming.split_rows(spark, split, schema, False).collect()}
+    assert late == {"1-2024-01-01 11:00"} and len(timely) == 8 and "1-None" in timely
+    found = {str(r["start"])[:10]: r["n"] for r in spark.read.parquet(out).collect()}
+    assert found == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-04": 2, "2024-01-05": 1, "2024-01-06": 1}
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 1  # the last day alone is still open
+
+
+def test_ledger_log_is_appended_compacted_and_read_as_of(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    schema = "legislature string, data_type string, run_date string, from_date string, to_date string, count long, complete boolean, pulled_at timestamp"
+    rows = [("F", t, f"2024-0{m}-0{k}", "2024-01-01", f"2024-0{m}-0{k}", 1, m < 3 or t != "e", None) for m in (1, 2, 3) for k in (1, 2) for t in "abcde"]
+    frame = spark.createDataFrame(rows, schema).withColumn("pulled_at", F.to_timestamp("run_date"))
+    for m in (1, 2, 3):
+        for k in (1, 2, 2):  # each second append is tried twice
+            sinks.append_ledger(frame.filter(F.col("run_date") == f"2024-0{m}-0{k}"), path)
+    before = [tuple(r) for r in ingest.resume_from(readers.ledger(spark, path), 5).collect()]
+    files = lambda month: len(list((tmp_path / "ledger" / "legislature=F" / f"month={month}").glob("part-*.parquet")))
+    untouched = sorted(p.name for p in (tmp_path / "ledger" / "legislature=F" / "month=2024-03").iterdir())
+    assert files("2024-01") == 3
+    sinks.compact_ledger(spark, path, "2024-03")
+    assert (files("2024-01"), files("2024-02"), files("2024-03")) == (1, 1, 3)
+    assert untouched == sorted(p.name for p in (tmp_path / "ledger" / "legislature=F" / "month=2024-03").iterdir())
+    assert [tuple(r) for r in ingest.resume_from(readers.ledger(spark, path), 5).collect()] == before == [("F", "2024-02-02", "2024-03-02")]
+    assert readers.ledger(spark, path, "2024-01-31").count() == 10 and readers.ledger(spark, path).count() == 20 + 15
+    sinks.compact_ledger(spark, path, "2024-04")
+    assert readers.ledger(spark, path).count() == 30
+    wanted = frame.select("legislature", "data_type", "run_date", "from_date", "to_date")
+    assert {r["data_type"] for r in ingest.pending_types(wanted, readers.ledger(spark, path)).collect()} == {"e"}
+
+
+def test_listings_read_the_folders_since_the_bound_alone(spark, tmp_path):
+    rows = spark.createDataFrame([("F", f"2024-01-{d:02}", d, (30 - d) // 3) for d in range(1, 31)] + [("O", "", 0, 0), ("O", "2024-01-25", 1, 0)], "legislature string, date string, seq int, page int")
+    rows = rows.unionByName(spark.createDataFrame([("F", "2024-01-29", 99, 9)], rows.schema))  # new, but behind a page that is older as a whole
+    path = str(tmp_path / "listing")
+    sinks.land_listing(rows, path, ["legislature"], "page", "date")
+    found = readers.listing_since(spark, path, rows.schema, ["legislature"], "page", "date", "2024-01-20")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    got = {(r["legislature"], r["seq"]) for r in found.collect()}
+    assert got == {("F", d) for d in range(20, 31)} | {("O", 1)}
+    wanted = ingest.stops_at_old_page(rows, ["legislature"], "page", "date", F.lit("2024-01-20"))
+    assert got == {(r["legislature"], r["seq"]) for r in wanted.collect()}
+
+
+def test_xml_rows_by_child_of_any_tag_and_namespace(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<?xml version="1.0"?><v:list xmlns:v="urn:x"><v:SixthRow><v:Text> one &amp; two </v:Text><v:Id>1</v:Id></v:SixthRow><v:Other><v:Id>9</v:Id></v:Other></v:list>')
+    (tmp_path / "b.xml").write_text('<list xmlns="urn:y"><group><Row><Id>2</Id><Text/><Text>late</Text><Extra><Deep>x</Deep></Extra></Row></group><Row><Text></Text></Row></list>')
+    (tmp_path / "c.xml").write_text("<list><Row><Text>before the fault</Text></Row><Row><Text>x</list>")
+    (tmp_path / "d.xml").write_text("")
+    found = readers.xml_rows_by_child(spark, str(tmp_path), "Text", ["Id", "Text", "None"])
+    assert sorted((r["Id"] or "", r["Text"]) for r in found.collect()) == [("", ""), ("", "before the fault"), ("1", "one & two"), ("2", "late")]
+    assert all(r["None"] is None for r in found.collect())
+    many = b"<l>" + b"<r><T>x</T></r>" * 200_000 + b"</l>"
+    assert sum(1 for _ in readers.elements_with_child(many, "T")) == 200_000
+
+
+def test_editions_of_a_register(spark):
+    links = [
+        ("m", 1, "/old-register-of-interests.PDF", "Fourth Assembly"), ("m", 2, "archive/register-interests", "Sixth Senedd Register"), ("m", 3, "https://site.test/archive/register-interests", "again"),
+        ("m", 4, "https://else.test/register-interests", "away"), ("m", 5, "mailto:register@interests", "mail"), ("m", 6, "", "register interests"),
+        ("https://site.test/archive/register-interests", 1, "a.pdf?x=1", "Register as on 8 April 2026 (PDF)"), ("https://site.test/archive/register-interests", 2, "b.pdf", "register, no date"),
+    ]
+    frame = spark.createDataFrame([("m", *x) for x in links], "main string, page string, position int, href string, text string")
+    found = {tuple(r) for r in n.register_snapshots(frame, "main", "https://site.test").collect()}
+    assert found == {
+        ("https://site.test/old-register-of-interests.PDF", "Fourth Assembly", ""), ("https://site.test/a.pdf?x=1", "Sixth Senedd Register", "2026-04-08"),
+        ("https://site.test/b.pdf", "Sixth Senedd Register", ""),
+    }
+    text = ["1. Gifts (contents)", "ANN ROE MS", "stray words before any heading", "1. Gifts", "a pen given", "on 02/06/2021", "2) Work", "I am a member", "Ann Roe", "of no heading", "tiny", "Bo Day", "3. Gifts", "four"]
+    lines = [(u, k, x) for u in ("p", "q") for k, x in enumerate(text)]
+    roster = spark.createDataFrame([("1", "Ann Roe", "Red", "N", "MS"), ("2", "Bo Day", "Blue", "S", "MS")], "id string, name string, party string, constituency string, role string")
+    editions = spark.createDataFrame([("p", "Sixth", "2026-04-08"), ("q", "Fifth", "")], "url string, term string, date string")
+    rows = n.register_editions(spark.createDataFrame(lines, "url string, line_no int, line string"), editions, roster)
+    got = sorted((r["url"], r["member"]["id"], r["date"], r["title"], r["text"], r["metadata"]["term"], r["metadata"]["date_is_snapshot_fallback"]) for r in rows.collect())
+    of = lambda u, term, day, flag: [(u, "1", "2021-06-02", "Gifts", "a pen given on 02/06/2021", term, "false"), (u, "1", day, "", "of no heading tiny", term, flag), (u, "1", day, "", "stray words before any heading", term, flag), (u, "1", day, "Work", "I am a member", term, flag)]
+    assert got == sorted(of("p", "Sixth", "2026-04-08", "true") + of("q", "Fifth", "", "false"))
+    days = spark.createDataFrame([("1", "2026-04-08"), ("1", "2026-04-07"), ("2", "2030-01-01")], "member_id string, day string")
+    assert {(r["url"], r["day"]) for r in n.register_as_of(rows, days).collect()} == {("p", "2026-04-08")}
+
+
+def test_export_lines_make_one_document(spark, tmp_path):
+    lines = spark.createDataFrame([("F", "", "", "", '{"topics":["a"],"benchmarks":{"members":2}}'), ("F", "North", "Bo", "2", '{"name":"Bo"}'), ("F", "East", "Al", "1", '{"name":"Al"}'), ("O", "", "", "", '{"topics":[]}')], "legislature string, area string, member string, member_key string, json string")
+    sinks.write_payload(lines.repartition(3), str(tmp_path / "out"))
+    files = sorted((tmp_path / "out" / "legislature=F").glob("part-*"))
+    text = reports.document([line for f in files for line in f.read_text().splitlines()])
+    assert json.loads(text) == {"topics": ["a"], "benchmarks": {"members": 2}, "members": [{"name": "Al"}, {"name": "Bo"}]}
+    assert json.loads(reports.document(['{"topics":[]}'])) == {"topics": [], "members": []}
 
 
 def test_run_files(spark, tmp_path):
@@ -181,10 +313,10 @@ def test_flags_of_an_old_run_do_not_advance_the_cursor(spark):
 
 
 def test_first_lists_of_any_wrapper(spark):
-    texts = ['[{"a": "1"}]', '{"x": [{"a": "2"}]}', '{"x": {"y": [{"a": "3"}]}, "z": [{"a": "0"}]}', '{"n": 1, "rows": [{"a": "0"}]}', "[]", "{}", "", None, "not json"]
+    texts = ['[{"a": "1"}]', '{"x": [{"a": "2"}]}', '{"x": {"y": [{"a": "3"}]}, "z": [{"a": "0"}]}', '{"n": 1, "rows": [{"a": "0"}]}', "[]", "{}", "", None, "not json", '{"a":' * 60 + '[{"a": "deep"}]' + "}" * 60]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = readers.first_list_items(rows, "t", T.StructType([T.StructField("a", T.StringType())]), ["i"])
-    assert sorted((r["i"], r["a"]) for r in got.collect()) == [(0, "1"), (1, "2"), (2, "3")]
+    assert sorted((r["i"], r["a"]) for r in got.collect()) == [(0, "1"), (1, "2"), (2, "3"), (9, "deep")]
 
 
 def test_csv_report_is_sorted_and_marked(spark, tmp_path):
