@@ -33,6 +33,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i
 DROPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select option button textarea input map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BEFORE_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements that the model knows by name; all others are one kind, however many names pages invent.
+KNOWN = VOID | INLINE | DROPPED | RAW | BEFORE_P | frozenset("#root html body caption colgroup dd dt figcaption legend li menu search summary tbody td tfoot th thead tr".split())
 #: What words in class, id and role say about an element.
 BOILERPLATE_WORDS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc",
@@ -50,7 +52,9 @@ _CATEGORY = {w: f"word:{c}" for c, ws in BOILERPLATE_WORDS.items() for w in ws.s
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRS = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
-_ATTR = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: One attribute: its whole name, and its value in quotes or bare.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAMED = ("class", "id", "role")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -76,7 +80,9 @@ class Page:
 def _name_words(attrs: str) -> list[str]:
     out = []
     for m in _ATTR.finditer(attrs):
-        out += [w.lower() for w in _WORD.findall(m[2] or m[3] or m[4] or "")]
+        if m[1].lower() in _NAMED:
+            value = m[2] or m[3] or m[4] or ""
+            out += [w.lower() for w in _WORD.findall(html.unescape(value) if "&" in value else value)]
     return out
 
 
@@ -115,7 +121,7 @@ def _markup(source: str) -> Iterator[tuple[str, str, str]]:
         at = attrs.end() if attrs else first + 1
         tag = name[0].lower()
         yield "close" if closing else "open", tag, source[name.end() : at - 1]
-        if not closing and tag in RAW and not source.endswith("/", 0, at - 1):
+        if not closing and tag in RAW:
             found = re.compile(rf"(?i)</{tag}\s*>").search(source, at)
             at = found.end() if found else end
             yield "close", tag, ""
@@ -207,8 +213,8 @@ def parse(source: str, label_of: Callable[[str], int | None] | None = None) -> P
         if tag not in INLINE:
             blocks_open.append(len(stack))
         stack.append((tag, node, dropped or tag in DROPPED))
-        if attrs.endswith("/"):
-            close(len(stack) - 1)
+        if attrs.endswith("/") and (places["svg"] or places["math"]):
+            close(len(stack) - 1)  # elsewhere a slash closes nothing
     close(1)
     flush()
     return page
@@ -234,7 +240,7 @@ def features(page: Page) -> list[list[str]]:
     for i, n in enumerate(nodes):
         inside[i] = n.tag in ("article", "main") or (i > 0 and inside[n.parent])
         density = links[i] / chars[i] if chars[i] else 0.0
-        f = ["bias", f"tag:{n.tag}", f"links:{min(3, int(density * 4))}", f"long:{min(7, chars[i].bit_length() // 2)}", f"stops:{min(3, stops[i])}", "own" if n.chars else "container"]
+        f = ["bias", f"tag:{n.tag if n.tag in KNOWN else 'other'}", f"links:{min(3, int(density * 4))}", f"long:{min(7, chars[i].bit_length() // 2)}", f"stops:{min(3, stops[i])}", "own" if n.chars else "container"]
         own = sorted({c for w in n.words if (c := _CATEGORY.get(w))})
         around = above[n.parent] if i else frozenset()
         f += own + [f"in:{x}" for x in sorted(around)]

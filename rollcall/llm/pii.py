@@ -87,7 +87,6 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 _ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|auth|bearer|credentials?|key)\b["']?(?:\s{0,3}[:=]{1,2}\s{0,3}|\s)["']?([^\s"']{6,}+)""")
 _RUN = re.compile(r"[A-Za-z0-9_+/=-]{12,}+")
 _CHAIN = re.compile(r"[0-9](?:[ .()/-]{0,2}+[0-9])++")
-_GROUP = re.compile(r"[ .()/-]*[0-9]*$")
 _WORDS = re.compile(r"[A-Za-z]+")
 #: What a word before a value says about it.
 _CONTEXT = {
@@ -106,13 +105,14 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     found = {("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)}
     for m in _RUN.finditer(text):
         value = m[0]
-        if any(c.isdigit() for c in value) or sum(map(str.isupper, value)) >= 8:
+        # capitals alone are a shouted word, unless a name stands before them
+        if any(c.isdigit() for c in value) or sum(map(str.isupper, value)) >= 8 and any(map(str.islower, value)):
             found.add(("secret", *m.span()))
     for m in _CHAIN.finditer(text):
         a, b = m.span()
         if a and text[a - 1].isalnum() or b < len(text) and text[b].isalnum():
             if not (a and text[a - 1].isalnum()):
-                b = a + _GROUP.search(m[0].rstrip("0123456789")).start()  # without the group that runs into a word
+                b = a + len(m[0].rstrip("0123456789").rstrip(" .()/-"))  # without the group that runs into a word
             else:
                 continue
         if sum(map(str.isdigit, text[a:b])) >= 7:
@@ -167,6 +167,9 @@ def labelled_texts(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int
     def word(lo: int = 2, hi: int = 12) -> str:
         return "".join(r.choice(("aeiou", "bcdfghlmnprstvw")[k % 2 ^ (r.random() < 0.2)]) for k in range(r.randint(lo, hi)))
 
+    def shouted() -> str:
+        return "".join(r.choice("sch rz tz st nd ng th fl pr br ck".split()) + r.choice("aeiou") + r.choice(["", "r", "n", "rt", "ch"]) for _ in range(r.randint(4, 7))).upper()
+
     def prose(lo: int, hi: int) -> str:
         return " ".join(word().capitalize() if r.random() < 0.1 else word() for _ in range(r.randint(lo, hi)))
 
@@ -200,7 +203,7 @@ def labelled_texts(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int
 
     def plain_name() -> tuple[str, str]:
         w = [word(3, 9) for _ in range(r.randint(2, 4))]
-        return r.choice(["file ", "see ", "image ", ""]), r.choice(["_".join(w) + str(r.randint(1, 99)), "".join(x.capitalize() for x in w) + str(r.randint(1, 2100)), "-".join(w) + f"-{r.randint(1, 2100)}", f"IMG_{shaped('20991231_999999')}", "/".join(w) + f"/{r.randint(1, 9999)}", word(12, 22).upper(), "=" * r.randint(12, 40) + "1"])
+        return r.choice(["file ", "see ", "image ", ""]), r.choice(["_".join(w) + str(r.randint(1, 99)), "".join(x.capitalize() for x in w) + str(r.randint(1, 2100)), "-".join(w) + f"-{r.randint(1, 2100)}", f"IMG_{shaped('20991231_999999')}", "/".join(w) + f"/{r.randint(1, 9999)}", shouted(), f"{shouted()}-{r.randint(1, 99)}", "=" * r.randint(12, 40) + "1"])
 
     def public_hash() -> tuple[str, str]:
         return f"{r.choice(['commit', 'sha', 'md5', 'checksum', 'build', 'revision', 'id'])}{r.choice([' ', ': '])}", made(hex_, 12, 40)

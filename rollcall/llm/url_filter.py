@@ -1,27 +1,25 @@
 """URL filtering: a list of rules, then association rules mined from its decisions.
 
 A URL that the list decides is a labelled one; the others are its background. Spark's
-FP-growth mines combinations of URL tokens among the blocked ones, and one pass counts
-each combination among all URLs. A rule needs a number of blocked URLs (support), has to
-hold among labelled URLs (confidence), and must not be common among the open ones
-(coverage: the share of all URLs with these tokens that the list blocks), so what is
-merely usual on the web is no rule. Rules that a more general one covers are pruned, and
-tokens that restate the list are left out. Open URLs are decided by an inverted index on
-each rule's rarest token.
+FP-growth mines combinations of URL tokens among the blocked ones. A rule needs a number of
+blocked URLs (support), has to hold among labelled URLs (confidence), and must be blocked more
+often than comparable URLs are (lift): of URLs under one top-level domain a certain share is
+blocked, and the URLs with a rule's tokens must exceed what their domains make of them. So
+what is merely usual on the web is no rule. Combinations that restate a whole rule of the list,
+or decide no open URL, are left out, and so are those that a more general rule covers. Rules are
+a table under an inverted index: each is filed under its rarest token, and meets the URLs that
+have this token by an equal join, in mining and in judging alike.
 """
 
 from __future__ import annotations
 
-import math
 import string
-from collections import defaultdict
 
-import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import broadcast_value, fresh
+from rollcall.llm.common import Scratch, fresh
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
@@ -67,11 +65,9 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, top, parts, names))
 
 
-def restating(rules: tuple[Rule, ...]) -> list[str]:
-    """The tokens that the list's own rules are made of."""
-    hosts = {x for h, _, _ in rules for x in h.split(".") if x}
-    parts = {x for _, p, _ in rules for x in p.replace(".", "/").split("/") if x}
-    return sorted({f"host:{x}" for x in hosts} | {f"top:{x}" for x in hosts} | {f"path:{x}" for x in parts})
+def restated(rules: tuple[Rule, ...]) -> list[list[str]]:
+    """The tokens of each blocking rule of the list, as a whole."""
+    return [sorted({f"host:{x}" for x in h.split(".") if x} | {f"path:{x}" for x in p.replace(".", "/").split("/") if x}) for h, p, verdict in rules if verdict == "block"]
 
 
 def _stand_ins(blocked: DataFrame) -> DataFrame:
@@ -82,88 +78,89 @@ def _stand_ins(blocked: DataFrame) -> DataFrame:
     return alike.join(first, ["n", "rows", "mixed"]).select("token", "same")
 
 
-def _holding(itemsets: list[frozenset[str]], spark) -> Column:
-    """A pandas UDF: token array -> places in ``itemsets`` of those it holds; each is indexed under its first token."""
-    index: dict[str, list[int]] = defaultdict(list)
-    for i, items in enumerate(itemsets):
-        index[min(items)].append(i)
-    get = broadcast_value(spark, (itemsets, dict(index)))
+def _filed(itemsets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``itemsets`` (items, ...) with ``anchor``: the item with the fewest rows in ``tokens`` (token, n), the first on ties."""
+    each = itemsets.select("items", F.explode("items").alias("token")).join(tokens, "token")
+    anchors = each.groupBy("items").agg(F.min_by("token", F.struct("n", "token")).alias("anchor"))
+    return itemsets.join(anchors, "items")
 
-    @F.pandas_udf("array<int>")
-    def held(tokens: pd.Series) -> pd.Series:
-        sets, at = get()
-        return pd.Series([[i for t in own for i in at.get(t, ()) if sets[i] <= own] for own in map(set, tokens)], dtype=object)
 
-    return held
+def _holding(rows: DataFrame, filed: DataFrame) -> DataFrame:
+    """Each row of ``rows`` (tokens, ...) beside each of ``filed`` (items, anchor, ...) whose items are among its tokens."""
+    met = rows.withColumn("anchor", F.explode("tokens")).join(filed, "anchor")
+    return met.filter(F.size(F.array_except("items", "tokens")) == 0)
 
 
-def mine(
-    urls: DataFrame, least_support: float = 0.001, least_confidence: float = 0.9, longest: int | None = None, least_coverage: float = 0.5, least_count: int = 1
-) -> list[tuple[frozenset[str], float]]:
-    """Pruned rules ``tokens -> block`` with their confidence, from columns ``tokens`` and ``verdict`` (block, allow, or null for open).
+def mine(urls: DataFrame, scratch: Scratch, least_count: int = 10, least_confidence: float = 0.9, least_lift: float = 1.3, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Pruned rules (items, anchor, blocked, labelled, every, lift), from ``tokens``, ``family`` and ``verdict`` (block, allow, or null for open).
 
-    A rule has at least ``least_count`` blocked URLs, and at least ``least_support`` of the
-    labelled ones, which bounds the number of itemsets; ``longest`` bounds its tokens.
+    A rule has ``least_count`` blocked URLs at least, the same number at every size of the table. Its lift is their
+    number over the number that is expected of its URLs by the share of blocked URLs in each one's family.
+    Rows count as often as they occur.
     """
-    n, n_blocked = urls.agg(F.count("verdict"), F.count_if(F.col("verdict") == "block")).first()
-    least = max(least_count, math.ceil(least_support * n - 1e-9), 1)
-    if n_blocked < least:
-        return []
-    blocked = urls.filter(F.col("verdict") == "block").select("tokens", F.monotonically_increasing_id().alias("row"))
-    stand_ins = _stand_ins(blocked).filter("token = same").select("token")
-    kept = blocked.select("row", F.explode("tokens").alias("token")).join(stand_ins, "token").groupBy("row").agg(F.collect_set("token").alias("items"))
+    spark = urls.sparkSession
+    empty = spark.createDataFrame([], "items array<string>, anchor string, blocked long, labelled long, every long, lift double")
+    alike = urls.groupBy("tokens", "family", "verdict").agg(F.count("*").alias("n"))
+    alike = scratch.cut(alike, "urls")
+    blocked = alike.filter("verdict = 'block'")
+    n_blocked = blocked.agg(F.sum("n")).first()[0] or 0
+    if n_blocked < least_count:
+        return empty
+    same = scratch.cut(_stand_ins(blocked), "stand_ins")
+    # the list's own tokens, by their stand-ins
+    listed_tokens = sorted({t for whole in restated(rules) for t in whole})
+    named = {r["token"]: r["same"] for r in same.filter(F.col("token").isin(listed_tokens)).collect()}
+    each = blocked.withColumn("row", F.xxhash64("tokens", "family")).select("row", "n", F.explode("tokens").alias("token"))
+    baskets = each.join(same.filter("token = same").select("token"), "token").groupBy("row", "n").agg(F.sort_array(F.collect_set("token")).alias("items"))
+    baskets = scratch.cut(baskets.select("items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("items"), "baskets")
     # itemsets and no rules are asked for; the support is a share of the baskets
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, kept.count())), minConfidence=1.0).fit(kept).freqItemsets
-    if longest:
-        found = found.filter(F.size("items") <= longest)
-    itemsets = [frozenset(r["items"]) for r in found.select("items").collect()]
-    if not itemsets:
-        return []
-    hits = urls.select(F.explode(_holding(itemsets, urls.sparkSession)("tokens")).alias("i"), "verdict")
-    counts = hits.groupBy("i").agg(F.count_if(F.col("verdict") == "block").alias("b"), F.count("verdict").alias("labelled"), F.count("*").alias("every")).collect()
-    rules = [(itemsets[r["i"]], r["b"] / r["labelled"]) for r in counts if r["b"] >= max(least, least_confidence * r["labelled"], least_coverage * r["every"])]
-    pruned: list[tuple[frozenset[str], float]] = []
-    general: dict[frozenset[str], float] = {}
-    for items, confidence in sorted(rules, key=lambda r: (len(r[0]), sorted(r[0]))):
-        if not any(g < items and c >= confidence for g, c in general.items()):
-            general[items] = confidence
-            pruned.append((items, confidence))
-    return pruned
-
-
-def matcher(rules: list[tuple[frozenset[str], float]], frequency: dict[str, int]):
-    """A pandas UDF: token array -> whether a rule fits. Each rule is indexed under its rarest token."""
-    index: dict[str, list[frozenset[str]]] = defaultdict(list)
-    for items, _ in rules:
-        index[min(items, key=lambda t: (frequency.get(t, 0), t))].append(items)
-    index = dict(index)
-
-    @F.pandas_udf("boolean")
-    def blocked(tokens: pd.Series) -> pd.Series:
-        out = []
-        for t in tokens:
-            own = set(t)
-            out.append(any(rule <= own for x in own for rule in index.get(x, ())))
-        return pd.Series(out, dtype=bool)
-
-    return blocked
-
-
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_support: float = 0.001, least_confidence: float = 0.9, least_coverage: float = 0.5, least_count: int = 20, into: str = "filtered") -> DataFrame:
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least_count - 0.5) / max(1, baskets.count())), minConfidence=1.0).fit(baskets).freqItemsets
+    itemsets = found.select(F.sort_array("items").alias("items"))
+    for whole in restated(rules):
+        if all(t in named for t in whole):
+            restates = F.size(F.array_except(F.array(*[F.lit(named[t]) for t in whole]), F.col("items"))) == 0
+            itemsets = itemsets.filter(~restates)
+    tokens = scratch.cut(alike.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n")), "tokens")
+    filed = scratch.cut(_filed(scratch.cut(itemsets, "itemsets"), tokens), "filed")
+    block, label = F.when(F.col("verdict") == "block", F.col("n")), F.when(F.col("verdict").isNotNull(), F.col("n"))
+    tally = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in ((block, "blocked"), (label, "labelled"), (F.col("n"), "every"))]
+    families = alike.groupBy("family").agg(*tally).select("family", (F.col("blocked") / F.col("every")).alias("share"))
+    counted = _holding(alike, filed).groupBy("items", "anchor", "family").agg(*tally)
+    whole = counted.join(families, "family").groupBy("items", "anchor").agg(*[F.sum(c).alias(c) for c in ("blocked", "labelled", "every")], F.sum(F.col("every") * F.col("share")).alias("expected"))
+    strong = whole.withColumn("lift", F.col("blocked") / F.col("expected")).filter(
+        (F.col("blocked") >= least_count) & (F.col("blocked") >= least_confidence * F.col("labelled")) & (F.col("lift") >= least_lift) & (F.col("every") > F.col("labelled"))
+    )
+    strong = scratch.cut(strong.select("items", "anchor", "blocked", "labelled", "every", "lift"), "strong")
+    general = strong.select(F.col("items").alias("fewer"), "anchor", (F.col("blocked") / F.col("labelled")).alias("held"))
+    own = strong.select("items", "blocked", "labelled", F.explode("items").alias("anchor"))
+    covered = own.join(general, "anchor").filter(
+        (F.size("fewer") < F.size("items")) & (F.size(F.array_except("fewer", "items")) == 0) & (F.col("held") >= F.col("blocked") / F.col("labelled"))
+    )
+    return scratch.cut(strong.join(covered.select("items").distinct(), "items", "left_anti").select(*strong.columns), "rules")
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_count: int = 10, least_confidence: float = 0.9, least_lift: float = 1.3, into: str = "filtered") -> DataFrame:
     """``pages`` with a struct column ``into`` (host, path, rule, verdict).
 
-    Null or malformed URLs have an empty host and path, fit no rule and are allowed.
-    With no blocked URLs nothing is mined. Repeated rows are judged alike, and count as
-    often as they occur; an empty table gives no rows. Other columns pass through; where
-    one is called ``into``, the new column's name gets an underscore.
+    Null or malformed URLs have an empty host and path, fit no rule and are allowed. With fewer blocked URLs than
+    ``least_count`` nothing is mined. Repeated rows are judged alike, and count as often as they occur; an
+    empty table gives no rows. Other columns pass through; where one is called ``into``, the new column's name gets
+    an underscore. The result reads a table in the shared folder.
     """
+    name, own, hit_ = fresh(pages, into), fresh(pages, "own_tokens"), fresh(pages, "hit_tokens")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    own = F.array_except(tokens_of(F.col("url"), host, path), F.array(*map(F.lit, restating(rules))))
-    shaped = pages.select(own.alias("tokens"), listed(host, path, rules)["verdict"].alias("verdict"))
-    mined = mine(shaped, least_support, least_confidence, None, least_coverage, least_count)
-    used = sorted({t for items, _ in mined for t in items})
-    counts = shaped.select(F.explode("tokens").alias("t")).filter(F.col("t").isin(used)).groupBy("t").count().collect() if used else []
     by_list = listed(host, path, rules)
-    by_rules = F.when(matcher(mined, {r["t"]: r["count"] for r in counts})(own), F.lit("block")) if mined else F.lit(None).cast("string")
-    verdict = F.coalesce(by_list["verdict"], by_rules, F.lit("allow"))
-    return pages.withColumn(fresh(pages, into), F.struct(host.alias("host"), path.alias("path"), by_list["rule"].alias("rule"), verdict.alias("verdict")))
+    tokens = F.sort_array(tokens_of(F.col("url"), host, path))
+    with Scratch(pages.sparkSession) as scratch:
+        shaped = pages.select(tokens.alias("tokens"), F.substring_index(host, ".", -1).alias("family"), by_list["verdict"].alias("verdict"))
+        mined = mine(shaped, scratch, least_count, least_confidence, least_lift, rules)
+        open_ = shaped.filter("verdict IS NULL").select("tokens").distinct()
+        hit = scratch.keep(_holding(open_, mined.select("items", "anchor")).select(F.col("tokens").alias(hit_)).distinct(), "hits")
+
+    def judged(verdict: Column) -> Column:
+        return F.struct(host.alias("host"), path.alias("path"), by_list["rule"].alias("rule"), verdict.alias("verdict")).alias(name)
+
+    decided = by_list["verdict"].isNotNull()
+    known = pages.filter(decided).select("*", judged(by_list["verdict"]))
+    rest = pages.filter(~decided).withColumn(own, tokens).join(hit, F.col(own) == F.col(hit_), "left")
+    return known.unionByName(rest.select(*[F.col(f"`{c}`") for c in pages.columns], judged(F.when(F.col(hit_).isNotNull(), "block").otherwise("allow"))))
