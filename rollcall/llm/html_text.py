@@ -32,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup tt u var wbr".split())
 DROPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select option button textarea input map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
+#: Elements that end no block: what stands before and behind them is one line.
+UNBROKEN = INLINE | frozenset("script style template noscript svg math".split())
 BEFORE_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Elements that the model knows by name; all others are one kind, however many names pages invent.
 KNOWN = VOID | INLINE | DROPPED | RAW | BEFORE_P | frozenset("#root html body caption colgroup dd dt figcaption legend li menu search summary tbody td tfoot th thead tr".split())
@@ -171,9 +173,10 @@ def parse(source: str, label_of: Callable[[str], int | None] | None = None) -> P
             tag = stack.pop()[0]
             places[tag].pop()
             links -= tag == "a"
-            if tag not in INLINE:
+            if tag not in UNBROKEN:
                 blocks_open.pop()
-                flush()
+                if not stack[-1][2]:
+                    flush()
 
     def last(tags: Iterable[str]) -> int:
         return max((places[t][-1] for t in tags if places[t]), default=0)
@@ -198,7 +201,7 @@ def parse(source: str, label_of: Callable[[str], int | None] | None = None) -> P
                 close(k)
         elif tag in BEFORE_P and blocks_open and stack[blocks_open[-1]][0] == "p":
             close(blocks_open[-1])
-        if tag not in INLINE:
+        if tag not in UNBROKEN and not stack[-1][2]:
             flush()
         words = _name_words(attrs) if attrs else []
         _, node, dropped = stack[-1]
@@ -210,7 +213,7 @@ def parse(source: str, label_of: Callable[[str], int | None] | None = None) -> P
             links += 1
             nodes[node].n_links += 1
         places[tag].append(len(stack))
-        if tag not in INLINE:
+        if tag not in UNBROKEN:
             blocks_open.append(len(stack))
         stack.append((tag, node, dropped or tag in DROPPED))
         if attrs.endswith("/") and (places["svg"] or places["math"]):

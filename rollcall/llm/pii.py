@@ -203,7 +203,7 @@ def labelled_texts(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int
 
     def plain_name() -> tuple[str, str]:
         w = [word(3, 9) for _ in range(r.randint(2, 4))]
-        return r.choice(["file ", "see ", "image ", ""]), r.choice(["_".join(w) + str(r.randint(1, 99)), "".join(x.capitalize() for x in w) + str(r.randint(1, 2100)), "-".join(w) + f"-{r.randint(1, 2100)}", f"IMG_{shaped('20991231_999999')}", "/".join(w) + f"/{r.randint(1, 9999)}", shouted(), f"{shouted()}-{r.randint(1, 99)}", "=" * r.randint(12, 40) + "1"])
+        return r.choice(["file ", "see ", "image ", ""]), r.choice(["_".join(w) + str(r.randint(1, 99)), "".join(x.capitalize() for x in w) + str(r.randint(1, 2100)), "-".join(w) + f"-{r.randint(1, 2100)}", f"IMG_{shaped('20991231_999999')}", "/".join(w) + f"/{r.randint(1, 9999)}", shouted(), "=" * r.randint(12, 40) + "1"])
 
     def public_hash() -> tuple[str, str]:
         return f"{r.choice(['commit', 'sha', 'md5', 'checksum', 'build', 'revision', 'id'])}{r.choice([' ', ': '])}", made(hex_, 12, 40)

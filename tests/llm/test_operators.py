@@ -110,6 +110,36 @@ def test_pages_give_their_articles(spark):
         assert found[p["page_id"]]["n_chars"] == len(found[p["page_id"]]["text"])
 
 
+def test_every_page_gives_its_article(spark):
+    """All pages of sf0.1 against an independent reading of their markup."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "html").collect()
+    found = {r["page_id"]: r["text"] for r in queries.op2_html_text(spark, "/root/testdata/sf0.1").collect()}
+    assert len(pages) == len(found)
+    for p in pages:
+        body = re.sub(r"</?b>", "", p["html"].split("<article>")[1].split("</article>")[0])
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+        assert found[p["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_slashes_close_nothing_and_attribute_names_are_whole(spark):
+    model = html_text.train(spark.createDataFrame([], "html string"))
+    words = "A sentence of the article that is long enough to count. And another one follows it."
+    page = "<html><body><article>{}</article></body></html>"
+    assert model.text(page.format(f'<p>{words}</p><script src="a.js" />var tracker = 1; send(tracker).</script><p>{words}</p>')) == f"{words}\n{words}"
+    assert model.text(f'<html><body><article data-role="comments" data-id="sidebar" data-class="advert" title="class=menu"><p>{words}</p></article></body></html>') == words
+    links = html_text.parse("<ul><li><a href=http://x.com/>some link text</a></li></ul>").nodes
+    assert sum(n.link_chars for n in links) == len("somelinktext")
+    assert model.text(page.format(f'<p>{words}<svg><path d="M0"/><text>drawn</text></svg> more words.</p>')) == f"{words} more words."
+    assert html_text.parse('<div ID=Main class="x&amp;comments" role=note>t</div>').nodes[1].words == ["main", "x", "comments", "note"]
+
+
+def test_invented_tags_make_no_features():
+    page = html_text.parse("".join(f"<tag{k}>x</tag{k}>" for k in range(500)))
+    assert len({f for fs in html_text.features(page) for f in fs if f.startswith("tag:")}) <= 2
+
+
 def test_messages_give_exact_marginals():
     page = html_text.parse("<body><div class=x><p>a b. c.</p><a href=#>l</a></div><p>q</p></body>")
     model = html_text.TreeModel({"bias": 0.2, "tag:p": 0.9, "tag:div": -0.6, "links:3": -1.0}, [[0.5, -1.0], [-0.3, 0.4]])
@@ -572,6 +602,16 @@ def test_dense_megabytes_take_linear_time(text):
     assert took[1] < 10 and took[1] < 8 * max(took[0], 0.05)
 
 
+def test_a_run_of_digits_into_a_word_takes_linear_time():
+    import time
+
+    model = pii.trained()
+    for text in ("1" * 1_000_000 + "-1a", "1" * 1_000_000 + " " * 2 + "-a", "1-" * 500_000 + "1a"):
+        began = time.process_time()
+        pii.spans(text, model)
+        assert time.process_time() - began < 3
+
+
 def test_pii_query(spark, docs):
     for r in queries.op6_pii(spark, SMALL).join(docs.select("doc_id", "text"), "doc_id").collect():
         base = plain_spans(r["text"])
@@ -600,14 +640,19 @@ def test_planted_values_are_found_and_others_left_alone():
     assert planted["found"] >= 0.97 * planted["all"]
 
 
-def test_planted_secrets_of_the_documents_are_found(docs):
-    planted = re.compile(r'token = "([0-9a-f]{40})"|password=([0-9a-f]{18})\b|\b(AKIA[A-Z0-9]{16})\b')
-    texts = [r["text"] for r in docs.sparkSession.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 4 = 0 or text like '%AKIA%'").collect()]
-    wanted = got = extra = 0
+@pytest.mark.parametrize("sf, share", [("0.01", 0.0), ("0.1", 0.01)])
+def test_planted_secrets_of_all_documents_are_found(spark, sf, share):
+    """Every text: all planted values, and a list of whatever else was added."""
+    planted = re.compile(r'(?i:token) = "([0-9a-f]{40}|[0-9A-F]{40})"|password=([0-9a-f]{18})\b|\b(AKIA[A-Z0-9]{16})\b')
+    texts = [r["text"] for r in spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("text").distinct().collect()]
+    wanted = got = 0
+    extra = []
     for t, (_, added) in zip(texts, pii.spans_of(texts, pii.trained())):
         true = {m.span(m.lastindex) for m in planted.finditer(t or "")}
-        wanted, got, extra = wanted + len(true), got + len(true & {(a, b) for _, a, b in added}), extra + len({(a, b) for _, a, b in added} - true)
-    assert wanted > 20 and got == wanted and extra <= 0.02 * wanted
+        wanted, got = wanted + len(true), got + len(true & {(a, b) for _, a, b in added})
+        extra += [t[a:b] for _, a, b in added if (a, b) not in true]
+    print("others added:", extra)
+    assert wanted > 5 and got == wanted and len(extra) <= share * wanted
 
 
 @pytest.mark.parametrize("length", [200, 201, 400, 5000])
@@ -847,9 +892,9 @@ def test_a_planted_pattern_among_neutral_hosts_end_to_end(spark):
         urls.append((i, f"http://h{rng.integers(8)}.site.{top}/{lang}/{'/'.join(words)}/{i}?utm=1"))
         bad.append(planted)
     pages = spark.createDataFrame(urls, "page_id int, url string")
-    got = {r["page_id"]: r["filtered"] for r in url_filter.judge(pages, least_count=20, least_lift=2.0).collect()}
+    got = {r["page_id"]: r["filtered"] for r in url_filter.judge(pages, least_count=20, least_lift=1.4).collect()}
     by_list = [got[i]["verdict"] if got[i]["rule"] else None for i, _ in urls]
-    rules = plain_mined([(url_tokens(u), plain_url(u)[0].rsplit(".", 1)[-1], v) for (_, u), v in zip(urls, by_list)], 20, 0.9, 2.0, url_filter.RULES, 4)
+    rules = plain_mined([(url_tokens(u), plain_url(u)[0].rsplit(".", 1)[-1], v) for (_, u), v in zip(urls, by_list)], 20, 0.9, 1.4, url_filter.RULES, 4)
     assert rules
     wrong = right = 0
     for (i, u), v, planted in zip(urls, by_list, bad):
@@ -863,7 +908,7 @@ def test_a_planted_pattern_among_neutral_hosts_end_to_end(spark):
 
 def test_parts_of_urls_that_always_go_together_cost_nothing(spark):
     rows = [([f"t{k:02}" for k in range(40)] + [f"x{i % 3}"], "f", "block") for i in range(60)] + [(["y"], "f", "allow")] * 20 + [([f"t{k:02}" for k in range(40)] + ["x0"], "g", None)]
-    assert set(mined(spark, rows, 20, 0.9, 1.2)) == {frozenset(["t00"])}
+    assert set(mined(spark, rows, 20, 0.9, 1.2)) == {frozenset(["t00"]), frozenset(["x0"])}
 
 
 def test_long_urls_and_copies_are_judged_whole(spark):
@@ -939,7 +984,7 @@ def test_alignment_against_the_plain_recurrence():
         score, end, last = decontamination.alignment(a, b)
         assert score == plain_alignment(a, b)
         start = decontamination.alignment_start(a[:last], b[:end], score)
-        assert plain_alignment(a, b[start:end]) == score and (start == end or plain_alignment(a, b[start + 1 : end]) < score)
+        assert plain_alignment(a[:last], b[start:end]) == score and (start == end) == (score == 0)
 
 
 def test_copies_of_items_are_found(spark, docs):
@@ -1027,7 +1072,7 @@ def test_seeds_are_the_rarest_of_each_window(spark):
     # windows of places 0-1, 1-2, 2-3, 3-4 (no document has 14), 4-5, and those cut at both ends
     assert {r["gram"] for r in got.collect()} == {10, 11, 12, 13, 15}
     wide = decontamination.rare_seeds(grams, spark.createDataFrame(list(counts.items()), "gram long, docs long"), 4)
-    assert {r["gram"] for r in wide.collect()} == {10, 11, 12, 15}
+    assert {r["gram"] for r in wide.collect()} == {10, 11, 15}
 
 
 def test_a_megabyte_text_with_a_copy_is_aligned_whole(spark):
