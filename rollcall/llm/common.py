@@ -105,19 +105,27 @@ def share_of(share: float, *key: str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < max(1, int(min(1.0, share) * (1 << 30)))
 
 
-def stratified_sample(df: DataFrame, rows: int, stratum: str, *key: str) -> DataFrame:
+def stratified_sample(df: DataFrame, rows: int, stratum: str, *key: str, strata: int = 200) -> DataFrame:
     """About ``rows`` rows of ``df``, in proportion to the strata but with 20 of each at least; all of a smaller table or stratum.
 
-    Rows are chosen by a hash of ``key``; in a larger table, rows alike in it and the stratum count once.
+    The ``strata`` largest are kept apart (ties: the smaller name); all others are one stratum, however many there are, so
+    that neither the plan nor the sample grows with odd labels. Rows are chosen by a hash of ``key``; in a
+    larger table, rows alike in it and the stratum count once.
     """
-    counts = {r[stratum]: r["count"] for r in df.groupBy(stratum).count().collect()}
-    total = sum(counts.values())
-    if total <= rows:
+    counted = df.groupBy(stratum).count()
+    total, kinds = counted.agg(F.sum("count"), F.count("*")).first()
+    if (total or 0) <= rows:
         return df
-    least = max(20, rows // (4 * len(counts)))
-    shares = {s: int(min(1.0, max(rows / total, least / n)) * (1 << 30)) for s, n in counts.items()}
-    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col(stratum)]
-    return df.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < share).dropDuplicates([stratum, *key])
+    counts = {r[stratum]: r["count"] for r in counted.orderBy(F.desc("count"), stratum).limit(strata).collect()}
+    rest = total - sum(counts.values())
+    least = max(20, rows // (4 * (len(counts) + (kinds > len(counts)))))
+
+    def share(n: int) -> int:
+        return int(min(1.0, max(rows / total, least / n)) * (1 << 30)) if n else 0
+
+    shares = F.create_map(*(F.lit(x) for s, n in counts.items() for x in (s, share(n))))[F.col(stratum)]
+    chosen = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < F.coalesce(shares, F.lit(share(rest)))
+    return df.filter(chosen).dropDuplicates([stratum, *key])
 
 
 def hashed_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:

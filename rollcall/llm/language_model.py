@@ -11,9 +11,12 @@ with weight S(c, t) (d v h)^t. S is the generalised Stirling number (the seating
 customers at t tables), h the parent's probability of the dish without the tables that
 left, and v ~ Gamma(strength / d + tables) the auxiliary variable that makes the dishes
 of one restaurant independent, so that a step over all of them is exact for a given
-parent. As in other distributed samplers, the dishes of a level move at the same time,
-so h is that of the sweep before. The root's seating is drawn from what the buckets sent.
-Predictive probabilities are averaged over the samples.
+parent, up to the weights: S comes from its recurrence up to 200 customers, above that from
+a saddle point on a grid of some 300 table counts (at most 3e-10 off in the tests). As in other
+distributed samplers, the dishes of a level move at the same time, so h is that of the sweep
+before. Predictive probabilities are averaged over the samples, but for those of the root and
+of words that are dealt over buckets (below): these keep the one seating that is drawn from what the
+buckets sent, and the more buckets there are the more words are dealt.
 
 A text's tokens go to the bucket of the word before them. So a bucket holds all that a
 restaurant of that word and of its pairs needs, and a word's count too, as each token
@@ -526,6 +529,8 @@ def score(docs: DataFrame, bucket: int = BUCKET, burn_in: int = 3, samples: int
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     with Scratch(spark) as scratch, _freed_shuffles(spark):
+        # a text's number is its place in its task's rows, which a task that is run again must find as they were
+        rows = scratch.keep(rows, "rows") if "Exchange" in rows._jdf.queryExecution().executedPlan().toString() else rows
         layout = plan_layout(rows, bucket)
         get = broadcast_value(spark, layout)
         learned = split(rows, layout, by_text=False).groupBy("bucket").applyInPandas(_learner(get, burn_in), "part int, bucket int, k int, n long, v long, body binary")
