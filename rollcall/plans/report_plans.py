@@ -12,7 +12,7 @@ from rollcall.plans.division_plans import LINES, POINTS, points_of
 from rollcall.plans.text_plans import LEXICON, SALIENCE
 from rollcall.plans.views import members, statements, votes
 from rollcall.sources import readers, sinks
-from rollcall.sources.scratch import folder, written
+from rollcall.sources.scratch import Scratch, folder
 
 GAP, MISSED, GRACE = 100, 20, 60
 
@@ -65,28 +65,37 @@ def _salience(spark, d):
 VOTE_COLUMNS = ("legislature", "member_key", "party", "division", "date", "title", "direction", "seq")
 
 
-def _cast(spark, d):
+def _reported(spark, build):
+    """The report that ``build`` makes, written; what its branches share on the way is deleted again."""
+    with Scratch(spark) as scratch:
+        return scratch.keep(build(scratch), "report")
+
+
+def _cast(spark, d, scratch):
     """Votes joined to their members and divisions once, in the columns that reports read."""
-    return written(votes(spark, d).select(*VOTE_COLUMNS), "votes")
+    return scratch.cut(votes(spark, d).select(*VOTE_COLUMNS), "votes")
 
 
-def _record(spark, d, cast=None, salience=None, points=None):
+def _record(spark, d, scratch, cast=None, salience=None, points=None):
     s = statements(spark, d)
     spoken = s.groupBy("member").agg(F.count_if(F.col("dtype") == "question").alias("n_questions"), F.count_if(F.col("dtype") == "speech").alias("n_speeches"))
     spoken = _spoken_keys(spoken).withColumnRenamed("member", "member_key")
-    cast, salience = cast or _cast(spark, d), salience or _salience(spark, d)
-    return reports.member_record(members(spark, d), cast, spoken, salience, points, GAP, MISSED, GRACE, written)
+    cast, salience = cast or _cast(spark, d, scratch), salience or _salience(spark, d)
+    return reports.member_record(members(spark, d), cast, spoken, salience, points, GAP, MISSED, GRACE, scratch.cut)
 
 
 @query("SELECT r.*, round(dim1, 3) + 0.0 AS ideal_dim1, round(dim2, 3) + 0.0 AS ideal_dim2 FROM record r LEFT JOIN points USING (legislature, member_key)", ctes=f"{RECORD}, {POINTS}")
 def member_record(spark, d):
-    cast = _cast(spark, d)
-    return _record(spark, d, cast, points=points_of(spark, d, cast)[0])
+    def build(scratch):
+        cast = _cast(spark, d, scratch)
+        return _record(spark, d, scratch, cast, points=points_of(spark, d, cast)[0])
+
+    return _reported(spark, build)
 
 
 @query("SELECT * FROM bench", ctes=RECORD)
 def benchmarks(spark, d):
-    return reports.benchmarks(_record(spark, d))
+    return _reported(spark, lambda scratch: reports.benchmarks(_record(spark, d, scratch)))
 
 
 @query("SELECT member, coalesce(t1, '') AS top_topic_1, coalesce(t2, '') AS top_topic_2, coalesce(t3, '') AS top_topic_3, s1 AS top_topic_1_share_pct FROM tops", ctes=RECORD)
@@ -105,8 +114,11 @@ def receipts(spark, d):
 
 
 def _payload(spark, d):
-    cast, salience = _cast(spark, d), written(_salience(spark, d), "salience")
-    return reports.app_payload(_record(spark, d, cast, salience), salience, v.rebellions(cast))
+    def build(scratch):
+        cast, salience = _cast(spark, d, scratch), scratch.cut(_salience(spark, d), "salience")
+        return reports.app_payload(_record(spark, d, scratch, cast, salience), salience, v.rebellions(cast))
+
+    return _reported(spark, build)
 
 
 @query("""SELECT r.legislature, r.member_key, r.member, r.votes_cast, r.rebellions, coalesce((SELECT string_agg(topic || '=' || statements, ';' ORDER BY statements DESC, topic) FROM salience s
@@ -135,8 +147,11 @@ def area_search(spark, d):
 @query("""SELECT r.legislature, constituency AS area, row_number() OVER (PARTITION BY r.legislature, constituency ORDER BY votes_cast DESC, member, member_key)::INT AS place, member, votes_cast,
   greatest(0.0, least(100.0, turnout_pct)) AS turnout_pct, greatest(0.0, least(100.0, median_turnout_pct)) AS median_pct FROM record r JOIN bench USING (legislature) WHERE constituency <> ''""", ctes=RECORD)
 def area_members(spark, d):
-    record = written(_record(spark, d), "record")
-    return reports.area_members(record, reports.benchmarks(record))
+    def build(scratch):
+        record = scratch.cut(_record(spark, d, scratch), "record")
+        return reports.area_members(record, reports.benchmarks(record))
+
+    return _reported(spark, build)
 
 
 @query("SELECT member, topic, statements, share_pct FROM salience", ctes=RECORD)
@@ -152,11 +167,11 @@ WHOLE = ("votes_cast", "spells_served", "term_votes", "divisions_eligible", "no_
 DECIMAL = ("turnout_pct", "party_agreement_pct", "chamber_agreement_pct", "rebellion_rate_pct", "ideal_dim1", "ideal_dim2", "top_topic_1_share_pct", "share_pct")
 
 
-def _through_csv(spark, report, name, order):
+def _through_csv(scratch, report, name, order):
     """A report written as CSV and read back; its numbers are texts until they are cast."""
-    path = folder(spark, name)
+    path = scratch.path(name)
     sinks.write_csv_report(report, path, order)
-    back = readers.csv_report(spark, path, report.columns)
+    back = readers.csv_report(scratch.spark, path, report.columns)
     cast = {c: casts.whole(F.col(c)) for c in report.columns if c in WHOLE} | {c: casts.number(F.col(c)) for c in report.columns if c in DECIMAL}
     return back.withColumns(cast)
 
@@ -177,15 +192,18 @@ placed_bench AS (SELECT legislature, count(*) AS members, round(median(turnout_p
   count_if(rebellions > 0) AS ever_rebelled FROM record WHERE constituency <> '' AND status = 'current' GROUP BY 1)""")
 def payload_export(spark, d):
     """The nested export, from the three reports as they are read back from CSV."""
-    cast, order = _cast(spark, d), reports.report_order
-    salience = _through_csv(spark, _salience(spark, d).select("member", "topic", "statements", "share_pct"), "salience", order("salience"))
-    record = _through_csv(spark, _record(spark, d, cast, salience, points_of(spark, d, cast)[0]), "record", order("record"))
-    slips = _through_csv(spark, v.rebellions(cast).select("legislature", "member_key", "date", "title", "their_vote", "party_voted", "seq"), "rebellions", order("rebellions"))
-    payload = reports.app_payload(record, salience, slips)
-    lines = reports.payload_lines(payload, reports.benchmarks(reports.current_members(record).filter("constituency <> ''")))
-    path = folder(spark, "payload")
-    sinks.write_payload(lines, path)
-    return lines
+
+    def build(scratch):
+        cast, order = _cast(spark, d, scratch), reports.report_order
+        salience = _through_csv(scratch, _salience(spark, d).select("member", "topic", "statements", "share_pct"), "salience", order("salience"))
+        record = _through_csv(scratch, _record(spark, d, scratch, cast, salience, points_of(spark, d, cast)[0]), "record", order("record"))
+        slips = _through_csv(scratch, v.rebellions(cast).select("legislature", "member_key", "date", "title", "their_vote", "party_voted", "seq"), "rebellions", order("rebellions"))
+        payload = reports.app_payload(record, salience, slips)
+        lines = scratch.cut(reports.payload_lines(payload, reports.benchmarks(reports.current_members(record).filter("constituency <> ''"))), "lines")
+        sinks.write_payload(lines, scratch.path("payload"))
+        return lines
+
+    return _reported(spark, build)
 
 
 @query("SELECT legislature, constituency AS area, 0 AS priority FROM members WHERE constituency <> '' GROUP BY 1, 2 ORDER BY 2, 1 LIMIT 14")

@@ -54,9 +54,13 @@ class Scratch:
         for path in self.paths:
             removed(self.spark, path)
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
+        """A folder for files of another format, deleted with the tables."""
         self.paths.append(folder(self.spark, name))
-        return written(df, name, self.paths[-1])
+        return self.paths[-1]
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.path(name))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return written(df, name)

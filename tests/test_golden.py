@@ -97,7 +97,7 @@ def test_date_chunks(spark):
     assert ingest.date_chunks(ranges, 14, half_open=True).count() == 2
 
 
-@pytest.mark.parametrize("block, blocks", [(24, 4), (4, 3)])
+@pytest.mark.parametrize("block, blocks", [(48, 5), (4, 3)])
 def test_ideal_points_agree_with_numpy(spark, block, blocks):
     import numpy as np
 

@@ -1,5 +1,7 @@
 """Every query with a DuckDB twin agrees with it on the smallest tables."""
 
+import time
+
 import pytest
 
 from rollcall.plans import registry
@@ -44,12 +46,24 @@ def test_reports_read_the_votes_once(spark, name, monkeypatch):
     from rollcall.plans import report_plans
 
     plans = []
-    written = report_plans.written
 
-    def noted(df, what):
-        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
-        return written(df, what)
+    class Noting(report_plans.Scratch):
+        def cut(self, df, what):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().cut(df, what)
+
+        def keep(self, df, what):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().keep(df, what)
 
-    monkeypatch.setattr(report_plans, "written", noted)
+    monkeypatch.setattr(report_plans, "Scratch", Noting)
     plans.append(registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString())
     assert sum(p.count("l_suppkey") > 0 for p in plans) == 1
+
+
+def test_reports_leave_their_result_alone_behind(spark, tmp_path, monkeypatch):
+    from rollcall.sources import scratch
+
+    monkeypatch.setattr(scratch, "folder", lambda _, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}-{time.monotonic_ns()}")
+    assert registry.QUERIES["benchmarks"](spark, SMALL).count() > 0
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["report"]
