@@ -97,7 +97,7 @@ def test_date_chunks(spark):
     assert ingest.date_chunks(ranges, 14, half_open=True).count() == 2
 
 
-@pytest.mark.parametrize("block, blocks", [(48, 5), (4, 3)])
+@pytest.mark.parametrize("block, blocks", [(64, 6), (4, 3)])
 def test_ideal_points_agree_with_numpy(spark, block, blocks):
     import numpy as np
 
@@ -110,7 +110,7 @@ def test_ideal_points_agree_with_numpy(spark, block, blocks):
                 rows.append((f"m{m:02d}", f"d{d}", "aye" if (side[m] if r.random() < 0.8 else -side[m]) > 0 else "no", f"{d:03d}{m:02d}"))
     cast = spark.createDataFrame(rows, "member_key string, division string, direction string, seq string").withColumn("legislature", F.lit("F"))
     parties = spark.createDataFrame([("F", f"m{m:02d}", "Left" if m < 7 else "Right") for m in range(12)], "legislature string, member_key string, party string")
-    points, report = scaling.ideal_points(cast, parties, 5, 5, 2, block=block, blocks=blocks, cycles=60)
+    points, report = scaling.ideal_points(cast, parties, 5, 5, 2, block=block, blocks=blocks, tolerance=1e-10, cycles=60)
     cells = scaling.centred_votes(scaling.scaling_filter(scaling.vote_matrix(cast), member_votes=5, voters=5, minority=2)).toPandas()
     matrix = cells.pivot(index="member_key", columns="division", values="v").fillna(0.0)
     u, s, _ = np.linalg.svd(matrix.to_numpy(), full_matrices=False)
