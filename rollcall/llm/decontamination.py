@@ -10,8 +10,9 @@ full score, finds edited and paraphrased copies too.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from rollcall.llm.common import Scratch, broadcast_value, fresh
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+SMALL = 4 << 20  # bytes of items' texts that tasks may hold with their seeds, some 150 MB there
 
 
 def words(text: str | None) -> list[bytes]:
@@ -188,21 +190,49 @@ def rare_seeds(grams: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     return each.groupBy("item", "start").agg(F.min_by("gram", F.struct("docs", "gram")).alias("gram")).select("item", "gram").distinct()
 
 
-def _aligned(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int, least: float, window: int, *columns: str) -> DataFrame:
-    """(columns, text, items) of the documents that share a rare seed with items, beside those items (item_id, text)."""
+def _seeded(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int, window: int, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scanned documents (row, columns, text, grams), the items (item, item_id, text) and their seeds (item, gram)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     items = scratch.cut(items.withColumn("item", F.monotonically_increasing_id()), "items")
     grams = scratch.cut(_item_grams(items, n), "grams")
     scanned = _scan(docs, grams, scratch, *columns)
-    hits = scanned.select("row", F.explode("grams").alias("gram"))
-    counts = hits.groupBy("gram").agg(F.count("*").alias("docs"))
-    seeds = scratch.cut(rare_seeds(grams, counts, window), "seeds")
-    pairs = hits.join(seeds, "gram").select("row", "item").distinct()
-    own = pairs.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    return scanned.select("row", *columns, "text").join(own, "row")
+    counts = scanned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("docs"))
+    return scanned, items, scratch.cut(rare_seeds(grams, counts, window), "seeds")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, window: int = 2) -> DataFrame:
+def _beside_items(scanned: DataFrame, items: DataFrame, seeds: DataFrame, n: int, least: float, small: int) -> tuple[DataFrame, Callable]:
+    """(documents that share a seed with items, with a column ``by``; what gives the matches of a text from its ``by``).
+
+    Seeds meet the documents' n-grams in an equal join. Where the items have up to ``small`` bytes of text, tasks hold them
+    and their seeds, and the join is made where the documents are; otherwise items are brought to them in a shuffle.
+    """
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= small:
+        held = {r["item"]: (r["item_id"], r["text"]) for r in items.collect()}
+        index: dict[int, list[int]] = defaultdict(list)
+        for r in seeds.collect():
+            index[r["gram"]].append(r["item"])
+        get, made = broadcast_value(items.sparkSession, (held, dict(index))), {}
+
+        def near(w: list[bytes], grams) -> list[tuple[int, float, int, int]]:
+            texts, at = get()
+            out = []
+            for k in {k for g in grams for k in at.get(int(g), ())}:
+                if k not in made:
+                    made[k] = Items([texts[k]], n)
+                out += made[k].matches(w, least)
+            return sorted(out, key=lambda x: (x[0] is None, x[0]))
+
+        return scanned.withColumnRenamed("grams", "by"), near
+    pairs = scanned.select("row", F.explode("grams").alias("gram")).join(seeds, "gram").select("row", "item").distinct()
+    own = pairs.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "text")).alias("by"))
+
+    def listed(w: list[bytes], rows) -> list[tuple[int, float, int, int]]:
+        return Items(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x)), n).matches(w, least)
+
+    return scanned.drop("grams").join(own, "row"), listed
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, window: int = 2, small: int = SMALL) -> DataFrame:
     """One row for each document row and benchmark item that it holds a copy of: doc_id, item_id, score, first_word, end_word.
 
     ``window`` neighbouring n-grams of an item have one seed, the rarest among all documents. Seeds meet the
@@ -212,36 +242,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.
     Repeated documents give repeated matches, repeated items count once. An empty documents or benchmark table gives
     no rows.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        scanned, items, seeds = _seeded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, scratch, n, window, "doc_id")
+        beside, near = _beside_items(scanned, items, seeds, n, least, small)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for d, t, rows in zip(b["doc_id"], b["text"], b["items"]):
-                own = Items(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x)), n)
-                found += [(d, *m) for m in own.matches(words(t), least)]
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "first_word", "end_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = [(d, *m) for d, t, by in zip(b["doc_id"], b["text"], b["by"]) for m in near(words(t), by)]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "first_word", "end_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    with Scratch(docs.sparkSession) as scratch:
-        aligned = _aligned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, scratch, n, least, window, "doc_id")
-        found = aligned.select("doc_id", "text", "items").mapInPandas(run, "doc_id long, item_id long, score double, first_word long, end_word long")
+        found = beside.select("doc_id", "text", "by").mapInPandas(run, "doc_id long, item_id long, score double, first_word long, end_word long")
         return scratch.keep(found, "matches")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, window: int = 2, small: int = 200_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, window: int = 2, small: int = SMALL, few: int = 200_000) -> DataFrame:
     """The rows of ``docs`` that hold no copy of any item; columns as they are.
 
     Whether a row stays depends on its text alone, so what goes is known by the texts' hashes, which are broadcast
-    up to ``small`` of them. Null and empty texts stay, repeated rows are treated alike; an empty table stays
+    up to ``few`` of them. Null and empty texts stay, repeated rows are treated alike; an empty table stays
     empty, and an empty benchmark rejects nothing.
     """
-
-    @F.pandas_udf("boolean")
-    def copied(texts: pd.Series, items: pd.Series) -> pd.Series:
-        return pd.Series([bool(Items([(None, r["text"]) for r in rows], n).matches(words(t), least)) for t, rows in zip(texts, items)], dtype=bool)
-
     key, name = F.sha2(F.col("text").cast("binary"), 256), fresh(docs, "contaminated")
     with Scratch(docs.sparkSession) as scratch:
-        found = _aligned(docs, benchmark, scratch, n, least, window).filter(copied("text", "items"))
-        gone = scratch.keep(found.select(key.alias(name)).distinct(), "contaminated")
-    gone = F.broadcast(gone) if gone.count() <= small else gone
+        beside, near = _beside_items(*_seeded(docs, benchmark, scratch, n, window), n, least, small)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                gone = [t for t, by in zip(b["text"], b["by"]) if near(words(t), by)]
+                yield pd.DataFrame({"gone": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in gone]}, dtype=object)
+
+        gone = scratch.keep(beside.select("text", "by").mapInPandas(run, "gone string").select(F.col("gone").alias(name)).distinct(), "contaminated")
+    gone = F.broadcast(gone) if gone.count() <= few else gone
     return docs.join(gone, key == gone[name], "left_anti")

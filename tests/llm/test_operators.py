@@ -1051,7 +1051,9 @@ def test_edited_copies_beside_complete_ones_against_brute_force(spark):
         texts += [w, [f"new{j}" if edit(j) else x for j, x in enumerate(w)]]
     rows = [(d, " ".join(["before"] * 30 + w + ["after"] * 30)) for d, w in enumerate(texts)]
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(frame, bench).collect()}
+    assert {tuple(r) for r in decontamination.matches(frame, bench, small=0).collect()} == {tuple(r) for r in decontamination.matches(frame, bench).collect()}
     wanted = set()
     for (d, t), (k, w) in itertools.product(rows, items):
         ids = {x: i for i, x in enumerate(w)}
@@ -1126,12 +1128,49 @@ def test_benchmark_copies_of_awkward_rows(spark, awkward, empty):
     assert sorted(r["doc_id"] for r in got if r["item_id"] == 1) == [4, 5, 5]
     assert decontamination.matches(empty, bench).count() == 0
     assert decontamination.matches(awkward, bench.limit(0)).count() == 0
+    shuffled = decontamination.without_contaminated(awkward, bench, small=0, few=-1)
+    assert shuffled.columns == awkward.columns and shuffled.count() == len(AWKWARD) - 4
     clean = decontamination.without_contaminated(awkward, bench)
     assert clean.columns == awkward.columns and clean.count() == len(AWKWARD) - 4
     assert decontamination.without_contaminated(awkward, bench.limit(0)).count() == len(AWKWARD)
     assert decontamination.without_contaminated(empty, bench).count() == 0
 
 
+# ---- very long texts ------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def megabytes(spark):
+    """A text of a megabyte in words, one of a single word, two alike but for their ends, and a plain one."""
+    words_ = " ".join(f"word{k % 5000}" for k in range(150_000))
+    rows = [(1, words_), (2, "x" * 1_000_000), (3, "the same long text " * 50_000), (4, "the same long text " * 50_000 + "but for its end"), (5, "the plain one of them")]
+    return spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(2)
+
+
+def test_language_model_of_long_texts(megabytes):
+    rows = {r["doc_id"]: r for r in language_model.score(megabytes).collect()}
+    assert {i: r["n_tokens"] for i, r in rows.items()} == {1: 150_001, 2: 2, 3: 200_001, 4: 200_005, 5: 6}
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows.values())
+
+
+def test_near_copies_of_long_texts(megabytes):
+    rows = {r["doc_id"]: r for r in near_dedup.group(megabytes, 2).collect()}
+    assert {i: r["n_shingles"] for i, r in rows.items()} == {1: 5000, 2: 1, 3: 4, 4: 8, 5: 4}
+    one = {r["doc_id"]: r["component_id"] for r in near_dedup.group(megabytes, 2, percent=50).collect()}
+    assert one == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}
+
+
+def test_packing_quality_and_language_of_long_texts(megabytes):
+    pieces = packing.pack(megabytes, size=2048).drop("ids").collect()
+    for i in range(1, 6):
+        own = sorted((r["start"], r["length"]) for r in pieces if r["doc_id"] == i)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+        assert {sum(n for _, n in own)} == {r["doc_tokens"] for r in pieces if r["doc_id"] == i}
+    measured = {r["doc_id"]: r["quality"] for r in quality.measure_and_judge(megabytes).collect()}
+    assert measured[1]["n_words"] == 150_000 and measured[2]["word_chars"] == 1_000_000 and measured[3]["n_repeat_words"] == 200_000
+    assert {r["doc_id"] for r in language_id.identify(megabytes).collect()} == {1, 2, 3, 4, 5}
+
+
 # ---- pipeline ------------------------------------------------------------------------------------
 
 
