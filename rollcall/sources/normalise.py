@@ -2,7 +2,8 @@
 
 Candidate fields are tried in order and the first that is not blank counts. A
 normaliser reads columns of the landed shape (see FIXTURES.md) and returns the columns
-of ``record``: data_type, member, date, text, title, metadata.
+of ``record``: data_type, member, date, text, title, metadata. Field names and labels of the
+landed shapes are fixed values of the sources.
 """
 
 from __future__ import annotations
