@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rollcall.plans.catalog import query
 from rollcall.plans.views import table
 from rollcall.sources import normalise as n
+from rollcall.sources.scratch import written
 
 C = F.col
 
@@ -26,7 +27,8 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").join(table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").withColumn("day", _day("o_orderdate"))
+    people = table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    return table(spark, d, "orders").join(people.hint("merge"), "o_custkey").withColumn("day", _day("o_orderdate"))
 
 
 def _roster(spark: SparkSession, d: str, role: str) -> DataFrame:
@@ -422,7 +424,7 @@ def _snapshots(spark, d):
 def _editions(spark, d):
     """Editions of each customer's register, each with the orders up to its date: a name, numbered headings, a line each."""
     snapshots = _snapshots(spark, d).withColumn("o_custkey", F.regexp_extract("url", r"/c(\d+)/", 1).cast("long"))
-    orders = _asked(spark, d).join(snapshots, "o_custkey").filter((C("date") == "") | (C("day") <= C("date")))
+    orders = _asked(spark, d).join(snapshots.hint("merge"), "o_custkey").filter((C("date") == "") | (C("day") <= C("date")))
     key = C("o_orderkey")
     gift = F.concat(F.lit("gift from "), "o_orderpriority", F.when(key % 2 == 0, F.concat(F.lit(" on "), "day")).otherwise(""))
     heading = F.concat(F.when(key % 3 == 0, "7) Gifts of ").otherwise("12. Gifts of "), key.cast("string"))
@@ -452,5 +454,5 @@ def register_as_of(spark, d):
     """What each member's register said on a day: that day itself, a later one, or one before the first edition."""
     k = C("c_custkey")
     days = table(spark, d, "customer").select(k.cast("string").alias("member_id"), F.when(k % 3 == 0, "1998-05-01").when(k % 3 == 1, "1998-05-02").otherwise("1996-04-07").alias("day"))
-    found = n.register_as_of(_editions(spark, d), days)
+    found = n.register_as_of(written(_editions(spark, d), "editions"), days)
     return found.select(C("member.id").alias("member_id"), "text", "title", C("metadata")["register_snapshot_date"].alias("edition"))

@@ -340,3 +340,15 @@ def test_paragraph_speakers(spark):
     rows = [(1, "Ann Roe: good morning to all of you", ""), (2, "and then a further paragraph follows", ""), (3, "short: one", "Bo"), (4, "a paragraph of the next speaker here", "Cy Day:"), (5, "12 March: the date of a sitting day", ""), (6, "x" * 90 + ": too far behind", "")]
     got = segments.paragraph_speakers(spark.createDataFrame([("d", *r) for r in rows], "k string, n int, t string, b string"), "k", "n", "t", "b")
     assert {r["n"]: r["speaker"] for r in got.collect()} == {1: "Ann Roe", 2: "Ann Roe", 4: "Cy Day", 5: "Cy Day", 6: "Cy Day"}
+
+
+def test_joins_of_registers_hold_no_growing_table_on_the_driver(spark):
+    """Every join of editions is by merge, however small Spark takes its tables for."""
+    lines = spark.createDataFrame([("p", 0, "Ann Roe"), ("p", 1, "a pen given")], "url string, line_no int, line string")
+    roster = spark.createDataFrame([("1", "Ann Roe", "Red", "N", "MS")], "id string, name string, party string, constituency string, role string")
+    rows = n.register_editions(lines, spark.createDataFrame([("p", "Sixth", "2026-04-08")], "url string, term string, date string"), roster)
+    links = spark.createDataFrame([("m", "m", 1, "/a.pdf", "register of interests")], "main string, page string, position int, href string, text string")
+    days = spark.createDataFrame([("1", "2026-04-08")], "member_id string, day string")
+    for df, joins in ((rows, 3), (n.register_as_of(rows, days), 7), (n.register_snapshots(links, "main", "https://site.test"), 1)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == joins
