@@ -352,3 +352,18 @@ def test_joins_of_registers_hold_no_growing_table_on_the_driver(spark):
     for df, joins in ((rows, 3), (n.register_as_of(rows, days), 7), (n.register_snapshots(links, "main", "https://site.test"), 1)):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == joins
+
+
+def test_xml_elements_are_freed_and_files_bounded(spark, tmp_path):
+    import tracemalloc
+
+    many = b"<l>" + b"<r><T>x</T><U>y</U></r>" * 100_000 + b"</l>"
+    tracemalloc.start()
+    assert sum(r == {"T": "x", "U": "y"} for r in readers.elements_with_child(many, "T")) == 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000  # some 64 KB of text at a time, however many rows
+    rows = spark.range(250).coalesce(1).select(F.col("id").cast("string").alias("T"))
+    sinks.write_xml(rows, str(tmp_path / "x"), "r", "l", most=100)
+    assert len(list((tmp_path / "x").glob("part-*"))) == 3
+    assert readers.xml_rows_by_child(spark, str(tmp_path / "x"), "T", ["T"]).distinct().count() == 250
