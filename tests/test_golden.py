@@ -182,3 +182,21 @@ def test_terms_by_trie_at_ten_thousand_terms(spark):
     began = time.time()
     assert sum(1 for _ in trie.consumed(words)) > 0
     assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("side, depth", [(512, 1024), (4, 5), (3, 100)])
+def test_dot_products_by_blocks_agree_with_a_self_join(spark, side, depth):
+    """Every pair that shares a division, whatever the blocks, and none that shares none; a product of 0 is still a row."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(h, f"m{m}", f"d{d}", rng.choice([-1.0, 0.0, 0.5, 1.0])) for h, n in (("F", 23), ("O", 1)) for m in range(n) for d in range(17) if rng.random() < 0.15 or n == 1]
+    cells = spark.createDataFrame(rows, "legislature string, member_key string, division string, v double")
+    want = {}
+    for h, a, d, x in rows:
+        for g, b, e, y in rows:
+            if h == g and d == e and a <= b:
+                want[h, a, b] = want.get((h, a, b), 0.0) + x * y
+    got = {tuple(r)[:3]: r["dot"] for r in scaling.dot_products(cells, "member_key", "division", "legislature", side=side, depth=depth).collect()}
+    assert got == pytest.approx(want) and len(want) > 30
+    assert scaling.dot_products(cells.limit(0), "member_key", "division", "legislature").count() == 0
