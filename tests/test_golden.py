@@ -200,3 +200,28 @@ def test_dot_products_by_blocks_agree_with_a_self_join(spark, side, depth):
     got = {tuple(r)[:3]: r["dot"] for r in scaling.dot_products(cells, "member_key", "division", "legislature", side=side, depth=depth).collect()}
     assert got == pytest.approx(want) and len(want) > 30
     assert scaling.dot_products(cells.limit(0), "member_key", "division", "legislature").count() == 0
+
+
+@pytest.mark.parametrize("members, divisions, dense", [(60, 9, 4), (9, 60, 4), (60, 9, 0)])
+def test_ideal_points_by_the_smaller_side(spark, monkeypatch, members, divisions, dense):
+    """By divisions, by members or by cells the points are those of the dense matrix; no step by products reads the cells."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    side, lean = rng.normal(size=(members, 2)), rng.normal(size=(divisions, 2))
+    rows = [("F", f"m{m:02d}", f"d{d}", "aye" if side[m] @ lean[d] + rng.normal() / 9 > 0 else "no", f"{d}") for m in range(members) for d in range(divisions) if rng.random() < 0.9]
+    cast = spark.createDataFrame(rows, "legislature string, member_key string, division string, direction string, seq string")
+    seats = cast.select("legislature", "member_key", F.lit("red").alias("party")).distinct()
+    used, by_cells = [], scaling._by_cells
+    monkeypatch.setattr(scaling, "DENSE", dense)
+    monkeypatch.setattr(scaling, "_by_cells", lambda *x: used.append("cells") or by_cells(*x))
+    points, report = scaling.ideal_points(cast, seats, 2, 2, 1, block=4, blocks=2, tolerance=1e-9, cycles=40)
+    cells = scaling.centred_votes(scaling.scaling_filter(scaling.vote_matrix(cast), member_votes=2, voters=2, minority=1)).toPandas()
+    matrix = cells.pivot(index="member_key", columns="division", values="v").fillna(0.0)
+    u, s, _ = np.linalg.svd(matrix.to_numpy(), full_matrices=False)
+    got = points.toPandas().set_index("member_key").loc[matrix.index]
+    for k, c in enumerate(("dim1", "dim2")):
+        want = u[:, k] / np.abs(u[:, k]).max()
+        assert min(np.abs(got[c] - want).max(), np.abs(got[c] + want).max()) < 1e-6
+    assert np.allclose([report.first()["dim1_share"], report.first()["dim2_share"]], (s**2 / (s**2).sum())[:2])
+    assert used == ([] if dense else ["cells"])
