@@ -10,7 +10,7 @@ are joined to their topics by equal keys, and a lexicon is broadcast up to a che
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -101,6 +101,20 @@ def _tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def sliced(batches: Iterator[pd.Series], found: Callable[[str | None], list], chars: int = 1 << 20) -> Iterator[pd.Series]:
+    """What is ``found`` in each text, given back after every ``chars`` characters of texts, so that a task never holds the hits of a whole batch."""
+    for texts in batches:
+        out, size = [], 0
+        for t in texts:
+            out.append(found(t))
+            size += len(t or "") + 1
+            if size >= chars:
+                yield pd.Series(out, dtype=object)
+                out, size = [], 0
+        if out:
+            yield pd.Series(out, dtype=object)
+
+
 def lexicon_hits(statements: DataFrame, lexicon: list[Term], text: str = "text", cues: tuple[str, ...] = NEGATIONS, window: int = WINDOW) -> DataFrame:
     """A row per hit: the statement's columns without the text, ``pos``, ``n``, ``term`` and ``neg``.
 
@@ -110,14 +124,13 @@ def lexicon_hits(statements: DataFrame, lexicon: list[Term], text: str = "text",
     names = [c for c in statements.columns if c != text]
     shared = statements.sparkSession.sparkContext.broadcast((TermTrie(_tokens(x.term) for x in lexicon), frozenset(cues)))
 
+    def hits(text: str | None) -> list[tuple]:
+        (trie, turning), words = shared.value, _tokens(text)
+        return [(p, n, " ".join(words[p : p + n]), not turning.isdisjoint(words[max(0, p - window) : p])) for p, n in trie.consumed(words)]
+
     @F.pandas_udf("array<struct<pos:int,n:int,term:string,neg:boolean>>")
-    def scan(texts: pd.Series) -> pd.Series:
-        trie, turning = shared.value
-        out = []
-        for t in texts:
-            words = _tokens(t)
-            out.append([(p, n, " ".join(words[p : p + n]), not turning.isdisjoint(words[max(0, p - window) : p])) for p, n in trie.consumed(words)])
-        return pd.Series(out)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return sliced(batches, hits)
 
     return statements.select(*names, F.explode(scan(F.col(text))).alias("h")).select(*names, "h.pos", "h.n", "h.term", "h.neg")
 
@@ -157,8 +170,8 @@ def topic_mentions(statements: DataFrame, lexicon: list[Term], key: str = "state
     shared = statements.sparkSession.sparkContext.broadcast(TermTrie(keywords))
 
     @F.pandas_udf("array<string>")
-    def scan(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(shared.value.everywhere(_tokens(t))) for t in texts])
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return sliced(batches, lambda t: sorted(shared.value.everywhere(_tokens(t))))
 
     found = statements.select(key, F.explode(scan(F.col("text"))).alias("term"))
     frame = lexicon_frame(statements.sparkSession, [t for t in lexicon if t.kind == "kw"])

@@ -225,3 +225,14 @@ def test_ideal_points_by_the_smaller_side(spark, monkeypatch, members, divisions
         assert min(np.abs(got[c] - want).max(), np.abs(got[c] + want).max()) < 1e-6
     assert np.allclose([report.first()["dim1_share"], report.first()["dim2_share"]], (s**2 / (s**2).sum())[:2])
     assert used == ([] if dense else ["cells"])
+
+
+def test_hits_are_given_back_by_slices_of_a_batch(spark):
+    import pandas as pd
+
+    batches = [pd.Series(["ab", None, "", "abc", "a" * 50]), pd.Series([], dtype=object), pd.Series(["x"])]
+    out = list(topics.sliced(iter(batches), lambda t: [t], chars=4))
+    assert [len(s) for s in out] == [2, 2, 1, 1] and [x for s in out for x in s] == [[t] for b in batches for t in b]
+    said = spark.range(3000).selectExpr("id AS statement_id", "repeat('tax law ', 200) AS text").coalesce(1)
+    hits = topics.lexicon_hits(said, [Term("tax law", "kw", "T")])
+    assert hits.count() == 600_000 and hits.select("statement_id", "pos").distinct().count() == 600_000
