@@ -36,6 +36,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -137,8 +139,10 @@ def draw_tables(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Gene
     """Tables of many dishes of ``c`` customers, drawn with weight S(c, t) * weight^t; none without customers."""
     tables = np.minimum(c, 1).astype(np.int64)
     log_weight = np.log(np.maximum(weight, 1e-300))
-    low = 1
-    for high in (2, 4, 12, 48, _EXACT):
+    two = np.flatnonzero(c == 2)
+    tables[two] = 1 + (1 - d < rng.random(len(two)) * (1 - d + weight[two]))
+    low = 2
+    for high in (4, 12, 48, _EXACT):
         some = np.flatnonzero((c > low) & (c <= high))
         for at in np.array_split(some, 1 + len(some) * high // 2_000_000):
             if len(at):
@@ -185,7 +189,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     planes = []
     for a in arrays:
         each = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
-        planes.append((a.dtype.str, b"".join(np.ascontiguousarray(each[:, i]).tobytes() for i in range(a.itemsize))))
+        planes.append((a.dtype.str, b"".join(each[:, i].tobytes() for i in range(a.itemsize))))
     return zstandard.compress(pickle.dumps(planes), 3)
 
 
@@ -200,6 +204,20 @@ def _unpack(body: bytes) -> list[np.ndarray]:
     return found
 
 
+def _unique(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``keys``, which are below ``bound``, and the place of each among them; sorted together with their positions where both fit 64 bits."""
+    bits = len(keys).bit_length()
+    if not len(keys) or bound << bits >= 2**64:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys.astype(np.uint64) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64))
+    at = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both >>= np.uint64(bits)
+    first = np.concatenate([[True], both[1:] != both[:-1]])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[at] = np.cumsum(first) - 1
+    return both[first].astype(np.int64), inverse
+
+
 def _steps(a: np.ndarray) -> np.ndarray:
     """Differences of neighbours, which compress better than numbers that hardly fall; a sum over them gives the numbers back."""
     return np.diff(a.astype(np.uint32), prepend=np.uint32(0))
@@ -265,25 +283,56 @@ def split(rows: DataFrame, layout: Layout, by_text: bool = True) -> DataFrame:
     """
     get = broadcast_value(rows.sparkSession, layout)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, waiting = _Hashes(), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
         chunk = TaskContext.get().partitionId() << 32
         for b in batches:
-            for doc_id, text, out in zip(b["doc_id"].astype("Int64"), b["text"], b["held_out"]):
-                found = words(text)
-                held.append((doc_id, out, np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
-                waiting += len(found)
-                if waiting > CHUNK:
+            found, counts = _words_of(b.column("text"))
+            starts = np.cumsum([0, *counts])
+            null = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(b.column("doc_id"), 0).to_numpy()
+            out = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            at = 0
+            while at < len(counts):
+                upto = waiting + np.cumsum(counts[at:] + 1)
+                stop = at + int(np.searchsorted(upto, CHUNK, side="right")) + 1
+                end = min(stop, len(counts))
+                held.append((ids[at:end], null[at:end], out[at:end], counts[at:end], found.slice(starts[at], starts[end] - starts[at])))
+                waiting = upto[end - at - 1]
+                if stop <= len(counts):
                     yield _dealt(held, chunk, get(), by_text)
                     chunk, held, waiting = chunk + 1, [], 0
+                at = end
         if held:
             yield _dealt(held, chunk, get(), by_text)
 
-    return rows.mapInPandas(run, "bucket int, chunk long, body binary")
+    return rows.mapInArrow(run, "bucket int, chunk long, body binary")
+
 
+def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts behind one another, as ``words`` has them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = lists.flatten()
+    filled = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0
+    upto = np.concatenate([[0], np.cumsum(filled)])
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+    return (found if filled.all() else found.filter(pa.array(filled))), np.diff(upto[offsets])
 
-def _dealt(held: list[tuple], chunk: int, layout: Layout, by_text: bool) -> pd.DataFrame:
-    vocabulary, code, times = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True, return_counts=True)
+
+def _dealt(held: list[tuple], chunk: int, layout: Layout, by_text: bool) -> pa.RecordBatch:
+    ids, null, out, counts = (np.concatenate([x[i] for x in held]) for i in range(4))
+    coded = pa.concat_arrays([x[4] for x in held]).dictionary_encode()
+    names = [END, *coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)]
+    vocabulary, own = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)), return_inverse=True)
+    sizes = counts + 1
+    last = np.cumsum(sizes) - 1
+    first = last + 1 - sizes
+    code = np.full(sizes.sum(), own[0])
+    inside = np.ones(len(code), bool)
+    inside[last] = False
+    code[inside] = own[1 + coded.indices.to_numpy(zero_copy_only=False)]
+    del coded, names, inside
+    times = np.bincount(code, minlength=len(vocabulary))
     order = np.argsort(-times, kind="stable")  # frequent words get small codes, which compress well
     listed = np.argsort(layout.common)
     place = np.searchsorted(layout.common, vocabulary, sorter=listed)
@@ -296,30 +345,31 @@ def _dealt(held: list[tuple], chunk: int, layout: Layout, by_text: bool) -> pd.D
     known = np.concatenate([layout.common, vocabulary[order]])
     word = place[code]
     del code, place
-    sizes = np.array([len(x[2]) for x in held])
-    doc = np.repeat(np.arange(len(held)), sizes)
-    last = np.cumsum(sizes) - 1
-    first = last + 1 - sizes
+    doc = np.repeat(np.arange(len(counts)), sizes)
     u1 = np.roll(word, 1)
     u1[first] = word[-1]
     u2 = np.roll(u1, 1)
     u2[first] = word[-1]
-    out = np.array([bool(x[1]) for x in held])
-    key = _mix(_mix(u2.astype(np.uint64) * np.uint64(size) + u1.astype(np.uint64), doc if by_text else 0), word)
-    order = np.argsort(key)
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-    m = np.add.reduceat((np.ones(len(key), bool) if by_text else ~out[doc])[order].astype(np.uint32), starts)
-    at = order[starts]
-    bucket = layout.bucket(known[u1[at]], known[u2[at]])
-    if layout.buckets * size**2 < 2**63:
-        order = np.argsort((bucket * size + u1[at]) * size + word[at])
+    bucket = layout.bucket(known, np.zeros(len(known), np.uint64))[u1]
+    hot = np.flatnonzero((layout.number(known) > 0)[u1])
+    bucket[hot] = layout.bucket(known[u1[hot]], known[u2[hot]])
+    home = bucket[last]  # the bucket of a text's last token, which alone gets its id
+    if by_text:
+        at = _ordered((bucket, u1, word), (layout.buckets, size, size))
+        columns = (word, u1, u2, doc)
     else:
-        order = np.lexsort((word[at], u1[at], bucket))
-    at, m, bucket = at[order], m[order], bucket[order]
+        at = _ordered((bucket, u1, word, u2), (layout.buckets, size, size, size))
+        columns = (word, u1, u2)
+    new = np.zeros(len(at), bool)
+    new[0] = True
+    for x in columns:
+        x = x[at]
+        new[1:] |= x[1:] != x[:-1]
+    starts = np.flatnonzero(new)
+    m = np.add.reduceat((np.ones(len(at), np.uint32) if by_text else (~out[doc[at]]).astype(np.uint32)), starts)
+    at = at[starts]
+    bucket = bucket[at]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    null = np.array([x[0] is pd.NA for x in held])
-    ids = np.array([0 if x[0] is pd.NA else x[0] for x in held], np.int64)
-    home = layout.bucket(known[u1[last]], known[u2[last]])  # the bucket of a text's last token, which alone gets its id
     bodies = []
     for lo, hi in zip(edges[:-1], edges[1:]):
         a = at[lo:hi]
@@ -333,7 +383,25 @@ def _dealt(held: list[tuple], chunk: int, layout: Layout, by_text: bool) -> pd.D
         bodies.append(
             _pack(known[rare], c2.astype(np.uint32), _steps(c1), _steps(c0), d.astype(np.uint32), m[lo:hi], _steps(docs), out[docs], _steps(here), ids[here], null[here])
         )
-    return pd.DataFrame({"bucket": bucket[edges[:-1]].astype(np.int32), "chunk": chunk, "body": bodies})
+    kinds = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(np.full(len(bodies), chunk)), pa.array(bodies, pa.binary())], schema=kinds)
+
+
+def _ordered(columns: tuple[np.ndarray, ...], bounds: tuple[int, ...]) -> np.ndarray:
+    """Positions of rows by their columns, the first one first, rows alike as they stood; each column is below its bound."""
+    bits = len(columns[0]).bit_length()
+    if math.prod(bounds) << bits < 2**64:
+        key = np.zeros(len(columns[0]), np.uint64)
+        for column, bound in zip(columns, bounds):
+            key = key * np.uint64(bound) + column.astype(np.uint64)
+        key = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+        return (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if math.prod(bounds) < 2**64:
+        key = np.zeros(len(columns[0]), np.uint64)
+        for column, bound in zip(columns, bounds):
+            key = key * np.uint64(bound) + column.astype(np.uint64)
+        return np.argsort(key, kind="stable")
+    return np.lexsort(columns[::-1])
 
 
 # ---- a bucket's restaurants --------------------------------------------------------
@@ -362,18 +430,24 @@ class Bucket:
         size = len(self.words)
         taught = np.where(self.out[self.doc], 0.0, self.m) if len(self.doc) else self.m
         self.u1, self.count = u1.astype(np.uint32), np.bincount(u1, taught, size).astype(np.int64)
-        self.pairs, pair = np.unique(u1 * size + w, return_inverse=True)
+        self.pairs, pair = _unique(u1 * size + w, size**2)
         del w
-        dishes, self.dish = np.unique(u2 * len(self.pairs) + pair, return_inverse=True)
+        dishes, self.dish = _unique(u2 * len(self.pairs) + pair, size * len(self.pairs))
         del u2, pair
         self.c = np.bincount(self.dish, taught, len(dishes)).astype(np.int64)
         self.pair = dishes % len(self.pairs)
         self.pu, self.pw = self.pairs // size, self.pairs % size
-        _, self.house = np.unique(dishes // len(self.pairs) * size + self.pu[self.pair], return_inverse=True)
+        _, self.house = _unique(dishes // len(self.pairs) * size + self.pu[self.pair], size**2)
         del dishes
         self.customers = np.bincount(self.house, self.c)
         self.many = np.flatnonzero(self.c > 1)  # one customer always has one table
         self.busy, self.busy_at = np.unique(self.house[self.many], return_inverse=True)
+        self.up, self.up_at = np.unique(self.pair[self.many], return_inverse=True)
+        alone = self.c == 1
+        self.alone = np.bincount(self.house[alone], minlength=len(self.customers)).astype(np.float64)  # tables of dishes of one customer, which never move
+        self.alone_c2 = np.bincount(self.pair[alone], minlength=len(self.pairs))
+        self.own = np.flatnonzero(np.diff(self.pu, prepend=-1))  # pairs are sorted, so each first word is a run of them
+        self.run = np.cumsum(np.diff(self.pu, prepend=-1) != 0) - 1
         number = layout.number(self.words)
         self.number = number  # of each word among those dealt over several buckets
         self.k = number[self.pu]
@@ -400,13 +474,24 @@ class Bucket:
         self.given[place[k > 0]] = p[k > 0]
 
     def _hand_up(self) -> None:
-        self.c2 = np.bincount(self.pair, self.t, len(self.pairs)).astype(np.int64)
+        self.c2 = self.alone_c2.copy()
+        self.c2[self.up] += np.bincount(self.up_at, self.t[self.many], len(self.up)).astype(np.int64)
+
+    def _tables(self) -> np.ndarray:
+        """Tables of each pair's restaurant."""
+        tables = self.alone.copy()
+        tables[self.busy] += np.bincount(self.busy_at, self.t[self.many], len(self.busy))
+        return tables
+
+    def _by_word(self, x: np.ndarray) -> np.ndarray:
+        """``x`` of the pairs, summed by their first words."""
+        return np.add.reduceat(x, self.own) if len(x) else x
 
     def _above(self, at=slice(None), less=0) -> np.ndarray:
         """Probability of the second word of the pairs ``at`` after the first, without ``less`` customers of it."""
-        u = self.pu[at]
+        u = self.run[at]
         c = np.maximum(self.c2[at] - less, 0)
-        seated, tables = (np.bincount(self.pu, x, len(self.words))[u] for x in (self.c2, self.t2))
+        seated, tables = (self._by_word(x)[u] for x in (self.c2, self.t2))
         p = predictive(c, np.minimum(self.t2[at], c), *WORD, seated, tables, self.root[self.pw[at]])
         given = self.given[at]
         return np.where(np.isnan(given), p, given)
@@ -414,21 +499,26 @@ class Bucket:
     def sweep(self, rng: np.random.Generator) -> None:
         d, strength = PAIR
         many = self.many
-        v = rng.gamma(strength / d + np.bincount(self.house, self.t, len(self.customers))[self.busy])
+        v = rng.gamma(strength / d + self._tables()[self.busy])
         weight = d * v[self.busy_at] * self._above(self.pair[many], self.t[many])
         self.t[many] = draw_tables(self.c[many], weight, d, rng)
         self._hand_up()
         d, strength = WORD
-        tables = np.bincount(self.pu, self.t2, len(self.words))
+        tables = self._by_word(self.t2)
         self.t2 = np.minimum(self.c2, 1)
         many = np.flatnonzero(self.c2 > 1)
-        busy, at = np.unique(self.pu[many], return_inverse=True)
+        at = np.cumsum(np.diff(self.run[many], prepend=-1) != 0) - 1
+        busy = self.run[many[np.flatnonzero(np.diff(at, prepend=-1))]]
         self.t2[many] = draw_tables(self.c2[many], d * rng.gamma(strength / d + tables[busy])[at] * self.root[self.pw[many]], d, rng)
 
     def probabilities(self) -> np.ndarray:
         """Of each dish, after its pair of words."""
-        tables = np.bincount(self.house, self.t, len(self.customers))
-        return predictive(self.c, self.t, *PAIR, self.customers[self.house], tables[self.house], self._above()[self.pair])
+        d, strength = PAIR
+        seated = strength + self.customers
+        room = (strength + d * self._tables()) / seated
+        own = np.where(self.c == 1, 1 - d, 0.0) / seated[self.house]
+        own[self.many] = np.maximum(self.c[self.many] - d * self.t[self.many], 0) / seated[self.house[self.many]]
+        return own + room[self.house] * self._above()[self.pair]
 
     def messages(self, number: int, parts: int) -> pd.DataFrame:
         """What the restaurants above need: customers by (k, word), in ``parts`` by the word's hash; counts of words in the rows without a part."""
@@ -591,12 +681,13 @@ def _scorer(get: Callable, get_counts: Callable, burn_in: int, samples: int) ->
             here.sweep(rng)
             if s >= burn_in:
                 p += here.probabilities() / samples
-        count = np.where(here.number > 0, get_counts()[here.number], here.count)[here.u1]
+        count = np.where(here.number > 0, get_counts()[here.number], here.count)
+        p = np.log10(p)
 
         def sums(x) -> np.ndarray:
             return np.bincount(here.doc, here.m * x, len(here.out))
 
-        found = sums(1).astype(np.uint32), sums(count > 0).astype(np.uint32), _fixed(sums(np.log10(count + 0.5)), BASE), _fixed(sums(np.log10(p[here.dish])), VALUE), here.out
+        found = sums(1).astype(np.uint32), sums((count > 0)[here.u1]).astype(np.uint32), _fixed(sums(np.log10(count + 0.5)[here.u1]), BASE), _fixed(sums(p[here.dish]), VALUE), here.out
         cuts = np.cumsum([len(docs) for docs, *_ in here.texts])[:-1]
         bodies = [_pack(_steps(docs), *each, _steps(home), *ids) for (docs, home, *ids), *each in zip(here.texts, *(np.split(x, cuts) for x in found))]
         return pd.DataFrame({"chunk": b["chunk"].to_numpy(), "body": bodies})

@@ -331,6 +331,23 @@ def test_training_texts_that_occur_twice_score_apart(spark):
     assert len(each[True]) >= 5 and np.median(each[True]) < 0.8 * np.median(each[False])
 
 
+def test_words_and_orders_by_columns():
+    import pyarrow as pa
+
+    texts = ["", None, "  A b\t\x0b C ", "x\x1cy\x85z  k", "\n\n", "Ünï Z"]
+    found, counts = language_model._words_of(pa.array(texts))
+    assert found.cast(pa.binary()).to_pylist() == [w for t in texts for w in language_model.words(t)[:-1]]
+    assert counts.tolist() == [len(language_model.words(t)) - 1 for t in texts]
+    rng = np.random.default_rng(5)
+    a, b, c = (rng.integers(0, 40, 3000) for _ in range(3))
+    for bound in (40, 2**18, 2**30):  # packed with positions, packed alone, by columns
+        assert (language_model._ordered((a, b, c), (bound,) * 3) == np.lexsort((c, b, a))).all()
+    for bound in (40, 2**60):
+        for got, want in zip(language_model._unique(a, bound), np.unique(a, return_inverse=True)):
+            assert (got == want).all()
+    assert [len(x) for x in language_model._unique(a[:0], 40)] == [0, 0]
+
+
 def test_language_model_on_awkward_rows(awkward, empty):
     rows = language_model.score(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["n_tokens"] >= 1 and r["score"] <= 0 for r in rows)
