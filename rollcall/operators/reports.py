@@ -30,17 +30,17 @@ def top_topics(salience: DataFrame, n: int = 3) -> DataFrame:
     return ranked.select("member", *named, F.try_element_at("t", F.lit(1))["share_pct"].alias("top_topic_1_share_pct"))
 
 
-def member_record(members: DataFrame, cast: DataFrame, spoken: DataFrame, salience: DataFrame, points: DataFrame | None = None, gap_days: int = 365, min_missed: int = 40, grace_days: int = 60, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+def member_record(members: DataFrame, cast: DataFrame, spoken: DataFrame, salience: DataFrame, points: DataFrame | None = None, gap_days: int = 365, min_missed: int = 40, grace_days: int = 60, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df, lines: tuple[DataFrame, DataFrame] | None = None, rank: str | None = None) -> DataFrame:
     """One row per member, seeded from the roster so that those who never act appear too.
 
     ``members``: legislature, member_key, name, party, constituency, status.
     ``spoken``: member_key, n_questions, n_speeches. ``salience``: member, topic, ... ``points``: legislature,
     member_key, dim1, dim2, shown to three places.
     ``keep`` may write what several branches read, so that votes are read for the lines, the days and
-    the divisions alone.
+    the divisions alone. ``lines``: those of the votes, where they are known; ``rank``: as in ``division_meta``.
     """
-    counters = v.member_votes(cast)
-    divisions = keep(v.division_meta(cast).select("legislature", "date"), "divisions")
+    counters = v.member_votes(cast, known=lines or v.lines(cast, keep=keep))
+    divisions = keep(v.division_meta(cast, rank, keep).select("legislature", "date"), "divisions")
     turn = service.turnout(keep(v.votes_per_day(cast), "days"), divisions, members, gap_days, min_missed, grace_days, keep)
     joined = members.join(counters, ["legislature", "member_key"], "left").join(turn, ["legislature", "member_key"], "left").join(spoken, "member_key", "left")
     joined = joined.join(top_topics(salience).withColumnRenamed("member", "member_key"), "member_key", "left")

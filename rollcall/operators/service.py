@@ -40,21 +40,23 @@ def divisions_eligible(windows: DataFrame, divisions: DataFrame) -> DataFrame:
     return joined.withColumn("eligible", F.greatest(F.coalesce(F.col("through") - F.col("before"), F.lit(0)), F.lit(0))).drop("before", "through")
 
 
-def service_spells(vote_days: DataFrame, divisions: DataFrame, gap_days: int = GAP_DAYS, min_missed: int = MIN_MISSED) -> DataFrame:
-    """(legislature, member_key, spell, start, end) from each member's distinct vote dates.
+def service_spells(vote_days: DataFrame, divisions: DataFrame, gap_days: int = GAP_DAYS, min_missed: int = MIN_MISSED, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+    """(legislature, member_key, spell, start, end) from each member's vote dates.
 
     A spell ends at a gap that is longer than ``gap_days`` and holds ``min_missed``
-    divisions or more.
+    divisions or more. ``keep`` may write the running counts, a row a date.
     """
-    days = vote_days.filter(date10(F.col("date")).isNotNull()).select("legislature", "member_key", "date").distinct()
-    counts = running_divisions(divisions, days)
-    own = Window.partitionBy("legislature", "member_key").orderBy("date")
-    counted = days.join(counts, ["legislature", "date"])
-    gap = F.datediff(date10(F.col("date")), date10(F.lag("date").over(own)))
+    counts = running_divisions(divisions, vote_days).withColumn("day", date10(F.col("date"))).filter("day is not null")
+    days = vote_days.select("legislature", "member_key", "date")  # a repeated day is no gap
+    own = Window.partitionBy("member_key", "legislature").orderBy("date")  # sorted by what differs most
+    counted = days.join(keep(counts, "counts"), ["legislature", "date"])
+    gap = F.datediff(F.col("day"), F.lag("day").over(own))
     missed = F.col("before") - F.lag("through").over(own)
     broken = F.coalesce((gap > gap_days) & (missed >= min_missed), F.lit(False))
     numbered = counted.withColumn("broken", broken.cast("int")).withColumn("spell", F.sum("broken").over(own) + 1)
-    return numbered.groupBy("legislature", "member_key", "spell").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    before, after = F.lag("spell").over(own), F.lead("spell").over(own)
+    ends = numbered.withColumn("edge", before.isNull() | (before != F.col("spell")) | after.isNull() | (after != F.col("spell"))).filter("edge")
+    return ends.groupBy("legislature", "member_key", "spell").agg(F.min("date").alias("start"), F.max("date").alias("end"))
 
 
 def current_spell(spells: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def turnout(vote_days: DataFrame, divisions: DataFrame, members: DataFrame, gap_
     their own last vote. A sitting member without votes gets none of the term's.
     ``keep`` may write what several branches read: spells are worked out once.
     """
-    spells = keep(service_spells(vote_days, divisions, gap_days, min_missed), "spells")
+    spells = keep(service_spells(vote_days, divisions, gap_days, min_missed, keep), "spells")
     terms = term_start(spells, members)
     last = divisions.filter("date <> ''").groupBy("legislature").agg(F.max("date").alias("last_division"))
     everyone = members.select("legislature", "member_key", "status").join(current_spell(spells), ["legislature", "member_key"], "left")

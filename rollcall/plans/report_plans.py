@@ -62,7 +62,7 @@ def _salience(spark, d):
     return _spoken_keys(topics.salience(statements(spark, d), LEXICON))
 
 
-VOTE_COLUMNS = ("legislature", "member_key", "party", "division", "date", "title", "direction", "seq")
+VOTE_COLUMNS = ("legislature", "member_key", "party", "division", "date", "direction", "seq")
 
 
 def _reported(spark, build):
@@ -71,17 +71,21 @@ def _reported(spark, build):
         return scratch.keep(build(scratch), "report")
 
 
-def _cast(spark, d, scratch):
-    """Votes joined to their members and divisions once, in the columns that reports read."""
-    return scratch.cut(votes(spark, d).select(*VOTE_COLUMNS), "votes")
+def _cast(spark, d, scratch, *more):
+    """Votes joined to their members and divisions once, in the columns that reports read, and ``more``.
 
+    rank is the number that seq begins with: -1 for a negative one, whose sign sorts before digits, and the largest without seq.
+    """
+    odd = F.when(F.col("seq").isNull(), F.lit(2**63 - 1)).otherwise(F.lit(-1))
+    return scratch.cut(votes(spark, d).select(*VOTE_COLUMNS, *more, F.coalesce(F.substring("seq", 1, 12).try_cast("long"), odd).alias("rank")), "votes")
 
-def _record(spark, d, scratch, cast=None, salience=None, points=None):
+
+def _record(spark, d, scratch, cast=None, salience=None, points=None, lines=None):
     s = statements(spark, d)
     spoken = s.groupBy("member").agg(F.count_if(F.col("dtype") == "question").alias("n_questions"), F.count_if(F.col("dtype") == "speech").alias("n_speeches"))
     spoken = _spoken_keys(spoken).withColumnRenamed("member", "member_key")
     cast, salience = cast or _cast(spark, d, scratch), salience or _salience(spark, d)
-    return reports.member_record(members(spark, d), cast, spoken, salience, points, GAP, MISSED, GRACE, scratch.cut)
+    return reports.member_record(members(spark, d), cast, spoken, salience, points, GAP, MISSED, GRACE, scratch.cut, lines, "rank")
 
 
 @query("SELECT r.*, round(dim1, 3) + 0.0 AS ideal_dim1, round(dim2, 3) + 0.0 AS ideal_dim2 FROM record r LEFT JOIN points USING (legislature, member_key)", ctes=f"{RECORD}, {POINTS}")
@@ -115,8 +119,9 @@ def receipts(spark, d):
 
 def _payload(spark, d):
     def build(scratch):
-        cast, salience = _cast(spark, d, scratch), scratch.cut(_salience(spark, d), "salience")
-        return reports.app_payload(_record(spark, d, scratch, cast, salience), salience, v.rebellions(cast))
+        cast, salience = _cast(spark, d, scratch, "title"), scratch.cut(_salience(spark, d), "salience")
+        lines = v.lines(cast, keep=scratch.cut)
+        return reports.app_payload(_record(spark, d, scratch, cast, salience, lines=lines), salience, v.rebellions(cast, known=lines))
 
     return _reported(spark, build)
 
@@ -194,10 +199,11 @@ def payload_export(spark, d):
     """The nested export, from the three reports as they are read back from CSV."""
 
     def build(scratch):
-        cast, order = _cast(spark, d, scratch), reports.report_order
+        cast, order = _cast(spark, d, scratch, "title"), reports.report_order
+        lines = v.lines(cast, keep=scratch.cut)
         salience = _through_csv(scratch, _salience(spark, d).select("member", "topic", "statements", "share_pct"), "salience", order("salience"))
-        record = _through_csv(scratch, _record(spark, d, scratch, cast, salience, points_of(spark, d, cast)[0]), "record", order("record"))
-        slips = _through_csv(scratch, v.rebellions(cast).select("legislature", "member_key", "date", "title", "their_vote", "party_voted", "seq"), "rebellions", order("rebellions"))
+        record = _through_csv(scratch, _record(spark, d, scratch, cast, salience, points_of(spark, d, cast)[0], lines), "record", order("record"))
+        slips = _through_csv(scratch, v.rebellions(cast, known=lines).select("legislature", "member_key", "date", "title", "their_vote", "party_voted", "seq"), "rebellions", order("rebellions"))
         payload = reports.app_payload(record, salience, slips)
         lines = scratch.cut(reports.payload_lines(payload, reports.benchmarks(reports.current_members(record).filter("constituency <> ''"))), "lines")
         sinks.write_payload(lines, scratch.path("payload"))

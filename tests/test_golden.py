@@ -236,3 +236,27 @@ def test_hits_are_given_back_by_slices_of_a_batch(spark):
     said = spark.range(3000).selectExpr("id AS statement_id", "repeat('tax law ', 200) AS text").coalesce(1)
     hits = topics.lexicon_hits(said, [Term("tax law", "kw", "T")])
     assert hits.count() == 600_000 and hits.select("statement_id", "pos").distinct().count() == 600_000
+
+
+def test_lines_and_first_rows_are_written_once_and_meet_votes_without_a_shuffle(spark):
+    from rollcall.sources.scratch import Scratch
+
+    rows = [("F", f"m{i % 7}", f"p{i % 2}", f"d{i % 5}", f"2024-01-{i % 28 + 1:02d}", f"t{i}", "aye" if i % 3 else "no", f"{i:04d}" if i % 11 else None, i if i % 11 else 2**62) for i in range(400)]
+    cast = spark.createDataFrame(rows, "legislature string, member_key string, party string, division string, date string, title string, direction string, seq string, rank long")
+    with Scratch(spark) as scratch:
+        known = v.lines(cast, keep=scratch.cut)
+        assert set(known[0].collect()) == set(v.party_line(cast).collect()) and set(known[1].collect()) == set(v.chamber_line(cast).collect())
+        lined = v.against_lines(cast, known=known)
+        assert lined._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+        assert sorted(map(str, lined.collect())) == sorted(map(str, v.against_lines(cast).collect()))
+        for votes in (cast, cast.drop("title"), cast.withColumn("seq", F.lit(None).cast("string")).withColumn("rank", F.lit(2**62))):
+            want = {r["division"]: r["date"] for r in v.division_meta(votes).collect()}
+            assert {r["division"]: r["date"] for r in v.division_meta(votes, "rank", scratch.cut).collect()} == want and len(want) == 5
+
+
+def test_spells_of_repeated_days_and_odd_dates(spark):
+    days = spark.createDataFrame([("F", "m1", x) for x in ("2020-01-01", "2020-01-01", "2020-01-05", "2022-01-01", "2022-01-01", "", None, "soon")], "legislature string, member_key string, date string")
+    divisions = spark.createDataFrame([("F", f"2020-{m:02d}-{d:02d}") for m in range(2, 12) for d in range(1, 11)], "legislature string, date string")
+    found = service.service_spells(days, divisions)
+    assert sorted(map(tuple, found.collect())) == [("F", "m1", 1, "2020-01-01", "2020-01-05"), ("F", "m1", 2, "2022-01-01", "2022-01-01")]
+    assert "SortAggregate" not in str(found.select("spell").distinct()._jdf.queryExecution().executedPlan())
