@@ -367,3 +367,9 @@ def test_xml_elements_are_freed_and_files_bounded(spark, tmp_path):
     sinks.write_xml(rows, str(tmp_path / "x"), "r", "l", most=100)
     assert len(list((tmp_path / "x").glob("part-*"))) == 3
     assert readers.xml_rows_by_child(spark, str(tmp_path / "x"), "T", ["T"]).distinct().count() == 250
+
+
+def test_archives_are_shuffled_before_their_captions_are_sorted(spark):
+    links = spark.createDataFrame([], "page string, position int, href string, text string, main string")
+    plan = str(n.register_snapshots(links, "main", "https://site.test")._jdf.queryExecution().executedPlan())
+    assert "REPARTITION_BY_COL" in plan
