@@ -4,7 +4,7 @@ A run of token characters is read in the narrowest encoding that holds it. Three
 its symbols may be random in that encoding: chi-squared uniformity over the alphabet (its symbols,
 and stretches of it), the number of runs above and below the middle, and the serial correlation of
 neighbours. Fisher's sum of their p-values is then held against the same sum of ordinary strings of that encoding and length, which are
-put together from the words of the texts: a run's p-value is the share of ordinary strings that
+put together from the words of all texts: a run's p-value is the share of ordinary strings that
 look as random. The p-values of all distinct runs of the table, per encoding and length band, go
 through the step-up procedure of Benjamini and Hochberg; a run is a secret where it is discovered
 there and no single test calls it out as not random. Digits alone are numbers, not secrets.
@@ -18,20 +18,20 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import broadcast_value, fresh, hashed_sample
+from rollcall.llm.common import broadcast_value, fresh
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A run that may be a key; padding belongs to it.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WORD = re.compile(r"[A-Za-z]{2,}")
 
 DIGITS = "0123456789"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,6 +52,8 @@ _PLACES = [{c: k for k, c in enumerate(alphabet)} for _, alphabet in ENCODINGS]
 _SETS = [frozenset(alphabet) for _, alphabet in ENCODINGS]
 _SHORTEST, _RATIO, _BANDS = 16, 1.25, 20
 _BIN = 0.1  # width of a bin of -log10 p
+_CHUNK = 1_000_000  # bytes of texts whose ordinary strings a task makes at once
+_UNIT = 1 << 16  # irregularities are added as whole multiples of its inverse
 
 
 def encoding_of(run: str) -> int | None:
@@ -122,73 +124,221 @@ def irregularity(ps: tuple[float, ...]) -> float:
     return math.log(1e-3 - 2 * sum(math.log(max(p, 1e-300)) for p in ps))
 
 
-def ordinary(words: list[str], encoding: int, lengths: Iterator[int]) -> Iterator[str]:
-    """Strings of the encoding's alphabet in the shapes that people write, from neighbouring words of a text.
+def batteries(codes: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """``battery`` of many strings of an alphabet of ``size`` symbols: a row each. ``codes`` are the strings' places in it, behind one another."""
+    n, rows = lengths.astype(float), len(lengths)
+    first = np.cumsum(lengths) - lengths
+    counts = np.bincount(np.repeat(np.arange(rows) * size, lengths) + codes, minlength=rows * size).reshape(rows, size)
+    symbols = _chi_squared_z((counts * counts).sum(axis=1) * size / n - n, n, np.full(rows, size), np.full(rows, size * size))
+    p_symbols = _normal_tails(symbols)
+    p_stretches = p_symbols.copy()
+    some = np.flatnonzero(lengths // 4 < size)
+    if len(some):
+        cells = np.maximum(3, lengths[some] // 4)
+        edges, weights = _stretches(size)
+        upto = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(counts[some], axis=1)], axis=1)
+        inside = np.diff(np.take_along_axis(upto, edges[cells], axis=1), axis=1)
+        x2 = (inside * inside * weights[cells]).sum(axis=1) / n[some] - n[some]
+        p_stretches[some] = _normal_tails(_chi_squared_z(x2, n[some], cells, weights.sum(axis=1)[cells]))
+    high = codes >= size / 2
+    h = counts[:, (size + 1) // 2 :].sum(axis=1)
+    change = np.concatenate([[False], high[1:] != high[:-1]])
+    change[first] = False
+    q = 1 - (size + 1) // 2 / size
+    chance = 2 * q * (1 - q)
+    spread = (n - 1) * chance * (1 - chance) + 2 * (n - 2) * (q * (1 - q) - chance * chance)
+    off = np.abs(np.add.reduceat(change, first, dtype=np.int64) - (n - 1) * chance)
+    p_runs = 2 * _normal_tails(off / np.sqrt(np.maximum(spread, 1e-9)))
+    one_side = (h == 0) | (h == lengths)
+    p_runs[one_side] = np.minimum(p_runs[one_side], 2.0 ** (1 - n[one_side]))
+    d = 2 * codes.astype(np.int16) - np.int16(size - 1)
+    pairs = np.concatenate([np.zeros(1, np.int16), d[1:] * d[:-1]])
+    pairs[first] = 0
+    r = np.add.reduceat(pairs, first, dtype=np.int64) / 4 / ((size * size - 1) / 12 * np.sqrt(n - 1))
+    return np.stack([p_symbols, p_stretches, p_runs, 2 * _normal_tails(np.abs(r))], axis=1)
+
+
+def _normal_tails(z: np.ndarray) -> np.ndarray:
+    return 0.5 * np.fromiter(map(math.erfc, (z / math.sqrt(2)).tolist()), float, len(z))
+
+
+def _chi_squared_z(x2: np.ndarray, n: np.ndarray, cells: np.ndarray, inverse_shares: np.ndarray) -> np.ndarray:
+    mean = cells - 1.0
+    var = np.maximum(2.0 * mean + (inverse_shares - cells * cells - 2 * cells + 2) / n, 1e-6)
+    scale = 2 / (9 * (2 * mean * mean / var))
+    return np.where(x2 > 0, (np.cbrt(np.maximum(x2, 0) / mean) - (1 - scale)) / np.sqrt(scale), -9.0)
+
+
+@lru_cache(maxsize=None)
+def _stretches(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """By number of stretches: where they begin and end in the alphabet, and the inverses of their shares; 0 for those beyond the number."""
+    edges, weights = np.full((size + 1, size + 1), size), np.zeros((size + 1, size))
+    for cells in range(3, size + 1):
+        edges[cells, : cells + 1] = np.linspace(0, size, cells + 1).astype(int)
+        weights[cells, :cells] = size / np.diff(edges[cells, : cells + 1])
+    return edges, weights
+
 
-    Names in one case, in camel case, with numbers, with separators; for hex the words' letters are taken
-    modulo the alphabet. Each string is cut to the next of ``lengths``.
+_LETTER = np.zeros(256, bool)
+_LETTER[[ord(c) for c in UPPER + LOWER]] = True
+_TURNS = [pow(31, k, 2000) for k in range(2000)]  # powers of 31 modulo 2000 come round within 2,000
+_AHEAD, _BACK = np.array(_TURNS), np.array([pow(x, -1, 2000) for x in _TURNS])
+#: Lengths of ordinary strings, in turn: all bands come up alike often.
+_LENGTHS = np.array([int(_SHORTEST * _RATIO ** ((k * 7 % (_BANDS * 10)) / 10 + 0.05)) for k in range(_BANDS * 10)])
+_LENGTH_BANDS = np.array([band_of(int(n)) for n in _LENGTHS])
+
+
+class Words:
+    """The words (two letters and more) of texts in UTF-8, behind one another, as places in the lower-case alphabet.
+
+    ``piece`` makes of them, for an encoding, names in the shapes that people write: in one case, in camel case,
+    with numbers, with separators; for hex the letters are taken modulo the alphabet.
     """
-    name, alphabet = ENCODINGS[encoding]
-    part, size, want, number = [], 0, next(lengths), 0
-    for k, w in enumerate(words):
-        number = (number * 31 + len(w) * 7 + k) % 2000
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        letter = _LETTER[data]
+        at = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+        starts, ends = at[::2], at[1::2]
+        long = ends - starts > 1
+        letter[starts[~long]] = False
+        starts, self.length = starts[long], (ends - starts)[long]
+        self.letters = (data[letter] | 32) - 97
+        stop = np.cumsum([len(t) + 1 for t in texts])
+        self.last = np.searchsorted(starts, stop)  # where each text's words end
+        self.first = np.concatenate([[0], self.last[:-1]])
+        counts = self.last - self.first
+        k = np.arange(len(starts)) - np.repeat(self.first, counts)
+        self.k = k
+        # number of a word: 31 times that of the word before it in the text, 7 for each letter and k, modulo 2,000
+        so_far = np.concatenate([[0], np.cumsum(_BACK[k % 2000] * (7 * self.length + k) % 2000)])
+        number = (so_far[1:] - np.repeat(so_far[self.first], counts)) % 2000 * _AHEAD[k % 2000] % 2000
+        self.numbered = np.flatnonzero(k % 3 == 0)
+        number = number[self.numbered]
+        self.digits = 1 + (number > 9) + (number > 99) + (number > 999)
+        self.places = [number // 10 ** np.maximum(self.digits - 1 - i, 0) % 10 for i in range(4)]
+
+    def pieces(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the encoding's alphabet, lengths of the words' pieces)."""
         if name.startswith("hex"):
-            piece = "".join(alphabet[ord(c) % 16] for c in w)
-        elif name in ("lower", "upper"):
-            piece = w.lower() if name == "lower" else w.upper()
-        elif name == "base32":
-            piece = w.upper() + ("" if k % 3 else "".join(alphabet[26 + int(c) % 6] for c in str(number)))
+            return (self.letters + 1) % 16, self.length
+        if name in ("lower", "upper"):
+            return self.letters, self.length
+        separated = name.startswith("base64")
+        size = self.length + separated
+        size[self.numbered] += self.digits
+        begin = np.cumsum(size) - size
+        own = np.cumsum(self.length) - self.length
+        out = np.empty(size.sum(), np.uint8)
+        if name == "base32":
+            letters, zero = self.letters, 26
         elif name.startswith("base36"):
-            piece = (w.lower() if name == "base36" else w.upper()) + ("" if k % 3 else str(number))
+            letters, zero = self.letters + np.uint8(10), 0
         else:
-            piece = w.capitalize() if k % 2 or name == "base62" else w.lower()
-            piece += "" if k % 3 else str(number)
-            if len(alphabet) == 64:
-                piece += alphabet[62 + k % 2]
-        part.append(piece)
-        size += len(piece)
-        if size >= want:
-            yield "".join(part)[:want]
-            part, size, want = [], 0, next(lengths)
-
-
-def learn(docs: DataFrame, sample_rows: int = 2000) -> dict[tuple[int, int], tuple[float, float, int]]:
-    """(encoding, length band): mean, deviation and number of ordinary strings' irregularity, from a bounded sample of texts.
-
-    Tasks send sums for each stratum, of which there are a few hundred; equal texts count once.
+            letters, zero = self.letters + np.uint8(26), 52
+            letters[own[self.k % 2 == 1] if separated else own] -= np.uint8(26)
+        out[np.arange(len(letters)) + np.repeat(begin - own, self.length)] = letters
+        after = begin[self.numbered] + self.length[self.numbered]
+        for i, place in enumerate(self.places):
+            has = self.digits > i
+            out[after[has] + i] = zero + (place[has] % 6 if name == "base32" else place[has])
+        if separated:
+            out[begin + size - 1] = 62 + self.k % 2
+        return out, size
+
+    def ordinary(self, encoding: int, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, band, length, places) of the strings of an encoding: neighbouring words of a text joined and cut to the next length.
+
+        ``turns``: where in the order of lengths each text begins. All texts go on by a string at a time.
+        """
+        codes, size = self.pieces(ENCODINGS[encoding][0])
+        end = np.cumsum(size)
+        begin = end - size
+        text = np.flatnonzero(self.first < self.last)
+        word, turn, found = self.first[text], turns[text] + encoding, []
+        while len(text):
+            turn = (turn + 1) % len(_LENGTHS)
+            upto = np.searchsorted(end, begin[word] + _LENGTHS[turn])
+            fits = upto < self.last[text]
+            text, turn, upto = text[fits], turn[fits], upto[fits]
+            found.append((text, turn, begin[word[fits]]))
+            more = upto + 1 < self.last[text]
+            text, turn, word = text[more], turn[more], upto[more] + 1
+        text, turn, at = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        order = np.argsort(at)
+        text, turn, at = text[order], turn[order], at[order]
+        length = _LENGTHS[turn]
+        inside = np.zeros(len(codes) + 1, np.int8)
+        inside[at] += 1
+        inside[at + length] -= 1
+        return text, _LENGTH_BANDS[turn], length, codes[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+
+
+def strings_of(texts: list[bytes], turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, stratum, irregularity) of all ordinary strings of the texts. A stratum is encoding * (bands) + length band."""
+    words, out = Words(texts), []
+    for e, (name, alphabet) in enumerate(ENCODINGS):
+        text, band, length, codes = words.ordinary(e, turns)
+        if not len(text):
+            continue
+        t = np.log(1e-3 - 2 * np.log(np.maximum(batteries(codes, length, len(alphabet)), 1e-300)).sum(axis=1))
+        held = slice(None)
+        if name.startswith("hex"):  # digits alone are numbers
+            held = np.maximum.reduceat(codes, np.cumsum(length) - length) > 9
+        out.append((text[held], e * (_BANDS + 1) + band[held], t[held]))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+
+
+def learn(docs: DataFrame) -> dict[tuple[int, int], tuple[float, float, int]]:
+    """(encoding, length band): mean, deviation and number of ordinary strings' irregularity, from all texts.
+
+    Equal texts count once; texts of over a million bytes are taken in parts of that size. What a text's strings give is a few hundred bytes, shuffled by the text's hash; tasks then
+    send sums for each stratum, of which there are a few hundred. Sums are of whole numbers, so no order changes them.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], list[float]] = {}
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, seen = {}, 0, set()
         for b in batches:
             for text in b["text"]:
-                words = _WORD.findall(text)
-                if not words:
-                    continue
-                start = int(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16)
-                for e in range(len(ENCODINGS)):
-
-                    def lengths(k: int = start + e) -> Iterator[int]:
-                        while True:
-                            k += 1
-                            yield int(_SHORTEST * _RATIO ** ((k * 7 % (_BANDS * 10)) / 10 + 0.05))
-
-                    for s in ordinary(words, e, lengths()):
-                        if len(s) < _SHORTEST or encoding_of(s) is None:
-                            continue
-                        t = irregularity(battery(s, e))
-                        held = sums.setdefault((e, band_of(len(s))), [0, 0.0, 0.0])
-                        held[0] += 1
-                        held[1] += t
-                        held[2] += t * t
-        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["encoding", "band", "n", "s", "ss"])
-
-    sample = hashed_sample(docs.select("text").filter("text IS NOT NULL"), sample_rows, "text").distinct()
-    rows = sample.mapInPandas(run, "encoding int, band int, n double, s double, ss double").groupBy("encoding", "band").sum("n", "s", "ss").collect()
+                data = text.encode("utf-8", "surrogatepass")
+                for at in range(0, len(data), _CHUNK):
+                    part = data[at : at + _CHUNK]
+                    if (key := hashlib.md5(part).digest()) not in seen:
+                        seen.add(key)
+                        held[key] = part
+                        size += len(part)
+                    if size >= _CHUNK:
+                        yield given(held)
+                        held, size = {}, 0
+            if len(seen) > 500_000:
+                seen = set(held)
+        if held:
+            yield given(held)
+
+    def given(held: dict[bytes, bytes]) -> pd.DataFrame:
+        text, stratum, t = strings_of(list(held.values()), np.array([int.from_bytes(k[:2]) for k in held]))
+        order = np.argsort(text, kind="stable")
+        cuts = np.searchsorted(text[order], np.arange(len(held) + 1)).tolist()
+        strata, fixed = stratum[order].astype(np.uint8).tobytes(), np.rint(t[order] * _UNIT).astype(np.int32).tobytes()
+        rows = [(k, strata[i:j], fixed[4 * i : 4 * j]) for k, i, j in zip(held, cuts[:-1], cuts[1:]) if i < j]
+        return pd.DataFrame(rows, columns=["text", "strata", "t"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((3, len(ENCODINGS) * (_BANDS + 1)), np.int64)
+        for b in batches:
+            stratum = np.frombuffer(b"".join(b["strata"]), np.uint8)
+            t = np.frombuffer(b"".join(b["t"]), np.int32).astype(float)
+            for row, x in enumerate((None, t, np.rint(t * t / _UNIT))):
+                sums[row] += np.bincount(stratum, x, sums.shape[1]).astype(np.int64)
+        some = np.flatnonzero(sums[0])
+        yield pd.DataFrame({"stratum": some, "n": sums[0][some], "s": sums[1][some], "ss": sums[2][some]})
+
+    texts = docs.select("text").filter("text IS NOT NULL").mapInPandas(each, "text binary, strata binary, t binary").dropDuplicates(["text"])
+    rows = texts.select("strata", "t").mapInPandas(add, "stratum int, n long, s long, ss long").groupBy("stratum").sum("n", "s", "ss").collect()
     out = {}
-    for e, band, n, s, ss in rows:
-        mean = s / n
-        out[e, band] = (mean, math.sqrt(max(ss / n - mean * mean, 1e-6) * n / max(n - 1, 1)), int(n))
+    for stratum, n, s, ss in rows:
+        mean = s / n / _UNIT
+        out[divmod(stratum, _BANDS + 1)] = (mean, math.sqrt(max(ss / n / _UNIT - mean * mean, 1e-6) * n / max(n - 1, 1)), n)
     return out
 
 
@@ -256,7 +406,7 @@ def step_up(counts: dict[tuple[int, int, int], int], rate: float) -> dict[tuple[
     return out
 
 
-def find(docs: DataFrame, rate: float = 0.01, sample_rows: int = 2000, into: str = "secrets") -> DataFrame:
+def find(docs: DataFrame, rate: float = 0.01, into: str = "secrets") -> DataFrame:
     """``docs`` with a struct column ``into``: n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end, by start; ``random`` is the kind of what the tests add, outside base spans.
@@ -266,7 +416,7 @@ def find(docs: DataFrame, rate: float = 0.01, sample_rows: int = 2000, into: str
     an underscore.
     """
     spark = docs.sparkSession
-    scanner = broadcast_value(spark, Scanner(learn(docs, sample_rows)))
+    scanner = broadcast_value(spark, Scanner(learn(docs)))
 
     def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = scanner()

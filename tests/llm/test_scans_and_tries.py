@@ -70,6 +70,46 @@ def test_false_discovery_bound_is_the_step_up_procedure():
         assert {b for b in bins if least is not None and b >= least} == {b for b in bins if within and 10 ** (-b * secret_scan._BIN) <= max(within)}
 
 
+def plain_ordinary(text, start):
+    """(encoding, string) of a text's ordinary strings, word by word."""
+    words = re.findall("[A-Za-z]{2,}", text)
+    for e, (name, alphabet) in enumerate(secret_scan.ENCODINGS):
+        part, number, turn = "", 0, start + e + 1
+        for k, w in enumerate(words):
+            number = (number * 31 + len(w) * 7 + k) % 2000
+            digits = "" if k % 3 else str(number)
+            if name.startswith("hex"):
+                part += "".join(alphabet[ord(c) % 16] for c in w)
+            elif name in ("lower", "upper"):
+                part += getattr(w, name)()
+            elif name == "base32":
+                part += w.upper() + "".join(alphabet[26 + int(c) % 6] for c in digits)
+            elif name.startswith("base36"):
+                part += (w.lower() if name == "base36" else w.upper()) + digits
+            else:
+                part += (w.capitalize() if k % 2 or name == "base62" else w.lower()) + digits + (alphabet[62 + k % 2] if len(alphabet) == 64 else "")
+            want = int(16 * 1.25 ** ((turn * 7 % 200) / 10 + 0.05))
+            if len(part) >= want:
+                if set(part[:want]) - set(string.digits):
+                    yield e, part[:want]
+                part, turn = "", turn + 1
+
+
+def test_ordinary_strings_are_learned_from_all_texts(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice(string.ascii_letters) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", "é", "7"]) for _ in range(rng.choice([0, 2, 6, 9, 40]))) for _ in range(3000)] + ["ab " * 9000]
+    want = {}
+    for t in {*texts}:
+        for e, s in plain_ordinary(t, int(hashlib.md5(t.encode()).hexdigest()[:4], 16)):
+            want.setdefault((e, secret_scan.band_of(len(s))), []).append(secret_scan.irregularity(secret_scan.battery(s, e)))
+    rows = [(t,) for t in [*texts, *texts[:1500], *[texts[0]] * 50, None]]  # copies count once
+    got = secret_scan.learn(spark.createDataFrame(rows, "text string").repartition(5))
+    assert {k: n for k, (_, _, n) in got.items()} == {k: len(v) for k, v in want.items()}
+    for k, v in want.items():
+        assert abs(got[k][0] - np.mean(v)) < 1e-4 and (len(v) == 1 or abs(got[k][1] - max(np.std(v, ddof=1), 1e-3)) < 2e-3)
+
+
 ORDINARY = [
     "ThisIsARatherLongCamelCaseIdentifierName", "snake_case_names_are_common_in_code_2024", "getUserAccountSettingsByAccountIdentifier", "INTERNATIONALIZATIONOFAPPLICATIONS",
     "2024-01-15T12-30-45-000-001", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz0123456789", "donaudampfschifffahrtsgesellschaft", "the-quick-brown-fox-jumps-over-the-lazy-dog",
