@@ -189,7 +189,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     planes = []
     for a in arrays:
         each = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
-        planes.append((a.dtype.str, b"".join(each[:, i].tobytes() for i in range(a.itemsize))))
+        planes.append((a.dtype.str, np.ascontiguousarray(each.T).tobytes()))
     return zstandard.compress(pickle.dumps(planes), 3)
 
 
@@ -343,42 +343,56 @@ def _dealt(held: list[tuple], chunk: int, layout: Layout, by_text: bool) -> pa.R
     place[order] = len(listed) + np.arange(len(order))  # words that are not listed follow, until each body numbers its own
     size = len(listed) + len(order)
     known = np.concatenate([layout.common, vocabulary[order]])
-    word = place[code]
+    word = place.astype(np.int32)[code]  # half the memory of whole words of the machine
     del code, place
-    doc = np.repeat(np.arange(len(counts)), sizes)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), sizes)
     u1 = np.roll(word, 1)
     u1[first] = word[-1]
     u2 = np.roll(u1, 1)
     u2[first] = word[-1]
-    bucket = layout.bucket(known, np.zeros(len(known), np.uint64))[u1]
+    bucket = layout.bucket(known, np.zeros(len(known), np.uint64)).astype(np.int32)[u1]
     hot = np.flatnonzero((layout.number(known) > 0)[u1])
     bucket[hot] = layout.bucket(known[u1[hot]], known[u2[hot]])
     home = bucket[last]  # the bucket of a text's last token, which alone gets its id
-    if by_text:
-        at = _ordered((bucket, u1, word), (layout.buckets, size, size))
-        columns = (word, u1, u2, doc)
+    if not by_text and 2 * layout.buckets * size**3 < 2**64:
+        # nothing but the key is asked of a token here, so the keys alone are sorted, with whether they teach
+        key = bucket.astype(np.uint64)
+        for column, bound in ((u1, size), (word, size), (u2, size), (~out[doc], 2)):
+            key *= np.uint64(bound)
+            key += column.astype(np.uint64)
+        key.sort()
+        teaches = (key & np.uint64(1)).astype(np.uint32)
+        key >>= np.uint64(1)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        m = np.add.reduceat(teaches, starts)
+        bucket, u1, word, u2 = _apart(key[starts], size)
+        del key, teaches, doc
     else:
-        at = _ordered((bucket, u1, word, u2), (layout.buckets, size, size, size))
-        columns = (word, u1, u2)
-    new = np.zeros(len(at), bool)
-    new[0] = True
-    for x in columns:
-        x = x[at]
-        new[1:] |= x[1:] != x[:-1]
-    starts = np.flatnonzero(new)
-    m = np.add.reduceat((np.ones(len(at), np.uint32) if by_text else (~out[doc[at]]).astype(np.uint32)), starts)
-    at = at[starts]
-    bucket = bucket[at]
+        if by_text:
+            at = _ordered((bucket, u1, word), (layout.buckets, size, size))
+            columns = (word, u1, u2, doc)
+        else:
+            at = _ordered((bucket, u1, word, u2), (layout.buckets, size, size, size))
+            columns = (word, u1, u2)
+        new = np.zeros(len(at), bool)
+        new[0] = True
+        for x in columns:
+            x = x[at]
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(new)
+        m = np.add.reduceat((np.ones(len(at), np.uint32) if by_text else (~out[doc[at]]).astype(np.uint32)), starts)
+        at = at[starts]
+        bucket, u1, word, u2, doc = (x[at] for x in (bucket, u1, word, u2, doc))
+        del columns, x, at
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     bodies = []
     for lo, hi in zip(edges[:-1], edges[1:]):
-        a = at[lo:hi]
-        used = np.concatenate([u2[a], u1[a], word[a]])
+        used = np.concatenate([u2[lo:hi], u1[lo:hi], word[lo:hi]])
         far = used >= len(listed)
         rare, own = np.unique(used[far], return_inverse=True)
         used[far] = len(listed) + own
         c2, c1, c0 = np.split(used, 3)
-        docs, d = np.unique(doc[a], return_inverse=True) if by_text else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        docs, d = np.unique(doc[lo:hi], return_inverse=True) if by_text else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         here = docs[home[docs] == bucket[lo]]
         bodies.append(
             _pack(known[rare], c2.astype(np.uint32), _steps(c1), _steps(c0), d.astype(np.uint32), m[lo:hi], _steps(docs), out[docs], _steps(here), ids[here], null[here])
@@ -387,20 +401,31 @@ def _dealt(held: list[tuple], chunk: int, layout: Layout, by_text: bool) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(np.full(len(bodies), chunk)), pa.array(bodies, pa.binary())], schema=kinds)
 
 
+def _apart(key: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The four numbers that ``key`` was made of, of which the last three are below ``size``."""
+    found = []
+    for _ in range(3):
+        rest = key // np.uint64(size)
+        found.append((key - rest * np.uint64(size)).astype(np.int32))
+        key = rest
+    return key.astype(np.int32), *found[::-1]
+
+
 def _ordered(columns: tuple[np.ndarray, ...], bounds: tuple[int, ...]) -> np.ndarray:
     """Positions of rows by their columns, the first one first, rows alike as they stood; each column is below its bound."""
     bits = len(columns[0]).bit_length()
-    if math.prod(bounds) << bits < 2**64:
-        key = np.zeros(len(columns[0]), np.uint64)
-        for column, bound in zip(columns, bounds):
-            key = key * np.uint64(bound) + column.astype(np.uint64)
-        key = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
-        return (key & np.uint64((1 << bits) - 1)).astype(np.int64)
     if math.prod(bounds) < 2**64:
-        key = np.zeros(len(columns[0]), np.uint64)
-        for column, bound in zip(columns, bounds):
-            key = key * np.uint64(bound) + column.astype(np.uint64)
-        return np.argsort(key, kind="stable")
+        key = columns[0].astype(np.uint64)
+        for column, bound in zip(columns[1:], bounds[1:]):
+            key *= np.uint64(bound)
+            key += column.astype(np.uint64)
+        if math.prod(bounds) << bits >= 2**64:
+            return np.argsort(key, kind="stable")
+        key <<= np.uint64(bits)
+        key |= np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        key &= np.uint64((1 << bits) - 1)
+        return key.view(np.int64)
     return np.lexsort(columns[::-1])
 
 
@@ -453,24 +478,35 @@ class Bucket:
         self.k = number[self.pu]
         self.root = np.full(size, 1 / (size + 1))
         self.given = np.full(len(self.pairs), np.nan)  # probabilities in restaurants that are seated elsewhere
+        self.seated = PAIR[1] + self.customers
+        self.dish_seated = self.seated[self.house]
+        self.many_pair, self.many_c = self.pair[self.many], self.c[self.many]
+        self.own_alone = np.where(alone, 1 - PAIR[0], 0.0) / self.dish_seated
         self.t, self.c2 = np.minimum(self.c, 1), None
         self._hand_up()
         self.t2 = np.minimum(self.c2, 1)
 
     def asked(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(k, place, part) of what the restaurants above know: words in the root (k = 0), pairs in the words dealt over buckets."""
+        """(k, place, edges) of what the restaurants above know, by part: words in the root (k = 0), pairs in the words dealt over buckets.
+
+        Part i is what lies from edge i to edge i + 1.
+        """
         own = self.k == 0
         seen = np.unique(self.pw[own])
         other = np.flatnonzero(~own)
         k = np.concatenate([np.zeros(len(seen), np.int64), self.k[other]])
         part = _mix(self.words[np.concatenate([seen, self.pw[other]])], 7) % np.uint64(parts)
-        return k, np.concatenate([seen, other]), part.astype(np.int64)
-
-    def take(self, parts: int, part: int, p: np.ndarray) -> None:
-        """Probabilities from a part of the restaurants above, in the order in which it was asked."""
-        k, place, of = self.asked(parts)
-        k, place = k[of == part], place[of == part]
-        self.root[place[k == 0]] = p[k == 0]
+        order = np.argsort(part, kind="stable")
+        return k[order], np.concatenate([seen, other])[order], np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+
+    def take(self, parts: int, replies) -> None:
+        """Probabilities from the restaurants above: (part, in the order in which it was asked)."""
+        k, place, edges = self.asked(parts)
+        p = np.full(len(k), np.nan)
+        for part, found in replies:
+            p[edges[part] : edges[part + 1]] = found
+        root = (k == 0) & ~np.isnan(p)
+        self.root[place[root]] = p[root]
         self.given[place[k > 0]] = p[k > 0]
 
     def _hand_up(self) -> None:
@@ -489,19 +525,23 @@ class Bucket:
 
     def _above(self, at=slice(None), less=0) -> np.ndarray:
         """Probability of the second word of the pairs ``at`` after the first, without ``less`` customers of it."""
+        d, strength = WORD
         u = self.run[at]
         c = np.maximum(self.c2[at] - less, 0)
-        seated, tables = (self._by_word(x)[u] for x in (self.c2, self.t2))
-        p = predictive(c, np.minimum(self.t2[at], c), *WORD, seated, tables, self.root[self.pw[at]])
+        p = np.maximum(c - d * np.minimum(self.t2[at], c), 0)
+        p += (strength + d * self._by_word(self.t2))[u] * self.root[self.pw[at]]  # ``predictive``, with what a word's pairs share worked out once
+        p /= (strength + self._by_word(self.c2))[u]
         given = self.given[at]
-        return np.where(np.isnan(given), p, given)
+        known = np.flatnonzero(~np.isnan(given))
+        p[known] = given[known]
+        return p
 
     def sweep(self, rng: np.random.Generator) -> None:
         d, strength = PAIR
         many = self.many
         v = rng.gamma(strength / d + self._tables()[self.busy])
-        weight = d * v[self.busy_at] * self._above(self.pair[many], self.t[many])
-        self.t[many] = draw_tables(self.c[many], weight, d, rng)
+        weight = d * v[self.busy_at] * self._above(self.many_pair, self.t[many])
+        self.t[many] = draw_tables(self.many_c, weight, d, rng)
         self._hand_up()
         d, strength = WORD
         tables = self._by_word(self.t2)
@@ -514,20 +554,23 @@ class Bucket:
     def probabilities(self) -> np.ndarray:
         """Of each dish, after its pair of words."""
         d, strength = PAIR
-        seated = strength + self.customers
-        room = (strength + d * self._tables()) / seated
-        own = np.where(self.c == 1, 1 - d, 0.0) / seated[self.house]
-        own[self.many] = np.maximum(self.c[self.many] - d * self.t[self.many], 0) / seated[self.house[self.many]]
-        return own + room[self.house] * self._above()[self.pair]
+        room = (strength + d * self._tables()) / self.seated
+        out = room[self.house]
+        out *= self._above()[self.pair]
+        own = self.own_alone.copy()
+        own[self.many] = np.maximum(self.many_c - d * self.t[self.many], 0) / self.dish_seated[self.many]
+        out += own
+        return out
 
     def messages(self, number: int, parts: int) -> pd.DataFrame:
         """What the restaurants above need: customers by (k, word), in ``parts`` by the word's hash; counts of words in the rows without a part."""
-        k, place, part = self.asked(parts)
+        k, place, edges = self.asked(parts)
         root = k == 0
         w = self.words[np.where(root, place, self.pw[np.where(root, 0, place)])]
         own = self.k == 0
         c = np.where(root, np.bincount(self.pw[own], self.t2[own], len(self.words))[np.where(root, place, 0)], self.c2[np.where(root, 0, place)]).astype(np.int64)
-        rows = [(int(p), number, 0, 0, 0, _pack(k[part == p].astype(np.uint32), w[part == p], c[part == p].astype(np.uint32))) for p in np.unique(part)]
+        cuts = [(p, slice(*edges[p : p + 2])) for p in np.flatnonzero(np.diff(edges))]
+        rows = [(int(p), number, 0, 0, 0, _pack(k[at].astype(np.uint32), w[at], c[at].astype(np.uint32))) for p, at in cuts]
         hot = np.flatnonzero((self.number > 0) & (np.bincount(self.pu, minlength=len(self.words)) > 0))
         rows += [(-1, number, int(self.number[i]), int(self.count[i]), 0, None) for i in hot]
         plain = self.number == 0
@@ -673,8 +716,7 @@ def _scorer(get: Callable, get_counts: Callable, burn_in: int, samples: int) ->
     def run(b: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         layout, number = get(), int(b["bucket"].iloc[0])
         here = Bucket(b["body"], layout)
-        for part, body in zip(replies["part"], replies["body"]):
-            here.take(_parts(layout), int(part), *_unpack(body))
+        here.take(_parts(layout), ((int(part), *_unpack(body)) for part, body in zip(replies["part"], replies["body"])))
         rng = np.random.default_rng((2, number))
         p = np.zeros(len(here.c))
         for s in range(burn_in + samples):

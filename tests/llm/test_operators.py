@@ -348,6 +348,44 @@ def test_words_and_orders_by_columns():
     assert [len(x) for x in language_model._unique(a[:0], 40)] == [0, 0]
 
 
+def test_language_model_splits_what_it_learns_from_into_counts(docs):
+    import pyarrow as pa
+
+    rows = docs.select("doc_id", "text", language_model.held_out().alias("held_out")).orderBy("doc_id").collect()
+    layout = language_model.Layout(7, {})
+    found, counts = language_model._words_of(pa.array([r["text"] for r in rows], pa.string()))
+    out = np.array([r["held_out"] for r in rows])
+    held = [(np.arange(len(rows)), np.zeros(len(rows), bool), out, counts, found)]
+    bodies = language_model._dealt(held, 0, layout, by_text=False).column("body").to_pylist()
+    want = collections.Counter()
+    for r in rows:
+        ws = [xxhash.xxh64_intdigest(w) for w in [b"", b"", *language_model.words(r["text"])]]
+        for three in zip(ws, ws[1:], ws[2:]):
+            want[three] += not r["held_out"]
+    got = {}
+    for names, c2, c1, c0, _, m, *_ in map(language_model._unpack, bodies):
+        c1, c0 = (np.cumsum(x, dtype=np.uint32) for x in (c1, c0))
+        got |= dict(zip(zip(*(names[c].tolist() for c in (c2, c1, c0))), m.tolist()))
+    assert got == want
+    numbers = np.array([(6, 9, 0, 3), (0, 0, 9, 9), (2**20, 1, 2, 3)])
+    keys = np.array([((a * 10 + b) * 10 + c) * 10 + d for a, b, c, d in numbers.tolist()], np.uint64)
+    assert (np.stack(language_model._apart(keys, 10), axis=1) == numbers).all()
+
+
+def test_language_model_asks_above_once_for_all_parts(docs, monkeypatch):
+    rows = docs.select("doc_id", "text", language_model.held_out().alias("held_out"))
+    layout = language_model.Layout(1, {})
+    here = language_model.Bucket([r["body"] for r in language_model.split(rows, layout).collect()], layout)
+    sent = here.messages(0, 9)
+    sent = {r.part: language_model._unpack(r.body) for r in sent.itertuples() if r.part >= 0}
+    asked, calls = language_model.Bucket.asked, []
+    monkeypatch.setattr(language_model.Bucket, "asked", lambda self, parts: calls.append(parts) or asked(self, parts))
+    here.take(9, ((p, w.astype(float)) for p, (_, w, _) in sent.items()))
+    assert calls == [9] and len(sent) == 9  # its cost must not grow with the number of parts
+    seen = np.unique(here.pw)
+    assert (here.root[seen] == here.words[seen].astype(float)).all()
+
+
 def test_language_model_on_awkward_rows(awkward, empty):
     rows = language_model.score(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["n_tokens"] >= 1 and r["score"] <= 0 for r in rows)
