@@ -91,6 +91,19 @@ def test_ni(spark):
     assert [r["member"]["name"] for r in n.ni_components(parts, "report", "no").collect()] == ["Mr Smith", "Mr Smith"]
 
 
+def test_memberships_sorted_by_person_are_not_shuffled_again(spark):
+    members = spark.createDataFrame([("1", ""), ("2", "Kept"), ("3", "")], "id string, party string")
+    memberships = spark.createDataFrame([(1, 1, "2001", None), (1, 2, "2011", "2012"), (2, 1, "2001", None), (None, 1, "2001", None)], "PersonID long, PartyID int, ValidFromDate string, ValidUntilDate string")
+    parties = F.broadcast(spark.createDataFrame([(1, "Open"), (2, "Closed")], "ID int, PartyName string"))
+    sites = memberships.select("PersonID", F.col("ValidFromDate").alias("WebURL"), F.col("ValidUntilDate").isNotNull().alias("IsDefault"))
+    for got, column, want in (
+        (n.scottish_parties(members, memberships.repartition(3, "PersonID"), parties), "party", {"1": "Open", "2": "Kept", "3": ""}),
+        (n.profile_links(members, sites.repartition(3, "PersonID")), "profile_url", {"1": "2011", "2": "2001", "3": None}),
+    ):
+        assert {r["id"]: r[column] for r in got.collect()} == want
+        assert "_groupingexpression" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scotland(spark):
     party = "array<struct<ValidFromDate:string,PartyName:string>>"
     m = spark.createDataFrame([("1", "Smith, Jane", True, [("2001", "Old"), ("2011", "New")])], f"PersonID string, ParliamentaryName string, IsCurrent boolean, MemberParties {party}")
