@@ -202,6 +202,50 @@ def test_dot_products_by_blocks_agree_with_a_self_join(spark, side, depth):
     assert scaling.dot_products(cells.limit(0), "member_key", "division", "legislature").count() == 0
 
 
+def _rows_shuffled(df):
+    """Rows that the shuffles of a frame's plan wrote, once it has run."""
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if kind == "ReusedExchangeExec":
+            return 0
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("side", [24, 3])
+def test_blocks_of_keys_are_shuffled_once_however_many_they_meet(spark, side):
+    cells = spark.createDataFrame([("F", f"m{m}", f"d{d}", float(m % 3 - 1)) for m in range(48) for d in range(20)], "legislature string, member_key string, division string, v double")
+    dots = scaling.dot_products(cells, "member_key", "division", "legislature", side=side)
+    assert len(dots.collect()) == 48 * 49 / 2
+    assert _rows_shuffled(dots) <= 48 * 20 + -(-48 // side)
+
+
+@pytest.mark.parametrize("dense, sums", [(4, 1), (0, 0)])
+def test_slices_are_added_up_only_where_keys_are_few(spark, monkeypatch, dense, sums):
+    """By slices or by whole rows taken a few divisions at a time the dots are those of a self-join, and what has no key pairs with nothing."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(h, f"m{m}", f"d{d}", rng.choice([-1.0, 0.0, 0.5])) for h in "FO" for m in range(7) for d in range(40) if rng.random() < 0.8]
+    want = {}
+    for h, a, d, x in rows:
+        for g, b, e, y in rows:
+            if h == g and d == e and a <= b:
+                want[h, a, b] = want.get((h, a, b), 0.0) + x * y
+    cells = spark.createDataFrame([*rows, ("F", None, "d1", 1.0), ("F", "m1", None, 1.0)], "legislature string, member_key string, division string, v double")
+    monkeypatch.setattr(scaling, "DENSE", dense)
+    dots = scaling.dot_products(cells, "member_key", "division", "legislature", side=3, depth=5)
+    assert dots._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == sums
+    assert {tuple(r)[:3]: r["dot"] for r in dots.collect()} == pytest.approx(want)
+
+
 @pytest.mark.parametrize("members, divisions, dense", [(60, 9, 4), (9, 60, 4), (60, 9, 0)])
 def test_ideal_points_by_the_smaller_side(spark, monkeypatch, members, divisions, dense):
     """By divisions, by members or by cells the points are those of the dense matrix; no step by products reads the cells."""
